@@ -31,6 +31,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_docs(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_docs(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -53,7 +65,7 @@ SELECT doc_id, size, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_entropy_mixing, op4_hash_tree_sharding, op6_exact_dedup)}
+    return {f.__name__: f for f in (op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op6_exact_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
