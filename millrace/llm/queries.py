@@ -37,6 +37,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_docs(spark, sf_dir).select("doc_id", "text", "lang"))
 
 
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunk_dedup import chunk_dedup
+
+    return chunk_dedup(_docs(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
@@ -71,7 +77,7 @@ SELECT doc_id, size, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op6_exact_dedup, op8_suffix_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op6_exact_dedup, op7_chunk_dedup, op8_suffix_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
