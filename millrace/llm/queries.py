@@ -12,6 +12,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scores
+
+    return lm_scores(_docs(spark, sf_dir))
+
+
 def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -77,7 +83,7 @@ SELECT doc_id, size, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op6_exact_dedup, op7_chunk_dedup, op8_suffix_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op6_exact_dedup, op7_chunk_dedup, op8_suffix_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
