@@ -30,6 +30,12 @@ def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_docs(spark, sf_dir), 8)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(_docs(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -83,7 +89,7 @@ SELECT doc_id, size, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op6_exact_dedup, op7_chunk_dedup, op8_suffix_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op5_ngram_join, op6_exact_dedup, op7_chunk_dedup, op8_suffix_dedup, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
