@@ -61,6 +61,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_docs(spark, sf_dir))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_dedup
+
+    return near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -89,7 +95,7 @@ SELECT doc_id, size, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op5_ngram_join, op6_exact_dedup, op7_chunk_dedup, op8_suffix_dedup, op10_harmonic_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_entropy_mixing, op3_language_id, op4_hash_tree_sharding, op5_ngram_join, op6_exact_dedup, op7_chunk_dedup, op8_suffix_dedup, op9_nn_descent, op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
