@@ -224,45 +224,75 @@ def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by = np.lexsort((h, d))[: n - needed(n) + 1 - (n - got[i])]
             h = h.astype(np.int64)
             cut = np.searchsorted(h, [(f << 48) // PAIR_FRAGMENTS for f in range(1, PAIR_FRAGMENTS)])
-            out.append((int(node), int(n), [x.tolist() for x in np.split(h, cut)], h[by].tolist()))
+            out.append((int(node), int(n), int(got[i]), [x.tolist() for x in np.split(h, cut)], h[by].tolist()))
         if out:
-            yield pd.DataFrame(out, columns=["node", "n", "parts", "prefix"])
+            yield pd.DataFrame(out, columns=["node", "n", "r", "parts", "prefix"])
 
 
-def alike(a: Column, b: Column) -> Column:
-    """Sizes that allow the similarity."""
-    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+def enough(overlap: Column, n1: Column, n2: Column) -> Column:
+    """The similarity in whole numbers: overlap / (n1 + n2 - overlap) >= NUM / DEN."""
+    return overlap * (NUM + DEN) >= (n1 + n2) * NUM
 
 
-def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b) -> (u, v) that have the similarity: overlaps by fragment, summed per pair."""
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b) -> with na, nb, o: the overlap in each fragment, counted separately."""
     right = pairs.join(parts.select(F.col("node").alias("b"), F.col("n").alias("nb"), "f", F.col("grams").alias("gb")), "b")
     left = parts.select(F.col("node").alias("a"), F.col("n").alias("na"), "f", F.col("grams").alias("ga"))
-    overlap = right.join(left, ["a", "f"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("ga", "gb"))).alias("o"))
-    return overlap.where(F.col("o") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = right.join(left, ["a", "f"]).select("a", "b", "na", "nb", "f", F.size(F.array_intersect("ga", "gb")).alias("x"))
+    each = [F.coalesce(F.sum(F.when(F.col("f") == i, F.col("x"))), F.lit(0)) for i in range(PAIR_FRAGMENTS)]
+    return both.groupBy("a", "b", "na", "nb").agg(F.array(*each).alias("o"))
+
+
+def total(parts: Column) -> Column:
+    return sum((parts[i] for i in range(1, PAIR_FRAGMENTS)), parts[0])
+
+
+def linked(counted: DataFrame) -> DataFrame:
+    """(u, v) of the pairs whose overlaps sum to the similarity."""
+    return counted.where(enough(total(F.col("o")), F.col("na"), F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def most_overlap() -> Column:
+    """A bound of the overlap of x and y. Only repeated grams can be shared. Where both have been
+    compared with the same leader, they share in each fragment at most the lesser of what each
+    shares with it, and the lesser of what each has besides."""
+    terms = [F.least(F.col("ox")[i], F.col("oy")[i]) + F.least(F.col("rx")[i] - F.col("ox")[i], F.col("ry")[i] - F.col("oy")[i]) for i in range(PAIR_FRAGMENTS)]
+    plain = [F.least(F.col("rx")[i], F.col("ry")[i]) for i in range(PAIR_FRAGMENTS)]
+    return F.when((F.col("lx") == F.col("ly")) & F.col("ox").isNotNull() & F.col("oy").isNotNull(), sum(terms[1:], terms[0])).otherwise(sum(plain[1:], plain[0]))
 
 
 def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v): enough verified links between texts to give every component. sets: node, n, parts, prefix."""
-    parts = sets.select("node", "n", F.posexplode("parts").alias("f", "grams")).where(F.size("grams") > 0)
-    buckets = scratch.table(sets.select("node", "n", F.explode("prefix").alias("h")), "buckets")
-    sizes = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("c"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)], *[F.min_by("n", F.xxhash64("node", F.lit(i))).alias(f"n{i}") for i in range(LEADERS)]).where("c > 1")
-    fullest = buckets.join(sizes, "h").groupBy("node", "n").agg(F.max_by(F.array(*[F.struct(F.col(f"l{i}").alias("l"), F.col(f"n{i}").alias("nl")) for i in range(LEADERS)]), F.struct("c", "h")).alias("leaders"))
-    stars = fullest.select("node", "n", F.explode("leaders").alias("x")).where((F.col("x.l") != F.col("node")) & alike(F.col("n"), F.col("x.nl")))
-    stars = stars.select(F.least("node", "x.l").alias("a"), F.greatest("node", "x.l").alias("b")).distinct()
-    first = scratch.table(verified(stars, parts), "stars")
+    """(u, v): enough verified links between texts to give every component.
+    sets: node, n, r (repeated grams), parts (these by fragment), prefix."""
+    parts = sets.select("node", "n", F.posexplode("parts").alias("f", "grams"))
+    buckets = scratch.table(sets.select("node", "n", "r", F.explode("prefix").alias("h")), "buckets")
+    # The first leader has the fewest grams of its own and so lies nearest the middle; the others are drawn.
+    it = F.struct("node", "n", "r")
+    drawn = [F.min_by(it, F.xxhash64("node", F.lit(i))) for i in range(1, LEADERS)]
+    sizes = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.array(F.max_by(it, F.struct(F.col("r") / F.col("n"), F.col("node"))), *drawn).alias("leaders")).where("c > 1")
+    fullest = scratch.table(buckets.join(sizes, "h").groupBy("node", "n", "r").agg(F.max_by("leaders", F.struct("c", "h")).alias("leaders")), "leaders")
+    stars = fullest.select("node", "n", "r", F.posexplode("leaders").alias("i", "x")).withColumn("l", F.col("x.node"))
+    stars = stars.where((F.col("l") != F.col("node")) & ((F.col("i") == 0) | enough(F.least("r", "x.r"), F.col("n"), F.col("x.n"))))
+    stars = stars.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+    counted = scratch.table(overlaps(stars, parts), "stars")
+    first = linked(counted)
 
     roots = components(first, scratch)
-    rooted = buckets.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-    rooted = scratch.table(rooted, "rooted")
+    rooted = scratch.table(buckets.join(roots, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
     shares = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed_up = shares.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("h", "main")
-    here = rooted.join(mixed_up, "h")
-    aside = here.where("root <> main").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    every = here.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    cond = (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-    cross = aside.join(every, "h").where(cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return first.unionByName(scratch.table(verified(cross, parts), "across"))
+    # What each text shares with its first leader bounds what two texts of that leader share.
+    led = fullest.select("node", F.col("leaders")[0]["node"].alias("l")).withColumn("a", F.least("node", "l")).withColumn("b", F.greatest("node", "l"))
+    led = led.join(counted.select("a", "b", "o"), ["a", "b"], "left").select("node", "l", "o")
+    known = sets.select("node", F.transform("parts", F.size).alias("r")).join(led, "node", "left")
+    known = known.select("node", "r", "l", F.when(F.col("l") == F.col("node"), F.col("r")).otherwise(F.col("o")).alias("o"))
+    here = rooted.join(mixed_up, "h").join(known, "node")
+    aside = here.where("root <> main").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("tx"), F.col("r").alias("rx"), F.col("l").alias("lx"), F.col("o").alias("ox"))
+    every = here.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ty"), F.col("r").alias("ry"), F.col("l").alias("ly"), F.col("o").alias("oy"), "main")
+    cond = (F.col("tx") != F.col("ty")) & ((F.col("ty") == F.col("main")) | (F.col("x") < F.col("y"))) & enough(most_overlap(), F.col("nx"), F.col("ny"))
+    left, right = aside.alias("p"), every.alias("q")
+    cross = left.join(right, (F.col("p.h") == F.col("q.h")) & cond).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return first.unionByName(linked(scratch.table(overlaps(cross, parts), "across")))
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +308,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     sets = found.where(F.col("grams").isNotNull()).select(F.col("d1").alias("node"), "n", "grams").dropDuplicates(["node"])
     sets = scratch.table(sets, "sets")
-    again = _counted(sets.mapInPandas(_sets(fragments), ENTRY), fragments, _prefixes, "node long, n long, parts array<array<long>>, prefix array<long>")
+    again = _counted(sets.mapInPandas(_sets(fragments), ENTRY), fragments, _prefixes, "node long, n long, r long, parts array<array<long>>, prefix array<long>")
     again = scratch.table(again, "prefixes")
     links = links_of(again, scratch)
 
