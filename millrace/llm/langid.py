@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,20 +215,24 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SW
     return labels
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """One row per input row: id, lang_pred, score (and spans: start, end in characters, lang)."""
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: the carried columns (the id alone if not told), lang_pred, score (and
+    spans: start, end in characters of the lower-cased text, lang). Of two columns with one name the
+    operator's own stays."""
     spark = df.sparkSession
     small_batches(spark, 500)
     shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([df.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    own = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
     if with_spans:
-        schema = schema.add("spans", "array<struct<start:int,end:int,lang:string>>")
+        own.append(("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))
+    names = [c for c in (carry or [id_col]) if c not in dict(own)]
+    schema = T.StructType([df.schema[c] for c in names] + [T.StructField(n, t) for n, t in own])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in batches:
+        for batch in batches:
             lang, score, spans = [], [], []
-            for part in chunks([t if isinstance(t, str) else "" for t in pdf[text_col]]):
+            for part in chunks([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
                 w = words_of(part)
                 labels = viterbi(m.word_scores(w), w.doc, len(part)) if m.langs else np.zeros(len(w.starts), dtype=np.int64)
                 k = max(1, len(m.langs))
@@ -238,12 +243,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 score += [float(mass[i, b] / total[i]) if known[i] else 0.0 for i, b in enumerate(best)]
                 if with_spans:
                     spans += spans_of(w, labels, len(part), m.langs)
-            out = pd.DataFrame({id_col: pdf[id_col], "lang_pred": lang, "score": score})
+            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             if with_spans:
-                out["spans"] = spans
-            yield out
+                new.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    return df.select(id_col, text_col).mapInPandas(run, schema)
+    text = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("_text"))
+    return text.mapInArrow(run, schema)
 
 
 def spans_of(w: Words, labels: np.ndarray, n: int, langs: list[str]) -> list[list[dict]]:
@@ -261,8 +267,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(crc_of(id_col), F.lit(4)) == 2
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = False) -> DataFrame:
-    """Learns from the labelled documents that are not held out, predicts all: id, held_out, lang_pred, score."""
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Learns from the labelled documents that are not held out, predicts all: carried columns, held_out, lang_pred, score."""
     model = fit(df.where(~held_out(id_col)), lang_col, text_col, id_col)
-    out = predict(df, model, id_col, text_col, with_spans)
-    return out.select(id_col, held_out(id_col).alias("held_out"), *out.columns[1:])
+    out = predict(df, model, id_col, text_col, with_spans, carry)
+    return out.withColumn("held_out", held_out(id_col))

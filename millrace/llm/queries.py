@@ -46,7 +46,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
-    return identify(_docs(spark, sf_dir).select("doc_id", "text", "lang"))
+    return identify(_docs(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,13 +84,21 @@ FROM n WINDOW w AS (PARTITION BY t)
 def _op4_sql() -> str:
     from .sharding import tree
 
-    draws = [f"-ln((('0x' || substr(md5(doc_id || '|{s.name}'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)" for s in tree(9)]
+    draws = [f"-ln(((('0x' || substr(md5(doc_id || '|{x.name}'), 1, 12))::BIGINT) + 0.5) / 281474976710656.0)" for x in tree(9)]
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, [{', '.join(draws)}] AS x FROM documents),
-p AS (SELECT doc_id, (octet_length(encode(t)) + 1)::BIGINT AS size, t,
-             (list_position(x[1:8], list_min(x[1:8])) - 1)::INTEGER AS shard,
-             (list_position(x, list_min(x)) - 1)::INTEGER AS grown_shard FROM d)
-SELECT doc_id, size, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, grown_shard, 'key' AS law, NULL AS text_crc32 FROM p
+WITH byte_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(9), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n::BIGINT)) AS crc),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS t, upper(hex(encode(coalesce(text, '')))) AS h, [{', '.join(draws)}] AS x FROM documents),
+p AS (
+  SELECT doc_id, (length(h) // 2 + 1)::BIGINT AS size,
+         xor(list_reduce(list_transform(range(length(h) // 2), lambda i: (16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT),
+                         lambda a, c: xor(crc[(xor(a, c) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32,
+         (list_position(x[1:8], list_min(x[1:8])) - 1)::INTEGER AS shard,
+         (list_position(x, list_min(x)) - 1)::INTEGER AS grown_shard
+  FROM d, byte_table)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, grown_shard FROM p
 """
 
 
@@ -99,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op4_hash_tree_sharding": _op4_sql(), "op6_exact_dedup": OP6_SQL}
