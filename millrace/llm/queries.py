@@ -87,7 +87,7 @@ def _op4_sql() -> str:
     draws = [f"-ln(((('0x' || substr(md5(doc_id || '|{x.name}'), 1, 12))::BIGINT) + 0.5) / 281474976710656.0)" for x in tree(9)]
     return f"""
 WITH byte_table AS (
-  SELECT list_transform(range(256), lambda n: list_reduce(range(9), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n::BIGINT)) AS crc),
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n::BIGINT)) AS crc),
 d AS (
   SELECT doc_id, coalesce(text, '') AS t, upper(hex(encode(coalesce(text, '')))) AS h, [{', '.join(draws)}] AS x FROM documents),
 p AS (
