@@ -1,0 +1,85 @@
+"""Hash functions: sharding by a large hash, content ids, canonical JSON, cache keys."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+HEX64 = r"^[0-9a-f]{64}\z"
+
+
+def sha1_mod(text: Column, n: int) -> Column:
+    """The 160-bit SHA-1 of the text modulo n, folded digit by digit."""
+    digest = F.sha1(text.cast("binary"))
+    step = lambda acc, i: F.pmod(acc * 16 + F.conv(F.substring(digest, i, F.lit(1)), 16, 10).cast("bigint"), F.lit(n).cast("bigint"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0).cast("bigint"), step)
+
+
+def nul_joined(*parts: Column) -> Column:
+    return F.concat_ws("\0", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def content_id(*parts: Column, prefix: str = "doc-") -> Column:
+    return F.concat(F.lit(prefix), F.substring(F.sha1(nul_joined(*parts).cast("binary")), 1, 16))
+
+
+def canonical(value) -> str:
+    """Sorted keys, no blanks, no NaN."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def fingerprint_form(value) -> str:
+    """Sorted keys with default separators: another form, hence another hash."""
+    return json.dumps(value, sort_keys=True, ensure_ascii=False)
+
+
+def _column(form):
+    @F.pandas_udf("string")
+    def of(text: pd.Series) -> pd.Series:
+        def one(t: str):
+            try:
+                return form(json.loads(t))
+            except (ValueError, TypeError):
+                return None
+
+        return text.map(one, na_action="ignore")
+
+    return of
+
+
+canonical_json = _column(canonical)
+fingerprint_json = _column(fingerprint_form)
+
+
+def digest(text: str | bytes) -> str:
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def file_digest(path: str | Path, block: int = 1 << 20) -> str:
+    h = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(block):
+            h.update(part)
+    return h.hexdigest()
+
+
+def cache_key(path: str | Path, config: dict) -> str:
+    """Depends on content and configuration, not on the path."""
+    return digest(canonical({"data_sha256": file_digest(path), "config": config}))
+
+
+def training_fingerprint(code: bytes, params: dict, length: int = 12) -> str:
+    return digest(code + canonical(params).encode())[:length]
+
+
+def release_id(manifest: dict, decision: dict) -> str:
+    return digest(canonical({"manifest": manifest, "decision": decision}))
+
+
+def is_digest(col: Column) -> Column:
+    return F.coalesce(col.rlike(HEX64), F.lit(False))
