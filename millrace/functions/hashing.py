@@ -9,6 +9,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEX64 = r"^[0-9a-f]{64}\z"
 
@@ -39,7 +40,7 @@ def fingerprint_form(value) -> str:
 
 
 def _column(form):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def of(text: pd.Series) -> pd.Series:
         def one(t: str):
             try:

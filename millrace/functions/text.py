@@ -9,6 +9,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD_RE = r"(?U)(\w+)"
 #: White space as Python sees it: Java's Unicode class and the four information separators.
@@ -26,12 +27,12 @@ PII = {
 IGNORE_CASE = {"birth_date"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold_key(text: pd.Series) -> pd.Series:
     """The leak key: case folded, white space collapsed."""
     return text.map(lambda t: " ".join(t.casefold().split()), na_action="ignore")
@@ -60,11 +61,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD_RE), 1)
 
 
-def shingles(text: Column, size: int = 4) -> Column:
-    """Distinct word n-grams; fewer words make one shingle, none an empty array."""
-    w = words(text)
-    many = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(F.size(w) >= size, F.array_distinct(many)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: the optimizer would copy it to each of its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
+def shingles(w: Column, size: int = 4) -> Column:
+    """Distinct word n-grams of an array of words; fewer words make one shingle, none an empty array."""
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) >= size, F.array_distinct(many)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(w, of)
 
 
 def _flags(name: str) -> str:
@@ -86,12 +95,12 @@ def scrub(text: Column, rules: dict = PII) -> Column:
     return text
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def line_count(text: pd.Series) -> pd.Series:
     return text.fillna("").map(lambda t: len(t.splitlines()))
 
 
-@F.pandas_udf("struct<code:string,fenced:boolean>")
+@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("fenced", T.BooleanType())]))
 def strip_fence(text: pd.Series) -> pd.DataFrame:
     """Without the first line of a fenced text and all closing fence lines; whether it was fenced."""
 
@@ -107,7 +116,7 @@ def strip_fence(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t or "") for t in text], columns=["code", "fenced"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def parses(code: pd.Series) -> pd.Series:
     """Whether Python's own parser accepts the code; depends on the interpreter's version."""
 

@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import casefold_key
 from .gates import Check, same_keys
@@ -15,7 +16,7 @@ from .gates import Check, same_keys
 METRICS = ("n", "correct", "valid", "errors", "accuracy", "format_rate")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strict_answer(raw: pd.Series, choices: pd.Series) -> pd.Series:
     """The answer, if the whole text is one JSON object with the only key `answer`, a string among
     the choices. Python's parser rejects trailing text, which SQL JSON functions let pass."""

@@ -15,12 +15,13 @@ from ..functions import text
 
 def sets(df: DataFrame, key: str, col: str, size: int, compose: bool = True) -> DataFrame:
     """(key, s): hashed shingles, each once."""
-    return df.select(F.col(key).alias("k"), F.array_distinct(F.transform(text.shingles(text.normalize_text(F.col(col), compose), size), lambda x: F.xxhash64(x))).alias("s"))
+    w = df.select(F.col(key).alias("k"), text.normalize_text(F.col(col), compose).alias("t")).select("k", text.words(F.col("t")).alias("w"))
+    return w.select("k", F.array_distinct(F.transform(text.shingles(F.col("w"), size), lambda x: F.xxhash64(x))).alias("s"))
 
 
 def minhash(s, perms: int = 64):
     """The least seeded hash of the set, for each of so many seeds."""
-    return F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda i: F.array_min(F.transform(s, lambda x: F.xxhash64(i, x))))
+    return text.let(s, lambda s: F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda i: F.array_min(F.transform(s, lambda x: F.xxhash64(i, x)))))
 
 
 def _prefix(s: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:

@@ -182,7 +182,7 @@ class FirstFit:
 def first_fit_decreasing(df: DataFrame, capacity: int, shards: int = 1, key: str = "id", length: str = "len") -> DataFrame:
     """(key, len, shard, bin, slot). With one shard the reference placement; with more, rows are dealt by
     hash and packed in parallel, at the cost of one open bin per shard."""
-    def run(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree, slots, out = FirstFit(capacity), {}, []
         for k, n, s in pdf.sort_values(["len", "key"], ascending=[False, True], kind="stable")[["key", "len", "shard"]].itertuples(index=False):
             b = tree.place(int(n))
