@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import unicodedata
 import warnings
 
@@ -136,3 +137,16 @@ def join_input(instruction: Column, given: Column) -> Column:
     """The instruction, with its input under a heading if there is any."""
     has = F.length(collapse(F.coalesce(given, F.lit("")))) > 0
     return F.when(has, F.concat(instruction, F.lit("\n\n"), given)).otherwise(instruction)
+
+
+@F.pandas_udf(T.BooleanType())
+def is_json_object(text: pd.Series) -> pd.Series:
+    """Whether the whole text is one JSON object; SQL's parsers let trailing text pass."""
+
+    def one(t: str) -> bool:
+        try:
+            return isinstance(json.loads(t), dict)
+        except (ValueError, TypeError, RecursionError):
+            return False
+
+    return text.map(one)

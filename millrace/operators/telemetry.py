@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_json_object
+
 OUTCOMES = ("completed", "rejected", "aborted", "expired", "error")
 
 
@@ -194,7 +196,7 @@ def payload_fault(payload: str) -> Column:
         return raw.isNotNull() & ~(F.coalesce(ok, F.lit(False)) & F.coalesce(raw.try_cast("double").between(low, high), F.lit(False)))
 
     return (
-        F.when(parsed.isNull() | ~F.schema_of_variant(parsed).startswith("OBJECT"), "JSON object required")
+        F.when(~is_json_object(v), "JSON object required")
         .when(have.isNull() | (F.size(have) == 0), "nonempty messages required").when(bad, "invalid message").when(size > 8192, "input exceeds 8192 characters")
         .when(number("chunks", 1, 64, True), "invalid chunks").when(number("chunk_delay", 0, 0.6), "invalid chunk_delay").when(number("work_multiplier", 0, 8), "invalid work_multiplier")
         .when(F.length(F.get_json_object(v, "$.request_id")) > 128, "request_id too long")

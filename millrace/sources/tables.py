@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import nul_joined, sha1_mod
+from ..functions.text import is_json_object
 
 
 def with_position(spark: SparkSession, paths: list[str] | str, columns: list[str]) -> DataFrame:
@@ -67,7 +68,7 @@ def load_config(path: str) -> dict:
 def log_events(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """Lines that are JSON objects, with their file and the fields; other lines are passed over."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    parsed = lines.withColumn("_v", F.try_parse_json("value")).where(F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("OBJECT"))
+    parsed = lines.where(F.col("value").contains("{") & is_json_object(F.col("value")))
     return parsed.select("file", F.from_json("value", fields).alias("x")).select("file", "x.*")
 
 
