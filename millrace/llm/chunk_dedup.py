@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, small_batches
+from ._common import Scratch, map_pandas, small_batches
 
 LEAST, MOST = 32, 256
 #: A cut where so many top bits of the gear hash are zero: every 2^5 bytes.
@@ -113,7 +113,7 @@ def chunk_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     scratch = Scratch(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"))
-    found = scratch.table(docs.select("text", "id", "th").mapInPandas(_chunks, "d1 long, d2 long, id long, th long, place long"), "chunks")
+    found = scratch.table(map_pandas(docs.select("text", "id", "th"), _chunks, "d1 long, d2 long, id long, th long, place long"), "chunks")
     firsts = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "place", "th")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "first")
     again = found.join(firsts, ["d1", "d2"])
     stays = (F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place")) & (F.col("th") == F.col("first.th"))
@@ -144,4 +144,4 @@ def chunk_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             yield out
 
     joined = docs.join(by_doc, ["id", "th"], "left").select(F.col(id_col), "text", "shared", "later")
-    return joined.mapInPandas(remove, schema)
+    return map_pandas(joined, remove, schema)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, tasks
+from ._common import Scratch, map_pandas, tasks
 from .components import components
 
 COSINE = 0.98
@@ -162,7 +162,7 @@ def scan(queries: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     data = _grouped_blocks(rooted, "node", "vec", "mult", "root")
     ask = _grouped_blocks(queries.select("node", "kind", "vec"), "node", "vec").select("kind", F.col("node").alias("q"), F.col("vec").alias("qvec"))
     pairs = ask.join(data, "kind").repartition(tasks(nodes.sparkSession))
-    hits = pairs.mapInPandas(_scan, "q long, n long, roots array<long>")
+    hits = map_pandas(pairs, _scan, "q long, n long, roots array<long>")
     return hits.groupBy("q").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
 
 
@@ -178,7 +178,7 @@ def _round(nodes: DataFrame, graph: DataFrame, widths: DataFrame, scratch: Scrat
     live = near.groupBy("hub").agg(F.max("new").alias("any")).where("any").select("hub")
     near = near.join(live, "hub").join(nodes.select("node", "vec"), "node").join(kth, "node", "left")
     near = near.select("hub", "node", F.coalesce("kth", F.lit(-2.0)).alias("kth"), "new", "vec").repartition(tasks(nodes.sparkSession), "hub").sortWithinPartitions("hub")
-    better = _both(near.mapInPandas(_local_join, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")))
+    better = _both(map_pandas(near, _local_join, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")))
     found = graph.select("node", "nbr", "sim", F.lit(1).alias("old")).unionByName(better.withColumn("old", F.lit(0)))
     return scratch.table(_lists(found, widths, base), "graph")
 
@@ -189,14 +189,14 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     scratch = Scratch(spark)
     raw = nodes_of(df, id_col, vec_col, label_col)
-    nodes = scratch.table(raw.mapInPandas(_prepare, "node long, kind string, mult long, vec binary, codes array<long>"), "nodes")
+    nodes = scratch.table(map_pandas(raw, _prepare, "node long, kind string, mult long, vec binary, codes array<long>"), "nodes")
     total = nodes.count()
     bits = min(ORDER_BITS, max(0, round(math.log2(max(1, total / (4 * BUCKET))))))
     placed = nodes.select("node", "kind", "vec", F.posexplode("codes").alias("order", "code")).withColumn("bucket", F.shiftright("code", ORDER_BITS - bits))
     sizes = placed.groupBy("order", "kind", "bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("salts"))
     placed = placed.join(sizes, ["order", "kind", "bucket"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
     placed = placed.repartition(tasks(spark), "order", "kind", "bucket", "salt").sortWithinPartitions("order", "kind", "bucket", "salt", "code", "node")
-    first = _both(placed.select("order", "kind", "bucket", "salt", "node", "vec").mapInPandas(_adjacent, "a long, b long, sim double")).withColumn("old", F.lit(0))
+    first = _both(map_pandas(placed.select("order", "kind", "bucket", "salt", "node", "vec"), _adjacent, "a long, b long, sim double")).withColumn("old", F.lit(0))
 
     base, rounds, measured = LIST, 4, None
     graph = scratch.table(_lists(first, None, base), "graph")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_of, small_batches
+from ._common import crc_of, map_arrow, map_pandas, small_batches
 
 BUCKETS = 1 << 18
 #: Nats that a switch of language costs.
@@ -139,7 +139,7 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
     small_batches(df.sparkSession, 500)
-    got = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, bucket long, n long")
+    got = map_pandas(drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, "lang string, bucket long, n long")
     got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(got["lang"]))
     n = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
@@ -249,7 +249,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
     text = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("_text"))
-    return text.mapInArrow(run, schema)
+    return map_arrow(text, run, schema)
 
 
 def spans_of(w: Words, labels: np.ndarray, n: int, langs: list[str]) -> list[list[dict]]:

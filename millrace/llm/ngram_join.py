@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_BYTES, Scratch, small_batches, tasks
+from ._common import SPACE_BYTES, Scratch, map_pandas, small_batches, tasks
 from .components import components
 from .suffix_dedup import mixed, powers, running
 
@@ -115,17 +115,20 @@ def _count_fragment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf[told]
         held.append(pdf[~told])
     rows = pd.concat(held, ignore_index=True) if held else []
+    held.clear()
     if not len(rows):
         return
     sizes = rows["data"].str.len().to_numpy() // 8
-    entries = np.frombuffer(b"".join(rows["data"]), dtype=np.uint64)
+    entries = np.frombuffer(b"".join(rows.pop("data")), dtype=np.uint64)
     h = entries >> np.uint64(16)
     order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
-    first = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
-    n = np.diff(np.append(first, len(h)))
-    df = np.empty(len(h), dtype=np.uint32)
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    n = np.diff(np.append(first, len(h))).astype(np.uint32)
+    del h
+    df = np.empty(len(entries), dtype=np.uint32)
     df[order] = np.repeat(n, n)
+    del order
     at = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     for i in range(len(rows)):
@@ -134,10 +137,10 @@ def _count_fragment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if keep.any():
             out.append((rows["frag"][i], rows["uid"][i], e[keep].tobytes(), d[keep].tobytes(), None))
         if len(out) >= 200:
-            yield pd.DataFrame(out, columns=rows.columns)
+            yield pd.DataFrame(out, columns=["frag", "uid", "data", "dfs", "meta"])
             out = []
     if out:
-        yield pd.DataFrame(out, columns=rows.columns)
+        yield pd.DataFrame(out, columns=["frag", "uid", "data", "dfs", "meta"])
 
 
 def _batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
@@ -164,9 +167,9 @@ def _batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bytes, np.nda
 
 def _counted(packed: DataFrame, fragments: int, finish: Callable, schema: str) -> DataFrame:
     """Two shuffles: to fragments for counting, back to batches for what the counts mean."""
-    counted = packed.repartitionById(fragments, F.col("frag")).mapInPandas(_count_fragment, ENTRY)
+    counted = map_pandas(packed.repartitionById(fragments, F.col("frag")), _count_fragment, ENTRY)
     back = counted.repartition(tasks(packed.sparkSession), "uid").sortWithinPartitions("uid", "frag")
-    return back.mapInPandas(finish, schema)
+    return map_pandas(back, finish, schema)
 
 
 def _texts(fragments: int) -> Callable:
@@ -303,12 +306,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(tasks(spark), size // 6 // FRAGMENT + 1)
-    packed = docs.mapInPandas(_texts(fragments), ENTRY)
+    packed = map_pandas(docs, _texts(fragments), ENTRY)
     found = scratch.table(_counted(packed, fragments, _possible, "id long, d1 long, d2 long, n long, grams binary"), "found")
 
     sets = found.where(F.col("grams").isNotNull()).select(F.col("d1").alias("node"), "n", "grams").dropDuplicates(["node"])
     sets = scratch.table(sets, "sets")
-    again = _counted(sets.mapInPandas(_sets(fragments), ENTRY), fragments, _prefixes, "node long, n long, r long, parts array<array<long>>, prefix array<long>")
+    again = _counted(map_pandas(sets, _sets(fragments), ENTRY), fragments, _prefixes, "node long, n long, r long, parts array<array<long>>, prefix array<long>")
     again = scratch.table(again, "prefixes")
     links = links_of(again, scratch)
 

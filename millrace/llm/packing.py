@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import small_batches
+from ._common import map_arrow, small_batches
 
 SEQUENCE = 1024
 #: The least exact class; what remains below it is a tail.
@@ -168,4 +168,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         if nums:
             yield flush()
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return map_arrow(rows, run, T.StructType(fields))

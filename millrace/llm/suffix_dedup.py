@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, small_batches, tasks
+from ._common import Scratch, map_pandas, small_batches, tasks
 
 WINDOW, GRAM, DIGIT = 400, 128, 100
 #: Bytes that are hashed at once; longer texts are cut with an overlap, by starts.
@@ -280,7 +280,7 @@ def removal(df: DataFrame, intervals: DataFrame, id_col: str, with_bytes: bool)
             yield out
 
     joined = df.join(intervals, "digest", "left").select(id_col, "text", "starts", "ends")
-    return joined.mapInPandas(run, schema)
+    return map_pandas(joined, run, schema)
 
 
 def gather(stretches: DataFrame) -> DataFrame:
@@ -305,17 +305,17 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heavy_rows = copies.where(F.col("copies") >= max(1000, df.count() * HEAVY_HITS // HEAVY_SAMPLE // 4)).select("digest").collect()  # at most 4 x HEAVY_SAMPLE / HEAVY_HITS
     heavy = F.col("digest").isin([bytes(r[0]) for r in heavy_rows]) if heavy_rows else F.lit(False)
 
-    anchors = scratch.table(docs.select("text").mapInPandas(_anchors, "h long, digest binary, n long"), "digits")
+    anchors = scratch.table(map_pandas(docs.select("text"), _anchors, "h long, digest binary, n long"), "digits")
     counts = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     salts = F.ceil(F.col("n") / GROUP_RUNS).cast("int")
     wanted = anchors.select("h", "digest").join(counts.select("h"), "h").groupBy("digest").agg(F.collect_set("h").alias("hs"))
     one_each = docs.where(heavy).groupBy("digest").agg(F.first("text").alias("text"))
     bodies = docs.where(long_enough & ~heavy).select("digest", "text").unionByName(one_each.select("digest", "text")) if heavy_rows else docs.where(long_enough).select("digest", "text")
-    runs = bodies.join(wanted, "digest").mapInPandas(_runs, "h long, digest binary, start long, data binary")
+    runs = map_pandas(bodies.join(wanted, "digest"), _runs, "h long, digest binary, start long, data binary")
     runs = runs.join(counts.where(salts > 1).select("h", salts.alias("salts")), "h", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     runs = runs.withColumn("salt", F.pmod(F.xxhash64("digest", "start"), F.col("salts")))
     runs = runs.repartition(tasks(spark), "h", "salt").sortWithinPartitions("h", "salt", "digest", "start")
-    found = scratch.table(runs.mapInPandas(_windows, "h long, wh long, digest binary, s long, e long"), "windows")
+    found = scratch.table(map_pandas(runs, _windows, "h long, wh long, digest binary, s long, e long"), "windows")
 
     alone = found.where(F.col("e").isNull())
     again = alone.groupBy("h", "wh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "wh")
