@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Runs of these bytes separate words; the complement makes words.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 WORDS = r"[^\x20\x09-\x0D]+"
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, map_pandas, small_batches
+from ._common import SPANS, Scratch, map_pandas, small_batches
 
 LEAST, MOST = 32, 256
 #: A cut where so many top bits of the gear hash are zero: every 2^5 bytes.
@@ -122,7 +122,7 @@ def chunk_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     longs = ("n_bytes", "n_chunks", "n_shared", "n_removed", "n_spans")
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in longs], T.StructField("kept_sha256", T.StringType())])
     if with_bytes:
-        schema = schema.add("spans", "array<struct<start:int,end:int>>").add("kept", T.BinaryType())
+        schema = schema.add("spans", SPANS).add("kept", T.BinaryType())
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, map_pandas, small_batches, tasks
+from ._common import SPANS, Scratch, map_pandas, small_batches, tasks
 
 WINDOW, GRAM, DIGIT = 400, 128, 100
 #: Bytes that are hashed at once; longer texts are cut with an overlap, by starts.
@@ -260,7 +260,7 @@ def removal(df: DataFrame, intervals: DataFrame, id_col: str, with_bytes: bool)
     """Joins (digest, starts, ends) to the documents and takes the bytes out. df: id, text, digest."""
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
     if with_bytes:
-        schema = schema.add("spans", "array<struct<start:int,end:int>>").add("kept", T.BinaryType())
+        schema = schema.add("spans", SPANS).add("kept", T.BinaryType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
