@@ -63,7 +63,9 @@ def _rate(x: Column, lam: Column) -> Column:
 def multipliers(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int = 40, close: float = 1e-6) -> DataFrame:
     """Newton on the dual, all sources at once: (source, unit, lam). Sizes are measured in `unit`,
     the source's word-weighted mean size, so that the first guess ln(ratio) is near."""
-    total = cells.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).cast("double").alias("unit"))
+    # Sums are exact decimals: doubles would depend on the order of rows, and reruns must agree.
+    whole = (F.col("n") * F.col("size")).cast("decimal(25,0)")
+    total = cells.groupBy("source").agg((F.sum(whole * F.col("size").cast("decimal(12,0)")).cast("double") / F.sum(whole).cast("double")).alias("unit"))
     state = targets.join(total, targets["source"].eqNullSafe(total["source"])).select(
         targets["source"], "source_size", "target", "unit",
         F.ln(F.col("target") / F.col("source_size")).alias("lam"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(False).alias("done"),
@@ -76,8 +78,8 @@ def multipliers(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds:
         )
         r = _rate(F.col("x"), F.col("lam"))
         sums = at.groupBy("source", "source_size", "target", "unit", "lam", "lo", "hi").agg(
-            F.sum(F.col("w") * r).alias("got"),
-            F.sum(F.when(F.col("lam") * F.col("x") < math.log(MOST), F.col("w") * F.col("x") * r).otherwise(0.0)).alias("slope"),
+            F.sum((F.col("w") * r).cast("decimal(28,6)")).cast("double").alias("got"),
+            F.sum(F.when(F.col("lam") * F.col("x") < math.log(MOST), F.col("w") * F.col("x") * r).otherwise(0.0).cast("decimal(28,6)")).cast("double").alias("slope"),
         )
         gap = F.col("got") - F.col("target")
         done = (F.abs(gap) <= close * F.col("target")) | (F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12))
