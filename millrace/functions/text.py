@@ -33,6 +33,15 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: A character that NFKC might change, alone or with its neighbours; the ranges left out it never does.
+UNSAFE = r"[^\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0400-\u045F]"
+
+
+def composed(text: Column) -> Column:
+    """NFKC. Only texts that it could change go to the Python worker; the others cross as nulls."""
+    return F.coalesce(nfkc(F.when(text.rlike(UNSAFE), text)), text)
+
+
 @F.pandas_udf(T.StringType())
 def casefold_key(text: pd.Series) -> pd.Series:
     """The leak key: case folded, white space collapsed."""
@@ -46,7 +55,7 @@ def collapse(text: Column) -> Column:
 def normalize_text(text: Column, compose: bool = True) -> Column:
     """NFKC, en and em dashes to hyphens, white space collapsed and stripped, lower case.
     compose=False skips NFKC (and the Python worker) for text that is known to be composed."""
-    dashes = F.translate(nfkc(text) if compose else text, "\u2014\u2013\u2011\u00a0", "--- ")
+    dashes = F.translate(composed(text) if compose else text, "\u2014\u2013\u2011\u00a0", "--- ")
     return F.lower(collapse(dashes))
 
 

@@ -201,3 +201,28 @@ def payload_fault(payload: str) -> Column:
         .when(number("chunks", 1, 64, True), "invalid chunks").when(number("chunk_delay", 0, 0.6), "invalid chunk_delay").when(number("work_multiplier", 0, 8), "invalid work_multiplier")
         .when(F.length(F.get_json_object(v, "$.request_id")) > 128, "request_id too long")
     )
+
+
+def generate_fault(payload: str, limit: int) -> Column:
+    """Why a generation request is refused, or null: a prompt of 1 to 8192 characters, exactly the
+    agreed token limit, no other fields."""
+    v = F.col(payload)
+    prompt = F.get_json_object(v, "$.prompt")
+    extra = F.size(F.array_except(F.json_object_keys(v), F.array(F.lit("prompt"), F.lit("max_new_tokens")))) > 0
+    return (
+        F.when(~is_json_object(v), "JSON object required").when(F.coalesce(extra, F.lit(False)), "unknown fields")
+        .when(~F.coalesce(F.length(prompt).between(1, 8192), F.lit(False)), "invalid prompt")
+        .when(~F.coalesce(F.get_json_object(v, "$.max_new_tokens") == F.lit(str(limit)), F.lit(False)), "invalid max_new_tokens")
+    )
+
+
+def versions_seen(snaps: DataFrame, col: str, known: list[str]) -> DataFrame:
+    """The states or versions that occur, and those that should not."""
+    seen = F.sort_array(F.collect_set(col))
+    return snaps.agg(seen.alias("seen"), F.array_except(seen, F.array(*[F.lit(k) for k in known])).alias("unknown"))
+
+
+def baseline_kept(pods: DataFrame, expected: list[str]) -> DataFrame:
+    """(wall_time, name, restarts) -> by time: exactly the expected pods, and none restarted."""
+    want = F.array(*[F.lit(p) for p in sorted(expected)])
+    return pods.groupBy("wall_time").agg((F.sort_array(F.collect_set("name")) == want).alias("same_pods"), F.bool_and(F.col("restarts") == 0).alias("no_restarts"))

@@ -211,3 +211,25 @@ def packing_report(placed: DataFrame, capacity: int, batch: int) -> DataFrame:
         F.sum("c").alias("examples"), F.count(F.lit(1)).alias("bins"), F.ceil(F.sum("c") / batch).alias("steps_before"), F.ceil(F.count(F.lit(1)) / batch).alias("steps_after"),
         (F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("fill"), F.max("c").alias("most_in_bin"),
     )
+
+
+def render_question(stem: Column, options: Column) -> Column:
+    """The stem and its options, each on a line behind its letter."""
+    letters = F.array(*[F.lit(chr(65 + i)) for i in range(26)])
+    lines = F.zip_with(F.slice(letters, F.lit(1), F.size(options)), options, lambda k, o: F.concat(k, F.lit(") "), o))
+    return F.concat_ws("\n", stem, F.array_join(lines, "\n"))
+
+
+def epoch_batches(df: DataFrame, key: str, seed: int, epoch: int, size: int, parts: int = 64) -> DataFrame:
+    """Rows with (part, batch): an order drawn by hash of seed, epoch and key. Parts are drawn first, so
+    that no task orders all rows; another order than a generator's shuffle on one machine."""
+    drawn = F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key))
+    d = df.withColumn("part", F.pmod(drawn, F.lit(parts)))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(drawn, key)) - 1
+    return d.withColumn("batch", F.floor(rank / size))
+
+
+def template_faults(df: DataFrame, id_col: str = "id", messages: str = "messages") -> DataFrame:
+    """Examples whose text for inference is not the beginning of their text for training."""
+    m = F.col(messages)
+    return df.where(~F.startswith(render(m), render(prompt_of(m), True))).select(id_col)

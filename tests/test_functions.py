@@ -28,6 +28,14 @@ def test_normalize_text(spark):
     assert column(spark, samples, text.normalize_text) == [plain(t) for t in samples]
 
 
+def test_unsafe_covers_what_nfkc_changes():
+    import re
+
+    safe = [chr(c) for c in range(0x500) if not re.match(text.UNSAFE, chr(c))]
+    assert len(safe) > 300 and all(unicodedata.normalize("NFKC", c) == c for c in safe)
+    assert not any(unicodedata.combining(c) for c in safe)
+
+
 def test_casefold_differs_from_lower(spark):
     assert column(spark, ["Straße  X"], text.casefold_key) == ["strasse x"]
 

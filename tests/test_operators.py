@@ -304,3 +304,46 @@ def test_run_selection(spark):
     checks = {c.name: c.passed for c in evaluation.selection_gate("FINISHED", runs, {"a", "b", "c"}, {"k": "v"})}
     assert checks == {"parent": True, "candidates": True, "provenance": True, "finished": False, "one_base": True}
     assert evaluation.loss_gate("FINISHED", 0.5, 1.0, 0.6).passed and not evaluation.loss_gate("FINISHED", float("nan"), 1.0, 0.6).passed
+
+
+def test_questions_epochs_templates(spark):
+    df = spark.createDataFrame([(i, "Q", ["x", "y"]) for i in range(100)], "id long, stem string, o array<string>")
+    assert df.select(tokens.render_question(F.col("stem"), F.col("o"))).first()[0] == "Q\nA) x\nB) y"
+    a, b = (tokens.epoch_batches(df, "id", 1, e, 8, 4) for e in (0, 1))
+    assert a.count() == 100 and a.groupBy("part", "batch").count().agg(F.max("count")).first()[0] <= 8
+    assert a.select("id", "part").exceptAll(b.select("id", "part")).count() > 0
+    chat = spark.createDataFrame([("1", [("user", "u"), ("assistant", "a")]), ("2", [("user", "u"), ("tool", "a")])], "id string, messages array<struct<role:string,content:string>>")
+    assert [r[0] for r in tokens.template_faults(chat).collect()] == ["2"]
+
+
+def test_generate_requests(spark):
+    cases = {'{"prompt":"x","max_new_tokens":32}': None, '{"prompt":"","max_new_tokens":32}': "invalid prompt", '{"prompt":"x","max_new_tokens":33}': "invalid max_new_tokens", '{"prompt":"x","max_new_tokens":32,"t":1}': "unknown fields", "x": "JSON object required"}
+    df = spark.createDataFrame([(k,) for k in cases], "b string")
+    assert [r[0] for r in df.select(telemetry.generate_fault("b", 32)).collect()] == list(cases.values())
+
+
+def test_snapshots(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text("\n".join(json.dumps({"wall_time": t, "pods": {"items": [{"name": p, "restarts": 0, "ready": True} for p in pods]}, "endpoints": {"items": [{"service": "api", "addresses": [{"pod": "a", "ready": t > 1}]}]}}) for t, pods in ((1, "ab"), (2, "a"))))
+    s = tables.snapshots(spark, str(tmp_path / "s.jsonl"))
+    assert [r["ready"] for r in tables.endpoint_ready(s, "api").orderBy("wall_time").collect()] == [False, True]
+    kept = telemetry.baseline_kept(tables.pods_of(s), ["a", "b"]).orderBy("wall_time").collect()
+    assert [(r["same_pods"], r["no_restarts"]) for r in kept] == [(True, True), (False, True)]
+
+
+def test_series(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text(json.dumps({"metric": {"pod": "a", "le": "0.5", "__name__": "x"}, "values": [["1", "2"], ["3", "4"]], "value": ["9", "7"]}))
+    assert [tuple(r) for r in tables.series(spark, str(tmp_path / "m.jsonl")).collect()] == [("a", 1.0, 2.0), ("a", 3.0, 4.0)]
+    r = tables.instant(spark, str(tmp_path / "m.jsonl"), "x").first()
+    assert (r["le"], r["value"]) == (0.5, 7.0)
+
+
+def test_collect_stage(spark):
+    rows = [("f", 0, "Write  license", "", "x = 1"), ("f", 1, "Write license", None, "x = 1"), ("f", 2, "copyright", "in", "```python\ny = 2\n```"), ("f", 3, "copyright", "", "y = = 2"), ("g", 0, "", "", "z"), ("g", 1, "plain", "", "z = 1"), ("g", 2, "copyright", "", "q = 1")]
+    df = spark.createDataFrame(rows, "file string, row long, instruction string, input string, output string")
+    got = {(r["file"], r["row"]): r["fate"] for r in curate.collect(df, curate.EXAMPLE_RULES, 2).collect()}
+    assert got == {("f", 0): "kept", ("f", 1): "duplicate", ("f", 2): "kept", ("f", 3): "syntax", ("g", 0): "short", ("g", 1): "untagged", ("g", 2): "over_cap"}
+
+
+def test_exact_sample(spark):
+    df = spark.range(50).withColumnRenamed("id", "k")
+    assert [r["k"] for r in curate.sample_exact(df, 7, 3, ["k"]).collect()] == sorted(random.Random(3).sample(range(50), 7))
