@@ -57,10 +57,13 @@ def capped(df: DataFrame, key: str, topic: str, order: str, cap: int) -> DataFra
     tagged = df.where(F.col(topic).isNotNull())
     first = tagged.groupBy(key).agg(F.min(order).alias("_o")).select("_o")
     marked = tagged.join(first, tagged[order] == first["_o"], "left").withColumn("_first", F.col("_o").isNotNull().cast("int")).drop("_o")
-    before = Window.partitionBy(topic).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = marked.withColumn("_before", F.coalesce(F.sum("_first").over(before), F.lit(0)))
-    fate = F.when(F.col("_before") >= cap, "over_cap").when(F.col("_first") == 1, "kept").otherwise("duplicate")
-    done = counted.withColumn("fate", fate).drop("_first", "_before")
+    # A topic is full after its cap-th first row: ranks up to the cap are limited before the shuffle.
+    top = marked.where("_first = 1").select(topic, F.col(order).alias("_o")).withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy("_o"))).where(F.col("_r") <= cap)
+    full = top.groupBy(F.col(topic).alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.max("_o").alias("_last")).where(F.col("_n") == cap).select("_t", "_last")
+    counted = marked.join(full, marked[topic] == full["_t"], "left")
+    over = F.col("_last").isNotNull() & (F.col(order) > F.col("_last"))
+    fate = F.when(over, "over_cap").when(F.col("_first") == 1, "kept").otherwise("duplicate")
+    done = counted.withColumn("fate", fate).drop("_first", "_t", "_last")
     return done.unionByName(df.where(F.col(topic).isNull()).withColumn("fate", F.lit("untagged")))
 
 
