@@ -21,23 +21,26 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or in tests one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
         path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.sparkContext.setCheckpointDir(path)
+        sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs no recomputation
-    beyond its own tasks and iterative plans stay short."""
+    beyond its own tasks and iterative plans stay short. Results are lazy and may read them: they
+    stay until `clear`, which the caller runs when results have been written."""
+
+    roots: list[str] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.roots.append(self.root)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -47,12 +50,22 @@ class Scratch:
         out._millrace_path = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Remove a table whose readers have all been written themselves."""
-        path = getattr(df, "_millrace_path", None)
-        if path:
-            jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    def drop(self, *dfs: DataFrame) -> None:
+        """Remove tables whose readers have all been written themselves."""
+        for df in dfs:
+            if path := getattr(df, "_millrace_path", None):
+                _delete(self.spark, path)
+
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        """Remove all intermediate tables of this process."""
+        while cls.roots:
+            _delete(spark, cls.roots.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

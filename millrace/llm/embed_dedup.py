@@ -207,7 +207,7 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             full = graph.groupBy("node").agg(F.count_if(F.col("sim") >= COSINE).alias("c")).where(F.col("c") >= base)
             widths = scratch.table(full.select("node", F.least(F.pow(F.lit(2.0), F.floor(F.log2(F.col("c").cast("double"))) + 1), F.lit(float(LONGEST))).cast("int").alias("width")), "widths")
             new = _round(nodes, graph, widths, scratch, base)
-            scratch.drop(graph)
+            scratch.drop(graph, widths)
             graph = new
             now = graph.where(F.col("sim") >= COSINE).count()
             if now == links:

@@ -295,7 +295,9 @@ def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
     cond = (F.col("tx") != F.col("ty")) & ((F.col("ty") == F.col("main")) | (F.col("x") < F.col("y"))) & enough(most_overlap(), F.col("nx"), F.col("ny"))
     left, right = aside.alias("p"), every.alias("q")
     cross = left.join(right, (F.col("p.h") == F.col("q.h")) & cond).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return first.unionByName(linked(scratch.table(overlaps(cross, parts), "across")))
+    across = scratch.table(overlaps(cross, parts), "across")
+    scratch.drop(buckets, fullest, rooted)
+    return first.unionByName(linked(across))
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,6 +315,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = scratch.table(sets, "sets")
     again = _counted(map_pandas(sets, _sets(fragments), ENTRY), fragments, _prefixes, "node long, n long, r long, parts array<array<long>>, prefix array<long>")
     again = scratch.table(again, "prefixes")
+    scratch.drop(sets)
     links = links_of(again, scratch)
 
     # Texts by their least id; ids that stand at several texts join them.
