@@ -114,9 +114,10 @@ def chunk_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col), text.alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"))
     found = scratch.table(map_pandas(docs.select("text", "id", "th"), _chunks, "d1 long, d2 long, id long, th long, place long"), "chunks")
-    firsts = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "place", "th")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "first")
-    again = found.join(firsts, ["d1", "d2"])
-    stays = (F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place")) & (F.col("th") == F.col("first.th"))
+    # The first occurrence by id and place; texts that share an id and a chunk's place both keep it.
+    firsts = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = found.join(firsts.select("d1", "d2", F.col("first.id").alias("id1"), F.col("first.place").alias("place1")), ["d1", "d2"])
+    stays = (F.col("id") == F.col("id1")) & (F.col("place") == F.col("place1"))
     by_doc = again.groupBy("id", "th").agg(F.collect_set("place").alias("shared"), F.collect_set(F.when(~stays, F.col("place"))).alias("later"))
 
     longs = ("n_bytes", "n_chunks", "n_shared", "n_removed", "n_spans")
