@@ -8,8 +8,8 @@ and doubles, up to LONGEST. Beyond that lists say too little: all nodes of a com
 LARGE nodes are compared with all nodes of their label in blocks, which gives their link counts
 exactly and without a row per link.
 
-The graph is audited: every vector whose id is divisible by AUDIT is compared with all of its label
-in blocks; below the recall wanted, lists and rounds are doubled. Links are the graph's pairs with
+The graph is audited: every row whose id is divisible by AUDIT is compared with all of its label in
+blocks; below the recall wanted, lists and rounds are doubled. Links are the graph's pairs with
 the cosine, computed in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those
@@ -41,11 +41,11 @@ AUDIT = 50
 
 
 def nodes_of(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(node, kind, mult, vec): distinct valid vectors by their least id. kind: label and length."""
+    """(label, v, node, mult, ask): distinct valid vectors by their least id; whether the audit asks for one of its rows."""
     v = F.col("v")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(sound).groupBy("label", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("mult"))
+    return rows.where(sound).groupBy("label", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("mult"), F.bool_or(F.pmod("id", F.lit(AUDIT)) == 0).alias("ask"))
 
 
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +65,7 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codes.append((bits @ (1 << np.arange(ORDER_BITS - 1, -1, -1))).tolist())
             vecs.append(a.tobytes())
         kind = pdf["label"] + "/" + pdf["v"].str.len().astype(str)
-        yield pd.DataFrame({"node": pdf["node"], "kind": kind, "mult": pdf["mult"], "vec": vecs, "codes": codes})
+        yield pd.DataFrame({"node": pdf["node"], "kind": kind, "mult": pdf["mult"], "ask": pdf["ask"], "vec": vecs, "codes": codes})
 
 
 def _adjacent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,7 +189,7 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     scratch = Scratch(spark)
     raw = nodes_of(df, id_col, vec_col, label_col)
-    nodes = scratch.table(map_pandas(raw, _prepare, "node long, kind string, mult long, vec binary, codes array<long>"), "nodes")
+    nodes = scratch.table(map_pandas(raw, _prepare, "node long, kind string, mult long, ask boolean, vec binary, codes array<long>"), "nodes")
     total = nodes.count()
     bits = min(ORDER_BITS, max(0, round(math.log2(max(1, total / (4 * BUCKET))))))
     placed = nodes.select("node", "kind", "vec", F.posexplode("codes").alias("order", "code")).withColumn("bucket", F.shiftright("code", ORDER_BITS - bits))
@@ -222,7 +222,7 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         exact = scratch.table(scan(nodes.join(saturated, "node"), nodes, roots), "exact")
         by_node = counts.select(F.col("u").alias("node"), "n").join(exact.select(F.col("q").alias("node"), F.col("n").alias("m")), "node", "left").select("node", F.coalesce("m", "n").alias("n"))
         by_node = scratch.table(by_node, "counts")
-        asked = nodes.where(F.pmod("node", F.lit(AUDIT)) == 0)
+        asked = nodes.where("ask")
         truth = scan(asked, nodes, none).select(F.col("q").alias("node"), F.col("n").alias("t"))
         t, got = truth.join(by_node, "node", "left").agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.least("t", F.coalesce("n", F.lit(0)))), F.lit(0))).first()
         measured = got / t if t else 1.0
