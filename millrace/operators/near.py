@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import Scratch
 
 
 def sets(df: DataFrame, key: str, col: str, size: int, compose: bool = True) -> DataFrame:
@@ -41,7 +42,7 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: floa
 
 def pairs_within(df: DataFrame, key: str, col: str, size: int = 4, threshold: float = 0.85, compose: bool = True) -> DataFrame:
     """(a, b, jaccard), a < b. Wordless texts have no shingles and are left out here."""
-    s = sets(df, key, col, size, compose)
+    s = Scratch(df.sparkSession).table(sets(df, key, col, size, compose), "sets")  # read four times below
     df_ = s.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     p = _prefix(s, df_, threshold)
     l, r = p.select("x", F.col("k").alias("a"), F.col("n").alias("na")), p.select("x", F.col("k").alias("b"), F.col("n").alias("nb"))
@@ -51,7 +52,8 @@ def pairs_within(df: DataFrame, key: str, col: str, size: int = 4, threshold: fl
 
 def pairs_across(left: DataFrame, right: DataFrame, key_l: str, key_r: str, col_l: str, col_r: str, size: int = 4, threshold: float = 0.85, compose: bool = True) -> DataFrame:
     """(a, b, jaccard) between two tables."""
-    sl, sr = sets(left, key_l, col_l, size, compose), sets(right, key_r, col_r, size, compose)
+    scratch = Scratch(left.sparkSession)
+    sl, sr = scratch.table(sets(left, key_l, col_l, size, compose), "left"), scratch.table(sets(right, key_r, col_r, size, compose), "right")
     both = sl.select(F.explode("s").alias("x")).unionByName(sr.select(F.explode("s").alias("x")))
     df_ = both.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     l = _prefix(sl, df_, threshold).select("x", F.col("k").alias("a"), F.col("n").alias("na"))
@@ -72,17 +74,19 @@ def containment(left: DataFrame, right: DataFrame, key_l: str, key_r: str, col_l
 def greedy(df: DataFrame, pairs: DataFrame, key: str, rounds: int = 1000) -> DataFrame:
     """Rows that a scan in order of key would keep: a row goes if an earlier kept row is its near copy.
     Rounds: undecided rows without undecided earlier neighbours stay, their later neighbours go. The
-    link table is checkpointed each round; a round decides the head of every chain."""
-    links = pairs.select("a", "b").checkpoint()
+    link table is written each round; a round decides the head of every chain."""
+    scratch = Scratch(df.sparkSession)
+    links = scratch.table(pairs.select("a", "b"))
     dropped = None
     for _ in range(rounds):
         if not links.head(1):
             break
         heads = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = links.join(heads, "a").select(F.col("b").alias("k")).distinct().checkpoint()
-        dropped = gone if dropped is None else dropped.unionByName(gone).checkpoint()
+        gone = links.join(heads, "a").select(F.col("b").alias("k")).distinct()
+        gone = scratch.table(gone)
+        dropped = gone if dropped is None else dropped.unionByName(gone)
         links = links.join(gone.select(F.col("k").alias("a")), "a", "left_anti").join(gone.select(F.col("k").alias("b")), "b", "left_anti")
-        links = links.join(heads, "a", "left_anti").checkpoint()
+        links = scratch.table(links.join(heads, "a", "left_anti"))
     return df if dropped is None else df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
 
 

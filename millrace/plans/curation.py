@@ -125,15 +125,8 @@ def near_dup_pairs_jaccard(t: Tables) -> DataFrame:
 
 @query()
 def near_dup_greedy_kept(t: Tables) -> DataFrame:
-    t.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() or t.spark.sparkContext.setCheckpointDir(_scratch(t.spark))
     reps = curate.exact_first(t.documents.select("doc_id", "text"), text.normalize_text(F.col("text")), ["doc_id"])
-    return near.greedy(reps, near.pairs_within(reps, "doc_id", "text", threshold=NEAR), "doc_id").select("doc_id")
-
-
-def _scratch(spark) -> str:
-    import tempfile
-
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    return near.greedy(reps.select("doc_id"), near.pairs_within(reps, "doc_id", "text", threshold=NEAR), "doc_id").select("doc_id")
 
 
 @query(f"""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import anatomy, telemetry
+from ..scratch import shared_dir
 from ..streaming import windows
 from .registry import Tables, query
 
@@ -186,8 +185,7 @@ def stream_window_counts(t: Tables) -> DataFrame:
 
     name = f"w{uuid.uuid4().hex}"
     counts = windows.window_counts(_stream(t), "ts", "1 day", ["event_type"])
-    folder = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-    out = windows.drain(counts, name, "update", f"{folder}/{name}")
+    out = windows.drain(counts, name, "update", f"{shared_dir(t.spark)}/{name}")
     return out.groupBy("start", "event_type").agg(F.max("n").alias("n")).select(F.unix_seconds("start").alias("start"), "event_type", "n")
 
 
