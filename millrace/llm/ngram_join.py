@@ -277,7 +277,7 @@ def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
     stars = fullest.select("node", "n", "r", F.posexplode("leaders").alias("i", "x")).withColumn("l", F.col("x.node"))
     stars = stars.where((F.col("l") != F.col("node")) & ((F.col("i") == 0) | enough(F.least("r", "x.r"), F.col("n"), F.col("x.n"))))
     stars = stars.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
-    counted = scratch.table(overlaps(stars, parts), "stars")
+    counted = scratch.table(overlaps(stars, parts), "stars", large=True)
     first = linked(counted)
 
     roots = components(first, scratch)
@@ -295,7 +295,7 @@ def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
     cond = (F.col("tx") != F.col("ty")) & ((F.col("ty") == F.col("main")) | (F.col("x") < F.col("y"))) & enough(most_overlap(), F.col("nx"), F.col("ny"))
     left, right = aside.alias("p"), every.alias("q")
     cross = left.join(right, (F.col("p.h") == F.col("q.h")) & cond).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = scratch.table(overlaps(cross, parts), "across")
+    across = scratch.table(overlaps(cross, parts), "across", large=True)
     scratch.drop(buckets, fullest, rooted)
     return first.unionByName(linked(across))
 
@@ -309,12 +309,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(tasks(spark), size // 6 // FRAGMENT + 1)
     packed = map_pandas(docs, _texts(fragments), ENTRY)
-    found = scratch.table(_counted(packed, fragments, _possible, "id long, d1 long, d2 long, n long, grams binary"), "found")
+    found = scratch.table(_counted(packed, fragments, _possible, "id long, d1 long, d2 long, n long, grams binary"), "found", large=True)
 
     sets = found.where(F.col("grams").isNotNull()).select(F.col("d1").alias("node"), "n", "grams").dropDuplicates(["node"])
-    sets = scratch.table(sets, "sets")
+    sets = scratch.table(sets, "sets", large=True)
     again = _counted(map_pandas(sets, _sets(fragments), ENTRY), fragments, _prefixes, "node long, n long, r long, parts array<array<long>>, prefix array<long>")
-    again = scratch.table(again, "prefixes")
+    again = scratch.table(again, "prefixes", large=True)
     scratch.drop(sets)
     links = links_of(again, scratch)
 
