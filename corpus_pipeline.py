@@ -20,19 +20,24 @@ from millrace.llm.packing import pack
 LEAST_SHARE = 0.5
 
 
+def _rows(docs: DataFrame, *beside: str) -> DataFrame:
+    """Whole rows as one struct beside the columns that a stage reads: no name can clash with its results."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *beside)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without a language that has half of them, go."""
-    found = identify(docs, carry=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    found = identify(_rows(docs, "doc_id", "text", "lang"), carry=["_row", "doc_id"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    return exact_dedup(docs).where("kept").select(docs.columns)
+    return exact_dedup(_rows(docs, "doc_id", "text")).where("kept").select("_row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id stays."""
+    """Of each group of near copies the smallest id stays; so do rows without an id."""
     groups = ngram_join(docs)
     gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
