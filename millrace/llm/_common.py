@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,66 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import Scratch, shared_dir  # noqa: F401  the operators take them from here
+
 #: Runs of these bytes separate words; the complement makes words.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests one of our own."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation
-    beyond its own tasks and iterative plans stay short. Results are lazy and may read them: they
-    stay until `clear`, which the caller runs when results have been written."""
-
-    roots: list[str] = []
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-        self.n = 0
-        Scratch.roots.append(self.root)
-
-    def table(self, df: DataFrame, name: str = "t", large: bool = False) -> DataFrame:
-        """The rows, written and read again. Spark removes the shuffle files behind a written table when
-        the driver's collector finds its stages unreachable; after a large one it is asked to look, so
-        that files of finished stages don't add up."""
-        self.n += 1
-        path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
-        if large:
-            self.spark._jvm.System.gc()
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._millrace_path = path
-        return out
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Remove tables whose readers have all been written themselves."""
-        for df in dfs:
-            if path := getattr(df, "_millrace_path", None):
-                _delete(self.spark, path)
-
-    @classmethod
-    def clear(cls, spark: SparkSession) -> None:
-        """Remove all intermediate tables of this process."""
-        while cls.roots:
-            _delete(spark, cls.roots.pop())
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts cross to Python in batches of so many rows: a bound on a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
