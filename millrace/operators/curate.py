@@ -43,8 +43,13 @@ def length_band(df: DataFrame, col: str, low: int, high: int) -> DataFrame:
     return df.where(F.char_length(F.coalesce(F.col(col), F.lit(""))).between(low, high))
 
 
-def exact_first(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """Of equal keys the first row in order. Keys are compared by digest; what is sorted is its group."""
+def exact_first(df: DataFrame, key: Column, order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Of equal keys, compared by digest, the first row in order. If a few small columns are enough they
+    travel with the order in one aggregation; whole rows are joined to the winners."""
+    if columns is not None:
+        digest = F.sha2(F.coalesce(key, F.lit("")).cast("binary"), 256)
+        named = list(dict.fromkeys([*order, *columns]))
+        return df.groupBy(digest.alias("_k")).agg(F.min(F.struct(*named)).alias("_m")).select(*[F.col(f"_m.{c}").alias(c) for c in columns])
     first = df.withColumn("_k", F.sha2(F.coalesce(key, F.lit("")).cast("binary"), 256))
     least = first.groupBy("_k").agg(F.min(F.struct(*order)).alias("_m"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m.{c}")) for c in order])

@@ -36,7 +36,7 @@ def curation_funnel_by_lang(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "lang", "text")
     band = curate.length_band(docs, "text", *BAND)
     key = text.normalize_text(text.scrub(F.col("text")))
-    kept = curate.exact_first(band, key, ["doc_id"]).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    kept = curate.exact_first(band, key, ["doc_id"], ["lang"]).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
     size = F.char_length("text").between(*BAND)
     seen = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(size).alias("in_band"))
     return seen.join(kept, "lang", "left").select("lang", "scanned", "in_band", F.coalesce("kept", F.lit(0)).alias("kept"))
@@ -44,7 +44,7 @@ def curation_funnel_by_lang(t: Tables) -> DataFrame:
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {NORM}")
 def exact_dedup_kept(t: Tables) -> DataFrame:
-    return curate.exact_first(t.documents.select("doc_id", "text"), text.normalize_text(F.col("text")), ["doc_id"]).select("doc_id")
+    return curate.exact_first(t.documents.select("doc_id", "text"), text.normalize_text(F.col("text")), ["doc_id"], ["doc_id"])
 
 
 @query(f"SELECT lang, round((count(*) - count(DISTINCT {NORM})) / count(*), 6) AS duplicate_share FROM documents GROUP BY lang")
