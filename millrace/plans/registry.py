@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import load
+from ..session import load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables of texts, whose rows are much work each.
+TEXTS = {"documents", "pages"}
 
 
 class Tables:
@@ -19,7 +21,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+        df = load(self.spark, self.sf_dir, name)
+        return spread(df) if name in TEXTS else df
 
 
 def query(sql: str | None = None):

@@ -32,3 +32,10 @@ def build(app: str = "millrace", cpus: int | None = None, **conf: str) -> SparkS
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables, by Spark's reader alone (any Hadoop path works)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer splits than there are cores, dealt over the cores: work on text
+    is worth more than one pass of a small file's rows. Any larger table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
