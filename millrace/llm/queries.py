@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..session import load, spread
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(load(spark, sf_dir, "documents"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed_dedup import near_dedup
 
-    return near_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_dedup(load(spark, sf_dir, "embeddings"))
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
