@@ -90,8 +90,8 @@ class Model:
                 back[i] += d @ p["M"][c].T
         return out, back
 
-    def window(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], float]:
-        """One window of truncated backpropagation. x: time x lanes; fresh: a document starts here."""
+    def window(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray], float]:
+        """One window of truncated backpropagation. x: time x lanes; fresh: a document starts here; real: not padding."""
         p, w = self.p, self.shape.width
         steps, lanes = x.shape
         emb = p["E"][x.ravel()]
@@ -104,7 +104,9 @@ class Model:
             h, zr, n, ghn = self.cell(gx[t], h)
             saved.append((zr, n, ghn))
         grads: dict[str, np.ndarray] = {}
-        logp, back = self.output(states.reshape(-1, w), x.ravel(), grads)
+        use = slice(None) if real is None else np.flatnonzero(real.ravel())
+        back = np.zeros((steps * lanes, w), np.float32)
+        logp, back[use] = self.output(states.reshape(-1, w)[use], x.ravel()[use], grads)
         back = back.reshape(steps, lanes, w)
         dgx = np.zeros_like(gx)
         dgh = np.zeros_like(gx)
@@ -122,15 +124,20 @@ class Model:
         grads["U"] = states.reshape(-1, w).T @ dgh.reshape(-1, 3 * w)
         grads["W"], grads["b"] = emb.T @ flat, flat.sum(axis=0)
         grads["E"] = np.zeros_like(p["E"])
-        np.add.at(grads["E"], x.ravel(), flat @ p["W"].T)
+        order = np.argsort(x.ravel(), kind="stable")
+        ids = x.ravel()[order]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        grads["E"][ids[starts]] = np.add.reduceat((flat @ p["W"].T)[order], starts)
         return h, grads, float(logp.sum())
 
-    def train(self, docs: list[np.ndarray], epochs: int = 3, lanes: int = 64, steps: int = 32, rate: float = 4e-3, seed: int = 0) -> list[float]:
-        """Mean log probability per token of each epoch. docs end with END."""
+    def train(self, docs: list[np.ndarray], epochs: int = 3, lanes: int = 64, steps: int = 32, rate: float = 4e-3, seed: int = 0, kept: dict | None = None) -> list[float]:
+        """Mean log probability per token of each epoch. docs end with END. Every token is trained on.
+        kept: the optimiser's state from call to call; the rate stays, without it it falls to the end."""
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        done, curve = 0, []
+        state = {} if kept is None else kept
+        if not state:
+            state.update(done=0, m={k: np.zeros_like(v) for k, v in self.p.items()}, v={k: np.zeros_like(x) for k, x in self.p.items()})
+        m, v, curve = state["m"], state["v"], []
         docs = [d for d in docs if len(d)]
         if not docs:
             return curve
@@ -140,28 +147,37 @@ class Model:
             stream = np.concatenate([docs[i] for i in order])
             fresh = np.zeros(len(stream), bool)
             fresh[np.concatenate([[0], np.cumsum([len(docs[i]) for i in order])[:-1]])] = True
-            per = max(1, len(stream) // lanes)
             b = min(lanes, len(stream))
-            x = stream[: b * per].reshape(b, per).T
-            f = fresh[: b * per].reshape(b, per).T.copy()
+            per = -(-len(stream) // b)
+            pad = b * per - len(stream)
+            x = np.pad(stream, (0, pad), constant_values=END).reshape(b, per).T
+            f = np.pad(fresh, (0, pad)).reshape(b, per).T.copy()
+            real = np.pad(np.ones(len(stream), bool), (0, pad)).reshape(b, per).T
             f[0] = True
             h = np.zeros((b, self.shape.width), np.float32)
             total = 0.0
             for at in range(0, per, steps):
-                h, grads, logp = self.window(x[at : at + steps], f[at : at + steps], h)
+                n = int(real[at : at + steps].sum())
+                h, grads, logp = self.window(x[at : at + steps], f[at : at + steps], h, real[at : at + steps] if pad else None)
                 total += logp
-                done += 1
+                state["done"] += 1
+                done = state["done"]
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                n = x[at : at + steps].size
                 clip = min(1.0, 2.0 * n / max(norm, 1e-9)) / n
-                now = rate * max(0.05, 1 - done / windows)
+                now = rate * (max(0.05, 1 - done / windows) if kept is None else 1)
                 for k, g in grads.items():
-                    g = g * np.float32(clip)
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] += np.float32(now) * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.99**done)) + np.float32(1e-8))
-                    self.p[k] = self.p[k].astype(np.float32)
-            curve.append(total / x.size)
+                    g *= np.float32(clip)
+                    m[k] *= np.float32(0.9)
+                    m[k] += np.float32(0.1) * g
+                    v[k] *= np.float32(0.99)
+                    g *= g
+                    v[k] += np.float32(0.01) * g
+                    step = np.sqrt(v[k] * np.float32(1 / (1 - 0.99**done)))
+                    step += np.float32(1e-8)
+                    np.divide(m[k], step, out=step)
+                    step *= np.float32(now / (1 - 0.9**done))
+                    self.p[k] += step
+            curve.append(total / len(stream))
         return curve
 
     def score(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 48) -> np.ndarray:

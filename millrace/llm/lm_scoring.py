@@ -2,9 +2,11 @@
 
 Counts of every word over all training documents are gathered by a distributed count (a row per
 task and word). The most frequent words and two marks (end of text, other word) are the vocabulary
-of a gated recurrent model (`gru`), whose output biases start from those counts; its weights are
-fitted on a bounded sample of training documents, at most about `fit_docs` whole ones (documented
-parameter). Scoring carries the state through each whole document. A word outside the vocabulary
+of a gated recurrent model (`gru`), whose output biases start from those counts and whose vocabulary
+grows with the square root of the words read, up to FREQUENT. Its weights are fitted on all training
+documents: the driver's few epochs over about `fit_docs` of them give all tasks the same start, then
+in ROUNDS rounds every task trains on its own rows of the round, each training document falls into
+one round, and the tasks' parameters are averaged by their tokens, slice by slice. Scoring carries the state through each whole document. A word outside the vocabulary
 has the probability of the mark "other" times its smoothed share of all other words' counts, so the
 counts of the whole corpus decide every rare word.
 
@@ -35,6 +37,10 @@ from .gru import END, OTHER, Model, Shape
 FREQUENT = 65_536
 #: Tokens that go through the lanes together, about.
 TOGETHER = 600_000
+#: Passes over shares of the training documents that make up the whole, and the rate of the first.
+ROUNDS, RATE = 4, 4e-3
+#: Parameters that travel as one row.
+SLICE = 65_536
 #: Different words after which a task passes on its counts.
 HELD = 1_000_000
 
@@ -71,9 +77,15 @@ def ids_of(ranks: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.append(ids, END).astype(np.int32)
 
 
+def shape_for(tokens: int) -> Shape:
+    """A vocabulary of the square root of the words read, from the least shape to what the list holds."""
+    side = math.isqrt(max(Shape().vocabulary, min(FREQUENT, math.isqrt(tokens))))
+    return Shape(side, side)
+
+
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 1500, epochs: int = 3, shape: Shape | None = None) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, shape = df.sparkSession, shape or Shape()
+    spark = df.sparkSession
     small_batches(spark, 500)
     scratch = Scratch(spark)
     docs = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_col).alias("held_out"))
@@ -83,6 +95,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     n_docs = train.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = total["n"] + n_docs, total["v"] + (n_docs > 0)
+    shape = shape or shape_for(n_all)
     # Words of at least `least` occurrences are the frequent ones: as many as fit the list, ties all in or
     # all out. Counts of counts are few (their sum bounds them), so no task sorts or sends a share of the words.
     falling = Window.orderBy(F.desc("n"))
@@ -96,18 +109,22 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     v_other = total["v"] - min(inside, len(top))
 
     model = Model.start(shape, np.concatenate([[n_docs, n_other + 1], top_counts[:inside]]))
-    share = F.lit(int(min(1.0, fit_docs / max(1, n_docs)) * 1_000_000))
-    sample = train.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1_000_000)) < share).select("text")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    share = min(2**63 - 1, -(2**63) + 2**64 * fit_docs // max(1, n_docs))
+    sample = train.where(F.xxhash64(key) <= F.lit(share)).select("text")
     shared = spark.sparkContext.broadcast((rank, np.log10(top_counts + 1)))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = shared.value[0].get
         for pdf in batches:
             ids = [ids_of(np.array([get(w, -1) for w in words(t)], dtype=np.int64), shape.vocabulary) for t in pdf["text"]]
-            yield pd.DataFrame({"ids": [x.astype(np.int16).tobytes() for x in ids]})
+            yield pd.DataFrame({"ids": [x.tobytes() for x in ids]})
 
     drawn = sorted(bytes(r[0]) for r in map_pandas(sample, encode, "ids binary").collect())
-    model.train([np.frombuffer(x, np.int16).astype(np.int64) for x in drawn], epochs)
+    model.train([np.frombuffer(x, np.int32).astype(np.int64) for x in drawn], epochs)
+    for r in range(ROUNDS if n_docs else 0):
+        mine = train.where(F.pmod(F.xxhash64(F.lit("round"), key), F.lit(ROUNDS)) == r).select("text")
+        model = averaged(mine, model, shared, RATE * (1 - r / ROUNDS))
     weights = spark.sparkContext.broadcast(model)
     log_end = math.log10(n_docs + 1)
 
@@ -188,6 +205,49 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     )
 
 
+def averaged(texts: DataFrame, model: Model, shared, rate: float) -> Model:
+    """The model after each task's training on all its texts, averaged by the tasks' tokens."""
+    spark = texts.sparkSession
+    start = spark.sparkContext.broadcast(model)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get, lm = shared.value[0].get, start.value
+        lm = Model(lm.shape, {k: v.copy() for k, v in lm.p.items()})
+        held, size, n, kept = [], 0, 0, {}
+        for pdf in batches:
+            for text in pdf["text"]:
+                held.append(ids_of(np.array([get(w, -1) for w in words(text)], dtype=np.int64), lm.shape.vocabulary).astype(np.int64))
+                size += len(held[-1])
+                n += len(held[-1])
+                if size > TOGETHER:
+                    lm.train(held, 1, lanes=max(4, min(128, size // 2048)), rate=rate, kept=kept)
+                    held, size = [], 0
+        lm.train(held, 1, lanes=max(4, min(128, size // 2048)), rate=rate, kept=kept)
+        if n:
+            flat = np.concatenate([v.ravel() for v in lm.p.values()])
+            cut = [flat[i : i + SLICE].tobytes() for i in range(0, len(flat), SLICE)]
+            yield pd.DataFrame({"slice": range(len(cut)), "n": n, "data": cut})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for pdf in batches:
+            for i, n, data in pdf[["slice", "n", "data"]].itertuples(index=False):
+                s = sums.setdefault(i, [0, 0.0])
+                s[0] += n
+                s[1] = s[1] + n * np.frombuffer(data, np.float32).astype(np.float64)
+        if sums:
+            yield pd.DataFrame({"slice": list(sums), "data": [(x / n).astype(np.float32).tobytes() for n, x in sums.values()]})
+
+    trained = map_pandas(texts, fit, "slice int, n long, data binary").repartition("slice")
+    slices = sorted(map_pandas(trained, add, "slice int, data binary").collect())
+    flat = np.frombuffer(b"".join(bytes(r["data"]) for r in slices), np.float32)
+    start.unpersist()
+    if not len(flat):
+        return model
+    ends = np.cumsum([v.size for v in model.p.values()])
+    return Model(model.shape, {k: x.reshape(v.shape).copy() for (k, v), x in zip(model.p.items(), np.split(flat, ends[:-1]))})
+
+
 def digest(text: str) -> tuple[int, int]:
     d = hashlib.blake2b(text.encode("utf-8"), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)

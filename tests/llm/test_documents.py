@@ -411,6 +411,18 @@ def test_lm_beats_its_base_on_held_out(spark, sf):
     assert sum(r["score"] for r in out) > 0.985 * sum(r["base_score"] for r in out)
 
 
+def test_lm_learns_from_all_training_documents(spark):
+    from millrace.llm import lm_scoring as m
+    from millrace.llm.gru import Shape
+
+    cycle = [f"w{(5 * i) % 16}" for i in range(16)]
+    data = [(i, " ".join(cycle[(i + j) % 16] for j in range(120))) for i in range(1200)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    out = [r for r in table(m.lm_scores(df, fit_docs=1, epochs=1, shape=Shape(5, 5, 16))) if r["held_out"]]
+    assert sum(r["score"] for r in out) > 0.7 * sum(r["base_score"] for r in out)
+    assert m.shape_for(10**5).vocabulary == 1024 < m.shape_for(10**8).vocabulary < m.shape_for(10**9).vocabulary <= m.FREQUENT
+
+
 def test_gru_gradients_and_carried_state():
     from millrace.llm import gru
 
