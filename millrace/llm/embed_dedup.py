@@ -9,7 +9,9 @@ LARGE nodes are compared with all nodes of their label in blocks, which gives th
 exactly and without a row per link.
 
 The graph is audited: every row whose id is divisible by AUDIT is compared with all of its label in
-blocks; below the recall wanted, lists and rounds are doubled. Links are the graph's pairs with
+blocks. Recall is the mean share of a row's links that were found, over all such rows and over those
+outside the components compared in blocks; the lesser of the two counts. Below the recall wanted, lists
+and rounds are doubled, and where LONGEST does not do, all nodes are compared in blocks. Links are the graph's pairs with
 the cosine, computed in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those
@@ -183,6 +185,19 @@ def _round(nodes: DataFrame, graph: DataFrame, widths: DataFrame, scratch: Scrat
     return scratch.table(_lists(found, widths, base), "graph")
 
 
+def _counts(counts: DataFrame, exact: DataFrame) -> DataFrame:
+    """(node, n): links by the graph, or by the comparison in blocks where there was one."""
+    both = counts.select(F.col("u").alias("node"), "n").join(exact.select(F.col("q").alias("node"), F.col("n").alias("m")), "node", "full_outer")
+    return both.select("node", F.coalesce("m", "n").alias("n"))
+
+
+def _recall(truth: DataFrame, by_node: DataFrame, exact: DataFrame) -> float:
+    """Mean share of links found: of all asked rows or of those not compared in blocks, the lesser."""
+    share = F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("t"))
+    asked = truth.join(by_node, "node", "left").join(exact.select(F.col("q").alias("node"), F.lit(True).alias("sure")), "node", "left")
+    return min((x for x in asked.agg(F.avg(share), F.avg(F.when(F.col("sure").isNull(), share))).first() if x is not None), default=1.0)
+
+
 def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", recall: float = 0.97, with_audit: bool = False):
     """One row per input row: id, n_links, component_id, kept. with_audit: also the measured recall."""
     spark = df.sparkSession
@@ -201,6 +216,7 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     base, rounds, measured = LIST, 4, None
     graph = scratch.table(_lists(first, None, base), "graph")
     none = spark.createDataFrame([], "node long, root long")
+    truth = scratch.table(scan(nodes.where("ask"), nodes, none).select(F.col("q").alias("node"), F.col("n").alias("t")), "truth")
     while True:
         links = -1
         for _ in range(rounds):
@@ -220,13 +236,15 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LARGE).select("root")
         saturated = roots.join(large, "root").select("node")
         exact = scratch.table(scan(nodes.join(saturated, "node"), nodes, roots), "exact")
-        by_node = counts.select(F.col("u").alias("node"), "n").join(exact.select(F.col("q").alias("node"), F.col("n").alias("m")), "node", "left").select("node", F.coalesce("m", "n").alias("n"))
-        by_node = scratch.table(by_node, "counts")
-        asked = nodes.where("ask")
-        truth = scan(asked, nodes, none).select(F.col("q").alias("node"), F.col("n").alias("t"))
-        t, got = truth.join(by_node, "node", "left").agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum(F.least("t", F.coalesce("n", F.lit(0)))), F.lit(0))).first()
-        measured = got / t if t else 1.0
-        if measured >= recall or base >= LONGEST:
+        by_node = scratch.table(_counts(counts, exact), "counts")
+        measured = _recall(truth, by_node, exact)
+        if measured >= recall:
+            break
+        if base >= LONGEST:
+            rest = scan(nodes.join(saturated, "node", "left_anti"), nodes, roots)
+            exact = scratch.table(exact.unionByName(rest), "exact")
+            by_node = scratch.table(_counts(counts, exact), "counts")
+            measured = _recall(truth, by_node, exact)
             break
         base, rounds = base * 2, rounds * 2
         graph = scratch.table(graph.withColumn("old", F.lit(0)), "graph")

@@ -52,6 +52,34 @@ def test_nn_descent(spark):
     assert near_dedup(df.limit(0)).count() == 0
 
 
+def near_with_losses(spark, monkeypatch, lost):
+    """A group of 60 (ids 0 to 59) and 40 pairs (1000 to 1079), where the graph never sees pairs of a lost id."""
+    from millrace.llm import embed_dedup as m
+
+    def without(f):
+        def run(batches):
+            for pdf in f(batches):
+                yield pdf[[not (lost(a) or lost(b)) for a, b in zip(pdf["a"], pdf["b"])]]
+
+        return run
+
+    for name in ("_adjacent", "_local_join"):
+        monkeypatch.setattr(m, name, without(getattr(m, name)))
+    rng = np.random.default_rng(5)
+    data = [(k, (np.ones(32) + rng.normal(size=32) * 0.02).tolist(), 1) for k in range(60)]
+    for k in range(40):
+        v = rng.normal(size=32)
+        data += [(1000 + 2 * k + j, (v + rng.normal(size=32) * 0.01).tolist(), 1) for j in range(2)]
+    out, recall = m.near_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), with_audit=True)
+    return {r["vec_id"]: r for r in out.collect()}, recall
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark, monkeypatch):
+    got, recall = near_with_losses(spark, monkeypatch, lambda i: i >= 1000)
+    assert recall == 1.0
+    assert all(got[i]["n_links"] == (59 if i < 60 else 1) and got[i]["component_id"] == (0 if i < 60 else i // 2 * 2) for i in got)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
