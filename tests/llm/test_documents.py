@@ -251,6 +251,13 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join(empty).count() == 0
 
 
+def test_ngram_join_reads_a_plain_scan(spark, sf, monkeypatch):
+    from millrace.llm import ngram_join, queries
+
+    monkeypatch.setattr(ngram_join, "ngram_join", lambda df: df)
+    assert "Repartition" not in queries.op5_ngram_join(spark, sf)._jdf.queryExecution().logical().toString()
+
+
 def test_components(spark):
     from millrace.llm._common import Scratch
     from millrace.llm.components import components as cc
