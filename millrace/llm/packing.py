@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from ._common import map_arrow, small_batches
 
 SEQUENCE = 1024
+#: Read as one id, the first after the ranks, where a text holds it.
+END_OF_TEXT = "<|endoftext|>"
 #: The least exact class; what remains below it is a tail.
 LEAST = 32
 
@@ -50,14 +52,14 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         return lambda text: tok.encode(text, add_special_tokens=False).ids
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)}).encode
+    return lambda text: encode(text, allowed_special="all")
 
 
 def cuts(n: int) -> list[int]:

@@ -380,6 +380,20 @@ def test_packing(spark, docs, empty):
     assert m.pack(empty).count() == 0 and m.pack(docs).where("doc_id is null").count() >= 2
 
 
+def test_packing_reads_the_end_mark_as_one_id():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.llm.packing import default_tokenizer, encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n x", "<|endoftext |> <|endoftext"):
+        want = tok.encode(text, add_special_tokens=False).ids
+        assert list(encoder(default_tokenizer())(text)) == want == list(encoder(path)(text))
+    assert encoder(path)("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_cuts():
     from millrace.llm.packing import cuts
 
