@@ -116,14 +116,19 @@ class Model:
         return out - FOREIGN * (~allowed & allowed.any(axis=1, keepdims=True))
 
 
+def highest(want: int, n: int) -> int:
+    """The 64-bit hash up to which about `want` of n rows are drawn."""
+    return min(2**63 - 1, -(2**63) + 2**64 * want // n)
+
+
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_lang: int = 5000) -> Model:
     """Counts over at most about per_lang documents of each language."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
-    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_lang / n) * 1_000_000))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1_000_000)) < shares[F.col(lang_col)])
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, highest(per_lang, n))])
+    drawn = rows.where(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) <= shares[F.col(lang_col)])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -142,6 +147,10 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
     got = map_pandas(drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, "lang string, bucket long, n long")
     got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(got["lang"]))
+    if none := set(counts) - set(langs):  # languages of wordless texts, or not drawn at all
+        none -= {r[0] for r in drawn.where(F.col(lang_col).isin(list(none))).select(lang_col).distinct().collect()}
+        if none:
+            raise ValueError(f"no labelled document was drawn of {sorted(map(str, none))}")
     n = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
     n[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int), got["bucket"].to_numpy()] = got["n"]
     grams, scripts = n[:, :BUCKETS], n[:, BUCKETS:]

@@ -177,6 +177,17 @@ def test_language_id(spark, docs, empty):
     assert carried.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0
 
 
+def test_language_draw_is_never_empty_in_silence(spark):
+    from millrace.llm import langid as m
+
+    share = (m.highest(5000, 10**11) + 2**63) / 2**64
+    assert abs(share * 10**11 - 5000) < 1 and m.highest(5000, 3) == 2**63 - 1
+    df = spark.createDataFrame([(1, "a text", "en")], "doc_id long, text string, lang string")
+    assert m.fit(df).langs == ["en"]
+    with pytest.raises(ValueError):
+        m.fit(df, per_lang=0)
+
+
 def test_language_spans_and_scripts(spark):
     from millrace.llm import langid as m
 
