@@ -6,7 +6,7 @@ neighbours-of-neighbours joins: every node brings together its nearest and those
 nearest, whose similarities improve each other's lists. A list that is full of links is saturated
 and doubles, up to LONGEST. Beyond that lists say too little: all nodes of a component of more than
 LARGE nodes are compared with all nodes of their label in blocks, which gives their link counts
-exactly and without a row per link.
+exactly and without a row per link; so are nodes that this joins to such a component, until none joins.
 
 The graph is audited: every row whose id is divisible by AUDIT is compared with all of its label in
 blocks. Recall is the mean share of a row's links that were found, over all such rows and over those
@@ -185,6 +185,25 @@ def _round(nodes: DataFrame, graph: DataFrame, widths: DataFrame, scratch: Scrat
     return scratch.table(_lists(found, widths, base), "graph")
 
 
+def _joining(edges: DataFrame, exact: DataFrame) -> DataFrame:
+    """The graph's links, and from each compared node to the components it has links into."""
+    return edges.unionByName(exact.select(F.col("q").alias("u"), F.explode("roots").alias("v")))
+
+
+def _large(nodes: DataFrame, edges: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What blocks say of all nodes of large components, which nodes these are, and the components then."""
+    spark, joined = nodes.sparkSession, roots
+    exact, seen = spark.createDataFrame([], "q long, n long, roots array<long>"), spark.createDataFrame([], "node long")
+    while True:
+        large = joined.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LARGE).select("root")
+        fresh = scratch.table(joined.join(large, "root").select("node").join(seen, "node", "left_anti"), "fresh")
+        if not fresh.head(1):
+            return exact, seen, joined
+        exact = scratch.table(exact.unionByName(scan(nodes.join(fresh, "node"), nodes, roots)), "exact")
+        seen = seen.unionByName(fresh)
+        joined = components(_joining(edges, exact), scratch)
+
+
 def _counts(counts: DataFrame, exact: DataFrame) -> DataFrame:
     """(node, n): links by the graph, or by the comparison in blocks where there was one."""
     both = counts.select(F.col("u").alias("node"), "n").join(exact.select(F.col("q").alias("node"), F.col("n").alias("m")), "node", "full_outer")
@@ -233,25 +252,22 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         counts = both.join(nodes.select(F.col("node").alias("v"), "mult"), "v").groupBy("u").agg(F.sum("mult").alias("n"))
         roots = components(edges, scratch)
-        large = roots.groupBy("root").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LARGE).select("root")
-        saturated = roots.join(large, "root").select("node")
-        exact = scratch.table(scan(nodes.join(saturated, "node"), nodes, roots), "exact")
+        exact, seen, joined = _large(nodes, edges, roots, scratch)
         by_node = scratch.table(_counts(counts, exact), "counts")
         measured = _recall(truth, by_node, exact)
         if measured >= recall:
             break
         if base >= LONGEST:
-            rest = scan(nodes.join(saturated, "node", "left_anti"), nodes, roots)
+            rest = scan(nodes.join(seen, "node", "left_anti"), nodes, roots)
             exact = scratch.table(exact.unionByName(rest), "exact")
+            joined = components(_joining(edges, exact), scratch)
             by_node = scratch.table(_counts(counts, exact), "counts")
             measured = _recall(truth, by_node, exact)
             break
         base, rounds = base * 2, rounds * 2
         graph = scratch.table(graph.withColumn("old", F.lit(0)), "graph")
 
-    more = exact.select(F.col("q").alias("u"), F.explode("roots").alias("v"))
-    roots = components(edges.unionByName(more), scratch) if exact.head(1) else roots
-    whole = nodes.select("node", "mult").join(by_node, "node", "left").join(roots, "node", "left")
+    whole = nodes.select("node", "mult").join(by_node, "node", "left").join(joined, "node", "left")
     whole = whole.select("node", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
     members = nodes_members(df, id_col, vec_col, label_col).join(whole, "node", "left")
     out = members.select(

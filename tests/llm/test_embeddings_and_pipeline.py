@@ -80,6 +80,11 @@ def test_audit_sees_small_groups_beside_a_large_one(spark, monkeypatch):
     assert all(got[i]["n_links"] == (59 if i < 60 else 1) and got[i]["component_id"] == (0 if i < 60 else i // 2 * 2) for i in got)
 
 
+def test_links_into_a_large_component_count_at_both_ends(spark, monkeypatch):
+    got, _ = near_with_losses(spark, monkeypatch, lambda i: i == 59)
+    assert all(got[i]["n_links"] == 59 and got[i]["component_id"] == 0 for i in range(60))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
