@@ -65,6 +65,30 @@ def duplicate_share(col: Column) -> Column:
     return (F.count(col) - F.count_distinct(col)) / F.count(col)
 
 
+def ceil_div(a: Column, b) -> Column:
+    return F.ceil(a / b).cast("bigint")
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """Rounded as Python rounds: the exact double, ties to even."""
+    return F.bround(value, digits)
+
+
+def close(a: Column, b: Column, relative: float = 1e-9) -> Column:
+    """Equal up to a relative difference; what is not finite is close to its like only."""
+    return F.coalesce((a == b) | (F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * relative), F.lit(False))
+
+
+def iso(seconds: Column) -> Column:
+    """Epoch seconds as ISO 8601 in UTC, to the microsecond."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(seconds).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def epoch(text: Column) -> Column:
+    """ISO 8601 as epoch seconds."""
+    return F.unix_micros(F.to_timestamp(text)) / 1e6
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(F.when(value.isNotNull(), weight))
 

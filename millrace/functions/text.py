@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD_RE = r"(?U)(\w+)"
+#: Ends of lines as Python's splitlines sees them, and what is none.
+LINE_END, NOT_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Fixed value: the line above an instruction's input.
+INPUT_HEADING = "Входные данные:"
 #: White space as Python sees it: Java's Unicode class and the four information separators.
 SPACE_RE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -55,6 +59,7 @@ def collapse(text: Column) -> Column:
 def normalize_text(text: Column, compose: bool = True) -> Column:
     """NFKC, en and em dashes to hyphens, white space collapsed and stripped, lower case.
     compose=False skips NFKC (and the Python worker) for text that is known to be composed."""
+    # Dashes and the no-break space, and what stands for each.
     dashes = F.translate(composed(text) if compose else text, "\u2014\u2013\u2011\u00a0", "--- ")
     return F.lower(collapse(dashes))
 
@@ -105,47 +110,48 @@ def scrub(text: Column, rules: dict = PII) -> Column:
     return text
 
 
-@F.pandas_udf(T.IntegerType())
-def line_count(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(lambda t: len(t.splitlines()))
+def strip(text: Column) -> Column:
+    """Without white space, as Python sees it, at both ends."""
+    return F.regexp_replace(text, rf"\A{SPACE_RE}|{SPACE_RE.removeprefix('(?U)')}\z", "")
 
 
-@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("fenced", T.BooleanType())]))
-def strip_fence(text: pd.Series) -> pd.DataFrame:
-    """Without the first line of a fenced text and all closing fence lines; whether it was fenced."""
+def line_count(text: Column) -> Column:
+    """Lines as Python's splitlines counts them; null has none."""
+    ends = F.regexp_count(text, F.lit(LINE_END))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).when(text.rlike(rf"(?:{LINE_END})\z"), ends).otherwise(ends + 1)
 
-    def one(t: str) -> tuple[str, bool]:
-        body = t.strip()
-        if not body.startswith("```"):
-            return t, False
-        lines = body.splitlines()[1:]
-        while lines and lines[-1].strip().startswith("```"):
-            lines.pop()
-        return "\n".join(lines), True
 
-    return pd.DataFrame([one(t or "") for t in text], columns=["code", "fenced"])
+def strip_fence(text: Column) -> Column:
+    """(code, fenced): stripped, and of a fenced text without its first line and all closing fence lines."""
+
+    def of(t: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(t, rf"\A{NOT_END}*(?:{LINE_END}|\z)", ""), LINE_END, "\n")
+        body = F.regexp_replace(body, r"(?U)(?:(?:\A|\n)[\s\x1c-\x1f&&[^\n]]*```[^\n]*)+\z", "")
+        fenced = F.startswith(t, F.lit("```"))
+        return F.struct(F.when(fenced, strip(body)).otherwise(t).alias("code"), fenced.alias("fenced"))
+
+    return let(strip(F.coalesce(text, F.lit(""))), of)
 
 
 @F.pandas_udf(T.BooleanType())
 def parses(code: pd.Series) -> pd.Series:
     """Whether Python's own parser accepts the code; depends on the interpreter's version."""
 
-    def one(c: str) -> bool:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            try:
-                ast.parse(c)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                return False
-        return True
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return pd.Series([_tree(c) is not None for c in code.fillna("")], dtype=bool)
+
 
-    return code.fillna("").map(one)
+def _tree(code: str) -> ast.AST | None:
+    try:
+        return ast.parse(code)
+    except Exception:  # whatever the parser cannot take
+        return None
 
 
-def join_input(instruction: Column, given: Column) -> Column:
-    """The instruction, with its input under a heading if there is any."""
-    has = F.length(collapse(F.coalesce(given, F.lit("")))) > 0
-    return F.when(has, F.concat(instruction, F.lit("\n\n"), given)).otherwise(instruction)
+def join_input(instruction: Column, given: Column, heading: str = INPUT_HEADING) -> Column:
+    """The instruction, with its stripped input under a heading if there is any."""
+    return let(strip(F.coalesce(given, F.lit(""))), lambda x: F.when(F.length(x) > 0, F.concat(instruction, F.lit(f"\n\n{heading}\n"), x)).otherwise(instruction))
 
 
 @F.pandas_udf(T.BooleanType())

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
+from ..functions import hashing, stats, text
+from ..scratch import Scratch
 from .gates import Check
 
 #: A taxonomy is an ordered list of (label, keywords): an argument, or a JSON file of such pairs.
@@ -44,43 +45,41 @@ def length_band(df: DataFrame, col: str, low: int, high: int) -> DataFrame:
 
 
 def exact_first(df: DataFrame, key: Column, order: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Of equal keys, compared by digest, the first row in order. If a few small columns are enough they
-    travel with the order in one aggregation; whole rows are joined to the winners."""
+    """Of equal keys, compared by digest, the first row in order, one where rows tie. Whole rows are
+    pruned by rank before they are shuffled; if a few small columns are enough they travel with the
+    order in one aggregation."""
+    digest = F.sha2(F.coalesce(key, F.lit("")).cast("binary"), 256)
     if columns is not None:
-        digest = F.sha2(F.coalesce(key, F.lit("")).cast("binary"), 256)
         named = list(dict.fromkeys([*order, *columns]))
         return df.groupBy(digest.alias("_k")).agg(F.min(F.struct(*named)).alias("_m")).select(*[F.col(f"_m.{c}").alias(c) for c in columns])
-    first = df.withColumn("_k", F.sha2(F.coalesce(key, F.lit("")).cast("binary"), 256))
-    least = first.groupBy("_k").agg(F.min(F.struct(*order)).alias("_m"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m.{c}")) for c in order])
-    return first.join(least, "_k").where(same).drop("_k", "_m")
+    rank = F.row_number().over(Window.partitionBy("_k").orderBy(*order))
+    return df.withColumn("_k", digest).withColumn("_r", rank).where("_r = 1").drop("_k", "_r")
 
 
 def capped(df: DataFrame, key: str, topic: str, order: str, cap: int) -> DataFrame:
     """Each row's fate: kept, duplicate, over_cap, or untagged. The cap is tested before the
-    duplicate: a row that repeats a key after its topic is full counts as over_cap."""
-    tagged = df.where(F.col(topic).isNotNull())
-    first = tagged.groupBy(key).agg(F.min(order).alias("_o")).select("_o")
-    marked = tagged.join(first, tagged[order] == first["_o"], "left").withColumn("_first", F.col("_o").isNotNull().cast("int")).drop("_o")
+    duplicate: a row that repeats a key after its topic is full counts as over_cap. Rows that tie in
+    order follow one another as they were written: the rows are written once and read again."""
+    rows = Scratch(df.sparkSession).table(df.withColumn("_at", F.struct(order, F.monotonically_increasing_id().alias("_i"))), "rows")
+    tagged = rows.where(F.col(topic).isNotNull())
+    first = tagged.groupBy(key).agg(F.min("_at").alias("_o")).select(F.col("_o._i").alias("_i"))
+    marked = tagged.join(first.withColumn("_first", F.lit(1)), tagged["_at._i"] == first["_i"], "left").drop("_i")
     # A topic is full after its cap-th first row: ranks up to the cap are limited before the shuffle.
-    top = marked.where("_first = 1").select(topic, F.col(order).alias("_o")).withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy("_o"))).where(F.col("_r") <= cap)
+    top = marked.where("_first = 1").select(topic, F.col("_at").alias("_o")).withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy("_o"))).where(F.col("_r") <= cap)
     full = top.groupBy(F.col(topic).alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.max("_o").alias("_last")).where(F.col("_n") == cap).select("_t", "_last")
     counted = marked.join(full, marked[topic] == full["_t"], "left")
-    over = F.col("_last").isNotNull() & (F.col(order) > F.col("_last"))
+    over = F.col("_last").isNotNull() & (F.col("_at") > F.col("_last"))
     fate = F.when(over, "over_cap").when(F.col("_first") == 1, "kept").otherwise("duplicate")
     done = counted.withColumn("fate", fate).drop("_first", "_t", "_last")
-    return done.unionByName(df.where(F.col(topic).isNull()).withColumn("fate", F.lit("untagged")))
+    return done.unionByName(rows.where(F.col(topic).isNull()).withColumn("fate", F.lit("untagged"))).drop("_at")
 
 
 def collect(df: DataFrame, rules: list, cap: int, min_lines: int = 1, topics: list[str] | None = None, check_syntax: bool = True, rows: int | None = None) -> DataFrame:
     """instruction, input, output, file, row -> with code, topic, key, fate for every row scanned.
     With `rows`, at most so many are kept of each file and later rows are not counted."""
-    from ..functions.hashing import nul_joined
-
     if topics:
         check_labels(topics, rules)
-    code = text.strip_fence(F.coalesce("output", F.lit("")))
-    d = df.select("file", "row", text.clean_instruction(F.col("instruction")).alias("instruction"), F.coalesce("input", F.lit("")).alias("input"), code["code"].alias("code"))
+    d = df.select("file", "row", text.clean_instruction(F.col("instruction")).alias("instruction"), text.strip(F.coalesce("input", F.lit(""))).alias("input"), text.strip_fence(F.col("output"))["code"].alias("code"))
     d = d.withColumn("pos", F.struct("file", "row"))
     short = (F.length("instruction") == 0) | (text.line_count(F.col("code")) < min_lines)
     bad = ~text.parses(F.col("code")) if check_syntax else F.lit(False)
@@ -88,7 +87,7 @@ def collect(df: DataFrame, rules: list, cap: int, min_lines: int = 1, topics: li
     d = d.withColumn("topic", F.when(F.col("_gone").isNull(), classify([F.col("instruction"), F.col("input"), F.col("code")], rules)))
     if topics:
         d = d.withColumn("topic", F.when(F.col("topic").isin(topics), F.col("topic")))
-    d = d.withColumn("key", F.sha1(nul_joined(F.col("instruction"), F.col("input"), F.col("code")).cast("binary")))
+    d = d.withColumn("key", F.sha1(hashing.nul_joined(F.col("instruction"), F.col("input"), F.col("code")).cast("binary")))
     out = capped(d.where("_gone is null"), "key", "topic", "pos", cap).drop("_gone")
     out = out.unionByName(d.where("_gone is not null").withColumn("fate", F.col("_gone")).drop("_gone"))
     if rows is None:
@@ -97,6 +96,16 @@ def collect(df: DataFrame, rules: list, cap: int, min_lines: int = 1, topics: li
     return out.withColumn("_t", F.coalesce(kept, F.lit(0))).where(F.col("_t") < rows).drop("_t")
 
 
+def chat_records(kept: DataFrame, prompts: list[str], prefix: str = "doc-") -> DataFrame:
+    """The kept rows of `collect` as chat examples: id from the content, a system prompt drawn by the
+    id's digest, the instruction with its input, the code."""
+    named = kept.select(hashing.content_id(F.col("instruction"), F.col("input"), F.col("code"), prefix=prefix).alias("id"), "topic", "instruction", "input", "code")
+    prompt = F.array(*[F.lit(p) for p in prompts])[hashing.sha1_mod(F.col("id"), len(prompts)).cast("int")]
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    messages = F.array(turn("system", prompt), turn("user", text.join_input(F.col("instruction"), F.col("input"))), turn("assistant", F.col("code")))
+    return named.select("id", "topic", messages.alias("messages"))
+
+
 def diversity(df: DataFrame, prompt: str, group: str, answer: str) -> DataFrame:
     """One row of measures over a chat table."""
     size = F.char_length(answer)
@@ -123,15 +132,24 @@ def diversity_checks(measures: dict, limits: dict) -> list[Check]:
 
 
 def contamination(train: DataFrame, test: DataFrame, key: str, body: str, group: str, near: DataFrame | None = None) -> DataFrame:
-    """Rows (rule, hits): ids, normalised texts, groups and near copies shared by the two."""
-    def shared(a: Column, b: Column, rule: str) -> DataFrame:
-        left, right = train.select(a.alias("k")).distinct(), test.select(b.alias("k")).distinct()
-        return left.join(right, "k", "left_semi").agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("hits"))
-
-    body_key = F.sha2(text.normalize_text(F.col(body)).cast("binary"), 256)
-    out = shared(F.col(key), F.col(key), "id").unionByName(shared(body_key, body_key, "text")).unionByName(shared(F.col(group), F.col(group), "group"))
-    pairs = near.agg(F.lit("near").alias("rule"), F.count(F.lit(1)).alias("hits")) if near is not None else None
-    return out.unionByName(pairs) if pairs is not None else out
+    """Rows (rule, hits): ids, normalised texts, groups and near copies shared by the two. Each table is
+    read once: a row gives one key a rule, and a rule's key is shared if both sides have it."""
+
+    def keys(df: DataFrame, side: str) -> DataFrame:
+        d = df.select(F.col(key).cast("string").alias("id"), F.sha2(text.normalize_text(F.col(body)).cast("binary"), 256).alias("text"), F.col(group).cast("string").alias("group"))
+        pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("k")) for r in ("id", "text", "group")])
+        return d.select(F.inline(pairs)).where("k is not null").withColumn("side", F.lit(side))
+
+    both = keys(train, "train").unionByName(keys(test, "test")).groupBy("rule", "k").agg(F.count_if(F.col("side") == "train").alias("a"), F.count_if(F.col("side") == "test").alias("b"))
+    hits = both.groupBy("rule").agg(F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("hits"))
+    rules = train.sparkSession.createDataFrame([("id",), ("text",), ("group",)], "rule string")
+    out = rules.join(hits, "rule", "left").select("rule", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return out if near is None else out.unionByName(near.agg(F.lit("near").alias("rule"), F.count(F.lit(1)).alias("hits")))
+
+
+def evidence(shared: DataFrame, order: list[str], k: int = 3) -> DataFrame:
+    """The first k rows of a finding, as examples."""
+    return shared.orderBy(*order).limit(k)
 
 
 def group_split(sizes: dict[str, int], ratios: dict[str, float], seed: int) -> dict[str, str]:

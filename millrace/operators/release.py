@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical, digest, release_id
 from ..sources.jsonl import write_atomic
-from .gates import Check
+from .gates import Check, GateError
 
 HASHES = ("model_sha256", "protocol_sha256", "golden_sha256", "runtime_sha256")
 
@@ -55,11 +55,25 @@ def integrity(spark: SparkSession, expected: dict[str, str], root: str) -> DataF
     return told.unionByName(spark.createDataFrame(unsafe, "path string, fault string")) if unsafe else told
 
 
+def inventory_faults(spark: SparkSession, manifest: dict, root: str) -> list[str]:
+    """What is wrong with a manifest's artifacts: files against their digests, and the digest of the
+    whole inventory against the manifest's model."""
+    files = manifest.get("file_hashes")
+    if not isinstance(files, dict) or not files:
+        return ["no file inventory"]
+    out = [f"{r['path']}: {r['fault']}" for r in integrity(spark, files, root).where("fault <> 'not in the inventory'").orderBy("path").limit(20).collect()]
+    if digest(canonical(files)) != manifest.get("model_sha256"):
+        out.append("the inventory is not the model's")
+    return out
+
+
 class Publisher:
     """Publication in one folder: an intent, the pointer, one journal line per release, in this order
-    and each atomically; starting again after a crash at any point ends in the same state."""
+    and each atomically; starting again after a crash at any point ends in the same state. A release
+    is validated and its artifacts are checked before anything is written, and again on recovery."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, spark: SparkSession, artifacts: str):
+        self.spark, self.artifacts = spark, artifacts
         self.folder = Path(folder)
         self.folder.mkdir(parents=True, exist_ok=True)
         self.intent, self.pointer, self.journal = (self.folder / n for n in ("pending.json", "current.json", "journal.jsonl"))
@@ -67,10 +81,17 @@ class Publisher:
     def published(self) -> list[str]:
         return [json.loads(x)["release_id"] for x in self.journal.read_text().splitlines()] if self.journal.exists() else []
 
+    def verify(self, manifest: dict, decision: dict) -> None:
+        faults = [f"{c.name}: {c.evidence}" for c in validate(manifest, decision) if not c.passed]
+        faults = faults or inventory_faults(self.spark, manifest, self.artifacts)
+        if faults:
+            raise GateError("; ".join(faults))
+
     def recover(self, crash: str | None = None) -> None:
         if not self.intent.exists():
             return
         event = json.loads(self.intent.read_text())
+        self.verify(event["manifest"], event["decision"])
         write_atomic(str(self.pointer), canonical(event).encode())
         if crash == "pointer":
             raise RuntimeError("stopped after the pointer")
@@ -84,6 +105,7 @@ class Publisher:
     def publish(self, manifest: dict, decision: dict, crash: str | None = None) -> str:
         """The release's id. The same release twice is one journal line."""
         self.recover()
+        self.verify(manifest, decision)
         rid = release_id(manifest, decision)
         if rid in self.published() and json.loads(self.pointer.read_text()).get("release_id") == rid:
             return rid

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_json_object
+from ..functions.text import is_json_object, strip
 
 OUTCOMES = ("completed", "rejected", "aborted", "expired", "error")
 
@@ -42,6 +42,35 @@ def gaps_of(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("request_id").orderBy("t")))
 
 
+def first_chunk(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(request_id, sent) and (request_id, t) -> with ttfc: from sending to the first chunk, null without one."""
+    first = chunks.groupBy("request_id").agg(F.min("t").alias("_t"))
+    return requests.join(first, "request_id", "left").withColumn("ttfc", F.col("_t") - F.col("sent")).drop("_t")
+
+
+def cohorts(client: DataFrame, server: DataFrame, q: float = 0.95) -> DataFrame:
+    """Client requests (phase, outcome, ttfc) beside server buckets (phase, instance, le, cum): counts of
+    both, the client's exact percentile and that of the buckets summed over instances."""
+    from ..functions import stats
+
+    exact = client.where("outcome = 'completed'").groupBy("phase").agg(F.count(F.lit(1)).alias("client_n"), F.percentile("ttfc", q).alias("client_p"))
+    summed = server.groupBy("phase", "le").agg(F.sum("cum").alias("cum"))
+    total = summed.groupBy("phase").agg(F.max("cum").alias("server_n"))
+    return exact.join(total, "phase").join(stats.histogram_quantile(summed, q, ["phase"]).withColumnRenamed("quantile", "server_p"), "phase")
+
+
+def same_plan(items: DataFrame, group: str, run: str, order: str) -> DataFrame:
+    """Per group whether all its runs had the same schedule: one digest of the items in order. A schedule
+    is what one load generator holds."""
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "item"))), lambda x: x["item"]), ",")
+    digests = items.groupBy(group, run).agg(F.sha2(F.concat(F.lit("["), whole, F.lit("]")).cast("binary"), 256).alias("digest"))
+    return digests.groupBy(group).agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("digest").alias("schedules"), F.min("digest").alias("digest"))
+
+
+def last_snapshots(snaps: DataFrame, n: int, t: str = "wall_time") -> DataFrame:
+    return snaps.orderBy(F.desc(t)).limit(n)
+
+
 def attribute(requests: DataFrame, log: DataFrame) -> DataFrame:
     """Requests without a pod get that of the last log event with their id; `pod_source` says whence."""
     last = log.groupBy("request_id").agg(F.max_by("pod", "wall_time").alias("_pod"))
@@ -178,41 +207,61 @@ def schedule(spark, n: int, rate: float, skew: bool = False) -> DataFrame:
     return spark.range(n).select("id", client.cast("int").alias("client"), (F.col("id") / rate).alias("offset"))
 
 
+def _kind(parsed: Column, path: str) -> Column:
+    """The JSON type at a path as Spark names it, VOID for a JSON null; null if nothing is there."""
+    return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+
+
+def _number(kind: Column) -> Column:
+    return F.coalesce(kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE"), F.lit(False))
+
+
 def payload_fault(payload: str) -> Column:
     """Why a JSON request is refused, or null: object, messages of allowed roles with content, at most
-    8192 characters together, numbers in range and numbers indeed."""
+    8192 characters together, numbers in range and numbers indeed. A null where a number may stand is
+    none; a prompt stands for messages where these are missing or null."""
     v = F.col(payload)
     parsed = F.try_parse_json(v)
-    msgs = F.from_json(F.get_json_object(v, "$.messages"), "array<struct<role:string,content:string>>")
-    prompt = F.get_json_object(v, "$.prompt")
-    have = F.when(msgs.isNull() & prompt.isNotNull(), F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))).otherwise(msgs)
-    bad = F.exists(have, lambda m: ~F.coalesce(m["role"].isin("user", "assistant", "system"), F.lit(False)) | (F.trim(F.coalesce(m["content"], F.lit(""))) == ""))
-    size = F.aggregate(have, F.lit(0), lambda a, m: a + F.length(m["content"]))
+    told, prompt = _kind(parsed, "$.messages"), _kind(parsed, "$.prompt")
+    absent = F.coalesce(told == "VOID", F.lit(True))
+    alone = absent & F.coalesce(prompt == "STRING", F.lit(False))
+    text = F.get_json_object(v, "$.prompt")
+    listed = F.when(F.coalesce(told.startswith("ARRAY"), F.lit(False)), F.try_variant_get(parsed, "$.messages", "array<variant>"))
+
+    def bad(m: Column) -> Column:
+        role, content = F.try_variant_get(m, "$.role", "string"), F.try_variant_get(m, "$.content", "string")
+        sound = (_kind(m, "$.role") == "STRING") & role.isin("user", "assistant", "system") & (_kind(m, "$.content") == "STRING") & (F.length(strip(content)) > 0)
+        return ~F.coalesce(sound, F.lit(False))
+
+    size = F.when(alone, F.length(text)).otherwise(F.aggregate(listed, F.lit(0), lambda a, m: a + F.coalesce(F.length(F.try_variant_get(m, "$.content", "string")), F.lit(0))))
+    invalid = F.when(alone, F.length(strip(text)) == 0).otherwise(F.exists(listed, bad))
 
     def number(name: str, low: float, high: float, whole: bool = False) -> Column:
-        raw = F.get_json_object(v, f"$.{name}")
-        kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
-        ok = kind.startswith("BIGINT") | (F.lit(not whole) & (kind.startswith("DECIMAL") | kind.startswith("DOUBLE")))
-        return raw.isNotNull() & ~(F.coalesce(ok, F.lit(False)) & F.coalesce(raw.try_cast("double").between(low, high), F.lit(False)))
+        kind = _kind(parsed, f"$.{name}")
+        right = kind.startswith("BIGINT") if whole else _number(kind)
+        within_ = F.coalesce(F.get_json_object(v, f"$.{name}").try_cast("double").between(low, high), F.lit(False))
+        return kind.isNotNull() & ~(right & within_)
 
     return (
         F.when(~is_json_object(v), "JSON object required")
-        .when(have.isNull() | (F.size(have) == 0), "nonempty messages required").when(bad, "invalid message").when(size > 8192, "input exceeds 8192 characters")
+        .when(~alone & (listed.isNull() | (F.size(listed) == 0)), "nonempty messages required").when(invalid, "invalid message").when(size > 8192, "input exceeds 8192 characters")
         .when(number("chunks", 1, 64, True), "invalid chunks").when(number("chunk_delay", 0, 0.6), "invalid chunk_delay").when(number("work_multiplier", 0, 8), "invalid work_multiplier")
         .when(F.length(F.get_json_object(v, "$.request_id")) > 128, "request_id too long")
     )
 
 
 def generate_fault(payload: str, limit: int) -> Column:
-    """Why a generation request is refused, or null: a prompt of 1 to 8192 characters, exactly the
-    agreed token limit, no other fields."""
+    """Why a generation request is refused, or null: a prompt that is text, not blank, of at most 8192
+    characters, the agreed whole token limit or none, no other fields."""
     v = F.col(payload)
-    prompt = F.get_json_object(v, "$.prompt")
+    parsed = F.try_parse_json(v)
+    prompt, told = F.get_json_object(v, "$.prompt"), _kind(parsed, "$.max_new_tokens")
+    right = (_kind(parsed, "$.prompt") == "STRING") & (F.length(strip(prompt)) > 0) & (F.length(prompt) <= 8192)
+    agreed = told.isNull() | (told.startswith("BIGINT") & (F.try_variant_get(parsed, "$.max_new_tokens", "bigint") == limit))
     extra = F.size(F.array_except(F.json_object_keys(v), F.array(F.lit("prompt"), F.lit("max_new_tokens")))) > 0
     return (
-        F.when(~is_json_object(v), "JSON object required").when(F.coalesce(extra, F.lit(False)), "unknown fields")
-        .when(~F.coalesce(F.length(prompt).between(1, 8192), F.lit(False)), "invalid prompt")
-        .when(~F.coalesce(F.get_json_object(v, "$.max_new_tokens") == F.lit(str(limit)), F.lit(False)), "invalid max_new_tokens")
+        F.when(~is_json_object(v), "JSON object required").when(~F.coalesce(right, F.lit(False)), "invalid prompt")
+        .when(~F.coalesce(agreed, F.lit(False)), "invalid max_new_tokens").when(F.coalesce(extra, F.lit(False)), "unknown fields")
     )
 
 

@@ -88,10 +88,13 @@ def role_faults(messages: Column, policy: str = "strict") -> Column:
 
 def boundary(prompt_ids: list[int], full_ids: list[int], spans: list[tuple[int, int]], prompt_chars: int) -> tuple[int, bool]:
     """Tokens of the prompt in the full text; whether the prompt's own ids are not a prefix of it (then
-    the first token that starts at or after the prompt's end begins the answer)."""
+    the first token that starts at or after the prompt's end begins the answer; there must be one)."""
     if full_ids[: len(prompt_ids)] == prompt_ids:
         return len(prompt_ids), False
-    return next((i for i, (a, _) in enumerate(spans) if a >= prompt_chars), len(spans)), True
+    answer = next((i for i, (a, _) in enumerate(spans) if a >= prompt_chars), None)
+    if answer is None:
+        raise ValueError("no token of the answer: the text is cut off, or one token holds prompt and answer")
+    return answer, True
 
 
 def tokenize(df: DataFrame, tokenizer: Tokenizer, most: int, id_col: str = "id", messages: str = "messages") -> DataFrame:
@@ -229,6 +232,28 @@ def epoch_batches(df: DataFrame, key: str, seed: int, epoch: int, size: int, par
     return d.withColumn("batch", F.floor(rank / size))
 
 
+def predict(df: DataFrame, generate, system: str, prompt_col: str = "prompt", out: str = "output") -> DataFrame:
+    """Adds the model's answers: `generate` takes a list of rendered prompts and returns as many texts, in
+    Arrow batches, so that a model is loaded once a worker."""
+    messages = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), F.col(prompt_col).cast("string").alias("content")))
+
+    @F.pandas_udf("string")
+    def of(prompts: pd.Series) -> pd.Series:
+        return pd.Series(list(generate(prompts.tolist())), dtype=object)
+
+    return df.withColumn(out, of(render(messages, True)))
+
+
+def unmasked_answers(df: DataFrame, decode) -> DataFrame:
+    """(id, answer): what the labels that count decode to."""
+
+    @F.pandas_udf("string")
+    def of(labels: pd.Series) -> pd.Series:
+        return pd.Series([decode([int(x) for x in row if x != IGNORED]) for row in labels], dtype=object)
+
+    return df.select("id", of("labels").alias("answer"))
+
+
 def template_faults(df: DataFrame, id_col: str = "id", messages: str = "messages") -> DataFrame:
     """Examples whose text for inference is not the beginning of their text for training."""
     m = F.col(messages)

@@ -110,6 +110,33 @@ def instant(spark: SparkSession, path: str, name: str) -> DataFrame:
     return m.where(F.col("metric")["__name__"] == name).select("metric", F.col("metric")["le"].cast("double").alias("le"), F.col("value")[1].cast("double").alias("value"))
 
 
+def runs_of(runs: DataFrame, parent: str, kind: str = "candidate", most: int = 1000) -> DataFrame:
+    """Runs of a parent and kind; a registry answers with so many at most."""
+    tags = F.col("tags")
+    return runs.where((tags["parent"] == parent) & (tags["kind"] == kind)).orderBy("run_id").limit(most)
+
+
+def log_metrics(df: DataFrame, run: str, step: int, path: str) -> None:
+    """A callback's values, a row each, appended to the table of metrics."""
+    values = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(c).cast("double"))])
+    df.select(F.lit(run).alias("run"), F.lit(step).alias("step"), F.explode(values).alias("name", "value")).write.mode("append").parquet(path)
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A small result as a Markdown table; a larger one is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
+
+
+def last_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of each key the last row in order: what is read later replaces what was read before."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return df.withColumn("_r", rank).where("_r = 1").drop("_r")
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the first row in order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

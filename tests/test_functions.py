@@ -55,6 +55,23 @@ def test_pii(spark):
 def test_fences_and_syntax(spark):
     got = column(spark, ["```python\nx = 1\n```\n```", "x = 1"], text.strip_fence)
     assert [tuple(r) for r in got] == [("x = 1", True), ("x = 1", False)]
+
+    def by_hand(t):
+        t = t.strip()
+        if not t.startswith("```"):
+            return t, False
+        lines = t.splitlines()[1:]
+        while lines and lines[-1].strip().startswith("```"):
+            del lines[-1]
+        return "\n".join(lines).strip(), True
+
+    rng = random.Random(4)
+    cases = ["  x = 1\n", "```", "```\n```", "```py\r\na\r\n\r\n```\x85 ```\n", "", "\x1c\u2003a\u00a0", "```a\n b\n```x\ny\n```"] + ["".join(rng.choice(["```", "\n", " ", "a", "\r\n", "\t", "\u2028", "\x1d", "`"]) for _ in range(12)) for _ in range(300)]
+    assert [tuple(r) for r in column(spark, cases, text.strip_fence)] == [by_hand(t) for t in cases]
+    assert column(spark, cases, text.line_count) == [len(t.splitlines()) for t in cases]
+    assert column(spark, cases, text.strip) == [t.strip() for t in cases]
+    joined = column(spark, [None, " \n", " 1 2 "], lambda c: text.join_input(F.lit("do"), c))
+    assert joined == ["do", "do", f"do\n\n{text.INPUT_HEADING}\n1 2"]
     assert column(spark, ["x = 1", "x = = 1", "", None], text.parses) == [True, False, True, True]
 
 

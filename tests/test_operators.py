@@ -232,13 +232,30 @@ def test_release_matrix():
 
 
 @pytest.mark.parametrize("crash", ["pointer", "journal"])
-def test_publication_recovers(tmp_path, crash):
-    p = release.Publisher(str(tmp_path))
+def test_publication_recovers(spark, tmp_path, crash):
+    from millrace.functions.hashing import canonical, digest
+
+    files = tmp_path / "files"
+    files.mkdir()
+    (files / "w").write_text("weights")
+    m, r = release_pair()
+    m["file_hashes"] = {"w": digest("weights")}
+    m["model_sha256"] = r["model_sha256"] = digest(canonical(m["file_hashes"]))
+    publisher = lambda: release.Publisher(str(tmp_path / "out"), spark, str(files))
+    p = publisher()
     with pytest.raises(RuntimeError):
-        p.publish({"a": 1}, {"ok": True}, crash)
+        p.publish(m, r, crash)
     for _ in range(2):
-        rid = release.Publisher(str(tmp_path)).publish({"a": 1}, {"ok": True})
+        rid = publisher().publish(m, r)
     assert p.published() == [rid] and not p.intent.exists()
+    before = p.pointer.read_bytes()
+    for bad in ({**m, "schema_version": 2}, {**m, "file_hashes": {"w": digest("other")}}, {**m, "file_hashes": {}}, {**m, "file_hashes": {"w": digest("weights"), "x": digest("x")}}):
+        with pytest.raises(GateError):
+            publisher().publish(bad, r)
+    (files / "w").write_text("changed")
+    with pytest.raises(GateError):
+        publisher().publish(m, r)
+    assert p.pointer.read_bytes() == before and p.published() == [rid]
 
 
 def test_integrity(spark, tmp_path):
@@ -283,7 +300,9 @@ def test_range_join(spark):
 
 
 def test_payload(spark):
-    cases = {'{"prompt":"x"}': None, "[]": "JSON object required", '{"messages":[]}': "nonempty messages required", '{"messages":[{"role":"root","content":"x"}]}': "invalid message", '{"prompt":"x","chunks":true}': "invalid chunks", '{"prompt":"x","chunks":1.5}': "invalid chunks", '{"prompt":"x","chunk_delay":0.7}': "invalid chunk_delay", '{"prompt":"' + "y" * 8193 + '"}': "input exceeds 8192 characters"}
+    cases = {'{"prompt":5}': "nonempty messages required", '{"messages":"x","prompt":"y"}': "nonempty messages required", '{"prompt":"x","chunks":null}': "invalid chunks", '{"messages":[{"role":"user","content":5}]}': "invalid message",
+             '{"messages":["{\\"role\\":\\"user\\",\\"content\\":\\"x\\"}"]}': "invalid message", '{"messages":null,"prompt":" "}': "invalid message", '{"messages":[{"role":"user","content":"é"},{"role":"system","content":"s"}],"chunk_delay":0.5,"work_multiplier":8}': None,
+             '{"prompt":"x","work_multiplier":"1"}': "invalid work_multiplier", '{"prompt":"x","request_id":"' + "r" * 129 + '"}': "request_id too long", '{"prompt":"x"}': None, "[]": "JSON object required", '{"messages":[]}': "nonempty messages required", '{"messages":[{"role":"root","content":"x"}]}': "invalid message", '{"prompt":"x","chunks":true}': "invalid chunks", '{"prompt":"x","chunks":1.5}': "invalid chunks", '{"prompt":"x","chunk_delay":0.7}': "invalid chunk_delay", '{"prompt":"' + "y" * 8193 + '"}': "input exceeds 8192 characters"}
     df = spark.createDataFrame([(k,) for k in cases], "b string")
     assert [r[0] for r in df.select(telemetry.payload_fault("b")).collect()] == list(cases.values())
 
@@ -317,7 +336,7 @@ def test_questions_epochs_templates(spark):
 
 
 def test_generate_requests(spark):
-    cases = {'{"prompt":"x","max_new_tokens":32}': None, '{"prompt":"","max_new_tokens":32}': "invalid prompt", '{"prompt":"x","max_new_tokens":33}': "invalid max_new_tokens", '{"prompt":"x","max_new_tokens":32,"t":1}': "unknown fields", "x": "JSON object required"}
+    cases = {'{"prompt":"x"}': None, '{"prompt":"x","max_new_tokens":"32"}': "invalid max_new_tokens", '{"prompt":"x","max_new_tokens":32.0}': "invalid max_new_tokens", '{"prompt":5}': "invalid prompt", '{"prompt":" \\n "}': "invalid prompt", '{"prompt":"x","max_new_tokens":32}': None, '{"prompt":"","max_new_tokens":32}': "invalid prompt", '{"prompt":"x","max_new_tokens":33}': "invalid max_new_tokens", '{"prompt":"x","max_new_tokens":32,"t":1}': "unknown fields", "x": "JSON object required"}
     df = spark.createDataFrame([(k,) for k in cases], "b string")
     assert [r[0] for r in df.select(telemetry.generate_fault("b", 32)).collect()] == list(cases.values())
 
