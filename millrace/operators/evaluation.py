@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import math
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import stats
 from ..functions.text import casefold_key
-from .gates import Check, same_keys
+from .gates import Check, same_keys, same_rows
 
 METRICS = ("n", "correct", "valid", "errors", "accuracy", "format_rate")
 
@@ -106,95 +109,129 @@ def leakage_gate(golden: DataFrame, training: DataFrame, behavioral: DataFrame,
     ]
 
 
-def _number(x) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+@dataclass(frozen=True)
+class Report:
+    """A scored run as tables: what it says of itself, its stored metrics (place: overall or slice:name),
+    its items. Everything is recounted where it lies; the driver sees broken rules and named slices."""
 
+    about: dict
+    stored: DataFrame
+    items: DataFrame
 
-def counts_fault(m: dict | None) -> str | None:
-    """What is wrong in itself with one block of metrics."""
-    if not isinstance(m, dict) or any(k not in m for k in METRICS):
-        return "missing metrics"
-    if not all(_number(m[k]) for k in METRICS):
-        return "metrics are not finite numbers"
-    n = m["n"]
-    if not (n > 0 and 0 <= m["correct"] <= m["valid"] <= n and 0 <= m["errors"] <= n - m["valid"]):
-        return "impossible counts"
-    if not (math.isclose(m["accuracy"], m["correct"] / n) and math.isclose(m["format_rate"], m["valid"] / n)):
-        return "rates are not the counts'"
-    return None
+
+ITEM = "id string, raw string, parsed string, valid boolean, correct boolean, error string, slices array<string>"
+STORED = "place string, " + ", ".join(f"{m} double" for m in METRICS)
+
+
+def _places(items: DataFrame) -> DataFrame:
+    """Each item once for the whole and once for each of its slices."""
+    named = F.transform(F.array_distinct("slices"), lambda s: F.concat(F.lit("slice:"), s))
+    return items.withColumn("place", F.explode(F.concat(F.array(F.lit("overall")), F.coalesce(named, F.array().cast("array<string>")))))
+
+
+def scored(items: DataFrame, **about) -> Report:
+    """The report of scored items."""
+    stored = _places(items).groupBy("place").agg(*[c.cast("double").alias(n) for n, c in zip(METRICS, metrics())])
+    return Report({"status": "complete", **about}, stored, items.select([f.split()[0] for f in ITEM.split(", ")]))
 
 
 def report_of(items: DataFrame, **about) -> dict:
-    """A report for export: overall, slices, per_item; the golden set is a bounded, reviewed table."""
-    one = overall(items).first().asDict()
-    slices = {r["slice"]: {k: r[k] for k in METRICS} for r in by_slice(items).collect()}
-    per_item = [r.asDict(recursive=True) for r in items.select("id", "raw", "parsed", "valid", "correct", "error", "slices").orderBy("id").collect()]
-    return {"status": "complete", **about, "overall": one, "slices": slices, "per_item": per_item}
-
-
-def report_fault(report: dict, role: str) -> str | None:
-    """Why a report is not consistent with its own items, or None."""
-    if not isinstance(report, dict) or report.get("status") != "complete" or not report.get("model"):
-        return f"{role}: incomplete"
-    if any(k not in report for k in ("overall", "slices", "per_item", "behavioral")) or not report["per_item"]:
-        return f"{role}: parts are missing"
-    items = report["per_item"]
-    if len({i["id"] for i in items}) != len(items):
-        return f"{role}: duplicate ids"
-    if any(i["correct"] and not i["valid"] or i["valid"] and i["error"] is not None for i in items):
-        return f"{role}: an item contradicts itself"
-
-    def of(chosen: list[dict]) -> tuple:
-        return len(chosen), sum(i["correct"] for i in chosen), sum(i["valid"] for i in chosen), sum(i["error"] is not None for i in chosen)
-
-    groups = {name: [i for i in items if name in i["slices"]] for name in {s for i in items for s in i["slices"]}}
-    if set(groups) != set(report["slices"]):
-        return f"{role}: slices are not the items'"
-    for name, block, chosen in [("overall", report["overall"], items), *[(n, report["slices"][n], c) for n, c in groups.items()]]:
-        fault = counts_fault(block)
-        if fault or tuple(block[k] for k in METRICS[:4]) != of(chosen):
-            return f"{role}.{name}: {fault or 'counts differ from the items'}"
-    fault = counts_fault((report["behavioral"] or {}).get("overall"))
-    return f"{role}.behavioral: {fault}" if fault else None
-
-
-def quality_gate(base: dict, new: dict, critical: list[str], least: int = 50) -> list[Check]:
+    """The same as one document, for a golden set of the size of a document."""
+    report = scored(items, **about)
+    blocks = {r["place"]: {m: r[m] if m in METRICS[4:] else int(r[m]) for m in METRICS} for r in report.stored.collect()}
+    per_item = [r.asDict(recursive=True) for r in report.items.orderBy("id").collect()]
+    return {**report.about, "overall": blocks["overall"], "slices": {p[6:]: b for p, b in blocks.items() if p != "overall"}, "per_item": per_item}
+
+
+def _block(place: str, m) -> tuple:
+    """Stored metrics as doubles; what is no number is null."""
+    real = lambda x: float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+    return (place, *[real(m.get(k)) if isinstance(m, dict) else None for k in METRICS])
+
+
+def read_report(spark: SparkSession, document: dict) -> Report:
+    """A document as tables. A part that is missing leaves its table empty, which the rules tell."""
+    blocks = [_block("overall", document.get("overall")), *[_block(f"slice:{k}", v) for k, v in (document.get("slices") or {}).items()]]
+    items = [tuple(i.get(f.split()[0]) for f in ITEM.split(", ")) for i in document.get("per_item") or []]
+    about = {k: v for k, v in document.items() if k not in ("overall", "slices", "per_item")}
+    return Report(about, spark.createDataFrame(blocks, STORED), spark.createDataFrame(items, ITEM))
+
+
+def broken_rules(report: Report) -> DataFrame:
+    """(place, rule) for everything in which a report contradicts its items or itself."""
+    told = [_block("behavioral", (report.about.get("behavioral") or {}).get("overall"))]
+    own = _places(report.items).groupBy("place").agg(*[c.cast("double").alias(f"_{n}") for n, c in zip(METRICS[:4], metrics())])
+    stored = report.stored.withColumn("stored", F.lit(True))
+    both = stored.join(own.withColumn("counted", F.lit(True)), "place", "full_outer")
+    spark = report.stored.sparkSession
+    behavioral = spark.createDataFrame(told, STORED).withColumn("stored", F.lit(True))
+    both = both.unionByName(behavioral.withColumns({"counted": F.lit(True), **{f"_{m}": F.col(m) for m in METRICS[:4]}}))
+    c = {m: F.col(m) for m in METRICS}
+    finite = reduce(lambda x, y: x & y, [c[m].isNotNull() & ~F.isnan(c[m]) & (F.abs(c[m]) < float("inf")) for m in METRICS])
+    possible = (c["n"] > 0) & (c["correct"] >= 0) & (c["correct"] <= c["valid"]) & (c["valid"] <= c["n"]) & c["errors"].between(F.lit(0), c["n"] - c["valid"])
+    right = stats.close(c["accuracy"], c["correct"] / c["n"]) & stats.close(c["format_rate"], c["valid"] / c["n"])
+    rules = {
+        "not among the items": F.col("stored") & F.col("counted").isNull(), "not stored": F.col("stored").isNull(), "metrics are not finite numbers": F.col("stored") & ~finite,
+        "impossible counts": finite & ~possible, "rates are not the counts'": finite & possible & ~right,
+        "counts differ from the items": reduce(lambda x, y: x | y, [c[m] != F.col(f"_{m}") for m in METRICS[:4]]),
+    }
+    tests = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    i = report.items
+    contradicts = (F.col("correct") & ~F.col("valid")) | (F.col("valid") & F.col("error").isNotNull())
+    again = i.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").select(F.lit("items").alias("place"), F.lit("duplicate ids").alias("rule"))
+    wrong = i.where(F.coalesce(contradicts, F.lit(True))).select(F.lit("items").alias("place"), F.lit("an item contradicts itself").alias("rule"))
+    return both.select("place", F.explode(tests).alias("rule")).unionByName(again).unionByName(wrong).distinct()
+
+
+def _faults(report: Report, role: str) -> list[str]:
+    if report.about.get("status") != "complete" or not report.about.get("model"):
+        return [f"{role}: incomplete"]
+    return [f"{role}.{r['place']}: {r['rule']}" for r in broken_rules(report).orderBy("place", "rule").limit(20).collect()]
+
+
+def quality_gate(base: Report | dict, new: Report | dict, critical: list[str], least: int = 50) -> list[Check]:
     """Compatible, consistent, complete, and nowhere worse than the baseline."""
-    out = [Check(k, bool(base.get(k)) and base.get(k) == new.get(k), "hashes differ") for k in ("protocol_sha256", "golden_sha256", "baseline_spec_sha256")]
-    faults = [f for f in (report_fault(base, "baseline"), report_fault(new, "candidate")) if f]
+    base, new = (read_report(SparkSession.active(), r) if isinstance(r, dict) else r for r in (base, new))
+    out = [Check(k, bool(base.about.get(k)) and base.about.get(k) == new.about.get(k), "hashes differ") for k in ("protocol_sha256", "golden_sha256", "baseline_spec_sha256")]
+    faults = _faults(base, "baseline") + _faults(new, "candidate")
     out.append(Check("reports", not faults, "; ".join(faults)))
     if faults:
         return out
-    a, b = base["overall"], new["overall"]
-    sa, sb = base["slices"], new["slices"]
+    a, b = (r.stored.select("place", *[F.col(m).alias(f"{side}_{m}") for m in METRICS]) for side, r in (("a", base), ("b", new)))
+    both = a.join(b, "place", "full_outer")
+    wanted = ["overall", *[f"slice:{c}" for c in critical]]
+    rows = {r["place"]: r for r in both.where(F.col("place").isin(wanted)).collect()}
+    n, apart = both.agg(F.count(F.lit(1)) - 1, F.count_if(~F.col("a_n").eqNullSafe(F.col("b_n")))).first()
+    all_, worse = rows["overall"], "{} < {}".format
     out += [
-        Check("size", a["n"] >= least, f"{a['n']}"), Check("ids", [i["id"] for i in base["per_item"]] == [i["id"] for i in new["per_item"]], "ids differ"),
-        Check("slices", len(sa) >= 3 and set(sa) == set(sb) and all(sa[s]["n"] == sb[s]["n"] for s in sa if s in sb), "slices differ or are fewer than three"),
-        Check("errors", b["errors"] == 0, f"{b['errors']}"), Check("accuracy", b["accuracy"] >= a["accuracy"], f"{b['accuracy']} < {a['accuracy']}"),
-        Check("format_rate", b["format_rate"] >= a["format_rate"], f"{b['format_rate']} < {a['format_rate']}"), Check("critical", bool(critical), "no critical slices"),
+        Check("size", all_["a_n"] >= least, f"{all_['a_n']:.0f}"), Check("ids", same_keys(base.items.select("id"), new.items.select("id"), "id"), "ids differ"),
+        Check("slices", n >= 3 and not apart, "slices differ or are fewer than three"), Check("errors", all_["b_errors"] == 0, f"{all_['b_errors']:.0f}"),
+        *[Check(m, all_[f"b_{m}"] >= all_[f"a_{m}"], worse(all_[f"b_{m}"], all_[f"a_{m}"])) for m in METRICS[4:]], Check("critical", bool(critical), "no critical slices"),
     ]
-    out += [Check(f"slice:{s}", s in sa and s in sb and sb[s]["accuracy"] >= sa[s]["accuracy"], "missing or worse") for s in critical]
-    h = new["behavioral"]["overall"]
+    for place in wanted[1:]:
+        r = rows.get(place)
+        held = r is not None and None not in (r["a_accuracy"], r["b_accuracy"]) and r["b_accuracy"] >= r["a_accuracy"]
+        out.append(Check(place, held, "missing or worse"))
+    h = new.about["behavioral"]["overall"]
     return [*out, Check("behavioral", h["n"] >= 3 and not h["errors"] and h["correct"] == h["n"], f"{h['correct']} of {h['n']}")]
 
 
-def rescored_equal(report: dict, items: DataFrame) -> Check:
+def rescored_equal(report: Report | dict, items: DataFrame) -> Check:
     """The stored report must be what its raw outputs give."""
-    again = report_of(items)
-    same = all(report.get(k) == again[k] for k in ("overall", "slices", "per_item"))
-    return Check("rescored", same, "stored report differs from its outputs")
-
-
-def gate_rejects_corruption(base: dict, new: dict, critical: list[str]) -> Check:
-    """Negative test: with one answer spoilt in a copy the gate must fail."""
-    spoilt = json.loads(json.dumps(new))
-    for item in spoilt["per_item"]:
-        if item["correct"]:
-            item.update(correct=False, valid=False, parsed=None)
-            break
-    else:
+    stored = read_report(items.sparkSession, report) if isinstance(report, dict) else report
+    again = scored(items)
+    return Check("rescored", same_rows(stored.stored, again.stored) and same_rows(stored.items, again.items), "stored report differs from its outputs")
+
+
+def gate_rejects_corruption(base: Report | dict, new: Report | dict, critical: list[str]) -> Check:
+    """Negative test: with one right answer spoilt in a copy's items the gate must fail."""
+    new = read_report(SparkSession.active(), new) if isinstance(new, dict) else new
+    first = new.items.where("correct").agg(F.min("id")).first()[0]
+    if first is None:
         return Check("negative_test", False, "nothing to spoil")
-    return Check("negative_test", not all(c.passed for c in quality_gate(base, spoilt, critical)), "a spoilt report passed")
+    hit = F.col("id") == first
+    items = new.items.withColumns({"parsed": F.when(~hit, F.col("parsed")), "valid": F.col("valid") & ~hit, "correct": F.col("correct") & ~hit})
+    return Check("negative_test", not all(c.passed for c in quality_gate(base, replace(new, items=items), critical)), "a spoilt report passed")
 
 
 def best_run(runs: DataFrame) -> DataFrame:
