@@ -19,9 +19,14 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that cross to Python together, about: one long text may be more.
+BATCH_BYTES = 8 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts cross to Python in batches of so many rows: a bound on a worker's memory."""
+    """Whole texts cross to Python in batches of so many rows and about BATCH_BYTES: a bound on a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def release() -> None:
@@ -69,3 +74,19 @@ def unpack_row(df: DataFrame, names: list[str], *out: str) -> DataFrame:
 def crc_of(col: str) -> Column:
     """CRC-32 of a column's decimal text; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")))
+
+
+#: A key with more than one in so many rows is hot; there are at most so many hot keys, whatever the table.
+HOT_SHARE, HOT_LEAST = 10_000, 1000
+
+
+def hot_bound(rows: int) -> int:
+    """Rows of a key from which it is hot."""
+    return max(HOT_LEAST, rows // HOT_SHARE)
+
+
+def join_by_key(many: DataFrame, one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of `many` with `one`, which has a row a key. Keys in `hot`, rows of `one` of which there
+    are at most HOT_SHARE by `hot_bound`, are broadcast, so that no task gathers a hot key's rows."""
+    rest = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one, keys)
+    return rest.unionByName(many.join(F.broadcast(hot), keys))

@@ -29,7 +29,7 @@ def small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, rounds: int = 1000) -> DataFrame:
     """(u, v) longs -> (node, root): each linked node with the least node that it reaches."""
     now = scratch.table(links.select("u", "v").where("u <> v").distinct(), "links")
     mark = None
@@ -41,5 +41,7 @@ def components(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
+    else:
+        raise ArithmeticError(f"components still change after {rounds} rounds")
     roots = now.select("u", "v")
     return scratch.table(roots.unionByName(roots.select(F.col("v").alias("u"), "v")).distinct().select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
