@@ -1,6 +1,9 @@
 """A gated recurrent language model in numpy: training by truncated backpropagation, scoring with
 carried state, and an output softmax factored into classes. Runs of documents go through lanes:
-each lane holds whole documents one after another and its state starts at zero with each."""
+each lane holds whole documents one after another and its state starts at zero with each.
+
+Classes are runs of words by frequency, cut at equal shares of the summed roots of their counts, so
+that frequent words stand in small classes and a token costs few comparisons."""
 
 from __future__ import annotations
 
@@ -17,17 +20,46 @@ END, OTHER = 0, 1
 class Shape:
     classes: int = 32
     members: int = 32
-    width: int = 32
+    width: int = 16
 
     @property
     def vocabulary(self) -> int:
         return self.classes * self.members
 
 
+def class_bounds(counts: np.ndarray, classes: int) -> np.ndarray:
+    """Where each class begins, and the end: no class is empty."""
+    n = len(counts)
+    upto = np.cumsum(np.sqrt(counts))
+    cut = np.searchsorted(upto, upto[-1] * np.arange(classes + 1) / classes)
+    cut[0], cut[-1] = 0, n
+    i = np.arange(classes + 1)
+    cut = np.maximum.accumulate(cut - i) + i
+    return np.minimum(cut, n - classes + i)
+
+
+def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp and its sums by row; rows are shifted only where a sum could leave the range."""
+    shifted = logits.max() > 60
+    if shifted:
+        logits -= logits.max(axis=1, keepdims=True)
+    e = np.exp(logits)
+    total = e.sum(axis=1)
+    if not shifted and total.min() < 1e-30:
+        logits -= logits.max(axis=1, keepdims=True)
+        e = np.exp(logits)
+        total = e.sum(axis=1)
+    return e, total
+
+
 @dataclass
 class Model:
     shape: Shape
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    bounds: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        self.cls = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds)).astype(np.uint16)
 
     @classmethod
     def start(cls, shape: Shape, counts: np.ndarray, seed: int = 0) -> Model:
@@ -35,109 +67,138 @@ class Model:
         rng, h = np.random.default_rng(seed), shape.width
         full = np.full(shape.vocabulary, 1e-12)
         full[: len(counts)] = np.maximum(counts, 0.5)
-        full = full.reshape(shape.classes, shape.members)
-        scale = lambda *s: (rng.standard_normal(s) / np.sqrt(s[-2] if len(s) > 1 else 1)).astype(np.float32)
+        bounds = class_bounds(full, shape.classes)
+        mass = np.add.reduceat(full, bounds[:-1])
+        scale = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         p = {
             "E": scale(shape.vocabulary, h) * np.float32(np.sqrt(shape.vocabulary / h)),
             "W": scale(h, 3 * h), "U": scale(h, 3 * h), "b": np.zeros(3 * h, np.float32),
-            "C": scale(h, shape.classes) * np.float32(0.1), "c": np.log(full.sum(axis=1) / full.sum()).astype(np.float32),
-            "M": scale(shape.classes, h, shape.members) * np.float32(0.1), "m": np.log(full / full.sum(axis=1, keepdims=True)).astype(np.float32),
+            "C": scale(h, shape.classes) * np.float32(0.1), "c": np.log(mass / full.sum()).astype(np.float32),
+            "M": scale(shape.vocabulary, h) * np.float32(0.1 * np.sqrt(shape.vocabulary / h)), "m": np.log(full / np.repeat(mass, np.diff(bounds))).astype(np.float32),
         }
-        return cls(shape, p)
+        return cls(shape, p, bounds)
 
     def cell(self, gx: np.ndarray, h: np.ndarray):
         """One step: gates from the input part and the state."""
         w = self.shape.width
         gh = h @ self.p["U"]
-        zr = np.tanh((gx[:, : 2 * w] + gh[:, : 2 * w]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-        n = np.tanh(gx[:, 2 * w :] + zr[:, w:] * gh[:, 2 * w :])
-        return n + zr[:, :w] * (h - n), zr, n, gh[:, 2 * w :]
+        zr = np.tanh(gx[:, : 2 * w] + gh[:, : 2 * w])
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
+        n = zr[:, w:] * gh[:, 2 * w :]
+        n += gx[:, 2 * w :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= zr[:, :w]
+        new += n
+        return new, zr, n, gh[:, 2 * w :]
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of the targets; with grads also their gradient by the states."""
-        p, k = self.p, self.shape.members
-        cls, member = targets // k, targets % k
-        n = len(targets)
-        logits = states @ p["C"] + p["c"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        out = logits[np.arange(n), cls] - np.log(total)
+        p, n = self.p, len(targets)
+        if not n:
+            if grads is not None:
+                grads.update({k: np.zeros_like(p[k]) for k in "CcMm"})
+            return np.zeros(0), np.zeros_like(states)
+        cls = self.cls[targets]
+        order = np.argsort(cls, kind="stable")
+        s, t, own = states[order], targets[order], cls[order]
+        sizes = np.bincount(cls, minlength=self.shape.classes)
+        ends = np.cumsum(sizes)
+        logits = s @ p["C"]
+        logits += p["c"]
+        e, total = softmax(logits)
+        rows = np.arange(n)
+        out = logits[rows, own] - np.log(total)
         back = None
         if grads is not None:
-            d = -e / total[:, None]
-            d[np.arange(n), cls] += 1
-            grads["C"], grads["c"] = states.T @ d, d.sum(axis=0)
+            e *= np.float32(-1) / total[:, None]
+            e[rows, own] += 1
+            grads["C"], grads["c"] = s.T @ e, e.sum(axis=0)
             grads["M"], grads["m"] = np.zeros_like(p["M"]), np.zeros_like(p["m"])
-            back = d @ p["C"].T
-        order = np.argsort(cls, kind="stable")
-        sizes = np.bincount(cls, minlength=self.shape.classes)
-        at = 0
+            back = e @ p["C"].T
         for c in np.flatnonzero(sizes):
-            i = order[at : at + sizes[c]]
-            at += sizes[c]
-            s = states[i]
-            logits = s @ p["M"][c] + p["m"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            rows = np.arange(len(i))
-            out[i] += logits[rows, member[i]] - np.log(total)
+            lo, hi = self.bounds[c], self.bounds[c + 1]
+            if hi - lo == 1:
+                continue
+            i = slice(ends[c] - sizes[c], ends[c])
+            logits = s[i] @ p["M"][lo:hi].T
+            logits += p["m"][lo:hi]
+            e, total = softmax(logits)
+            at = rows[: sizes[c]], t[i] - lo
+            out[i] += logits[at] - np.log(total)
             if grads is not None:
-                d = -e / total[:, None]
-                d[rows, member[i]] += 1
-                grads["M"][c], grads["m"][c] = s.T @ d, d.sum(axis=0)
-                back[i] += d @ p["M"][c].T
-        return out, back
+                e *= np.float32(-1) / total[:, None]
+                e[at] += 1
+                grads["M"][lo:hi], grads["m"][lo:hi] = e.T @ s[i], e.sum(axis=0)
+                back[i] += e @ p["M"][lo:hi]
+        unsorted = np.empty_like(out)
+        unsorted[order] = out
+        if back is not None:
+            there = np.empty_like(back)
+            there[order] = back
+            back = there
+        return unsorted, back
 
     def window(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, real: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, np.ndarray], float]:
         """One window of truncated backpropagation. x: time x lanes; fresh: a document starts here; real: not padding."""
         p, w = self.p, self.shape.width
         steps, lanes = x.shape
-        emb = p["E"][x.ravel()]
+        flat_x = x.ravel()
+        emb = p["E"][flat_x]
         gx = (emb @ p["W"] + p["b"]).reshape(steps, lanes, -1)
-        states = np.empty((steps, lanes, w), np.float32)
-        saved = []
+        keep = (~fresh).astype(np.float32)[:, :, None]
+        states, zr, cand, ghn = (np.empty((steps, lanes, k), np.float32) for k in (w, 2 * w, w, w))
         for t in range(steps):
-            h = h * ~fresh[t][:, None]
+            h = h * keep[t]
             states[t] = h
-            h, zr, n, ghn = self.cell(gx[t], h)
-            saved.append((zr, n, ghn))
+            h, zr[t], cand[t], ghn[t] = self.cell(gx[t], h)
         grads: dict[str, np.ndarray] = {}
-        use = slice(None) if real is None else np.flatnonzero(real.ravel())
-        back = np.zeros((steps * lanes, w), np.float32)
-        logp, back[use] = self.output(states.reshape(-1, w)[use], x.ravel()[use], grads)
+        if real is None:
+            logp, back = self.output(states.reshape(-1, w), flat_x, grads)
+        else:
+            use = np.flatnonzero(real.ravel())
+            back = np.zeros((steps * lanes, w), np.float32)
+            logp, back[use] = self.output(states.reshape(-1, w)[use], flat_x[use], grads)
         back = back.reshape(steps, lanes, w)
-        dgx = np.zeros_like(gx)
-        dgh = np.zeros_like(gx)
-        dh = np.zeros((lanes, w), np.float32)
+        # What the steps need of the forward pass, for all of them at once. A gate is (1 + tanh) / 2.
+        z, r = zr[:, :, :w], zr[:, :, w:]
+        slope = zr * (1 - zr) * np.float32(2)
+        by_cand = (1 - z) * (1 - cand * cand)
+        by_z = (states - cand) * slope[:, :, :w]
+        by_r = ghn * slope[:, :, w:]
+        dgh, dcand = np.empty((steps, lanes, 3 * w), np.float32), np.empty((steps, lanes, w), np.float32)
+        dh, back_u = np.zeros((lanes, w), np.float32), np.ascontiguousarray(p["U"].T)
         for t in range(steps - 1, -1, -1):
-            zr, n, ghn = saved[t]
-            z, r, s = zr[:, :w], zr[:, w:], states[t]
-            da = dh * (1 - z) * (1 - n * n)
-            dz = dh * (s - n) * z * (1 - z)
-            dr = da * ghn * r * (1 - r)
-            dgx[t] = np.concatenate([dz, dr, da], axis=1)
-            dgh[t] = np.concatenate([dz, dr, da * r], axis=1)
-            dh = (dh * z + dgh[t] @ p["U"].T + back[t]) * ~fresh[t][:, None]
-        flat = dgx.reshape(-1, 3 * w)
+            d, g = dcand[t], dgh[t]
+            np.multiply(dh, by_cand[t], out=d)
+            np.multiply(dh, by_z[t], out=g[:, :w])
+            np.multiply(d, by_r[t], out=g[:, w : 2 * w])
+            np.multiply(d, r[t], out=g[:, 2 * w :])
+            dh *= z[t]
+            dh += g @ back_u
+            dh += back[t]
+            dh *= keep[t]
         grads["U"] = states.reshape(-1, w).T @ dgh.reshape(-1, 3 * w)
+        dgh[:, :, 2 * w :] = dcand
+        flat = dgh.reshape(-1, 3 * w)
         grads["W"], grads["b"] = emb.T @ flat, flat.sum(axis=0)
         grads["E"] = np.zeros_like(p["E"])
-        order = np.argsort(x.ravel(), kind="stable")
-        ids = x.ravel()[order]
+        order = np.argsort(flat_x.astype(np.uint16) if self.shape.vocabulary <= 65536 else flat_x, kind="stable")
+        ids = flat_x[order]
         starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         grads["E"][ids[starts]] = np.add.reduceat((flat @ p["W"].T)[order], starts)
         return h, grads, float(logp.sum())
 
     def train(self, docs: list[np.ndarray], epochs: int = 3, lanes: int = 64, steps: int = 32, rate: float = 4e-3, seed: int = 0, kept: dict | None = None) -> list[float]:
         """Mean log probability per token of each epoch. docs end with END. Every token is trained on.
+        Steps are scaled by the running root mean square of each parameter's gradient.
         kept: the optimiser's state from call to call; the rate stays, without it it falls to the end."""
         rng = np.random.default_rng(seed)
         state = {} if kept is None else kept
         if not state:
-            state.update(done=0, m={k: np.zeros_like(v) for k, v in self.p.items()}, v={k: np.zeros_like(x) for k, x in self.p.items()})
-        m, v, curve = state["m"], state["v"], []
+            state.update(done=0, v={k: np.zeros_like(x) for k, x in self.p.items()})
+        v, curve = state["v"], []
         docs = [d for d in docs if len(d)]
         if not docs:
             return curve
@@ -150,38 +211,40 @@ class Model:
             b = min(lanes, len(stream))
             per = -(-len(stream) // b)
             pad = b * per - len(stream)
-            x = np.pad(stream, (0, pad), constant_values=END).reshape(b, per).T
+            x = np.ascontiguousarray(np.pad(stream, (0, pad), constant_values=END).reshape(b, per).T)
             f = np.pad(fresh, (0, pad)).reshape(b, per).T.copy()
             real = np.pad(np.ones(len(stream), bool), (0, pad)).reshape(b, per).T
             f[0] = True
             h = np.zeros((b, self.shape.width), np.float32)
             total = 0.0
             for at in range(0, per, steps):
-                n = int(real[at : at + steps].sum())
-                h, grads, logp = self.window(x[at : at + steps], f[at : at + steps], h, real[at : at + steps] if pad else None)
+                told = real[at : at + steps]
+                n = int(told.sum())
+                h, grads, logp = self.window(x[at : at + steps], f[at : at + steps], h, told if n < told.size else None)
                 total += logp
                 state["done"] += 1
                 done = state["done"]
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                clip = min(1.0, 2.0 * n / max(norm, 1e-9)) / n
+                norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+                clip = min(1.0, 2.0 * n / max(norm, 1e-9)) / max(1, n)
                 now = rate * (max(0.05, 1 - done / windows) if kept is None else 1)
                 for k, g in grads.items():
                     g *= np.float32(clip)
-                    m[k] *= np.float32(0.9)
-                    m[k] += np.float32(0.1) * g
-                    v[k] *= np.float32(0.99)
-                    g *= g
-                    v[k] += np.float32(0.01) * g
-                    step = np.sqrt(v[k] * np.float32(1 / (1 - 0.99**done)))
-                    step += np.float32(1e-8)
-                    np.divide(m[k], step, out=step)
-                    step *= np.float32(now / (1 - 0.9**done))
-                    self.p[k] += step
+                    square = g * g
+                    square -= v[k]
+                    square *= np.float32(0.01)
+                    v[k] += square
+                    np.sqrt(v[k], out=square)
+                    square *= np.float32((1 - 0.99**done) ** -0.5)
+                    square += np.float32(1e-8)
+                    g /= square
+                    g *= np.float32(now)
+                    self.p[k] += g
             curve.append(total / len(stream))
         return curve
 
-    def score(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 48) -> np.ndarray:
-        """Natural log probability of each whole document; the state is carried from window to window."""
+    def score(self, docs: list[np.ndarray], lanes: int = 512, steps: int = 32) -> np.ndarray:
+        """Natural log probability of each whole document; the state is carried from window to window.
+        Windows have `steps` steps at full lanes and more where few lanes are left, as much work each."""
         out = np.zeros(len(docs))
         if not docs:
             return out
@@ -196,16 +259,17 @@ class Model:
         held.sort(key=lambda x: -sum(len(docs[d]) for d in x))
         streams = [np.concatenate([docs[d] for d in x]) for x in held]
         sizes = np.array([len(s) for s in streams])
-        owner = [np.repeat(x, [len(docs[d]) for d in x]) for x in held]
+        owner = [np.repeat(np.array(x, dtype=np.int32), [len(docs[d]) for d in x]) for x in held]
         starts = sorted((int(s), i) for i, x in enumerate(held) for s in np.cumsum([0, *[len(docs[d]) for d in x[:-1]]]))
         table = self.p["E"] @ self.p["W"] + self.p["b"]
         h = np.zeros((lanes, w), np.float32)
         next_start = 0
-        for at in range(0, int(sizes[0]), steps):
+        at, work = 0, lanes * steps
+        while at < sizes[0]:
             live = int((sizes > at).sum())
-            span = min(steps, int(sizes[0]) - at)
+            span = min(max(steps, work // live), int(sizes[0]) - at)
             x = np.zeros((live, span), np.int64)
-            who = np.full((live, span), -1)
+            who = np.full((live, span), -1, np.int32)
             for i in range(live):
                 part = streams[i][at : at + span]
                 x[i, : len(part)] = part
@@ -221,6 +285,8 @@ class Model:
                 h = self.cell(table[xt[t]], h)[0]
             who = who.T.ravel()
             use = np.flatnonzero(who >= 0)
-            logp, _ = self.output(states.reshape(-1, w)[use], xt.ravel()[use])
+            full = len(use) == len(who)
+            logp, _ = self.output(states.reshape(-1, w) if full else states.reshape(-1, w)[use], xt.ravel() if full else xt.ravel()[use])
             out += np.bincount(who[use], weights=logp, minlength=len(docs))
+            at += span
         return out

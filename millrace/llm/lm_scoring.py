@@ -6,81 +6,124 @@ of a gated recurrent model (`gru`), whose output biases start from those counts
 grows with the square root of the words read, up to FREQUENT. Its weights are fitted on all training
 documents: the driver's few epochs over about `fit_docs` of them give all tasks the same start, then
 in ROUNDS rounds every task trains on its own rows of the round, each training document falls into
-one round, and the tasks' parameters are averaged by their tokens, slice by slice. Scoring carries the state through each whole document. A word outside the vocabulary
-has the probability of the mark "other" times its smoothed share of all other words' counts, so the
-counts of the whole corpus decide every rare word.
+one round, and the tasks' parameters are averaged by their tokens, slice by slice. Scoring carries
+the state through each whole document. A word outside the vocabulary has the probability of the mark
+"other" times its smoothed share of all other words' counts, so the counts of the whole corpus decide
+every rare word.
 
-Words beyond a broadcast list of FREQUENT words meet their counts in a join on a 64-bit hash; by
-the list's making no such word is frequent, so the join has no hot key. Texts that a task reads
-again are scored once. Nothing is proportional to the corpus on the driver.
+Texts are read twice, to count and to encode: the encoded table holds two bytes a word, and the words
+beyond a broadcast list of FREQUENT words as text. Those meet their counts in a join on the word; by
+the list's making no such word is frequent, so the join has no hot key. Every row of the encoded table
+has a number of its own, by which sums come back to it, so copies of a text are no hot key either.
+Texts that a task reads again are scored once. Nothing is proportional to the corpus on the driver.
 
 Defined results: null text is empty, which is the end mark alone; a null id hashes as empty text;
-repeated rows are scored alike; an empty table gives an empty result; other columns are not read.
+repeated rows are scored alike; a very long text is scored whole, in windows; an empty table gives an
+empty result; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Scratch, crc_of, map_pandas, small_batches
+from ._common import Scratch, crc_of, map_arrow, map_pandas, small_batches
 from .gru import END, OTHER, Model, Shape
 
 FREQUENT = 65_536
 #: Tokens that go through the lanes together, about.
-TOGETHER = 600_000
+TOGETHER = 1_500_000
+#: Tokens that a task trains on together, about, and lanes at most.
+TRAINED, LANES = 600_000, 512
 #: Passes over shares of the training documents that make up the whole, and the rate of the first.
-ROUNDS, RATE = 4, 4e-3
+ROUNDS, RATE = 4, 8e-3
 #: Parameters that travel as one row.
 SLICE = 65_536
-#: Different words after which a task passes on its counts.
-HELD = 1_000_000
+#: Words that a task counts together before it passes on its counts.
+HELD = 4_000_000
 
 
 def held_out(id_col: str) -> Column:
     return F.pmod(crc_of(id_col), F.lit(7)) == 2
 
 
-def words(text: str | None) -> list[bytes]:
-    """A-Z lowered, split at ASCII white space: bytes methods do exactly this."""
-    return text.encode("utf-8").lower().split() if text else []
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, A-Z lowered and split at ASCII white space, end to end; of each its text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    flat, owner = split.flatten(), np.repeat(np.arange(len(texts)), sizes)
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    return (flat, owner) if full.all() else (flat.filter(pa.array(full)), owner[full])
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
 
-    def rows() -> pd.DataFrame:
-        out = pd.DataFrame({"word": [w.decode("utf-8") for w in counts], "n": list(counts.values())})
-        counts.clear()
-        return out
+    def rows() -> pa.RecordBatch:
+        found = pa.concat_arrays(held).value_counts()
+        held.clear()
+        return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
-    for pdf in batches:
-        for text in pdf["text"]:
-            counts.update(words(text))
-        if len(counts) > HELD:
+    for batch in batches:
+        held.append(words(batch.column(0))[0])
+        size += len(held[-1])
+        if size > HELD:
             yield rows()
-    if counts:
+            size = 0
+    if size:
         yield rows()
 
 
-def ids_of(ranks: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Model ids of frequency ranks (-1: not frequent), with the end mark."""
-    ids = np.where((ranks >= 0) & (ranks < vocabulary - 2), ranks + 2, OTHER)
-    return np.append(ids, END).astype(np.int32)
-
-
 def shape_for(tokens: int) -> Shape:
     """A vocabulary of the square root of the words read, from the least shape to what the list holds."""
-    side = math.isqrt(max(Shape().vocabulary, min(FREQUENT, math.isqrt(tokens))))
-    return Shape(side, side)
+    size = max(Shape().vocabulary, min(FREQUENT, math.isqrt(tokens)))
+    classes = max(Shape().classes, math.isqrt(size) // 2)
+    return Shape(classes, size // classes)
+
+
+def encoder(shared, inside: int, schema: T.StructType):
+    """(id, held_out, round, text) -> a numbered row with model ids, counts and sums of frequent words, rare words."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        frequent, logs = shared.value
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            n = batch.num_rows
+            flat, owner = words(batch.column(3))
+            found = pc.index_in(flat, value_set=frequent)
+            rank = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = rank >= 0
+            ids = np.where(known & (rank < inside), rank + 2, OTHER)
+            sizes = np.bincount(owner, minlength=n)
+            ends = np.cumsum(sizes)
+            at = np.insert(ids, ends, END).astype("<u2").tobytes()
+            edges = 2 * (np.concatenate([[0], ends]) + np.arange(n + 1))
+            value = np.where(known, logs[rank] if len(logs) else 0.0, 0.0)
+            rare = flat.filter(pa.array(~known))
+            rare_at = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))]).astype(np.int32)
+            by_text = lambda x: pa.array(np.bincount(owner, weights=x, minlength=n))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3], pa.array(number + np.arange(n)), pa.array([at[a:b] for a, b in zip(edges, edges[1:])], pa.binary()),
+                    pa.array(np.bincount(owner[known], minlength=n).astype(np.int64)), pa.array(np.bincount(owner[ids == OTHER], minlength=n).astype(np.int64)),
+                    by_text(value), by_text(np.where(rank >= inside, value, 0.0)), pa.ListArray.from_arrays(pa.array(rare_at), rare),
+                ],
+                names=schema.names,
+            )
+            number += n
+
+    return encode
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 1500, epochs: int = 3, shape: Shape | None = None) -> DataFrame:
@@ -88,10 +131,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     spark = df.sparkSession
     small_batches(spark, 500)
     scratch = Scratch(spark)
-    docs = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out(id_col).alias("held_out"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    docs = df.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.xxhash64(key).alias("drawn"), F.col(text_col).cast("string").alias("text"))
     train = docs.where(~F.col("held_out"))
 
-    counts = scratch.table(map_pandas(train.select("text"), _count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.table(map_arrow(train.select("text"), _count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n_docs = train.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = total["n"] + n_docs, total["v"] + (n_docs > 0)
@@ -102,127 +146,91 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
     upto = counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).select("n", F.sum("c").over(falling).alias("upto"))
     least = upto.where(F.col("upto") <= FREQUENT).agg(F.min("n")).first()[0]
     top = [] if least is None else sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
-    rank = {r["word"].encode("utf-8"): i for i, r in enumerate(top)}
     top_counts = np.array([r["n"] for r in top], dtype=np.float64)
     inside = shape.vocabulary - 2
     n_other = total["n"] - int(top_counts[:inside].sum())
     v_other = total["v"] - min(inside, len(top))
 
     model = Model.start(shape, np.concatenate([[n_docs, n_other + 1], top_counts[:inside]]))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    share = min(2**63 - 1, -(2**63) + 2**64 * fit_docs // max(1, n_docs))
-    sample = train.where(F.xxhash64(key) <= F.lit(share)).select("text")
-    shared = spark.sparkContext.broadcast((rank, np.log10(top_counts + 1)))
+    shared = spark.sparkContext.broadcast((pa.array([r["word"] for r in top], pa.string()), np.log10(top_counts + 1)))
+    fields = [T.StructField(c, t) for c, t in (("id", df.schema[id_col].dataType), ("held_out", T.BooleanType()), ("drawn", T.LongType()), ("row", T.LongType()), ("ids", T.BinaryType()))]
+    fields += [T.StructField(c, t) for c, t in (("n_frequent", T.LongType()), ("n_other", T.LongType()), ("s_all", T.DoubleType()), ("s_other", T.DoubleType()), ("rare", T.ArrayType(T.StringType())))]
+    schema = T.StructType(fields)
+    coded = scratch.table(map_arrow(docs, encoder(shared, inside, schema), schema), "coded")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = shared.value[0].get
-        for pdf in batches:
-            ids = [ids_of(np.array([get(w, -1) for w in words(t)], dtype=np.int64), shape.vocabulary) for t in pdf["text"]]
-            yield pd.DataFrame({"ids": [x.tobytes() for x in ids]})
-
-    drawn = sorted(bytes(r[0]) for r in map_pandas(sample, encode, "ids binary").collect())
-    model.train([np.frombuffer(x, np.int32).astype(np.int64) for x in drawn], epochs)
+    fitted = coded.where(~F.col("held_out"))
+    share = min(2**63 - 1, -(2**63) + 2**64 * fit_docs // max(1, n_docs))
+    drawn = sorted(bytes(r[0]) for r in fitted.where(F.col("drawn") <= F.lit(share)).select("ids").limit(4 * fit_docs).collect())
+    model.train([np.frombuffer(x, "<u2").astype(np.int64) for x in drawn], epochs)
     for r in range(ROUNDS if n_docs else 0):
-        mine = train.where(F.pmod(F.xxhash64(F.lit("round"), key), F.lit(ROUNDS)) == r).select("text")
-        model = averaged(mine, model, shared, RATE * (1 - r / ROUNDS))
+        mine = fitted.where(F.pmod(F.xxhash64(F.lit("round"), "drawn"), F.lit(ROUNDS)) == r).select("ids")
+        model = averaged(mine, model, RATE * (1 - r / ROUNDS))
     weights = spark.sparkContext.broadcast(model)
-    log_end = math.log10(n_docs + 1)
-
-    schema = T.StructType([df.schema[id_col], T.StructField("held_out", T.BooleanType())])
-    for name, kind in (("d1", "long"), ("d2", "long"), ("n_tokens", "long"), ("n_frequent", "long"), ("n_other", "long"), ("s_all", "double"), ("s_other", "double"), ("logp", "double")):
-        schema = schema.add(name, kind)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (ranks_of, logs), lm = shared.value, weights.value
-        get = ranks_of.get
-        done: dict[tuple[int, int], tuple] = {}
+        lm = weights.value
+        done: dict[bytes, float] = {}
         rows, fresh, keys, size = [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            for key, logp in zip(keys, lm.score(fresh)):
-                done[key] = (*done[key], float(logp))
-            out = pd.DataFrame([(a, b, *key, *done[key]) for a, b, key in rows], columns=schema.names)
+            done.update(zip(keys, lm.score(fresh).tolist()))
+            out = pd.DataFrame({"row": [a for a, _ in rows], "logp": [done[k] for _, k in rows]})
             rows.clear(), fresh.clear(), keys.clear()
             return out
 
         for pdf in batches:
-            for doc, out, text in zip(pdf[id_col], pdf["held_out"], pdf["text"]):
-                key = digest(text)
-                rows.append((doc, out, key))
-                if key in done:
-                    continue
-                r = np.array([get(w, -1) for w in words(text)], dtype=np.int64)
-                known = r[r >= 0]
-                ids = ids_of(r, shape.vocabulary)
-                done[key] = (len(ids), len(known), int((ids == OTHER).sum()), float(logs[known].sum()) + log_end, float(logs[known[known >= inside]].sum()))
-                fresh.append(ids.astype(np.int64))
-                keys.append(key)
-                size += len(ids)
+            for row, ids in zip(pdf["row"], pdf["ids"]):
+                key = hashlib.blake2b(ids, digest_size=16).digest()
+                rows.append((row, key))
+                if key not in done:
+                    done[key] = 0.0
+                    fresh.append(np.frombuffer(ids, "<u2").astype(np.int64))
+                    keys.append(key)
+                    size += len(fresh[-1])
             if size > TOGETHER:
                 yield flush()
                 size = 0
         if rows:
             yield flush()
 
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-        from pyspark import TaskContext
-
-        known, part = shared.value[0], TaskContext.get().partitionId()
-        seen: set[tuple[int, int]] = set()
-        hashed = xxhash.xxh64_intdigest
-        for pdf in batches:
-            hs, ns, keys, sizes = [], [], [], []
-            for text in pdf["text"]:
-                key = digest(text)
-                if key in seen:
-                    continue
-                seen.add(key)
-                left = Counter(w for w in words(text) if w not in known)
-                hs += [hashed(w, 42) for w in left]
-                ns += left.values()
-                keys.append(key)
-                sizes.append(len(left))
-            k = np.repeat(np.array(keys, dtype=np.int64).reshape(-1, 2), sizes, axis=0)
-            yield pd.DataFrame({"h": np.array(hs, dtype=np.uint64).view(np.int64), "d1": k[:, 0], "d2": k[:, 1], "part": part, "n": np.array(ns, dtype=np.int64)})
-
+    scored = map_pandas(coded.select("row", "ids"), score, "row long, logp double")
     if len(top) < total["v"]:
         tail = counts if least is None else counts.where(F.col("n") < least)
-        tail = tail.select(F.xxhash64("word").alias("h"), "n").groupBy("h").agg(F.sum("n").alias("c"))
-        meets = map_pandas(docs.select("text"), rare, "h long, d1 long, d2 long, part int, n long").join(tail, "h")
-        by_text = meets.groupBy("d1", "d2", "part").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("s"), F.sum("n").alias("n"))
-        by_text = by_text.groupBy("d1", "d2").agg(F.max("s").alias("s_rare"), F.max("n").alias("n_rare"))
-        scored = scratch.table(map_pandas(docs, score, schema), "scores").join(by_text, ["d1", "d2"], "left")
+        meets = coded.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word")).join(tail.select("word", "n"), "word")
+        scored = scored.join(meets.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("s_rare"), F.count(F.lit(1)).alias("n_rare")), "row", "left")
     else:
-        scored = map_pandas(docs, score, schema).withColumn("s_rare", F.lit(0.0)).withColumn("n_rare", F.lit(0))
+        scored = scored.withColumn("s_rare", F.lit(0.0)).withColumn("n_rare", F.lit(0))
+    both = coded.drop("rare", "drawn").withColumn("n_tokens", (F.octet_length("ids") / 2).cast("bigint")).drop("ids").join(scored, "row")
     s_rare, n_rare = F.coalesce("s_rare", F.lit(0.0)), F.coalesce("n_rare", F.lit(0))
-    return scored.select(
-        id_col, "held_out", "n_tokens",
+    log_end = math.log10(n_docs + 1)
+    return both.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens",
         (F.col("n_frequent") + n_rare + F.lit(int(n_docs > 0))).cast("bigint").alias("n_known"),
         F.lit(n_all).cast("bigint").alias("train_tokens"),
-        (F.col("s_all") + s_rare - F.col("n_tokens") * F.lit(math.log10(n_all + v_all + 1))).alias("base_score"),
+        (F.col("s_all") + F.lit(log_end) + s_rare - F.col("n_tokens") * F.lit(math.log10(n_all + v_all + 1))).alias("base_score"),
         (F.col("logp") / F.lit(math.log(10)) + F.col("s_other") + s_rare - F.col("n_other") * F.lit(math.log10(n_other + v_other + 1))).alias("score"),
     )
 
 
-def averaged(texts: DataFrame, model: Model, shared, rate: float) -> Model:
+def averaged(texts: DataFrame, model: Model, rate: float) -> Model:
     """The model after each task's training on all its texts, averaged by the tasks' tokens."""
     spark = texts.sparkSession
     start = spark.sparkContext.broadcast(model)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get, lm = shared.value[0].get, start.value
-        lm = Model(lm.shape, {k: v.copy() for k, v in lm.p.items()})
+        lm = start.value
+        lm = Model(lm.shape, {k: v.copy() for k, v in lm.p.items()}, lm.bounds)
         held, size, n, kept = [], 0, 0, {}
         for pdf in batches:
-            for text in pdf["text"]:
-                held.append(ids_of(np.array([get(w, -1) for w in words(text)], dtype=np.int64), lm.shape.vocabulary).astype(np.int64))
+            for ids in pdf["ids"]:
+                held.append(np.frombuffer(ids, "<u2").astype(np.int64))
                 size += len(held[-1])
-                n += len(held[-1])
-                if size > TOGETHER:
-                    lm.train(held, 1, lanes=max(4, min(128, size // 2048)), rate=rate, kept=kept)
+                if size > TRAINED:
+                    lm.train(held, 1, lanes=LANES, rate=rate, kept=kept)
+                    n += size
                     held, size = [], 0
-        lm.train(held, 1, lanes=max(4, min(128, size // 2048)), rate=rate, kept=kept)
+        lm.train(held, 1, lanes=max(4, min(LANES, size // 2048)), rate=rate, kept=kept)
+        n += size
         if n:
             flat = np.concatenate([v.ravel() for v in lm.p.values()])
             cut = [flat[i : i + SLICE].tobytes() for i in range(0, len(flat), SLICE)]
@@ -245,9 +253,5 @@ def averaged(texts: DataFrame, model: Model, shared, rate: float) -> Model:
     if not len(flat):
         return model
     ends = np.cumsum([v.size for v in model.p.values()])
-    return Model(model.shape, {k: x.reshape(v.shape).copy() for (k, v), x in zip(model.p.items(), np.split(flat, ends[:-1]))})
-
+    return Model(model.shape, {k: x.reshape(v.shape).copy() for (k, v), x in zip(model.p.items(), np.split(flat, ends[:-1]))}, model.bounds)
 
-def digest(text: str) -> tuple[int, int]:
-    d = hashlib.blake2b(text.encode("utf-8"), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
