@@ -1,20 +1,21 @@
 """Harmonic packing of tokenised documents into sequences of at most 1024 tokens.
 
-A document's ids (with a closing id) are cut freely: whole sequences first, then what is left by
-the reciprocal capacities 1/2, 1/4, ... 1/32 (512, 256, ... 32 ids) and a tail of under 32 ids.
-Pieces are partitioned into classes by the largest k of which k fit: the exact classes hold
-k = 2, 4, ... 32 pieces without any padding; tails go to the class of the next power of two and
-share a bin by the same fixed count, so a bin closes by counting and never by searching. Every
-worker fills its own bins; a piece crosses no network and the whole operator is one map stage.
-At the end of its rows a worker closes what is open: exact pieces in groups of 2^j (their total is
-a power of two), leftover tails end to end, cut at powers of two. A sequence whose length is a
-power of two needs no padding, so only full tail bins have any.
+A document's ids (with a closing id) fill whole sequences first; what is left, under 1024 ids, stays
+in one piece as a rule. Remainders are partitioned by reciprocal capacity: class k holds those of
+which k fit and k + 1 do not (beyond k = 32 only powers of two), and a bin of class k takes k of them, so
+it closes by counting and never by searching. Such a bin has a gap of up to 1/(k+1) of it. A gap of
+at most SLACK ids is left as padding; a larger one is filled from a donor, a remainder that is cut
+for it: that is the only cut a remainder suffers. Every worker fills its own bins; a piece crosses no
+network and the whole operator is one map stage. A worker holds one open bin a class and few bins
+that wait for a donor, whatever it reads. At the end of its rows what is open goes end to end into
+full sequences, and the last of them is cut at powers of two, which need no padding.
 
 Documents that a worker's file split hands it again after a lost executor are packed the same way;
 sequence ids hold the partition number above the worker's own count.
 
-Defined results: null text counts as empty, which is the closing id alone; repeated rows are packed
-as often as they occur, null ids too; an empty table gives an empty result; other columns are not read.
+Defined results: null text counts as empty, which is the closing id alone; a very long text is packed
+whole, long runs of white space included; repeated rows are packed as often as they occur, null ids
+too; an empty table gives an empty result; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ from ._common import map_arrow, small_batches
 SEQUENCE = 1024
 #: Read as one id, the first after the ranks, where a text holds it.
 END_OF_TEXT = "<|endoftext|>"
-#: The least exact class; what remains below it is a tail.
-LEAST = 32
+#: Ids that a sequence may lack without being filled.
+SLACK = 8
+#: Classes above this are powers of two.
+EXACT = 32
+#: Runs of white space from this length are encoded apart from what surrounds them.
+BLANKS = 10_000
 
 
 def default_tokenizer() -> str:
@@ -54,41 +59,90 @@ def encoder(path: str):
         tok = Tokenizer.from_file(path)
         return lambda text: tok.encode(text, add_special_tokens=False).ids
     import public_tokenizers
+    import regex
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)}).encode
-    return lambda text: encode(text, allowed_special="all")
-
-
-def cuts(n: int) -> list[int]:
-    """Lengths of a document's pieces, in order."""
-    out = [SEQUENCE] * (n // SEQUENCE)
-    rest, size = n % SEQUENCE, SEQUENCE // 2
-    while size >= LEAST:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    return out + [rest] * (rest > 0)
+    tok = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
+    blanks = regex.compile(r"\p{White_Space}{%d,}" % BLANKS)
+
+    def apart(text: str) -> list[int]:
+        """Ids of a text without end marks. Its pattern takes a run of white space but for its last character
+        as one piece, so a long run, on which the pattern's engine would overflow, is cut out and encoded by itself."""
+        out, at = [], 0
+        for run in blanks.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += tok.encode(text[at : run.start()], disallowed_special=())
+            out += tok._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + tok.encode(text[at:], disallowed_special=())
+
+    def encode(text: str) -> list[int]:
+        if len(text) < BLANKS or not blanks.search(text):
+            return tok.encode(text, allowed_special="all")
+        first, *rest = text.split(END_OF_TEXT)
+        out = apart(first)
+        for part in rest:
+            out += [len(ranks), *apart(part)]
+        return out
+
+    return encode
+
+
+def reciprocal(length: int) -> int:
+    """How many pieces of this length a bin of their class takes."""
+    k = SEQUENCE // length
+    return k if k <= EXACT else 1 << (k.bit_length() - 1)
 
 
 class Bins:
-    """One worker's open bins. `emit` gets each piece with its sequence and offset."""
+    """One worker's open bins. A piece is (document, start, ids, ids in the document); `emit` gets
+    each with its sequence and offset."""
 
     def __init__(self, emit):
         self.emit, self.n = emit, 0
-        self.open: dict[tuple[bool, int], list] = {}
-
-    def add(self, piece: tuple, length: int) -> None:
-        exact = length >= LEAST
-        capacity = length if exact else 1 << (length - 1).bit_length()
-        bin_ = self.open.setdefault((exact, capacity), [])
+        self.open: dict[int, list] = {}
+        self.waiting: list[tuple[list, int]] = []
+        self.donor: tuple | None = None
+
+    def add(self, doc, ids: np.ndarray) -> None:
+        """A whole document: full sequences, then its remainder."""
+        total, at = len(ids), 0
+        while total - at >= SEQUENCE:
+            self.close([(doc, at, ids[at : at + SEQUENCE], total)])
+            at += SEQUENCE
+        if at == total:
+            return
+        piece = (doc, at, ids[at:], total)
+        if self.waiting:
+            self.donor = piece
+            self.feed()
+            return
+        k = reciprocal(total - at)
+        bin_ = self.open.setdefault(k, [])
         bin_.append(piece)
-        if len(bin_) == SEQUENCE // capacity:
-            self.close(bin_)
-            bin_.clear()
+        if len(bin_) == k:
+            del self.open[k]
+            gap = SEQUENCE - sum(len(p[2]) for p in bin_)
+            if gap <= SLACK:
+                self.close(bin_)
+            else:
+                self.waiting.append((bin_, gap))
+                self.feed()
+
+    def feed(self) -> None:
+        """Fills the bins that wait from the donor; what is left of it stays the donor."""
+        while self.waiting and self.donor:
+            pieces, gap = self.waiting.pop()
+            doc, start, ids, total = self.donor
+            self.donor = (doc, start + gap, ids[gap:], total) if len(ids) > gap else None
+            pieces.append((doc, start, ids[:gap], total))
+            gap -= min(gap, len(ids))
+            if gap <= SLACK:
+                self.close(pieces)
+            else:
+                self.waiting.append((pieces, gap))
 
     def close(self, pieces: list) -> None:
         offset = 0
@@ -98,18 +152,11 @@ class Bins:
         self.n += 1
 
     def finish(self) -> None:
-        tails = []
-        for (exact, _), pieces in sorted(self.open.items(), key=lambda x: x[0], reverse=True):
-            if not exact:
-                tails += pieces
-                continue
-            while pieces:
-                group = 1 << (len(pieces).bit_length() - 1)
-                self.close(pieces[:group])
-                del pieces[:group]
-        left = sum(len(p[2]) for p in tails)
+        """All that is open, end to end: full sequences, the last one at powers of two."""
+        rest = [p for bin_ in [*self.open.values(), *(b for b, _ in self.waiting), [self.donor] * (self.donor is not None)] for p in bin_]
+        left = sum(len(p[2]) for p in rest)
         room, now = 0, []
-        for doc, start, ids, total in tails:
+        for doc, start, ids, total in rest:
             while len(ids):
                 if not room:
                     room = min(SEQUENCE, 1 << (left.bit_length() - 1))
@@ -120,7 +167,8 @@ class Bins:
                 if not room:
                     self.close(now)
                     now = []
-        self.open.clear()
+        self.open.clear(), self.waiting.clear()
+        self.donor = None
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -159,11 +207,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         for batch in batches:
             id_type = batch.column(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
-                at = 0
-                for length in cuts(len(ids)):
-                    bins.add((doc, at, ids[at : at + length], len(ids)), length)
-                    at += length
+                bins.add(doc, np.array([*encode(text.as_py() or ""), end_id], dtype="<u4"))
                 if len(nums) > 20_000:
                     yield flush()
         bins.finish()
