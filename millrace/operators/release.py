@@ -8,7 +8,7 @@ import os
 import re
 from pathlib import Path, PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical, digest, release_id
@@ -42,6 +42,11 @@ def safe_path(path: str) -> bool:
     return bool(path) and not p.is_absolute() and ".." not in p.parts
 
 
+def is_safe(path: Column) -> Column:
+    """The same rule for a column of paths."""
+    return F.coalesce((F.length(path) > 0) & ~F.startswith(path, F.lit("/")) & ~F.array_contains(F.split(path, "/"), ".."), F.lit(False))
+
+
 def integrity(spark: SparkSession, expected: dict[str, str], root: str) -> DataFrame:
     """(path, fault) of an inventory {relative path: SHA-256} against the files below root."""
     unsafe = [(p, "unsafe path") for p in expected if not safe_path(p)]

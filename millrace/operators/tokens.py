@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 IGNORED = -100
@@ -116,6 +116,20 @@ def tokenize(df: DataFrame, tokenizer: Tokenizer, most: int, id_col: str = "id",
     return texts.mapInPandas(run, schema)
 
 
+def write_tokens(df: DataFrame, path: str, model: str, most: int, pad_id: int, pad_side: str = "right") -> None:
+    """A token table, and beside it the one row that says how it was made."""
+    df.write.parquet(f"{path}/rows")
+    about = [(model, most, pad_id, pad_side)]
+    df.sparkSession.createDataFrame(about, "model string, max_len int, pad_id int, pad_side string").coalesce(1).write.json(f"{path}/about")
+
+
+def read_tokens(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    about = spark.read.schema("model string, max_len int, pad_id int, pad_side string").json(f"{path}/about").collect()
+    if len(about) != 1:
+        raise ValueError("a token table says once how it was made")
+    return spark.read.parquet(f"{path}/rows"), about[0].asDict()
+
+
 def masked(ids: Column, n: Column) -> Column:
     """Labels: the first n positions ignored."""
     return F.concat(F.array_repeat(F.lit(IGNORED), n), F.slice(ids, n + 1, F.greatest(F.size(ids) - n, F.lit(0))))

@@ -26,12 +26,6 @@ def role_violations(t: Tables) -> DataFrame:
     return c.groupBy(tokens.role_faults(F.col("messages")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def role_violations_alternating(t: Tables) -> DataFrame:
-    c = tokens.conversations(t.conversations)
-    return c.groupBy(tokens.role_faults(F.col("messages"), "alternating").alias("fault")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"SELECT conv_id, len(roles) - 1 AS prompt_turns, CASE WHEN roles[-1] = 'assistant' THEN length(texts[-1]) END AS answer_chars, length(texts[list_position(roles, 'user')]) AS first_user_chars FROM ({TURNS})")
 def prompt_answer_split(t: Tables) -> DataFrame:
     c = tokens.conversations(t.conversations)
@@ -81,12 +75,20 @@ def _placed(t: Tables) -> DataFrame:
     return tokens.first_fit_decreasing(d, MOST)
 
 
-@query()
+#: First fit as a recursion over rows by falling length, with the room of each bin as its state.
+FFD = f"""{LENS.replace('WITH c', 'WITH RECURSIVE c', 1)}, o AS (SELECT conv_id AS id, least(full_len, {MOST})::INT AS len, row_number() OVER (ORDER BY least(full_len, {MOST}) DESC, conv_id) AS rn FROM m WHERE supervised > 0),
+f AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::INT AS len, 0::BIGINT AS bin, []::INT[] AS rooms
+  UNION ALL SELECT o.rn, o.id, o.len, p.p, CASE WHEN p.p > len(f.rooms) THEN list_append(f.rooms, {MOST} - o.len) ELSE list_transform(f.rooms, lambda x, i: CASE WHEN i = p.p THEN x - o.len ELSE x END) END
+  FROM f JOIN o ON o.rn = f.rn + 1, LATERAL (SELECT coalesce(nullif(list_position(list_transform(f.rooms, lambda x: x >= o.len), true), 0), len(f.rooms) + 1)::BIGINT AS p) p),
+placed AS (SELECT id, len, 0 AS shard, (bin - 1)::INT AS bin, (row_number() OVER (PARTITION BY bin ORDER BY rn) - 1)::INT AS slot FROM f WHERE rn > 0)"""
+
+
+@query(f"{FFD} SELECT * FROM placed")
 def ffd_packing(t: Tables) -> DataFrame:
     return _placed(t)
 
 
-@query()
+@query(f"{FFD}, b AS (SELECT bin, sum(len) AS used, count(*) AS c FROM placed GROUP BY bin) SELECT sum(c)::BIGINT AS examples, count(*) AS bins, ceil(sum(c) / 8)::BIGINT AS steps_before, ceil(count(*) / 8)::BIGINT AS steps_after, sum(used) / (count(*) * {MOST}) AS fill, max(c) AS most_in_bin FROM b")
 def packing_report(t: Tables) -> DataFrame:
     return tokens.packing_report(_placed(t), MOST, 8)
 
@@ -142,22 +144,27 @@ def baseline_candidate_diff(t: Tables) -> DataFrame:
     return evaluation.changes(evaluation.score_items(gold, a), evaluation.score_items(gold, b))
 
 
-@query()
+@query(f"""
+WITH a AS ({_sql_items(3, 29)}), b AS ({_sql_items(5, 31)}), x AS (SELECT {SCORES} FROM a), y AS (SELECT {SCORES} FROM b),
+p AS (SELECT count(*) FILTER (WHERE correct) / count(*) AS acc FROM a WHERE lang = 'en'), q AS (SELECT count(*) FILTER (WHERE correct) / count(*) AS acc FROM b WHERE lang = 'en'),
+s AS (SELECT count(*) AS n FROM (SELECT lang FROM documents UNION SELECT source FROM documents))
+SELECT unnest(['protocol_sha256', 'golden_sha256', 'baseline_spec_sha256', 'reports', 'size', 'ids', 'slices', 'errors', 'accuracy', 'format_rate', 'critical', 'slice:en', 'behavioral']) AS name,
+       unnest([true, true, true, true, x.n >= 50, true, s.n >= 3, y.errors = 0, y.accuracy >= x.accuracy, y.format_rate >= x.format_rate, true, q.acc >= p.acc, true]) AS passed FROM x, y, p, q, s""")
 def quality_gate(t: Tables) -> DataFrame:
     from ..operators.gates import frame
 
     gold, a, b = _golden(t)
     about = {"model": "m", "protocol_sha256": "p", "golden_sha256": "g", "baseline_spec_sha256": "s", "behavioral": {"overall": {"n": 3, "correct": 3, "valid": 3, "errors": 0, "accuracy": 1.0, "format_rate": 1.0}}}
-    reports = [evaluation.report_of(evaluation.score_items(gold, x), **about) for x in (a, b)]
-    return frame(t.spark, evaluation.quality_gate(*reports, ["en"]))
+    reports = [evaluation.scored(evaluation.score_items(gold, x), **about) for x in (a, b)]
+    return frame(t.spark, evaluation.quality_gate(*reports, ["en"])).select("name", "passed")
 
 
 @query("""
-WITH d AS (SELECT doc_id::VARCHAR AS id, source AS group_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k, doc_id % 10 = 0 AS gold FROM documents)
-SELECT id FROM d WHERE gold AND (k IN (SELECT k FROM d WHERE NOT gold AND group_id < 'src15') OR group_id IN (SELECT group_id FROM d WHERE NOT gold AND group_id < 'src15'))""")
+WITH d AS (SELECT doc_id::VARCHAR AS id, source || '/' || n_chars AS group_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k, doc_id % 10 = 0 AS gold FROM documents)
+SELECT id FROM d WHERE gold AND (k IN (SELECT k FROM d WHERE NOT gold) OR group_id IN (SELECT group_id FROM d WHERE NOT gold))""")
 def leakage_items(t: Tables) -> DataFrame:
-    d = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("group_id"), F.col("text").alias("input"), "doc_id")
-    return evaluation.leaks(d.where("doc_id % 10 = 0"), d.where("doc_id % 10 <> 0 and group_id < 'src15'"))
+    d = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.concat("source", F.lit("/"), "n_chars").alias("group_id"), F.col("text").alias("input"), "doc_id")
+    return evaluation.leaks(d.where("doc_id % 10 = 0"), d.where("doc_id % 10 <> 0"))
 
 
 RUN = "o_orderkey::VARCHAR AS run_id, o_orderpriority AS name, 'FINISHED' AS status, round(o_totalprice / 1000, 6) AS final_val_loss"
