@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, checks, curation, relational, store, telemetry  # noqa: F401  they register their queries
+from . import chat, checks, curation, relational, shapes, store, telemetry  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 

@@ -144,13 +144,25 @@ def alert_islands(t: Tables) -> DataFrame:
     return telemetry.alert_islands(k, STEP, HOLD, ["event_type"]).groupBy("event_type", "state").agg(F.count(F.lit(1)).alias("ticks"))
 
 
-@query()
+#: Replays as recursions over a pod's rows in order of time, the queue or the cache as the state.
+NUMBERED = f"WITH RECURSIVE r AS ({REQ}), o AS (SELECT phase AS pod, event_id AS id, t, value * 20 AS service, user_id::VARCHAR AS key, row_number() OVER (PARTITION BY phase ORDER BY t, event_id) AS rn FROM r), p AS (SELECT DISTINCT pod FROM o)"
+
+
+@query(f"""{NUMBERED},
+f AS (SELECT pod, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::BOOLEAN AS admitted, NULL::DOUBLE AS start, NULL::DOUBLE AS finish, []::DOUBLE[] AS busy, []::DOUBLE[] AS queue FROM p
+  UNION ALL SELECT o.pod, o.rn, o.id, y.admitted, y.start, y.start + o.service, CASE WHEN y.admitted THEN list_append(x.busy, y.start + o.service) ELSE x.busy END, CASE WHEN y.start > o.t THEN list_append(x.queue, y.start) ELSE x.queue END
+  FROM f JOIN o ON o.pod = f.pod AND o.rn = f.rn + 1, LATERAL (SELECT list_filter(f.busy, lambda v: v > o.t) AS busy, list_filter(f.queue, lambda v: v > o.t) AS queue) x,
+  LATERAL (SELECT len(x.busy) < 2 OR len(x.queue) < 2 AS admitted, CASE WHEN len(x.busy) < 2 THEN o.t WHEN len(x.queue) < 2 THEN list_sort(x.busy)[len(x.busy) - 1] END AS start) y)
+SELECT pod, id, admitted, round(start, 3) AS start, round(finish, 3) AS finish FROM f WHERE rn > 0""")
 def admission_replay(t: Tables) -> DataFrame:
     r = requests(t).select(F.col("phase").alias("pod"), F.col("event_id").alias("id"), "t", (F.col("value") * 20).alias("service"))
-    return telemetry.replay_admission(r, 2, 2)
+    return telemetry.replay_admission(r, 2, 2).withColumns({c: F.round(c, 3) for c in ("start", "finish")})
 
 
-@query()
+@query(f"""{NUMBERED},
+f AS (SELECT pod, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::BOOLEAN AS hit, []::VARCHAR[] AS held FROM p
+  UNION ALL SELECT o.pod, o.rn, o.id, list_contains(f.held, o.key), list_append(list_filter(f.held, lambda v: v <> o.key), o.key)[-8:] FROM f JOIN o ON o.pod = f.pod AND o.rn = f.rn + 1)
+SELECT pod, id, hit FROM f WHERE rn > 0""")
 def lru_replay(t: Tables) -> DataFrame:
     r = requests(t).select(F.col("phase").alias("pod"), F.col("event_id").alias("id"), "t", F.col("user_id").alias("key"))
     return telemetry.replay_lru(r, 8)
@@ -175,7 +187,7 @@ def _stream(t: Tables) -> DataFrame:
         return windows.event_stream(t.spark, path, schema)
     # A single file is watched through its folder, by name.
     raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 minute")
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "40 days")
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) // 1000000 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -185,8 +197,8 @@ def stream_window_counts(t: Tables) -> DataFrame:
 
     name = f"w{uuid.uuid4().hex}"
     counts = windows.window_counts(_stream(t), "ts", "1 day", ["event_type"])
-    out = windows.drain(counts, name, "update", f"{shared_dir(t.spark)}/{name}")
-    return out.groupBy("start", "event_type").agg(F.max("n").alias("n")).select(F.unix_seconds("start").alias("start"), "event_type", "n")
+    out = windows.settle(counts, f"{shared_dir(t.spark)}/{name}", ["start", "event_type"])
+    return out.select(F.unix_seconds("start").alias("start"), "event_type", "n")
 
 
 @query("SELECT count(*) FILTER (WHERE fault IS NULL) AS accepted, count(*) FILTER (WHERE fault = 'invalid chunks') AS bad_chunks FROM (SELECT CASE WHEN event_id % 70 BETWEEN 1 AND 64 THEN NULL ELSE 'invalid chunks' END AS fault FROM events)")
@@ -194,3 +206,128 @@ def request_validation(t: Tables) -> DataFrame:
     body = F.concat(F.lit('{"prompt":"hello","chunks":'), F.col("event_id") % 70, F.lit("}"))
     d = t.events.select(body.alias("body")).withColumn("fault", telemetry.payload_fault("body"))
     return d.agg(F.count_if(F.col("fault").isNull()).alias("accepted"), F.count_if(F.col("fault") == "invalid chunks").alias("bad_chunks"))
+
+
+# Time to first chunk, cohorts, schedules, scaling, sessions and streams.
+
+
+@query(f"WITH r AS ({REQ}), c AS (SELECT user_id, min(us) / 1e6 AS first FROM r WHERE event_type = 'view' GROUP BY user_id), s AS (SELECT user_id, min(us) / 1e6 AS sent FROM r GROUP BY user_id) SELECT user_id, round(first - sent, 6) AS ttfc FROM s LEFT JOIN c USING (user_id)")
+def first_chunk_times(t: Tables) -> DataFrame:
+    r = requests(t).withColumnRenamed("user_id", "request_id")
+    sent = r.groupBy("request_id").agg(F.min("t").alias("sent"))
+    d = telemetry.first_chunk(sent, r.where("event_type = 'view'").select("request_id", "t"))
+    return d.select(F.col("request_id").alias("user_id"), F.round("ttfc", 6).alias("ttfc"))
+
+
+@query(f"""
+WITH r AS ({REQ}), c AS (SELECT phase, count(*) AS client_n, round(quantile_cont(value, 0.95), 6) AS client_p FROM r WHERE outcome = 'completed' GROUP BY phase),
+b AS (SELECT phase, le, count(*) FILTER (WHERE value <= le) AS cum FROM r, (SELECT unnest(list_append({LES}, 'inf'::DOUBLE)) AS le) WHERE outcome = 'completed' GROUP BY ALL),
+w AS (SELECT *, lag(cum, 1, 0) OVER p AS before, lag(le, 1, 0) OVER p AS lower, max(cum) OVER (PARTITION BY phase) AS total FROM b WINDOW p AS (PARTITION BY phase ORDER BY le)),
+q AS (SELECT phase, total AS server_n, round(CASE WHEN isinf(le) THEN lower ELSE lower + (le - lower) * (0.95 * total - before) / (cum - before) END, 6) AS server_p FROM w WHERE cum >= 0.95 * total QUALIFY row_number() OVER (PARTITION BY phase ORDER BY le) = 1)
+SELECT * FROM c JOIN q USING (phase)""")
+def cohort_comparison(t: Tables) -> DataFrame:
+    """Client percentiles beside those of buckets that three instances keep."""
+    r = requests(t).withColumn("ttfc", F.col("value"))
+    buckets = stats.cumulative(r.where("outcome = 'completed'").withColumn("instance", F.col("user_id") % 3), "value", BOUNDS, ["phase", "instance"])
+    d = telemetry.cohorts(r, buckets)
+    return d.select("phase", "client_n", F.round("client_p", 6).alias("client_p"), "server_n", F.round("server_p", 6).alias("server_p"))
+
+
+@query("SELECT traffic, 3::BIGINT AS runs, CASE WHEN traffic = 'skew' THEN 2 ELSE 1 END::BIGINT AS schedules, sha256('[' || (SELECT string_agg('{\"client\": ' || CASE WHEN traffic = 'skew' AND k % 5 < 4 THEN 0 ELSE k % 4 END || ', \"id\": ' || k || '}', ',' ORDER BY k) FROM (SELECT unnest(range(40)) AS k)) || ']') AS first FROM (SELECT unnest(['uniform', 'skew']) AS traffic)")
+def schedule_identity(t: Tables) -> DataFrame:
+    """Three runs a traffic; the third of the skewed ones leaves its plan."""
+    k, run = F.col("id"), F.col("run")
+    d = t.spark.range(40).withColumn("traffic", F.explode(F.array(F.lit("uniform"), F.lit("skew")))).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    client = F.when((F.col("traffic") == "skew") & (k % 5 < 4) & (run < 2), 0).otherwise(k % 4)
+    items = d.select("traffic", "run", "id", F.concat(F.lit('{"client": '), client.cast("string"), F.lit(', "id": '), k.cast("string"), F.lit("}")).alias("item"))
+    whole = telemetry.same_plan(items, "traffic", "run", "id").select("traffic", "runs", "schedules")
+    first = telemetry.same_plan(items.where("run = 0"), "traffic", "run", "id").select("traffic", F.col("digest").alias("first"))
+    return whole.join(first, "traffic")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 5")
+def last_snapshots(t: Tables) -> DataFrame:
+    return telemetry.last_snapshots(t.events, 5, "ts").select("event_id", "event_type")
+
+
+@query(f"WITH s AS (SELECT us // 86400000000 AS d, count(DISTINCT user_id) AS current, count(*) // 20 AS desired, count(DISTINCT CASE WHEN value > 20 THEN user_id END) AS ready FROM ({REQ}) GROUP BY 1), b AS (SELECT arg_min(current, d) AS base FROM s) SELECT min(d) FILTER (WHERE desired > base) AS wanted, min(d) FILTER (WHERE ready > base) AS ready, min(d) FILTER (WHERE ready > base) - min(d) FILTER (WHERE desired > base) AS lag FROM s, b")
+def scaling_trace(t: Tables) -> DataFrame:
+    d = requests(t).groupBy(F.floor(F.col("us") / 86_400_000_000).alias("wall_time")).agg(F.count_distinct("user_id").alias("current"), F.floor(F.count(F.lit(1)) / 20).alias("desired"), F.count_distinct(F.when(F.col("value") > 20, F.col("user_id"))).alias("ready"))
+    return telemetry.scaling(d).select("wanted", "ready", "lag")
+
+
+@query(f"WITH r AS ({REQ}) SELECT a.event_id FROM r a WHERE a.event_type = 'click' AND EXISTS (SELECT 1 FROM r b WHERE b.event_type = 'signup' AND b.user_id = a.user_id)")
+def sent_events(t: Tables) -> DataFrame:
+    """Log events whose request a run has sent."""
+    r = requests(t)
+    return r.where("event_type = 'click'").join(r.where("event_type = 'signup'").select("user_id"), "user_id", "left_semi").select("event_id")
+
+
+TUMBLE = "time_bucket(INTERVAL '1 hour', ts)"
+
+
+def _settled(t: Tables, df: DataFrame, keys: list[str]) -> DataFrame:
+    import uuid
+
+    return windows.settle(df, f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}", keys)
+
+
+@query(f"SELECT epoch_us(b) // 1000000 AS end, event_type, count(*) AS n, round(count(*) / 7200.0, 9) AS rate FROM (SELECT event_type, unnest([{TUMBLE} + INTERVAL '1 hour', {TUMBLE} + INTERVAL '2 hour']) AS b FROM events) GROUP BY ALL")
+def stream_rates(t: Tables) -> DataFrame:
+    """A rate over two hours, every hour."""
+    out = _settled(t, windows.rates(_stream(t), "ts", 7200, 3600, ["event_type"]), ["start", "event_type"])
+    return out.select(F.unix_seconds("end").alias("end"), "event_type", "n", F.round("rate", 9).alias("rate"))
+
+
+@query(f"SELECT epoch_us({TUMBLE} + INTERVAL '1 hour') // 1000000 AS tick, round(avg((event_type = 'signup')::INT), 6) AS share, count(*) AS n FROM events GROUP BY 1")
+def stream_rejected_share(t: Tables) -> DataFrame:
+    s = _stream(t).withColumn("outcome", F.when(F.col("event_type") == "signup", "rejected").otherwise("completed"))
+    out = _settled(t, windows.rejected_share(s, "ts", "1 hour", "1 hour"), ["tick"])
+    return out.select(F.unix_seconds("tick").alias("tick"), F.round("share", 6).alias("share"), "n")
+
+
+@query(f"SELECT epoch_us({TUMBLE} + INTERVAL '1 hour') // 1000000 AS tick, le, count(*) FILTER (WHERE value <= le) AS cum FROM events, (SELECT unnest(list_append({LES}, 'inf'::DOUBLE)) AS le) GROUP BY ALL")
+def stream_buckets(t: Tables) -> DataFrame:
+    out = _settled(t, windows.bucket_counts(_stream(t), "ts", "value", "1 hour", "1 hour", BOUNDS), ["tick", "le"])
+    return out.select(F.unix_seconds("tick").alias("tick"), "le", "cum")
+
+
+@query(f"SELECT epoch_us({TUMBLE} + INTERVAL '1 hour') // 1000000 AS tick, event_type, arg_max(value, ts) AS value FROM events GROUP BY ALL")
+def stream_gauges(t: Tables) -> DataFrame:
+    out = _settled(t, windows.gauges(_stream(t), "ts", "1 hour", ["event_type"], "value"), ["tick", "event_type"])
+    return out.select(F.unix_seconds("tick").alias("tick"), "event_type", "value")
+
+
+@query("SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY user_id")
+def stream_exactly_once(t: Tables) -> DataFrame:
+    """A sink that gets every batch twice holds each row once."""
+    import uuid
+
+    folder = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    once = windows.once_per_batch(f"{folder}/out")
+
+    def twice(batch: DataFrame, i: int) -> None:
+        once(batch, i)
+        once(batch, i)
+
+    windows.finish(_stream(t).select("user_id", "event_id"), twice, f"{folder}/state")
+    return t.spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1e6 AS t FROM events), s AS (SELECT user_id, min(t) AS sent FROM e GROUP BY 1),
+x AS (SELECT user_id, sent, count(*) FILTER (WHERE event_type = 'view' AND t < sent + 86400) AS chunks, bool_or(event_type = 'purchase' AND t < sent + 86400) AS done FROM e JOIN s USING (user_id) GROUP BY ALL)
+SELECT user_id, chunks, CASE WHEN done THEN 'completed' ELSE 'expired' END AS outcome FROM x""")
+def stream_sessions(t: Tables) -> DataFrame:
+    """A user's first day as a request: views are chunks, a purchase ends it, the deadline is a day later.
+    A mark long after the last event moves the watermark past every deadline."""
+    import uuid
+
+    folder = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    e = t.events.select(F.col("user_id").cast("string").alias("request_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    e.write.parquet(f"{folder}/in")
+    e.agg((F.max("ts") + F.expr("INTERVAL '200 days'")).alias("ts")).select(F.lit("end").alias("request_id"), F.lit("end").alias("event_type"), "ts").write.mode("append").parquet(f"{folder}/in")
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "view", "chunk").otherwise("other")
+    s = windows.event_stream(t.spark, f"{folder}/in", e.schema, late="40 days", per_trigger=100_000).withColumn("us", F.unix_micros("ts"))
+    out = windows.settle(windows.request_sessions(s.select("request_id", (F.col("us") / 1e6).alias("t"), kind.alias("kind"), "ts"), 86_400.0), folder, ["request_id"], "append")
+    return out.select(F.col("request_id").cast("bigint").alias("user_id"), "chunks", "outcome")

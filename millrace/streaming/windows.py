@@ -76,6 +76,56 @@ def exactly_once(target: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def once_per_batch(target: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: a batch is a folder of its own, named by its number, so that writing it again replaces
+    it and nothing already written is read."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return write
+
+
+def finish(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream over what is there now."""
+    df.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+
+
+def settle(df: DataFrame, folder: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Runs a stream over what is there now into a shared folder; of each key the row of its last batch."""
+    spark, columns = df.sparkSession, df.columns
+    empty = spark.createDataFrame([], df.schema)
+    empty.write.mode("overwrite").parquet(f"{folder}/out/batch_id=-1")
+    finish(df, once_per_batch(f"{folder}/out"), f"{folder}/state", mode)
+    rows = spark.read.schema(df.schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out/*")
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"batch_id=(-?\d+)", 1).cast("long")
+    last = rows.select(F.struct(*columns).alias("row"), batch.alias("batch")).groupBy(*[F.col(f"row.{k}").alias(k) for k in keys])
+    return last.agg(F.max_by("row", "batch").alias("row")).select("row.*")
+
+
+def request_sessions(events: DataFrame, deadline: float, ts: str = "ts") -> DataFrame:
+    """(request_id, t seconds, kind, event time) -> one row a request: its chunks and its outcome. A request
+    is completed by its end mark and expired by a timer `deadline` seconds after its first event; what
+    arrives later than that counts no more. Keeps one small state a request until the timer."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            _, chunks, done = state.get
+            state.remove()
+            yield pd.DataFrame({"request_id": [key[0]], "chunks": [chunks], "outcome": ["completed" if done else "expired"]})
+            return
+        sent, chunks, done = state.get if state.exists else (float("inf"), 0, False)
+        whole = pd.concat(list(pdfs), ignore_index=True)
+        sent = min(sent, float(whole["t"].min()))
+        inside = whole["t"] < sent + deadline
+        chunks += int((inside & (whole["kind"] == "chunk")).sum())
+        done = bool(done or (inside & (whole["kind"] == "done")).any())
+        state.update((sent, chunks, done))
+        state.setTimeoutTimestamp(max(int((sent + deadline) * 1000), state.getCurrentWatermarkMs() + 1))
+
+    return events.groupBy("request_id").applyInPandasWithState(step, "request_id string, chunks long, outcome string", "sent double, chunks long, done boolean", "append", "EventTimeTimeout")
+
+
 def drain(df: DataFrame, name: str, mode: str = "update", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over what is there now and returns the memory sink; for tests and small results."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)

@@ -35,6 +35,10 @@ def test_exactly_once(spark, tmp_path):
     for batch in (0, 0, 1):
         write(df, batch)
     assert sorted(r["k"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
+    once = windows.once_per_batch(str(tmp_path / "by"))
+    for batch in (0, 0, 1, 1, 0):
+        once(df.where(F.col("v") % 2 == batch), batch)
+    assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "by")).collect()) == [1, 2, 3]
 
 
 @pytest.mark.parametrize("by", [[], ["event_type"]])
