@@ -7,12 +7,13 @@ stays and the others go, if they lie in a stretch of at least 64 bytes of such c
 chunk is chance, not copying.
 
 Each chunk travels as 48 bytes. Digests are counted with partial aggregation, so a digest that
-every document has costs a row per task; the occurrences then meet the repeated digests in a
-sort-merge join, whose hot keys adaptive execution splits; no task gathers a digest's occurrences.
+every document has costs a row per task; the occurrences then meet the repeated digests in a join on
+the digest. Digests with more than one in HOT_SHARE of all occurrences are few by that bound and are
+broadcast for it, so no task gathers a frequent digest's occurrences.
 
 Defined results: null text is empty; a null id is an id of its own and comes before all others;
-rows that repeat id and text share their fate, as do the places they keep; texts are never cut;
-an empty table gives an empty result; other columns are not read.
+rows that repeat id and text share their fate, as do the places they keep; texts are never cut,
+however long; an empty table gives an empty result; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import SPANS, Scratch, map_pandas, small_batches
+from ._common import SPANS, Scratch, hot_bound, join_by_key, map_pandas, small_batches
 
 LEAST, MOST = 32, 256
 #: A cut where so many top bits of the gear hash are zero: every 2^5 bytes.
@@ -116,7 +117,8 @@ def chunk_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     found = scratch.table(map_pandas(docs.select("text", "id", "th"), _chunks, "d1 long, d2 long, id long, th long, place long"), "chunks")
     # The first occurrence by id and place; texts that share an id and a chunk's place both keep it.
     firsts = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = found.join(firsts.select("d1", "d2", F.col("first.id").alias("id1"), F.col("first.place").alias("place1")), ["d1", "d2"])
+    firsts = scratch.table(firsts.select("d1", "d2", F.col("first.id").alias("id1"), F.col("first.place").alias("place1"), "n"), "firsts", large=True)
+    again = join_by_key(found, firsts, firsts.where(F.col("n") >= hot_bound(found.count())), ["d1", "d2"])
     stays = (F.col("id") == F.col("id1")) & (F.col("place") == F.col("place1"))
     by_doc = again.groupBy("id", "th").agg(F.collect_set("place").alias("shared"), F.collect_set(F.when(~stays, F.col("place"))).alias("later"))
 
