@@ -6,17 +6,19 @@ of the first n - ceil(t n) + 1), sizes are filtered in the join, overlaps verifi
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..scratch import Scratch
 
 
-def sets(df: DataFrame, key: str, col: str, size: int, compose: bool = True) -> DataFrame:
-    """(key, s): hashed shingles, each once."""
-    w = df.select(F.col(key).alias("k"), text.normalize_text(F.col(col), compose).alias("t")).select("k", text.words(F.col("t")).alias("w"))
+def sets(df: DataFrame, key: str, col: str, size: int, compose: bool = True, normal: bool = False) -> DataFrame:
+    """(key, s): hashed shingles, each once. normal: the text is normalised already."""
+    t = F.col(col) if normal else text.normalize_text(F.col(col), compose)
+    w = df.select(F.col(key).alias("k"), t.alias("t")).select("k", text.words(F.col("t")).alias("w"))
     return w.select("k", F.array_distinct(F.transform(text.shingles(F.col("w"), size), lambda x: F.xxhash64(x))).alias("s"))
 
 
@@ -25,12 +27,21 @@ def minhash(s, perms: int = 64):
     return text.let(s, lambda s: F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda i: F.array_min(F.transform(s, lambda x: F.xxhash64(i, x)))))
 
 
+def _repeated(*parts: DataFrame) -> DataFrame:
+    """(x, df): shingles that occur more than once, with how often."""
+    each = reduce(lambda a, b: a.unionByName(b), [p.select(F.explode("s").alias("x")) for p in parts])
+    return each.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+
+
 def _prefix(s: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
+    """(x, k, n): of each set the shingles of which a partner must have one. In the order of frequency, lone
+    shingles come first and can be nobody's: what is left of the prefix after them is ranked alone."""
     n = F.size("s")
     each = s.where(n > 0).select("k", n.alias("n"), F.explode("s").alias("x")).join(frequency, "x")
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("df", "x"))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
-    return each.withColumn("r", rank).where((F.col("r") <= keep) & (F.col("df") > 1)).select("x", "k", "n")
+    found = each.groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    lone = F.col("n") - F.size("xs")
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - lone
+    return found.where(keep > 0).select("k", "n", F.explode(F.slice("xs", F.lit(1), keep.cast("int"))).alias("e")).select(F.col("e.x").alias("x"), "k", "n")
 
 
 def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -40,38 +51,49 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: floa
     return both.withColumn("jaccard", over / (F.size("sa") + F.size("sb") - over)).where(F.col("jaccard") >= threshold - 1e-12).select("a", "b", "jaccard")
 
 
-def pairs_within(df: DataFrame, key: str, col: str, size: int = 4, threshold: float = 0.85, compose: bool = True) -> DataFrame:
-    """(a, b, jaccard), a < b. Wordless texts have no shingles and are left out here."""
-    s = Scratch(df.sparkSession).table(sets(df, key, col, size, compose), "sets")  # read four times below
-    df_ = s.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    p = _prefix(s, df_, threshold)
+def pairs_within(df: DataFrame, key: str, col: str, size: int = 4, threshold: float = 0.85, compose: bool = True, normal: bool = False) -> DataFrame:
+    """(a, b, jaccard), a < b. Wordless texts have no shingles and are left out here. All pairs of a group of
+    near copies are the result, so it grows with the square of such a group; see the subpackage of
+    training-data operators for groups without their pairs."""
+    s = Scratch(df.sparkSession).table(sets(df, key, col, size, compose, normal), "sets")  # read four times below
+    p = _prefix(s, _repeated(s), threshold)
     l, r = p.select("x", F.col("k").alias("a"), F.col("n").alias("na")), p.select("x", F.col("k").alias("b"), F.col("n").alias("nb"))
     cond = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
     return _verify(l.join(r, "x").where(cond).select("a", "b").distinct(), s, s, threshold)
 
 
-def pairs_across(left: DataFrame, right: DataFrame, key_l: str, key_r: str, col_l: str, col_r: str, size: int = 4, threshold: float = 0.85, compose: bool = True) -> DataFrame:
+def pairs_across(left: DataFrame, right: DataFrame, key_l: str, key_r: str, col_l: str, col_r: str, size: int = 4, threshold: float = 0.85, compose: bool = True, normal: bool = False) -> DataFrame:
     """(a, b, jaccard) between two tables."""
     scratch = Scratch(left.sparkSession)
-    sl, sr = scratch.table(sets(left, key_l, col_l, size, compose), "left"), scratch.table(sets(right, key_r, col_r, size, compose), "right")
-    both = sl.select(F.explode("s").alias("x")).unionByName(sr.select(F.explode("s").alias("x")))
-    df_ = both.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    l = _prefix(sl, df_, threshold).select("x", F.col("k").alias("a"), F.col("n").alias("na"))
-    r = _prefix(sr, df_, threshold).select("x", F.col("k").alias("b"), F.col("n").alias("nb"))
+    sl, sr = scratch.table(sets(left, key_l, col_l, size, compose, normal), "left"), scratch.table(sets(right, key_r, col_r, size, compose, normal), "right")
+    often = _repeated(sl, sr)
+    l = _prefix(sl, often, threshold).select("x", F.col("k").alias("a"), F.col("n").alias("na"))
+    r = _prefix(sr, often, threshold).select("x", F.col("k").alias("b"), F.col("n").alias("nb"))
     cond = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
     return _verify(l.join(r, "x").where(cond).select("a", "b").distinct(), sl, sr, threshold)
 
 
+#: Shingles of the smaller side that are broadcast; with more, the two sides meet in a shuffle.
+FEW = 1_000_000
+
+
 def containment(left: DataFrame, right: DataFrame, key_l: str, key_r: str, col_l: str, col_r: str, size: int = 4, share: float = 0.5, compose: bool = True) -> DataFrame:
-    """(a, b, share): how much of b's set is in a; sees a short passage in a long text, which Jaccard cannot."""
-    sl, sr = sets(left, key_l, col_l, size, compose), sets(right, key_r, col_r, size, compose)
-    big = sl.select(F.col("k").alias("a"), F.explode("s").alias("x"))
+    """(a, b, share): how much of b's set is in a; sees a short passage in a long text, which Jaccard cannot.
+    If the right side has few different shingles, they go to where the left texts are read, and only
+    texts' hits among them are shuffled; their number is counted first."""
+    scratch = Scratch(left.sparkSession)
+    sr = scratch.table(sets(right, key_r, col_r, size, compose), "right")
     small = sr.select(F.col("k").alias("b"), F.size("s").alias("n"), F.explode("s").alias("x"))
+    big = sets(left, key_l, col_l, size, compose).select(F.col("k").alias("a"), F.explode("s").alias("x"))
+    wanted = small.select("x").distinct()
+    if sr.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0] <= FEW:
+        big = big.join(F.broadcast(wanted), "x", "left_semi")
+        small = F.broadcast(small)
     hits = big.join(small, "x").groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("c"))
     return hits.withColumn("share", F.col("c") / F.col("n")).where(F.col("share") >= share).select("a", "b", "share")
 
 
-def greedy(df: DataFrame, pairs: DataFrame, key: str, rounds: int = 1000) -> DataFrame:
+def greedy(df: DataFrame, pairs: DataFrame, key: str, rounds: int = 100_000) -> DataFrame:
     """Rows that a scan in order of key would keep: a row goes if an earlier kept row is its near copy.
     Rounds: undecided rows without undecided earlier neighbours stay, their later neighbours go. The
     link table is written each round; a round decides the head of every chain."""
@@ -87,6 +109,8 @@ def greedy(df: DataFrame, pairs: DataFrame, key: str, rounds: int = 1000) -> Dat
         dropped = gone if dropped is None else dropped.unionByName(gone)
         links = links.join(gone.select(F.col("k").alias("a")), "a", "left_anti").join(gone.select(F.col("k").alias("b")), "b", "left_anti")
         links = scratch.table(links.join(heads, "a", "left_anti"))
+    if links.head(1):
+        raise ArithmeticError(f"rows are still undecided after {rounds} rounds")
     return df if dropped is None else df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, stats, text
 from ..operators import curate, near
+from ..scratch import Scratch
 from ..sources import tables as src
 from .registry import Tables, query
 
 NORM = r"trim(lower(regexp_replace(text, '\s+', ' ', 'g')))"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-PHONE = r"(?:\+7|\b8)[\s\-(]{0,3}\d{3}[\s\-)]{0,3}\d{3}[\s\-]?\d{2}[\s\-]?\d{2}\b"
+PHONE, EMAIL = text.PII["phone"][0], text.PII["email"][0]
 BAND = (30, 20_000)
 FIXED = "".join  # SQL parts
 
@@ -33,13 +33,15 @@ k AS (SELECT *, row_number() OVER (PARTITION BY {NORM} ORDER BY doc_id) AS r FRO
 SELECT d.lang, count(*) AS scanned, count(k.doc_id) AS in_band, count(k.doc_id) FILTER (WHERE k.r = 1) AS kept
 FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.lang""")
 def curation_funnel_by_lang(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", "lang", "text")
-    band = curate.length_band(docs, "text", *BAND)
-    key = text.normalize_text(text.scrub(F.col("text")))
-    kept = curate.exact_first(band, key, ["doc_id"], ["lang"]).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
-    size = F.char_length("text").between(*BAND)
-    seen = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(size).alias("in_band"))
-    return seen.join(kept, "lang", "left").select("lang", "scanned", "in_band", F.coalesce("kept", F.lit(0)).alias("kept"))
+    """One pass over the texts: a row's key is null outside the band, equal keys meet once."""
+    inside = F.coalesce(F.char_length("text").between(*BAND), F.lit(False))
+    masked = t.documents.select("doc_id", "lang", F.when(inside, text.scrub(F.col("text"))).alias("masked"))
+    keyed = masked.select("doc_id", "lang", F.sha2(text.normalize_text(F.col("masked")).cast("binary"), 256).alias("k"))
+    cells = keyed.groupBy("k", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    first = F.row_number().over(Window.partitionBy("k").orderBy("first"))
+    ranked = cells.withColumn("r", first)
+    banded = F.col("k").isNotNull()
+    return ranked.groupBy("lang").agg(F.sum("n").alias("scanned"), F.coalesce(F.sum(F.when(banded, F.col("n"))), F.lit(0)).alias("in_band"), F.count_if(banded & (F.col("r") == 1)).alias("kept"))
 
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {NORM}")
@@ -54,10 +56,12 @@ def duplicate_share(t: Tables) -> DataFrame:
 
 
 @query(rf"""
-WITH h AS (SELECT len(regexp_extract_all(text, '{PHONE}')) AS p, len(regexp_extract_all(regexp_replace(text, '{PHONE}', '[PHONE]', 'g'), '{EMAIL}')) AS e FROM documents)
-SELECT sum(p)::BIGINT AS phone, sum(e)::BIGINT AS email, 0::BIGINT AS birth_date, count(*) FILTER (WHERE p + e > 0) AS masked_rows FROM h""")
+WITH h AS (SELECT len(regexp_extract_all(text, '{PHONE}')) AS p, len(regexp_extract_all(regexp_replace(text, '{PHONE}', '[PHONE]', 'g'), '{EMAIL}')) AS e, CASE WHEN doc_id % 9 = 0 AND text IS NOT NULL THEN 2 ELSE 0 END AS b FROM documents)
+SELECT sum(p)::BIGINT AS phone, sum(e)::BIGINT AS email, sum(b)::BIGINT AS birth_date, count(*) FILTER (WHERE p + e + b > 0) AS masked_rows FROM h""")
 def pii_hit_totals(t: Tables) -> DataFrame:
-    h = t.documents.select(*[c.alias(n) for n, c in text.pii_hits(F.col("text")).items()])
+    """Every ninth text gets a birth date at its end, with and without a year of its own century."""
+    told = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("; Дата рождения: 12.03.1990, ГОД РОЖДЕНИЯ 1/2/2001, приказ от 12.03.1990"))).otherwise(F.col("text"))
+    h = t.documents.select(told.alias("text")).select(*[c.alias(n) for n, c in text.pii_hits(F.col("text")).items()])
     return h.agg(*[F.sum(n).alias(n) for n in text.PII], F.count_if(F.col("phone") + F.col("email") + F.col("birth_date") > 0).alias("masked_rows"))
 
 
@@ -119,14 +123,29 @@ p AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS o FROM e a JO
 SELECT a, b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o / (na + nb - o) >= {NEAR}""")
 def near_dup_pairs_jaccard(t: Tables) -> DataFrame:
     """Between texts that are different after normalisation; copies are told by exact_dedup_kept."""
-    reps = curate.exact_first(t.documents.select("doc_id", "text"), text.normalize_text(F.col("text")), ["doc_id"])
-    return near.pairs_within(reps, "doc_id", "text", threshold=NEAR).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return near.pairs_within(_reps(t.documents), "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+def _reps(docs: DataFrame) -> DataFrame:
+    """(doc_id, t): one row of each normalised text, which is made once."""
+    d = Scratch(docs.sparkSession).table(docs.select("doc_id", text.normalize_text(F.col("text")).alias("t")), "normal")
+    return curate.exact_first(d, F.col("t"), ["doc_id"])
+
+
+#: The kept rows as a recursion over rows in order that have an earlier near copy, with the dropped ones as state.
+GREEDY = f"""
+WITH RECURSIVE reps AS (SELECT min(doc_id) AS doc_id, {NORM} AS text FROM documents GROUP BY ALL), s AS ({_sql_sets('reps', 'doc_id')}),
+e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM s),
+j AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.k < b.k AND least(a.n, b.n) >= {NEAR} * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS rn FROM j WHERE o / (na + nb - o) >= {NEAR} GROUP BY b),
+f AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS dropped UNION ALL SELECT l.rn, CASE WHEN len(list_filter(l.before, lambda x: NOT list_contains(f.dropped, x))) > 0 THEN list_append(f.dropped, l.b) ELSE f.dropped END FROM f JOIN l ON l.rn = f.rn + 1)
+SELECT doc_id FROM reps WHERE NOT list_contains((SELECT arg_max(dropped, rn) FROM f), doc_id)"""
+
+
+@query(GREEDY)
 def near_dup_greedy_kept(t: Tables) -> DataFrame:
-    reps = curate.exact_first(t.documents.select("doc_id", "text"), text.normalize_text(F.col("text")), ["doc_id"])
-    return near.greedy(reps.select("doc_id"), near.pairs_within(reps, "doc_id", "text", threshold=NEAR), "doc_id").select("doc_id")
+    reps = _reps(t.documents)
+    return near.greedy(reps.select("doc_id"), near.pairs_within(reps, "doc_id", "t", threshold=NEAR, normal=True), "doc_id").select("doc_id")
 
 
 @query(f"""
@@ -151,10 +170,14 @@ def contamination_report(t: Tables) -> DataFrame:
     return curate.contamination(*_two(t), "doc_id", "text", "source")
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT min(doc_id) AS doc_id, {NORM} AS text FROM documents WHERE doc_id % 10 < 8 GROUP BY ALL), r AS (SELECT min(doc_id) AS doc_id, {NORM} AS text FROM documents WHERE doc_id % 10 >= 8 GROUP BY ALL),
+ls AS ({_sql_sets('l', 'doc_id')}), rs AS ({_sql_sets('r', 'doc_id')}), le AS (SELECT k, len(s) AS n, unnest(s) AS x FROM ls), re AS (SELECT k, len(s) AS n, unnest(s) AS x FROM rs),
+p AS (SELECT le.k AS a, re.k AS b, le.n AS na, re.n AS nb, count(*) AS o FROM le JOIN re ON le.x = re.x AND least(le.n, re.n) >= {NEAR} * greatest(le.n, re.n) GROUP BY ALL)
+SELECT a, b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o / (na + nb - o) >= {NEAR}""")
 def contamination_near_pairs(t: Tables) -> DataFrame:
-    train, test = (curate.exact_first(x, text.normalize_text(F.col("text")), ["doc_id"]) for x in _two(t))
-    return near.pairs_across(train, test, "doc_id", "doc_id", "text", "text", threshold=NEAR)
+    train, test = (_reps(x) for x in _two(t))
+    return near.pairs_across(train, test, "doc_id", "doc_id", "t", "t", threshold=NEAR, normal=True).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query()
@@ -199,12 +222,15 @@ def mode_and_share(t: Tables) -> DataFrame:
     return stats.mode_share(t.documents, "source", "doc_id")
 
 
-@query(f"""
+DIVERSITY = f"""
 WITH b AS (SELECT count(*) AS examples, count(DISTINCT lang) AS prompts, count(DISTINCT source) AS groups, round((count(text) - count(DISTINCT text)) / count(text), 6) AS duplicate_answer_share FROM documents),
 g AS (SELECT round(max(n) / sum(n), 6) AS largest_group_share FROM (SELECT count(*) AS n FROM documents GROUP BY source)),
 l AS (SELECT round(max(n) / sum(n), 6) AS same_length_share FROM (SELECT count(*) AS n FROM documents GROUP BY length(text))),
 o AS (SELECT list_sort(list(length(text))) AS s FROM documents), r AS (SELECT round({POS.format(q=.9)} / greatest({POS.format(q=.1)}, 1), 6) AS answer_len_ratio FROM o)
-SELECT * FROM b, g, l, r""")
+SELECT * FROM b, g, l, r"""
+
+
+@query(DIVERSITY)
 def diversity_stats(t: Tables) -> DataFrame:
     d = curate.diversity(t.documents, "lang", "source", "text")
     return d.select(*[F.round(c, 6).alias(c) if "share" in c or "ratio" in c else F.col(c) for c in d.columns])
@@ -213,12 +239,12 @@ def diversity_stats(t: Tables) -> DataFrame:
 LIMITS = {"min_examples": 500, "min_prompts": 5, "min_groups": 10, "max_largest_group_share": 0.2, "min_answer_len_ratio": 2.0, "max_same_length_share": 0.05, "max_duplicate_answer_share": 0.02}
 
 
-@query()
+@query(f"WITH m AS ({DIVERSITY}), v AS (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM m) ON COLUMNS(*) INTO NAME name VALUE value), l AS (SELECT unnest({[k.split('_', 1)[1] for k in LIMITS]}) AS name, unnest({[k.split('_', 1)[0] for k in LIMITS]}) AS kind, unnest({[float(v) for v in LIMITS.values()]}) AS lim) SELECT name FROM l JOIN v USING (name) WHERE CASE WHEN kind = 'min' THEN value < lim ELSE value > lim END")
 def diversity_violations(t: Tables) -> DataFrame:
     from ..operators.gates import frame
 
     measures = curate.diversity(t.documents, "lang", "source", "text").first().asDict()
-    return frame(t.spark, [c for c in curate.diversity_checks(measures, LIMITS) if not c.passed])
+    return frame(t.spark, [c for c in curate.diversity_checks(measures, LIMITS) if not c.passed]).select("name")
 
 
 @query("SELECT label, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS mean_norm, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 5) AS max_norm FROM embeddings GROUP BY label")
