@@ -180,12 +180,18 @@ def split_rows(df: DataFrame, group: str, ratios: dict[str, float], seed: int, m
 
 def sample_exact(df: DataFrame, n: int, seed: int, order: list[str]) -> DataFrame:
     """The rows at Python's random.sample(range(count), n), in order: the same sample as there."""
-    total = df.count()
+    spark, named = df.sparkSession, [F.col(f"`{c}`") for c in df.columns]
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    packed = sorted_rows.select(F.struct(*named).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("i"))
+    rows = Scratch(spark).table(packed, "numbered")
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("first"))  # a row a task
+    before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("part", "first", F.coalesce(before, F.lit(0)).alias("start"))
+    total = rows.count()
     at = sorted(random.Random(seed).sample(range(total), min(n, total)))
-    wanted = df.sparkSession.createDataFrame([(i,) for i in at], "pos long")
-    numbered = df.rdd.zipWithIndex() if not order else df.orderBy(*order).rdd.zipWithIndex()
-    flat = numbered.map(lambda x: (x[1], *x[0])).toDF(["pos", *df.columns])
-    return flat.join(wanted, "pos").orderBy("pos").drop("pos")
+    wanted = spark.createDataFrame([(i,) for i in at], "pos long")
+    flat = rows.join(starts, "part").select((F.col("start") + F.col("i") - F.col("first")).alias("pos"), "row")
+    return flat.join(wanted, "pos").orderBy("pos").select("row.*")
 
 
 def sample_hash(df: DataFrame, share: float, key: str, seed: int) -> DataFrame:
