@@ -30,6 +30,8 @@ PII = {
     ),
 }
 IGNORE_CASE = {"birth_date"}
+#: What a text must have for a pattern to be worth a search: characters that each of its matches has.
+HINTS = {"phone": "[78]", "email": "@", "birth_date": "[гдрГДР]"}
 
 
 @F.pandas_udf(T.StringType())
@@ -52,8 +54,12 @@ def casefold_key(text: pd.Series) -> pd.Series:
     return text.map(lambda t: " ".join(t.casefold().split()), na_action="ignore")
 
 
+#: White space that is more than a lone space: nothing else needs replacing.
+RUN_RE = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+
+
 def collapse(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, SPACE_RE, " "), "^ | $", "")
+    return F.trim(F.regexp_replace(text, RUN_RE, " "))
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:
@@ -100,13 +106,19 @@ def pii_hits(text: Column, rules: dict = PII) -> dict[str, Column]:
     out = {}
     for name, (pattern, replacement) in rules.items():
         out[name] = F.coalesce(F.regexp_count(text, F.lit(_flags(name) + pattern)), F.lit(0))
-        text = F.regexp_replace(text, _flags(name) + pattern, replacement)
+        text = _masked(text, name, pattern, replacement)
     return out
 
 
+def _masked(text: Column, name: str, pattern: str, replacement: str) -> Column:
+    replaced = lambda t: F.regexp_replace(t, _flags(name) + pattern, replacement)
+    hint = HINTS.get(name) if PII.get(name) == (pattern, replacement) else None
+    return let(text, lambda t: F.when(t.rlike(hint), replaced(t)).otherwise(t)) if hint else replaced(text)
+
+
 def scrub(text: Column, rules: dict = PII) -> Column:
     for name, (pattern, replacement) in rules.items():
-        text = F.regexp_replace(text, _flags(name) + pattern, replacement)
+        text = _masked(text, name, pattern, replacement)
     return text
 
 

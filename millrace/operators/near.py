@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -16,10 +16,15 @@ from ..scratch import Scratch
 
 
 def sets(df: DataFrame, key: str, col: str, size: int, compose: bool = True, normal: bool = False) -> DataFrame:
-    """(key, s): hashed shingles, each once. normal: the text is normalised already."""
+    """(key, s): shingles as hashes of their words' hashes, each once. normal: the text is normalised already."""
     t = F.col(col) if normal else text.normalize_text(F.col(col), compose)
-    w = df.select(F.col(key).alias("k"), t.alias("t")).select("k", text.words(F.col("t")).alias("w"))
-    return w.select("k", F.array_distinct(F.transform(text.shingles(F.col("w"), size), lambda x: F.xxhash64(x))).alias("s"))
+    w = df.select(F.col(key).alias("k"), t.alias("t")).select("k", F.transform(text.words(F.col("t")), lambda x: F.xxhash64(x)).alias("w"))
+
+    def grams(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(*[F.get(w, i + (j - 1)) for j in range(size)]))
+        return F.when(F.size(w) >= size, F.array_distinct(many)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+    return w.select("k", text.let(F.col("w"), grams).alias("s"))
 
 
 def minhash(s, perms: int = 64):
@@ -84,7 +89,8 @@ def containment(left: DataFrame, right: DataFrame, key_l: str, key_r: str, col_l
     scratch = Scratch(left.sparkSession)
     sr = scratch.table(sets(right, key_r, col_r, size, compose), "right")
     small = sr.select(F.col("k").alias("b"), F.size("s").alias("n"), F.explode("s").alias("x"))
-    big = sets(left, key_l, col_l, size, compose).select(F.col("k").alias("a"), F.explode("s").alias("x"))
+    # explode would be given a filter on the sets, which would then be made twice.
+    big = sets(left, key_l, col_l, size, compose).select(F.col("k").alias("a"), F.explode_outer("s").alias("x"))
     wanted = small.select("x").distinct()
     if sr.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0] <= FEW:
         big = big.join(F.broadcast(wanted), "x", "left_semi")
