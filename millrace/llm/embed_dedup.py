@@ -16,8 +16,9 @@ the cosine, computed in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those
 without a label, link with nothing; vectors of different length never link; rows that repeat an id
-and vector count as separate vectors; a null id is not linked; an empty table gives an empty result;
-other columns are not read.
+count as separate vectors, whether their vectors are equal or not, and give a row each; a null id is
+not linked; an empty table gives an empty result; other columns, of whatever name, are not read. Nodes
+are numbered as they are written, so their names are theirs alone; ids appear in the result only.
 """
 
 from __future__ import annotations
@@ -43,11 +44,12 @@ AUDIT = 50
 
 
 def nodes_of(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(label, v, node, mult, ask): distinct valid vectors by their least id; whether the audit asks for one of its rows."""
+    """(label, v, node, low, mult, ask): distinct valid vectors, numbered, with their least id; whether the
+    audit asks for one of its rows. To be written before it is read twice."""
     v = F.col("v")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(sound).groupBy("label", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("mult"), F.bool_or(F.pmod("id", F.lit(AUDIT)) == 0).alias("ask"))
+    return rows.where(sound).groupBy("label", "v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("mult"), F.bool_or(F.pmod("id", F.lit(AUDIT)) == 0).alias("ask")).withColumn("node", F.monotonically_increasing_id())
 
 
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,10 +97,14 @@ def _local_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hub = None
 
     def join() -> list:
-        ids = np.array([r[0] for r in held])
-        kth = np.array([r[1] for r in held])
-        new = np.array([r[2] for r in held], dtype=bool)
-        v = np.array([np.frombuffer(r[3]) for r in held])
+        _, at = np.unique([r[0] for r in held], return_index=True)  # a neighbour of both kinds comes twice
+        if len(at) < 2:
+            return []
+        ids = np.array([held[i][0] for i in at])
+        kth = np.array([held[i][1] for i in at])
+        fresh = {r[0] for r in held if r[2]}
+        new = np.array([i in fresh for i in ids.tolist()], dtype=bool)
+        v = np.array([np.frombuffer(held[i][3]) for i in at])
         s = v @ v.T
         good = (s > np.minimum.outer(kth, kth)) & (new[:, None] | new[None, :]) & (ids[:, None] < ids[None, :])
         i, j = np.nonzero(good)
@@ -125,22 +131,36 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("nbr"), "sim").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("nbr"), "sim"))
 
 
-def _lists(found: DataFrame, widths: DataFrame | None, base: int) -> DataFrame:
-    """The best of each node. found: node, nbr, sim, old."""
-    one = found.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
+def _lists(found: DataFrame, state: DataFrame | None, base: int) -> DataFrame:
+    """The best of each node. found: node, nbr, sim, old; one exchange serves all three steps."""
+    here = found.repartition(tasks(found.sparkSession), "node")
+    one = here.groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))
     ranked = one.withColumn("r", rank)
-    if widths is None:
+    if state is None:
         return ranked.where(F.col("r") <= base).select("node", "nbr", "sim", "old")
-    ranked = ranked.join(widths, "node", "left")
+    ranked = ranked.join(state.select("node", "width"), "node", "left")
     return ranked.where(F.col("r") <= F.coalesce("width", F.lit(base))).select("node", "nbr", "sim", "old")
 
 
+def _state(graph: DataFrame, base: int) -> DataFrame:
+    """(node, width, kth): how long a node's list may be, twice as long once it is full of links, and the
+    similarity that a new neighbour must exceed."""
+    seen = graph.groupBy("node").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("c"), F.count_if(F.col("sim") >= COSINE).alias("links"))
+    wide = F.least(F.pow(F.lit(2.0), F.floor(F.log2(F.col("links").cast("double"))) + 1), F.lit(float(LONGEST))).cast("int")
+    sized = seen.withColumn("width", F.when(F.col("links") >= base, wide).otherwise(base))
+    return sized.select("node", "width", F.when(F.col("c") >= F.col("width"), F.col("low")).otherwise(-2.0).alias("kth"))
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    return df.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+
+
 def _grouped_blocks(df: DataFrame, *cols: str) -> DataFrame:
     """Rows of a kind dealt into blocks of about BLOCK, each block one row."""
-    n = df.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = df.join(n, "kind").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    return dealt.groupBy("kind", "block").agg(*[F.collect_list(c).alias(c) for c in cols])
+    n = _blocks(df)
+    dealt = df.join(n, "kind").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
+    return dealt.repartition(tasks(df.sparkSession), "kind", "block").groupBy("kind", "block").agg(*[F.collect_list(c).alias(c) for c in cols])
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,26 +183,32 @@ def scan(queries: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = nodes.join(roots, "node", "left").select("node", "kind", "mult", "vec", F.coalesce("root", "node").alias("root"))
     data = _grouped_blocks(rooted, "node", "vec", "mult", "root")
     ask = _grouped_blocks(queries.select("node", "kind", "vec"), "node", "vec").select("kind", F.col("node").alias("q"), F.col("vec").alias("qvec"))
-    pairs = ask.join(data, "kind").repartition(tasks(nodes.sparkSession))
+    # Each block of queries goes to each block of its kind, which stays where it is.
+    aimed = ask.join(_blocks(nodes), "kind").select("kind", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "q", "qvec")
+    pairs = data.join(aimed, ["kind", "block"])
     hits = map_pandas(pairs, _scan, "q long, n long, roots array<long>")
     return hits.groupBy("q").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
 
 
-def _round(nodes: DataFrame, graph: DataFrame, widths: DataFrame, scratch: Scratch, base: int) -> DataFrame:
-    """One round of the local join: better lists. graph: node, nbr, sim, old."""
-    width = F.coalesce("width", F.lit(base))
-    kth = graph.groupBy("node").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("c")).join(widths, "node", "left").select("node", F.when(F.col("c") >= width, F.col("low")).otherwise(-2.0).alias("kth"))
-    forward = graph.select(F.col("node").alias("hub"), F.col("nbr").alias("node"), (~F.col("old").cast("boolean")).alias("new"), "sim")
-    back = graph.select(F.col("nbr").alias("hub"), "node", (~F.col("old").cast("boolean")).alias("new"), "sim")
-    back = back.withColumn("r", F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("new"), F.desc("sim"), "node"))).where(F.col("r") <= REVERSE).drop("r")
-    near = forward.unionByName(back).groupBy("hub", "node").agg(F.max("new").alias("new"), F.max("sim").alias("sim"))
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("new"), F.desc("sim"), "node"))).where(F.col("r") <= base + REVERSE)
-    live = near.groupBy("hub").agg(F.max("new").alias("any")).where("any").select("hub")
-    near = near.join(live, "hub").join(nodes.select("node", "vec"), "node").join(kth, "node", "left")
-    near = near.select("hub", "node", F.coalesce("kth", F.lit(-2.0)).alias("kth"), "new", "vec").repartition(tasks(nodes.sparkSession), "hub").sortWithinPartitions("hub")
-    better = _both(map_pandas(near, _local_join, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim")))
+def _round(nodes: DataFrame, graph: DataFrame, scratch: Scratch, base: int) -> DataFrame:
+    """One round of the local join: better lists. graph: node, nbr, sim, old. A hub brings together its
+    `base` nearest and REVERSE of those that have it as nearest, new ones first, if any is new."""
+    spark = nodes.sparkSession
+    state = scratch.table(_state(graph, base), "state")
+    new = F.col("old") == 0
+    forward = graph.select(F.col("node").alias("hub"), F.col("nbr").alias("node"), new.alias("new"), "sim", F.lit(False).alias("back"))
+    back = graph.select(F.col("nbr").alias("hub"), "node", new.alias("new"), "sim", F.lit(True).alias("back"))
+    near = forward.unionByName(back).repartition(tasks(spark), "hub")
+    near = near.withColumn("live", F.max("new").over(Window.partitionBy("hub"))).where("live")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("hub", "back").orderBy(F.desc("new"), F.desc("sim"), "node")))
+    near = near.where(F.col("r") <= F.when(F.col("back"), REVERSE).otherwise(base)).select("hub", "node", "new")
+    near = near.join(nodes.select("node", "vec"), "node").join(state.select("node", "kth"), "node", "left")
+    near = near.select("hub", "node", F.coalesce("kth", F.lit(-2.0)).alias("kth"), "new", "vec").repartition(tasks(spark), "hub").sortWithinPartitions("hub")
+    better = _both(map_pandas(near, _local_join, "a long, b long, sim double"))
     found = graph.select("node", "nbr", "sim", F.lit(1).alias("old")).unionByName(better.withColumn("old", F.lit(0)))
-    return scratch.table(_lists(found, widths, base), "graph")
+    out = scratch.table(_lists(found, state, base), "graph")
+    scratch.drop(state)
+    return out
 
 
 def _joining(edges: DataFrame, exact: DataFrame) -> DataFrame:
@@ -222,7 +248,7 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     scratch = Scratch(spark)
-    raw = nodes_of(df, id_col, vec_col, label_col)
+    raw = scratch.table(nodes_of(df, id_col, vec_col, label_col), "raw")
     nodes = scratch.table(map_pandas(raw, _prepare, "node long, kind string, mult long, ask boolean, vec binary, codes array<long>"), "nodes")
     total = nodes.count()
     bits = min(ORDER_BITS, max(0, round(math.log2(max(1, total / (4 * BUCKET))))))
@@ -239,10 +265,8 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     while True:
         links = -1
         for _ in range(rounds):
-            full = graph.groupBy("node").agg(F.count_if(F.col("sim") >= COSINE).alias("c")).where(F.col("c") >= base)
-            widths = scratch.table(full.select("node", F.least(F.pow(F.lit(2.0), F.floor(F.log2(F.col("c").cast("double"))) + 1), F.lit(float(LONGEST))).cast("int").alias("width")), "widths")
-            new = _round(nodes, graph, widths, scratch, base)
-            scratch.drop(graph, widths)
+            new = _round(nodes, graph, scratch, base)
+            scratch.drop(graph)
             graph = new
             now = graph.where(F.col("sim") >= COSINE).count()
             if now == links:
@@ -267,17 +291,19 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         base, rounds = base * 2, rounds * 2
         graph = scratch.table(graph.withColumn("old", F.lit(0)), "graph")
 
-    whole = nodes.select("node", "mult").join(by_node, "node", "left").join(joined, "node", "left")
-    whole = whole.select("node", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    members = nodes_members(df, id_col, vec_col, label_col).join(whole, "node", "left")
+    whole = raw.select("node", "low", "mult").join(by_node, "node", "left").join(joined, "node", "left")
+    whole = whole.select("node", "low", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    tops = whole.groupBy("root").agg(F.min("low").alias("component_id"))
+    members = members_of(df, raw, id_col, vec_col, label_col).join(whole.join(tops, "root"), "node", "left")
     out = members.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", F.col("id").cast("long")).alias("component_id"),
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
     return (out, measured) if with_audit else out
 
 
-def nodes_members(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+def members_of(df: DataFrame, nodes: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """(id, node): each row's node, null for those that link with nothing."""
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    nodes = nodes_of(df, id_col, vec_col, label_col).select("label", "v", "node")
-    return rows.join(nodes, ["label", "v"], "left").select("id", "node")
+    linkable = F.col("id").isNotNull() & F.col("label").isNotNull()
+    named = rows.where(linkable).join(nodes.select("label", "v", "node"), ["label", "v"], "left").select("id", "node")
+    return named.unionByName(rows.where(~linkable).select("id", F.lit(None).cast("long").alias("node")))
