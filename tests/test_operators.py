@@ -366,3 +366,32 @@ def test_collect_stage(spark):
 def test_exact_sample(spark):
     df = spark.range(50).withColumnRenamed("id", "k")
     assert [r["k"] for r in curate.sample_exact(df, 7, 3, ["k"]).collect()] == sorted(random.Random(3).sample(range(50), 7))
+
+
+def test_documents_configs_and_keys(tmp_path):
+    from millrace.functions import hashing
+    from millrace.sources import jsonl
+
+    path = str(tmp_path / "m.json")
+    jsonl.write_document(path, {"é": [1, 2.5, None]})
+    assert jsonl.read_document(path) == {"é": [1, 2.5, None]} == tables.load_config(path)
+    with pytest.raises(ValueError):
+        jsonl.write_document(path, {"x": float("nan")})
+    (tmp_path / "n.json").write_text('{"x": NaN}')
+    with pytest.raises(ValueError):
+        jsonl.read_document(str(tmp_path / "n.json"))
+    (tmp_path / "copy").write_bytes((tmp_path / "m.json").read_bytes())
+    assert hashing.cache_key(path, {"a": 1, "b": 2}) == hashing.cache_key(tmp_path / "copy", {"b": 2, "a": 1}) != hashing.cache_key(path, {"a": 2, "b": 2})
+    assert hashing.training_fingerprint(b"code", {"a": 1}) != hashing.training_fingerprint(b"code", {"a": 2})
+    with pytest.raises(ValueError, match="unknown version"):
+        tables.version_files({"v1": [path]}, "v2")
+    with pytest.raises(ValueError, match="missing"):
+        tables.version_files({"v1": [path + "x"]}, "v1")
+    assert tables.version_files({"v1": [path]}, "v1") == [path]
+
+
+def test_markdown_is_for_small_tables(spark):
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string")
+    assert tables.markdown(df.orderBy("n")) == "| n | s |\n| --- | --- |\n| 1 | a\\|b |\n| 2 |  |"
+    with pytest.raises(ValueError):
+        tables.markdown(df, most=1)
