@@ -69,8 +69,7 @@ def test_exact_dedup(spark, docs, empty, monkeypatch, hits):
     from millrace.llm import exact_dedup as m
 
     if hits == 2:  # the path for texts with very many copies
-        monkeypatch.setattr(m, "HEAVY_SAMPLE", 60)
-        monkeypatch.setattr(m, "HEAVY_HITS", 2)
+        monkeypatch.setattr(m, "HEAVY_LEAST", 2)
     groups = defaultdict(list)
     for i, t in KEYED:
         groups[norm(t)].append(i)
@@ -262,6 +261,34 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join(empty).count() == 0
 
 
+def test_frequent_grams_pass_through_a_fragment(monkeypatch):
+    from millrace.llm import ngram_join as m
+
+    rng = random.Random(12)
+    monkeypatch.setattr(m, "HOT", 6)
+    monkeypatch.setattr(m, "HELD", 20)
+    sets = [sorted({rng.choice([1, 2, 3, rng.randrange(4, 60)]) for _ in range(8)}) for _ in range(40)]
+    count = Counter(g for s in sets for g in s)
+    lots = [pd.DataFrame([(0, u, np.array([g << 16 for g in sets[u]], dtype=np.uint64).tobytes(), None, None) for u in range(a, a + 4)], columns=["frag", "uid", "data", "dfs", "meta"]) for a in range(0, 40, 4)]
+    got = defaultdict(dict)
+    for pdf in m._count_fragment(iter(lots)):
+        for u, data, dfs in pdf[["uid", "data", "dfs"]].itertuples(index=False):
+            got[u].update(zip((np.frombuffer(data, np.uint64) >> np.uint64(16)).tolist(), np.frombuffer(dfs, np.uint32).tolist()))
+    assert any(n >= 6 for n in count.values())
+    assert {u: x for u, x in got.items()} == {u: w for u, s in enumerate(sets) if (w := {g: count[g] if count[g] < 6 else m.MANY for g in s if count[g] > 1})}
+
+
+def test_long_texts_have_whole_sets(monkeypatch):
+    from millrace.llm import ngram_join as m
+
+    rng = random.Random(9)
+    texts = [words(rng, n, 50).encode() for n in (3, 900, 5, 2000, 4)] + [b"", b" \n", b"z" * 400, b"q " * 300, b" a\tb  " * 70]
+    whole = m.gram_entries(texts)
+    for lot in (30, 64, 500):
+        monkeypatch.setattr(m, "LOT", lot)
+        assert (m.gram_entries(texts) == whole).all()
+
+
 def test_ngram_join_reads_a_plain_scan(spark, sf, monkeypatch):
     from millrace.llm import ngram_join, queries
 
@@ -307,7 +334,7 @@ def windows(texts, w):
 def test_suffix_dedup(spark, docs, empty, monkeypatch, runs):
     from millrace.llm import suffix_dedup as m
 
-    rows_ = [(i, t if len(t) < 20_000 else t[:2500]) for i, t in KEYED]
+    rows_ = KEYED
     df = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("digest", F.lit("clash"))
     texts = [t.encode() for _, t in rows_]
     want = Counter()
@@ -315,7 +342,7 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, runs):
         spans = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         want[(i, len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest())] += 1
     if runs == 1:  # every group is salted and meets again in the second level
-        monkeypatch.setattr(m, "GROUP_RUNS", 1)
+        monkeypatch.setattr(m, "GROUP_BYTES", 1)
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in table(m.suffix_dedup(df)))
     assert got == want
     if runs == 4000:
@@ -326,6 +353,29 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, runs):
         assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] and len(r["spans"]) == r["n_spans"] for r in one)
 
 
+def test_suffix_dedup_of_long_runs_and_many_copies(spark):
+    from millrace.llm import suffix_dedup as m
+
+    ones = [(i, "a" * (1_000_000 + i)) for i in range(12)]  # one digit throughout, no two alike
+    got = table(m.suffix_dedup(spark.createDataFrame(ones, "doc_id long, text string").repartition(4)))
+    assert len(got) == 12 and all(r["n_removed"] == r["n_bytes"] == 1_000_000 + r["doc_id"] and r["n_spans"] == 1 for r in got)
+    # Copies just below the bound of the join-free way, and one text that shares a window with them.
+    rng = random.Random(8)
+    shared = words(rng, 200, 4000)
+    many = [(i, shared) for i in range(900)] + [(1000, words(rng, 90, 4000) + shared[:450]), (1001, words(rng, 300, 4000))]
+    out = by_id(m.suffix_dedup(spark.createDataFrame(many, "doc_id long, text string").repartition(5)))
+    assert all(out[i]["n_removed"] == len(shared) for i in range(900)) and out[1000]["n_removed"] == 450 and out[1001]["n_removed"] == 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from millrace.llm import _common as m
+
+    m.small_batches(spark, 500)
+    df = spark.createDataFrame([("x" * 1_000_000,)] * 60, "t string").repartition(1)
+    sizes = table(m.map_pandas(df, lambda it: (pd.DataFrame({"n": [int(p["t"].str.len().sum())]}) for p in it), "n long"))
+    assert max(r["n"] for r in sizes) <= m.BATCH_BYTES + 1_000_000
+
+
 def test_chunk_dedup(spark, docs, empty):
     from millrace.llm import chunk_dedup as m
 
@@ -368,7 +418,6 @@ def test_packing(spark, docs, empty):
     from millrace.llm import packing as m
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     df = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     ids = {i: np.array(tok.encode(t, add_special_tokens=False).ids + [0], dtype="<u4") for i, t in KEYED if i is not None}
     pieces = table(m.pack(df, with_ids=True))
@@ -405,11 +454,40 @@ def test_packing_reads_the_end_mark_as_one_id():
     assert encoder(path)("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
-def test_cuts():
-    from millrace.llm.packing import cuts
+def test_bins_cut_little_and_pad_little():
+    from millrace.llm.packing import SLACK, Bins, reciprocal
+
+    assert [reciprocal(n) for n in (1023, 513, 512, 342, 341, 32, 31, 16, 1)] == [1, 1, 2, 2, 3, 32, 32, 64, 1024]
+    rng = random.Random(3)
+    for lengths in ([rng.randrange(1, 900) for _ in range(3000)], [1], [1024], [5] * 2500, [700] * 50, [int(rng.paretovariate(1) * 40) for _ in range(3000)], []):
+        got = []
+        bins = Bins(lambda *x: got.append(x))
+        for d, n in enumerate(lengths):
+            bins.add(d, np.arange(n, dtype="<u4"))
+            assert len(bins.waiting) <= 2
+        bins.finish()
+        whole, sizes = defaultdict(list), Counter()
+        for doc, start, ids, total, seq, offset in got:
+            assert total == lengths[doc] and len(ids) and offset == sizes[seq]
+            whole[doc] += list(ids) if start == len(whole[doc]) else [None]
+            sizes[seq] += len(ids)
+        assert all(whole[d] == list(range(n)) for d, n in enumerate(lengths))
+        assert all(n <= 1024 and (n & (n - 1) == 0 or 1024 - n <= SLACK) for n in sizes.values())
+        assert len(got) <= 2 * len(lengths) + sum(n // 1024 for n in lengths) + 40
+
+
+@pytest.mark.parametrize("end", ["", "b", "\n<|endoftext|>", "<|endoftext|>  x"])
+def test_packing_reads_long_blanks(end):
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    for n in [*range(1, 3000, 7), 1024, 1023, 2048]:
-        assert sum(cuts(n)) == n and max(cuts(n)) <= 1024
+    from millrace.llm.packing import BLANKS, default_tokenizer, encoder
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for run in (" " * BLANKS, "\n" * 3 * BLANKS, " \u2003\t" * BLANKS, "x" + " " * (BLANKS - 1), "y\x1c" + "\n " * BLANKS + "\x1c"):
+        for text in (run + end, "a b" + run + end, "a " + run + "c" + run + end):
+            assert list(encoder(default_tokenizer())(text)) == tok.encode(text, add_special_tokens=False).ids
+    assert len(encoder(default_tokenizer())(" " * 10_000_000 + "b")) > 1000
 
 
 @pytest.mark.parametrize("frequent", [65_536, 40])

@@ -1,7 +1,12 @@
 """NN-descent against brute force; the pipeline's stages against their meaning; the registry."""
 
+import re
+from collections import Counter
+
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 def vectors():
@@ -52,6 +57,15 @@ def test_nn_descent(spark):
     assert near_dedup(df.limit(0)).count() == 0
 
 
+def test_a_row_for_each_vector_where_ids_repeat(spark):
+    from millrace.llm.embed_dedup import near_dedup
+
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.999, 0.01, 0.0]
+    data = [(1, a, 1), (1, b, 1), (1, a, 1), (2, a, 1), (3, c, 1), (4, b, 2), (None, a, 1), (5, [0.0, 0.0, 1.0, 1.0], 1), (1, a, None)]
+    out = near_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in out) == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4), (5, 0, 5)]
+
+
 def near_with_losses(spark, monkeypatch, lost):
     """A group of 60 (ids 0 to 59) and 40 pairs (1000 to 1079), where the graph never sees pairs of a lost id."""
     from millrace.llm import embed_dedup as m
@@ -63,6 +77,7 @@ def near_with_losses(spark, monkeypatch, lost):
 
         return run
 
+    monkeypatch.setattr(m, "nodes_of", lambda *x, f=m.nodes_of: f(*x).withColumn("node", F.col("low")))  # ids are unique here
     for name in ("_adjacent", "_local_join"):
         monkeypatch.setattr(m, name, without(getattr(m, name)))
     rng = np.random.default_rng(5)
@@ -85,6 +100,52 @@ def test_links_into_a_large_component_count_at_both_ends(spark, monkeypatch):
     assert all(got[i]["n_links"] == 59 and got[i]["component_id"] == 0 for i in range(60))
 
 
+def in_one_language(docs, least):
+    """Ids that the language stage keeps, by a recursion over one document's words at a time."""
+    from millrace.llm import langid as m
+
+    model = m.fit(docs.where(~m.held_out()))
+    kept = set()
+    for i, text in docs.select("doc_id", "text").collect():
+        w = m.words_of([text or ""])
+        if not w.letters[0]:
+            continue
+        scores = model.word_scores(w)
+        best, back = scores[0].copy(), []
+        for row in scores[1:]:
+            move = best[None, :] - m.SWITCH * (1 - np.eye(len(best)))
+            back.append(move.argmax(axis=1))
+            best = move.max(axis=1) + row
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        mass = Counter()
+        for label, a, b in zip(reversed(path), w.begin, w.end):
+            mass[label] += int(b - a)
+        if max(mass.values()) >= least * sum(mass.values()):
+            kept.add(i)
+    return kept
+
+
+def mix_by_hand(sizes, copies):
+    """source -> (target, words taken)."""
+    held, taken = Counter(), Counter()
+    for i, (source, n) in sizes.items():
+        held[source] += n
+        taken[source] += n * copies.get(i, 0)
+    order = sorted(held, key=lambda x: (x is None, x))
+    weight = {x: k % 3 + 1 for k, x in enumerate(order)}
+    target, free, left = {}, set(order), sum(held.values())
+    while free:
+        share = left / sum(weight[x] for x in free)
+        full = {x for x in free if share * weight[x] > 3 * held[x]}
+        for x in full or free:
+            target[x] = 3 * held[x] if full else share * weight[x]
+        left -= sum(target[x] for x in full)
+        free = free - full if full else set()
+    return {x: (target[x], taken[x]) for x in order if target[x]}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
@@ -102,14 +163,14 @@ def test_pipeline(spark, sf):
         now = new
     texts = lambda d: {r[0]: r[1] for r in d.select("doc_id", "text").collect()}
     lang_in, lang_out = map(texts, seen[0])
-    assert not any(any(c.isalpha() for c in t) is False for t in lang_out.values())
+    assert set(lang_out) == in_one_language(seen[0][0], pipeline.LEAST_SHARE)
     assert len(lang_out) >= 0.95 * len(lang_in)
     exact_in, exact_out = map(texts, seen[1])
     best = {}
     for i, t in exact_in.items():
-        k = " ".join(t.split(" "))
+        k = re.sub(r"[\x20\x09-\x0D]+", " ", t)
         best[k] = min(best.get(k, i), i)
-    assert set(exact_out) <= set(exact_in) and len(exact_out) <= len(best)
+    assert set(exact_out) == set(best.values())
     near_in, near_out = map(texts, seen[2])
     from tests.llm.test_documents import components, grams
 
@@ -118,7 +179,21 @@ def test_pipeline(spark, sf):
     mixed_in, mixed_out = seen[3]
     copies = [r[0] for r in mixed_out.groupBy("doc_id").count().select("count").collect()]
     assert max(copies) <= 3 and mixed_out.join(mixed_in, "doc_id", "left_anti").count() == 0
+    sizes = {r[0]: (r[1], len(re.findall(r"[^\x20\x09-\x0D]+", r[2]))) for r in mixed_in.select("doc_id", "source", "text").collect()}
+    for source, (want, got) in mix_by_hand(sizes, {r[0]: r[1] for r in mixed_out.groupBy("doc_id").count().collect()}).items():
+        least = min(n for x, n in sizes.values() if x == source and n)
+        assert abs(got - want) <= max(0.01 * want, least), source
     packed = seen[4][1]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    left = sorted((i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in mixed_out.select("doc_id", "text").collect())
+    by_doc = {}
+    for r in packed.collect():
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    for i, n in dict(left).items():
+        copies = sum(d == i for d, _ in left)
+        at = Counter(k for a, m, total in by_doc.pop(i) for k in range(a, a + m) if total == n)
+        assert at == Counter({k: copies for k in range(n)})
+    assert not by_doc
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
     assert pipeline.ORACLE_SQL is None and pipeline.run(spark, sf).count() == packed.count()
 
