@@ -3,7 +3,8 @@
 A text's set is its distinct word 5-grams, as 48-bit hashes. The global order of grams is cut into
 fragments; every text sends each fragment its own stretch of its sorted set, packed by batch, and a
 fragment counts the texts of each of its grams. Summed over fragments, a text's repeated grams
-decide whether it can have a partner at all: fewer than 0.8 of its set, and it has none. Almost all
+decide whether it can have a partner at all: fewer than 0.8 of its set, and it has none. Grams of HOT and
+more texts stand last in the order, alike, and pass through a fragment without being held. Almost all
 texts end here. The rest go round once more among themselves, which gives exact frequencies.
 
 Candidates come from prefixes: in the order (frequency, gram), two sets with the similarity share
@@ -19,7 +20,8 @@ all others. A pair inside one component needs no link of its own, so nothing is
 Defined results: null, empty and wordless texts have no set, link with nothing and are their own
 component; texts of under five words have one gram, the whole sequence; rows that repeat an id are
 one document if their texts agree and linked through the id otherwise; a null id gets the component
-of its text's other ids, if any; an empty table gives an empty result; other columns are not read.
+of its text's other ids, if any; a very long text has its whole set, hashed in lots; an empty table
+gives an empty result; other columns, of whatever name, are not read.
 A batch is named by its task and position, so the input must be a table scan or another input whose
 partitions come out alike when they are read again (a written table, in the pipeline).
 """
@@ -27,6 +29,7 @@ partitions come out alike when they are read again (a written table, in the pipe
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,10 +48,16 @@ NUM, DEN = 80, 100
 PAIR_FRAGMENTS = 4
 #: Grams in a fragment, about.
 FRAGMENT = 4_000_000
+#: Entries after which a task looks for hot grams, what makes one, and the count that stands for all of them.
+HELD, HOT, MANY = 8_000_000, 1 << 16, (1 << 32) - 1
 #: Leaders that a text is compared with before all else.
 LEADERS = 3
 ENTRY = "frag int, uid long, data binary, dfs binary, meta binary"
 
+#: Bytes of text that are hashed at once.
+LOT = 2 << 20
+
+_cut = re.compile(rb"[\x20\x09-\x0d]")
 _space = np.zeros(256, dtype=bool)
 _space[list(SPACE_BYTES)] = True
 
@@ -58,8 +67,43 @@ def needed(n):
     return -(-n * NUM // DEN)
 
 
+def pieces(texts: list[bytes], k: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Texts in lots of about LOT bytes, each with its number; a longer text is cut after a space, and a
+    further piece begins k - 1 words early, so that every gram is whole in one piece."""
+    lot, numbers, size = [], [], 0
+    for i, t in enumerate(texts):
+        while True:
+            cut = _cut.search(t, LOT) if len(t) > LOT else None
+            part, rest = (t, b"") if cut is None else (t[: cut.end()], t[cut.end() :])
+            lot.append(part)
+            numbers.append(i)
+            size += len(part)
+            if size > LOT:
+                yield lot, numbers
+                lot, numbers, size = [], [], 0
+            early = part.rsplit(None, k - 1)[1:] if rest.strip(SPACE_BYTES) else []
+            if not rest.strip(SPACE_BYTES):
+                break
+            t = b" ".join([*early, rest])
+    if lot:
+        yield lot, numbers
+
+
 def gram_entries(texts: list[bytes], k: int = 5) -> np.ndarray:
     """gram << 16 | text number, sorted, each once."""
+    lots = []
+    for lot, numbers in pieces(texts, k):
+        entries = _lot_entries(lot, k)
+        own = np.array(numbers, dtype=np.uint64)[(entries & np.uint64(0xFFFF)).astype(np.int64)]
+        lots.append((entries & np.uint64(0xFFFFFFFFFFFF0000)) | own)
+    if len(lots) < 2:
+        return lots[0] if lots else np.zeros(0, dtype=np.uint64)
+    entries = np.sort(np.concatenate(lots))
+    return entries[np.append(True, entries[1:] != entries[:-1])] if len(entries) else entries
+
+
+def _lot_entries(texts: list[bytes], k: int) -> np.ndarray:
+    """The same of texts that are hashed together."""
     data = np.frombuffer(b"\n".join([b"", *texts, b""]).lower(), dtype=np.uint8)
     inside = ~_space[data]
     step = np.diff(inside.astype(np.int8))
@@ -106,41 +150,77 @@ def _uid(n: int) -> int:
     return TaskContext.get().partitionId() << 32 | n
 
 
+def _among(h: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted array."""
+    if not len(few):
+        return np.zeros(len(h), dtype=bool)
+    return few[np.minimum(np.searchsorted(few, h), len(few) - 1)] == h
+
+
 def _count_fragment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One fragment: how many texts have each gram. Entries of lone grams go, the others get the count."""
-    held = []
+    """One fragment: how many texts have each gram. Entries of lone grams go, the others get the count; from
+    HOT on all get MANY instead, and once a gram is known to be so frequent its entries pass straight
+    through, so a task holds no more than HOT entries of a gram."""
+    hot = np.zeros(0, dtype=np.uint64)
+    rows: list[tuple[int, int]] = []  # fragment and batch of each part
+    parts: list[np.ndarray] = []
+    held, limit = 0, HELD
+
+    def frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["frag", "uid", "data", "dfs", "meta"])
+
+    def counted(entries: np.ndarray) -> np.ndarray:
+        h = entries >> np.uint64(16)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        n = np.diff(np.append(first, len(h))).astype(np.uint32)
+        df = np.empty(len(entries), dtype=np.uint32)
+        df[order] = np.repeat(np.where(n >= HOT, np.uint32(MANY), n), n)
+        return df
+
+    def told(least: int) -> Iterator[pd.DataFrame]:
+        """Passes on entries of counts from `least` on and keeps the others."""
+        nonlocal hot, held
+        entries = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+        df = counted(entries)
+        go = df >= least
+        hot = np.union1d(hot, np.unique(entries[df == MANY] >> np.uint64(16)))
+        at, out = np.cumsum([0, *map(len, parts)]), []
+        for i, (f, u) in enumerate(rows):
+            here = slice(at[i], at[i + 1])
+            e, d, g = entries[here], df[here], go[here]
+            if g.any():
+                out.append((f, u, e[g].tobytes(), d[g].tobytes(), None))
+            parts[i] = e[~g].copy()
+            if len(out) >= 200:
+                yield frame(out)
+                out = []
+        if out:
+            yield frame(out)
+        held = sum(map(len, parts))
+
     for pdf in batches:
-        told = pdf["meta"].notna()
-        if told.any():
-            yield pdf[told]
-        held.append(pdf[~told])
-    rows = pd.concat(held, ignore_index=True) if held else []
-    held.clear()
-    if not len(rows):
-        return
-    sizes = rows["data"].str.len().to_numpy() // 8
-    entries = np.frombuffer(b"".join(rows.pop("data")), dtype=np.uint64)
-    h = entries >> np.uint64(16)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    n = np.diff(np.append(first, len(h))).astype(np.uint32)
-    del h
-    df = np.empty(len(entries), dtype=np.uint32)
-    df[order] = np.repeat(n, n)
-    del order
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
-    for i in range(len(rows)):
-        e, d = entries[at[i] : at[i + 1]], df[at[i] : at[i + 1]]
-        keep = d > 1
-        if keep.any():
-            out.append((rows["frag"][i], rows["uid"][i], e[keep].tobytes(), d[keep].tobytes(), None))
-        if len(out) >= 200:
-            yield pd.DataFrame(out, columns=["frag", "uid", "data", "dfs", "meta"])
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=["frag", "uid", "data", "dfs", "meta"])
+        meta = pdf["meta"].notna()
+        if meta.any():
+            yield pdf[meta]
+        through = []
+        for f, u, data in pdf.loc[~meta, ["frag", "uid", "data"]].itertuples(index=False):
+            e = np.frombuffer(data, dtype=np.uint64)
+            often = _among(e >> np.uint64(16), hot)
+            if often.any():
+                through.append((f, u, e[often].tobytes(), np.full(int(often.sum()), MANY, dtype=np.uint32).tobytes(), None))
+                e = e[~often]
+            if len(e):
+                rows.append((f, u))
+                parts.append(e)
+                held += len(e)
+        if through:
+            yield frame(through)
+        if held > limit:
+            yield from told(MANY)
+            limit = max(HELD, 2 * held)
+    yield from told(2)
 
 
 def _batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
