@@ -46,7 +46,7 @@ WINDOW, GRAM, DIGIT = 400, 128, 100
 CHUNK = 1 << 20
 #: Starts in one row, bytes of one first digit that meet in one group (more are split by salt), bytes
 #: sorted at once. A worker holds about 80 bytes for each byte that it sorts.
-RUN, GROUP_BYTES, BLOCK = 1 << 15, 2 << 20, 1 << 20
+RUN, GROUP_BYTES, BLOCK = 1 << 15, 1 << 20, 1 << 19
 #: A window that another task may have too: its hash, its text, its start.
 OPEN = np.dtype([("wh", "<u8"), ("digest", "S16"), ("s", "<i8")])
 #: Texts with more copies than one in so many rows go whole without a join: at most so many texts.
