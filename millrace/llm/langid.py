@@ -7,8 +7,9 @@ switch of language, labels spans. The prediction is the language with most lette
 the score its share of the letters.
 
 Learning: counts of hashed trigrams per language over a bounded sample of labelled documents, at
-most `per_lang` whole documents of each language, drawn by a hash of the id (documented parameter).
-The model has `BUCKETS` floats per language and is broadcast; no text crosses the network.
+most about `per_lang` whole documents of each language, drawn by a hash of the id (documented parameter).
+A task per language turns counts into scores, so the driver receives and broadcasts one packed row of
+`BUCKETS` floats a language and no more; no text crosses the network.
 
 Viterbi is exact. For most documents one language wins outright: if no stretch of words favours
 other languages by more than one switch penalty in sum, the single-language path is optimal, which
@@ -17,7 +18,9 @@ all documents of a batch side by side.
 
 Defined results: null text, or text without letters, is `und` with score 0; letters that no learned
 language uses still get the best learned language; ties go to the language first by code point; an
-empty table gives an empty result; without any training row all is `und`.
+empty table gives an empty result; without any training row all is `und`; a very long text is scored
+whole, in one recursion; repeated rows get the same result; of input columns only those carried appear,
+and an own column replaces one of its name.
 """
 
 from __future__ import annotations
@@ -145,19 +148,24 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
 
     small_batches(df.sparkSession, 500)
     got = map_pandas(drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, "lang string, bucket long, n long")
-    got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(set(got["lang"]))
+    got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    seen = max(1, got.where(F.col("bucket") < BUCKETS).select("bucket").distinct().count())
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(pdf["bucket"], weights=pdf["n"], minlength=BUCKETS + len(SCRIPT_NAMES))
+        grams, scripts = n[:BUCKETS], n[BUCKETS:]
+        scores = np.log((grams + 0.5) / (grams.sum() + 0.5 * (seen + 1))).astype(np.float32)
+        return pd.DataFrame({"lang": pdf["lang"][:1], "scores": [scores.tobytes()], "uses": [((scripts >= SCRIPT_SHARE * scripts.sum()) & (scripts > 0)).tobytes()]})
+
+    found = {r["lang"]: r for r in got.groupBy("lang").applyInPandas(packed, "lang string, scores binary, uses binary").collect()}
+    langs = sorted(found)
     if none := set(counts) - set(langs):  # languages of wordless texts, or not drawn at all
         none -= {r[0] for r in drawn.where(F.col(lang_col).isin(list(none))).select(lang_col).distinct().collect()}
         if none:
             raise ValueError(f"no labelled document was drawn of {sorted(map(str, none))}")
-    n = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
-    n[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int), got["bucket"].to_numpy()] = got["n"]
-    grams, scripts = n[:, :BUCKETS], n[:, BUCKETS:]
-    seen = max(1, int((grams.sum(axis=0) > 0).sum()))
-    scores = np.log((grams + 0.5) / (grams.sum(axis=1, keepdims=True) + 0.5 * (seen + 1)))
-    uses = (scripts >= SCRIPT_SHARE * scripts.sum(axis=1, keepdims=True)) & (scripts > 0)
-    return Model(langs, scores.astype(np.float32), uses.T)
+    scores = np.array([np.frombuffer(found[x]["scores"], np.float32) for x in langs]).reshape(len(langs), BUCKETS)
+    uses = np.array([np.frombuffer(found[x]["uses"], bool) for x in langs]).reshape(len(langs), len(SCRIPT_NAMES))
+    return Model(langs, scores, uses.T)
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
