@@ -10,10 +10,13 @@ whole copies of ever smaller documents, at most one size per power of two.
 
 The table of (source, size) has at most sqrt(2 x words) sizes per source, since k different sizes
 need k^2 / 2 words; windows over it are bounded by that. Documents meet it in one join on both
-columns; a hot pair is numbered by salted two-level ranks, never in one task.
+columns; a hot pair is numbered by two-level ranks, salted by a hash of id and text, so that only rows
+that repeat both share a group. Ranks go by id, then by that hash, then by a hash of what is carried.
+Sources are ranked by one task: their table has a row a source.
 
 Defined results: null text has size 0; null source is a source of its own, last; size 0 is never
-taken; rows that repeat an id count as separate documents; an empty table gives an empty result.
+taken; a very long text counts whole; rows that repeat an id count as separate documents; an empty
+table gives an empty result; input columns travel as one struct, so no name clashes.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ def _rate(x: Column, lam: Column) -> Column:
     return F.exp(F.least(F.lit(math.log(MOST)), lam * x))
 
 
-def multipliers(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int = 40, close: float = 1e-6) -> DataFrame:
+def multipliers(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int = 200, close: float = 1e-6) -> DataFrame:
     """Newton on the dual, all sources at once: (source, unit, lam). Sizes are measured in `unit`,
     the source's word-weighted mean size, so that the first guess ln(ratio) is near."""
     # Sums are exact decimals: doubles would depend on the order of rows, and reruns must agree.
@@ -93,8 +96,8 @@ def multipliers(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds:
         scratch.drop(state)
         state = new
         if not state.where(~F.col("done")).head(1):
-            break
-    return state
+            return state
+    raise ArithmeticError(f"a source's multiplier is not found after {rounds} rounds")
 
 
 def copies_of(cells: DataFrame, state: DataFrame) -> DataFrame:
@@ -132,7 +135,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     spark = df.sparkSession
     scratch = Scratch(spark)
     kept = list(dict.fromkeys(carry or []))
-    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(1)]).alias("_in"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
+    salt = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in kept] or [F.lit(1)]).alias("_in"), salt.alias("_hash"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
     sizes = scratch.table(docs.drop("_in"), "sizes")  # words are counted once, not in every pass
     cells = scratch.table(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
     targets = scratch.table(targets_of(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))), "targets")
@@ -144,11 +148,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     salts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / RANK_ROWS)
     plan = copies.select(F.col("source").alias("_s"), F.col("size").alias("_size"), "n", "copies")
     joined = base.join(plan, base["source"].eqNullSafe(plan["_s"]) & (base["size"] == plan["_size"]), "left")
-    joined = joined.withColumn("_salt", F.when(salts > 1, F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit(""))), salts)).otherwise(F.lit(0)).cast("bigint"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_salt").orderBy("_id"))
+    joined = joined.withColumn("_salt", F.when(salts > 1, F.pmod("_hash", salts)).otherwise(F.lit(0)).cast("bigint"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "_salt").orderBy("_id", "_hash", *([F.xxhash64("_in")] if kept else [])))
     # Only cells with more than one salt need the offsets of their salts.
     large = plan.where(F.col("n") > RANK_ROWS)
-    spread = sizes.join(large, sizes["source"].eqNullSafe(large["_s"]) & (sizes["size"] == large["_size"])).select("source", "size", F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit(""))), F.ceil(F.col("n") / RANK_ROWS)).cast("bigint").alias("_salt"))
+    spread = sizes.join(large, sizes["source"].eqNullSafe(large["_s"]) & (sizes["size"] == large["_size"])).select("source", "size", F.pmod("_hash", F.ceil(F.col("n") / RANK_ROWS)).cast("bigint").alias("_salt"))
     spread = spread.groupBy("source", "size", "_salt").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy("source", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spread.select(F.col("source").alias("_os"), F.col("size").alias("_osize"), F.col("_salt").alias("_osalt"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
