@@ -7,10 +7,12 @@ exponential draws, an inner node's draw is distributed as a draw with the node's
 a descent that takes the least draw at region, rack and shard level honours the weights at each
 level. A node's draw depends on what is below it alone: when weights change, a key moves only out
 of a subtree that got lighter or into one that got heavier, and a new shard takes keys only into
-itself.
+itself. (Draws that were made afresh for each node's total weight would honour the weights as well,
+but a key that a grown subtree attracts could then end at any of its shards, old ones too.)
 
-Defined results: a null key is a key of its own; null text counts as empty; rows that repeat a key
-go to one shard and get different slots; an empty table gives an empty result.
+Defined results: a null key is a key of its own; null text counts as empty; a very long text is read
+for its size and checksum only; rows that repeat a key go to one shard and get different slots; an
+empty table gives an empty result; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -48,10 +50,17 @@ def draw(key: Column, shard: Shard) -> Column:
     return -F.ln(u) / F.lit(shard.weight)
 
 
-def place(df: DataFrame, key: str, shards: list[Shard], out: str) -> DataFrame:
-    """Adds column out: the shard number that the descent ends at."""
-    names = {s.number: f"_d{out}{s.number}" for s in shards}
-    df = df.select("*", *[draw(F.col(key), s).alias(names[s.number]) for s in shards])
+def name_of(shard: Shard) -> str:
+    return f"_draw{shard.number}"
+
+
+def drawn(df: DataFrame, key: str, shards: list[Shard]) -> DataFrame:
+    """Adds each shard's draw as a column, which trees that share the shard share."""
+    return df.select("*", *[draw(F.col(key), s).alias(name_of(s)) for s in shards])
+
+
+def descend(shards: list[Shard]) -> Column:
+    """The number of the shard that a descent by least draws ends at."""
 
     def least(cols: list[Column]) -> Column:
         return cols[0] if len(cols) == 1 else F.least(*cols)
@@ -64,18 +73,21 @@ def place(df: DataFrame, key: str, shards: list[Shard], out: str) -> DataFrame:
     for s in shards:
         regions.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
     region_draws, inner = [], []
-    for r, racks in regions.items():
+    for racks in regions.values():
         rack_draws = []
-        for k, members in racks.items():
-            leaf = [(F.col(names[s.number]), F.lit(s.number)) for s in members]
+        for members in racks.values():
+            leaf = [(F.col(name_of(s)), F.lit(s.number)) for s in members]
             best = least([c for c, _ in leaf])
             rack_draws.append((best, first_equal(leaf, best)))
         best = least([c for c, _ in rack_draws])
         region_draws.append(best)
         inner.append(first_equal(rack_draws, best))
-    best = least(region_draws)
-    chosen = first_equal(list(zip(region_draws, inner)), best)
-    return df.withColumn(out, chosen.cast("int")).drop(*names.values())
+    return first_equal(list(zip(region_draws, inner)), least(region_draws)).cast("int")
+
+
+def place(df: DataFrame, key: str, shards: list[Shard], out: str) -> DataFrame:
+    """Adds column out: the shard number that the descent ends at."""
+    return drawn(df, key, shards).withColumn(out, descend(shards)).drop(*map(name_of, shards))
 
 
 def shard_documents(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", weights: dict[int, float] | None = None) -> DataFrame:
@@ -95,8 +107,9 @@ def shard_documents(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
         F.crc32(text.cast("binary")).alias("text_crc32"),
         part.alias("_part"),
     )
-    rows = place(rows, id_col, tree(n_shards, weights=weights), "shard")
-    rows = place(rows, id_col, tree(n_shards + 1, weights=weights), "grown_shard")
+    # The grown tree has the shards of the other one and one more: their draws are made once.
+    grown = tree(n_shards + 1, weights=weights)
+    rows = drawn(rows, id_col, grown).withColumn("shard", descend(grown[:-1])).withColumn("grown_shard", descend(grown)).drop(*map(name_of, grown))
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_part").orderBy(id_col, "text_crc32", "size")))
     if parts > 1:
         keys = place(df.select(F.col(id_col), part.alias("_part")), id_col, tree(n_shards, weights=weights), "shard")
