@@ -4,9 +4,9 @@ Texts are normalised (each run of white space becomes one space), range-partitio
 splitters, sorted within their partition by external sort, and compared with their neighbours in
 full; the smallest identifier of equal texts stays.
 
-The range key is (first 64 characters, SHA-256, whole text): it begins with the content, its
+The range key is (first 24 characters, 64-bit hash, whole text): it begins with the content, its
 splitters have a bounded size whatever the texts, and texts that share a long opening are still
-spread by the digest. Grouping is by the whole normalised text.
+spread by the hash. Grouping is by the whole normalised text.
 
 Skew: copies of every text are counted first, by a 64-bit hash with partial aggregation. A text with
 more than one in HEAVY_SHARE of all rows (HEAVY_LEAST rows at least) never enters the sort: its copies
@@ -29,7 +29,7 @@ from ._common import pack_row, tasks, unpack_row
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 #: Texts with more copies than one in so many rows, and so many at least, stay out of the sort.
 HEAVY_SHARE, HEAVY_LEAST = 100_000, 1000
-PREFIX = 64
+PREFIX = 24
 
 
 def normalised(col: Column) -> Column:
@@ -59,9 +59,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = pack_row(df, _id=F.col(id_col), _norm=normalised(F.col(text_col)))
     own = F.xxhash64("_norm").isin(heavy) if heavy else F.lit(False)
 
-    keyed = rows.where(~own).withColumn("text_sha256", F.sha2(F.col("_norm").cast("binary"), 256)).withColumn("_head", F.substring("_norm", 1, PREFIX))
-    sorted_rows = keyed.repartitionByRange(max(tasks(spark), 1), "_head", "text_sha256")
-    equal = Window.partitionBy("_head", "text_sha256", "_norm")
+    keyed = rows.where(~own).withColumn("text_sha256", F.sha2(F.col("_norm").cast("binary"), 256)).withColumn("_head", F.substring("_norm", 1, PREFIX)).withColumn("_hash", F.xxhash64("_norm"))
+    sorted_rows = keyed.repartitionByRange(max(tasks(spark), 1), "_head", "_hash")
+    equal = Window.partitionBy("_head", "_hash", "_norm")
     ranked = sorted_rows.withColumn("_rank", F.row_number().over(equal.orderBy(F.col("_id").asc_nulls_last())))
     light = (
         ranked.withColumn("keep_id", F.min("_id").over(equal))
