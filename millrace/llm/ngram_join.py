@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_BYTES, Scratch, map_pandas, small_batches, tasks
+from ._common import SPACE_BYTES, Scratch, hot_bound, join_by_key, map_pandas, small_batches, tasks
 from .components import components
 from .suffix_dedup import mixed, powers, running
 
@@ -353,7 +353,10 @@ def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
     it = F.struct("node", "n", "r")
     drawn = [F.min_by(it, F.xxhash64("node", F.lit(i))) for i in range(1, LEADERS)]
     sizes = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.array(F.max_by(it, F.struct(F.col("r") / F.col("n"), F.col("node"))), *drawn).alias("leaders")).where("c > 1")
-    fullest = scratch.table(buckets.join(sizes, "h").groupBy("node", "n", "r").agg(F.max_by("leaders", F.struct("c", "h")).alias("leaders")), "leaders")
+    sizes = scratch.table(sizes, "sizes")
+    # A gram that very many texts have in their prefix is a hot key here; there are few such grams.
+    met = join_by_key(buckets, sizes, sizes.where(F.col("c") >= hot_bound(buckets.count())), ["h"])
+    fullest = scratch.table(met.groupBy("node", "n", "r").agg(F.max_by("leaders", F.struct("c", "h")).alias("leaders")), "leaders")
     stars = fullest.select("node", "n", "r", F.posexplode("leaders").alias("i", "x")).withColumn("l", F.col("x.node"))
     stars = stars.where((F.col("l") != F.col("node")) & ((F.col("i") == 0) | enough(F.least("r", "x.r"), F.col("n"), F.col("x.n"))))
     stars = stars.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
@@ -376,7 +379,7 @@ def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
     left, right = aside.alias("p"), every.alias("q")
     cross = left.join(right, (F.col("p.h") == F.col("q.h")) & cond).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     across = scratch.table(overlaps(cross, parts), "across", large=True)
-    scratch.drop(buckets, fullest, rooted)
+    scratch.drop(buckets, sizes, fullest, rooted)
     return first.unionByName(linked(across))
 
 
