@@ -355,7 +355,8 @@ def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
     sizes = buckets.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.array(F.max_by(it, F.struct(F.col("r") / F.col("n"), F.col("node"))), *drawn).alias("leaders")).where("c > 1")
     sizes = scratch.table(sizes, "sizes")
     # A gram that very many texts have in their prefix is a hot key here; there are few such grams.
-    met = join_by_key(buckets, sizes, sizes.where(F.col("c") >= hot_bound(buckets.count())), ["h"])
+    hot = sizes.where(F.col("c") >= hot_bound(buckets.count()))
+    met = join_by_key(buckets, sizes, hot, ["h"])
     fullest = scratch.table(met.groupBy("node", "n", "r").agg(F.max_by("leaders", F.struct("c", "h")).alias("leaders")), "leaders")
     stars = fullest.select("node", "n", "r", F.posexplode("leaders").alias("i", "x")).withColumn("l", F.col("x.node"))
     stars = stars.where((F.col("l") != F.col("node")) & ((F.col("i") == 0) | enough(F.least("r", "x.r"), F.col("n"), F.col("x.n"))))
@@ -372,7 +373,7 @@ def links_of(sets: DataFrame, scratch: Scratch) -> DataFrame:
     led = led.join(counted.select("a", "b", "o"), ["a", "b"], "left").select("node", "l", "o")
     known = sets.select("node", F.transform("parts", F.size).alias("r")).join(led, "node", "left")
     known = known.select("node", "r", "l", F.when(F.col("l") == F.col("node"), F.col("r")).otherwise(F.col("o")).alias("o"))
-    here = rooted.join(mixed_up, "h").join(known, "node")
+    here = join_by_key(rooted, mixed_up, mixed_up.join(F.broadcast(hot.select("h")), "h"), ["h"]).join(known, "node")
     aside = here.where("root <> main").select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("tx"), F.col("r").alias("rx"), F.col("l").alias("lx"), F.col("o").alias("ox"))
     every = here.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ty"), F.col("r").alias("ry"), F.col("l").alias("ly"), F.col("o").alias("oy"), "main")
     cond = (F.col("tx") != F.col("ty")) & ((F.col("ty") == F.col("main")) | (F.col("x") < F.col("y"))) & enough(most_overlap(), F.col("nx"), F.col("ny"))
