@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..scratch import Scratch
+from .graph import dropped_in_order
 
 
 def sets(df: DataFrame, key: str, col: str, size: int, compose: bool = True, normal: bool = False) -> DataFrame:
@@ -60,7 +61,11 @@ def pairs_within(df: DataFrame, key: str, col: str, size: int = 4, threshold: fl
     """(a, b, jaccard), a < b. Wordless texts have no shingles and are left out here. All pairs of a group of
     near copies are the result, so it grows with the square of such a group; see the subpackage of
     training-data operators for groups without their pairs."""
-    s = Scratch(df.sparkSession).table(sets(df, key, col, size, compose, normal), "sets")  # read four times below
+    return _within(Scratch(df.sparkSession).table(sets(df, key, col, size, compose, normal), "sets"), threshold)
+
+
+def _within(s: DataFrame, threshold: float) -> DataFrame:
+    """The same of sets in a written table, which is read four times."""
     p = _prefix(s, _repeated(s), threshold)
     l, r = p.select("x", F.col("k").alias("a"), F.col("n").alias("na")), p.select("x", F.col("k").alias("b"), F.col("n").alias("nb"))
     cond = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
@@ -99,25 +104,48 @@ def containment(left: DataFrame, right: DataFrame, key_l: str, key_r: str, col_l
     return hits.withColumn("share", F.col("c") / F.col("n")).where(F.col("share") >= share).select("a", "b", "share")
 
 
-def greedy(df: DataFrame, pairs: DataFrame, key: str, rounds: int = 100_000) -> DataFrame:
-    """Rows that a scan in order of key would keep: a row goes if an earlier kept row is its near copy.
-    Rounds: undecided rows without undecided earlier neighbours stay, their later neighbours go. The
-    link table is written each round; a round decides the head of every chain."""
+def greedy(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Rows that a scan in order of a whole-numbered key would keep: a row goes if an earlier kept row is
+    its near copy. Decided component by component where their links lie."""
+    gone = dropped_in_order(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), Scratch(df.sparkSession))
+    return df.join(gone.select(F.col("k").alias(key)), key, "left_anti")
+
+
+#: Members of a band's bucket that are paired with one another; in larger buckets the exact join pairs them.
+BUCKET = 200
+
+
+def sketches(s: DataFrame, perms: int = 64) -> DataFrame:
+    """(k, s) -> (k, n, sig): the least seeded hash of each set, for each of so many seeds. One grouping
+    with partial aggregation, in generated code; a set is summed up where it is read."""
+    each = s.where(F.size("s") > 0).select("k", F.size("s").alias("n"), F.explode("s").alias("x"))
+    least = each.groupBy("k", "n").agg(*[F.min(F.xxhash64(F.lit(i), "x")).alias(f"m{i}") for i in range(perms)])
+    return least.select("k", "n", F.array(*[f"m{i}" for i in range(perms)]).alias("sig"))
+
+
+def banded(sig: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
+    """(k, n, band, h): a hash of each band's rows of the sketch."""
+    cells = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", i * rows + 1, rows)).alias("h")))
+    return sig.select("k", "n", F.inline(cells))
+
+
+def pairs_by_bands(df: DataFrame, key: str, col: str, size: int = 4, threshold: float = 0.85, bands: int = 16, rows: int = 4, compose: bool = True, normal: bool = False) -> DataFrame:
+    """(a, b, jaccard), a < b, of texts that share a band of their sketches, each verified on whole sets. A
+    pair of the threshold's similarity is found with probability `expected_recall`. Buckets of more than
+    BUCKET members are not paired: their members meet in the exact join, which loses none."""
     scratch = Scratch(df.sparkSession)
-    links = scratch.table(pairs.select("a", "b"))
-    dropped = None
-    for _ in range(rounds):
-        if not links.head(1):
-            break
-        heads = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = links.join(heads, "a").select(F.col("b").alias("k")).distinct()
-        gone = scratch.table(gone)
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        links = links.join(gone.select(F.col("k").alias("a")), "a", "left_anti").join(gone.select(F.col("k").alias("b")), "b", "left_anti")
-        links = scratch.table(links.join(heads, "a", "left_anti"))
-    if links.head(1):
-        raise ArithmeticError(f"rows are still undecided after {rounds} rounds")
-    return df if dropped is None else df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
+    s = scratch.table(sets(df, key, col, size, compose, normal), "sets")
+    cells = scratch.table(banded(sketches(s, bands * rows), bands, rows), "bands")
+    sizes = cells.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c"))
+    shared = scratch.table(cells.join(sizes.where("c > 1"), ["band", "h"]), "shared")
+    some = shared.where(F.col("c") <= BUCKET)
+    l, r = some.select("band", "h", F.col("k").alias("a"), F.col("n").alias("na")), some.select("band", "h", F.col("k").alias("b"), F.col("n").alias("nb"))
+    cond = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    found = _verify(l.join(r, ["band", "h"]).where(cond).select("a", "b").distinct(), s, s, threshold)
+    crowd = scratch.table(shared.where(F.col("c") > BUCKET).select("k").distinct(), "crowd")
+    if not crowd.head(1):
+        return found
+    return found.unionByName(_within(scratch.table(s.join(crowd, "k", "left_semi"), "crowded"), threshold)).dropDuplicates(["a", "b"])
 
 
 def expected_recall(jaccard: float, bands: int, rows: int) -> float:

@@ -116,11 +116,31 @@ def hash_shard(t: Tables) -> DataFrame:
 NEAR = 0.85
 
 
-@query(f"""
+PAIRS = f"""
 WITH reps AS (SELECT min(doc_id) AS doc_id, {NORM} AS text FROM documents GROUP BY ALL), s AS ({_sql_sets('reps', 'doc_id')}),
 e AS (SELECT k, len(s) AS n, unnest(s) AS x FROM s),
 p AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.k < b.k AND least(a.n, b.n) >= {NEAR} * greatest(a.n, b.n) GROUP BY ALL)
-SELECT a, b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o / (na + nb - o) >= {NEAR}""")
+SELECT a, b, round(o / (na + nb - o), 6) AS jaccard FROM p WHERE o / (na + nb - o) >= {NEAR}"""
+
+
+@query(PAIRS)
+def near_dup_pairs_lsh(t: Tables) -> DataFrame:
+    """Candidates by bands of the sketches, each verified: 16 bands of 4 rows miss a pair of the threshold's
+    similarity once in 100,000."""
+    return near.pairs_by_bands(_reps(t.documents), "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"WITH p AS ({PAIRS}) SELECT count(*) AS pairs, count(*) AS found, 0::BIGINT AS wrong FROM p")
+def lsh_recall(t: Tables) -> DataFrame:
+    """Pairs of the exact join, how many of them the bands find, and what the bands find beside them."""
+    reps = Scratch(t.spark).table(_reps(t.documents), "reps")
+    exact = near.pairs_within(reps, "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.lit(1).alias("exact"))
+    bands = near.pairs_by_bands(reps, "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.lit(1).alias("banded"))
+    both = exact.join(bands, ["a", "b"], "full_outer")
+    return both.agg(F.count("exact").alias("pairs"), F.count_if(F.col("exact").isNotNull() & F.col("banded").isNotNull()).alias("found"), F.count_if(F.col("exact").isNull()).alias("wrong"))
+
+
+@query(PAIRS)
 def near_dup_pairs_jaccard(t: Tables) -> DataFrame:
     """Between texts that are different after normalisation; copies are told by exact_dedup_kept."""
     return near.pairs_within(_reps(t.documents), "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
