@@ -21,6 +21,7 @@ name of an output column the operator's own replaces it. Ids beyond the vocabula
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from ._common import map_arrow, small_batches
 
 #: Pieces, and pairs of tokens, whose results a worker keeps; beyond so many it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def default_ranks() -> str:
@@ -42,18 +43,21 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def tokens_of(path: str) -> list[bytes]:
+    """The bytes of each token, by rank."""
+    with open(path, "rb") as lines:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+
+
 class Vocabulary:
     """Tokens by rank, how each came about, and the automaton that finds them."""
 
     def __init__(self, path: str):
         import ahocorasick
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.rank = ranks
-        self.bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes[rank] = token
+        self.bytes = tokens_of(path)
+        ranks = self.rank = {token: rank for rank, token in enumerate(self.bytes) if token}
         self.size = [len(t) for t in self.bytes]
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -62,7 +66,8 @@ class Vocabulary:
         #: The longest shorter token that a token begins with; -1 if none.
         self.shorter = [next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), -1) for t in self.bytes]
         self.known: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pair: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(len(self.bytes))]
         self._learn_merges()
@@ -153,24 +158,24 @@ class Vocabulary:
             else:
                 raise ValueError("the vocabulary has no token for a byte of the text")
 
-    def encode(self, text: str, pattern) -> list[int]:
+    def encode(self, text: str, pattern) -> array:
         """The ids of a text: of each of its pieces, by its own."""
-        out: list[int] = []
+        out = array("i")
         kept = self.pieces
         for piece in pattern.findall(text):
             ids = kept.get(piece)
             if ids is None:
-                ids = self.encode_piece(piece.encode())
+                ids = self.before.get(piece)
+                if ids is None:
+                    ids = array("i", self.encode_piece(piece.encode())).tobytes()
                 if len(piece) < 64:
-                    if len(kept) >= REMEMBERED:
-                        kept.clear()
-                    kept[piece] = tuple(ids)
-            out += ids
+                    if len(kept) >= REMEMBERED // 2:  # those that came up again stay for another round
+                        self.before, self.pieces = kept, {}
+                        kept = self.pieces
+                    kept[piece] = ids
+            out.frombytes(ids)
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes[i] for i in ids])
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -199,7 +204,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, patte
         for batch in batches:
             ends, parts = [0], []
             for text in batch.column(batch.num_columns - 1):
-                parts.append(np.array(vocab.encode(text.as_py(), cut), dtype=np.int32))
+                parts.append(np.frombuffer(vocab.encode(text.as_py(), cut), dtype=np.int32))
                 ends.append(ends[-1] + len(parts[-1]))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=schema.names)
@@ -214,9 +219,9 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None) -> Data
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        tokens = tokens_of(path)
         for batch in batches:
-            texts = [vocab.decode(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []) for ids in batch.column(ids_col)]
+            texts = [b"".join([tokens[i] for i in ids.values.to_numpy(zero_copy_only=False).tolist()]) if ids.is_valid else b"" for ids in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.binary())], names=schema.names)
 
     return map_arrow(df.select(*[F.col(f"`{c}`") for c in names]), run, schema)
