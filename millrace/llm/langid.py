@@ -7,7 +7,8 @@ switch of language, labels spans. The prediction is the language with most lette
 the score its share of the letters.
 
 Learning: counts of hashed trigrams per language over a bounded sample of labelled documents, at
-most about `per_lang` whole documents of each language, drawn by a hash of the id (documented parameter).
+most about `per_lang` whole documents of each language, drawn by a hash of id, text and place (documented
+parameter), so that many rows with one id, or with none, are drawn as sparsely as others.
 A task per language turns counts into scores, so the driver receives and broadcasts one packed row of
 `BUCKETS` floats a language and no more; no text crosses the network.
 
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import crc_of, map_arrow, map_pandas, small_batches
+from ._common import Scratch, crc_of, map_arrow, map_pandas, small_batches
 
 BUCKETS = 1 << 18
 #: Nats that a switch of language costs.
@@ -131,24 +132,31 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
     if not counts:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, highest(per_lang, n))])
-    drawn = rows.where(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) <= shares[F.col(lang_col)])
+    # Rows that repeat an id or have none are told apart by their text and their place in the table.
+    mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col), F.monotonically_increasing_id())
+    drawn = rows.withColumn("_mark", mark).where(F.col("_mark") <= shares[F.col(lang_col)])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                total = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES), dtype=np.int64))
+                total = sums.setdefault(lang, np.zeros(BUCKETS + len(SCRIPT_NAMES) + 1, dtype=np.int64))
+                total[-1] += len(texts)
                 for part in chunks(list(texts)):
                     w = words_of(part)
                     total[:BUCKETS] += np.bincount(w.hashes, minlength=BUCKETS)
-                    total[BUCKETS:] += np.bincount(w.script, weights=w.end - w.begin, minlength=len(SCRIPT_NAMES)).astype(np.int64)
+                    total[BUCKETS:-1] += np.bincount(w.script, weights=w.end - w.begin, minlength=len(SCRIPT_NAMES)).astype(np.int64)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
     small_batches(df.sparkSession, 500)
     got = map_pandas(drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, "lang string, bucket long, n long")
-    got = got.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = Scratch(df.sparkSession).table(got.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "grams")
+    drawn_of = {r[0] for r in got.where(F.col("bucket") == BUCKETS + len(SCRIPT_NAMES)).select("lang").collect()}
+    if none := set(counts) - drawn_of:
+        raise ValueError(f"no labelled document was drawn of {sorted(map(str, none))}")
+    got = got.where(F.col("bucket") < BUCKETS + len(SCRIPT_NAMES))
     seen = max(1, got.where(F.col("bucket") < BUCKETS).select("bucket").distinct().count())
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,10 +167,6 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: s
 
     found = {r["lang"]: r for r in got.groupBy("lang").applyInPandas(packed, "lang string, scores binary, uses binary").collect()}
     langs = sorted(found)
-    if none := set(counts) - set(langs):  # languages of wordless texts, or not drawn at all
-        none -= {r[0] for r in drawn.where(F.col(lang_col).isin(list(none))).select(lang_col).distinct().collect()}
-        if none:
-            raise ValueError(f"no labelled document was drawn of {sorted(map(str, none))}")
     scores = np.array([np.frombuffer(found[x]["scores"], np.float32) for x in langs]).reshape(len(langs), BUCKETS)
     uses = np.array([np.frombuffer(found[x]["uses"], bool) for x in langs]).reshape(len(langs), len(SCRIPT_NAMES))
     return Model(langs, scores, uses.T)
@@ -284,8 +288,9 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(crc_of(id_col), F.lit(4)) == 2
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """Learns from the labelled documents that are not held out, predicts all: carried columns, held_out, lang_pred, score."""
-    model = fit(df.where(~held_out(id_col)), lang_col, text_col, id_col)
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = False, carry: list[str] | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """Learns from the labelled documents (of `labelled`, if given) that are not held out, predicts all:
+    carried columns, held_out, lang_pred, score."""
+    model = fit((df if labelled is None else labelled).where(~held_out(id_col)), lang_col, text_col, id_col)
     out = predict(df, model, id_col, text_col, with_spans, carry)
     return out.withColumn("held_out", held_out(id_col))

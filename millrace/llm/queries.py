@@ -48,7 +48,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
-    return identify(_docs(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(_docs(spark, sf_dir), labelled=load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,8 @@ def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_docs(spark, sf_dir))
+    # A task that runs again must find its rows in the same order: the plain scan.
+    return pack(load(spark, sf_dir, "documents"))
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
