@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import random
+import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,72 @@ def classify(parts: list[Column], rules: list) -> Column:
     return out
 
 
+#: Bytes of keywords that one automaton holds; a larger rule table makes several, and as many passes.
+AUTOMATON_BYTES = 16 << 20
+_automata: dict[str, object] = {}
+
+
+def _automaton(name: str, shared):
+    """A broadcast list of (keyword, number) as an automaton, made once a worker."""
+    import ahocorasick
+
+    if name not in _automata:
+        made = ahocorasick.Automaton()
+        for word, number in shared.value:
+            made.add_word(word, number)
+        made.make_automaton()
+        if len(_automata) > 3:
+            _automata.clear()
+        _automata[name] = made
+    return _automata[name]
+
+
+def classify_by_table(df: DataFrame, parts: list[Column], rules: DataFrame, out: str = "topic") -> DataFrame:
+    """Adds the label of the first rule of which a keyword is in the lower-cased parts; null if none is.
+    rules: (rule, label, keyword), a row a keyword, rules in order of their number; any number of them. All
+    keywords are looked for at once, in one pass over a text. The automaton goes to every worker; if the
+    table is larger than AUTOMATON_BYTES, it is cut by rule numbers and texts are passed over once a cut."""
+    spark = df.sparkSession
+    words = rules.where("keyword is not null").groupBy("keyword").agg(F.min("rule").alias("rule"))
+    words = Scratch(spark).table(words.select("rule", "keyword", F.octet_length("keyword").cast("long").alias("size")), "keywords")
+    total = words.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cuts = [(None, None)]
+    if total > AUTOMATON_BYTES:
+        at = [i / (total // AUTOMATON_BYTES + 1) for i in range(1, total // AUTOMATON_BYTES + 1)]
+        ends = sorted({int(x) for x in words.approxQuantile("rule", at, 0.001)})
+        cuts = list(zip([None, *ends], [*ends, None]))
+    hay = F.lower(F.concat_ws("\n", *[F.when(F.length(p) > 0, p) for p in parts]))
+    found = df.withColumn("_hay", hay)
+    numbers = []
+    for k, (low, high) in enumerate(cuts):
+        mine = words.where((F.lit(True) if low is None else F.col("rule") > low) & (F.lit(True) if high is None else F.col("rule") <= high))
+        shared = spark.sparkContext.broadcast([(r["keyword"], r["rule"]) for r in mine.where("size > 0").collect()])
+        always = mine.where("size = 0").agg(F.min("rule")).first()[0]  # the empty keyword is in every text
+        found = found.withColumn(f"_rule{k}", _first_rule(shared, always)(F.col("_hay")))
+        numbers.append(F.col(f"_rule{k}"))
+    labels = rules.groupBy(F.col("rule").alias("_rule")).agg(F.min("label").alias("_label"))
+    least = F.coalesce(*numbers)  # cuts are in the order of rules
+    return found.withColumn("_rule", least).join(labels, "_rule", "left").withColumn(out, F.col("_label")).drop("_hay", "_rule", "_label", *[f"_rule{k}" for k in range(len(cuts))])
+
+
+def _first_rule(shared, always: int | None):
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        found, out = _automaton(name, shared), []
+        for text in texts:
+            best = always
+            if len(found):
+                for _, number in found.iter(text):
+                    if best is None or number < best:
+                        best = number
+            out.append(best)
+        return pd.Series(out, dtype="Int64")
+
+    return of
+
+
 def check_labels(wanted: list[str], rules: list) -> list[str]:
     unknown = sorted(set(wanted) - {label for label, _ in rules})
     if unknown:

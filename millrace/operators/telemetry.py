@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.text import is_json_object, strip
 
 OUTCOMES = ("completed", "rejected", "aborted", "expired", "error")
@@ -28,17 +29,17 @@ def outcome_counts(df: DataFrame, by: list[str], col: str = "outcome") -> DataFr
 
 def latency(df: DataFrame, by: list[str], value: str, outcome_col: str = "outcome") -> DataFrame:
     """Median and p95 of completed requests, interpolated."""
-    v = F.when(F.col(outcome_col) == "completed", F.col(value))
-    return df.groupBy(*by).agg(F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.95).alias("p95"))
+    found = stats.percentiles(df.where(F.col(outcome_col) == "completed"), value, {"p50": 0.5, "p95": 0.95}, by)
+    return stats.beside(df.select(*by).distinct(), found, by, "left")
 
 
 def gap_percentile(df: DataFrame, by: list[str], gaps: str, q: float = 0.95) -> DataFrame:
     """Over all gaps between chunks of completed requests."""
-    return df.where("outcome = 'completed'").select(*by, F.explode(gaps).alias("g")).groupBy(*by).agg(F.percentile("g", q).alias("gap"))
+    return stats.percentiles(df.where("outcome = 'completed'").select(*by, F.explode(gaps).alias("g")), "g", {"gap": q}, by)
 
 
 def gaps_of(chunks: DataFrame) -> DataFrame:
-    """(request_id, t) -> time to first chunk is min(t) - sent; gaps are differences in order."""
+    """(request_id, t) -> with gap: the time since the request's chunk before, null for its first one."""
     return chunks.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("request_id").orderBy("t")))
 
 
@@ -51,9 +52,8 @@ def first_chunk(requests: DataFrame, chunks: DataFrame) -> DataFrame:
 def cohorts(client: DataFrame, server: DataFrame, q: float = 0.95) -> DataFrame:
     """Client requests (phase, outcome, ttfc) beside server buckets (phase, instance, le, cum): counts of
     both, the client's exact percentile and that of the buckets summed over instances."""
-    from ..functions import stats
-
-    exact = client.where("outcome = 'completed'").groupBy("phase").agg(F.count(F.lit(1)).alias("client_n"), F.percentile("ttfc", q).alias("client_p"))
+    done = client.where("outcome = 'completed'")
+    exact = done.groupBy("phase").agg(F.count(F.lit(1)).alias("client_n")).join(stats.percentiles(done, "ttfc", {"client_p": q}, ["phase"]), "phase")
     summed = server.groupBy("phase", "le").agg(F.sum("cum").alias("cum"))
     total = summed.groupBy("phase").agg(F.max("cum").alias("server_n"))
     return exact.join(total, "phase").join(stats.histogram_quantile(summed, q, ["phase"]).withColumnRenamed("quantile", "server_p"), "phase")
@@ -67,8 +67,10 @@ def same_plan(items: DataFrame, group: str, run: str, order: str) -> DataFrame:
     return digests.groupBy(group).agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("digest").alias("schedules"), F.min("digest").alias("digest"))
 
 
-def last_snapshots(snaps: DataFrame, n: int, t: str = "wall_time") -> DataFrame:
-    return snaps.orderBy(F.desc(t)).limit(n)
+def last_snapshots(snaps: DataFrame, n: int, t: str = "wall_time", then: list[str] | None = None) -> DataFrame:
+    """The n latest; of equal times those that come last by `then`, all other columns if not told."""
+    rest = then or [c for c in snaps.columns if c != t]
+    return snaps.orderBy(F.desc(t), *[F.desc(c) for c in rest]).limit(n)
 
 
 def attribute(requests: DataFrame, log: DataFrame) -> DataFrame:
@@ -236,16 +238,16 @@ def payload_fault(payload: str) -> Column:
     size = F.when(alone, F.length(text)).otherwise(F.aggregate(listed, F.lit(0), lambda a, m: a + F.coalesce(F.length(F.try_variant_get(m, "$.content", "string")), F.lit(0))))
     invalid = F.when(alone, F.length(strip(text)) == 0).otherwise(F.exists(listed, bad))
 
-    def number(name: str, low: float, high: float, whole: bool = False) -> Column:
+    def number(name: str, low: float, high: float) -> Column:
         kind = _kind(parsed, f"$.{name}")
-        right = kind.startswith("BIGINT") if whole else _number(kind)
         within_ = F.coalesce(F.get_json_object(v, f"$.{name}").try_cast("double").between(low, high), F.lit(False))
-        return kind.isNotNull() & ~(right & within_)
+        return kind.isNotNull() & ~(_number(kind) & within_)
 
     return (
         F.when(~is_json_object(v), "JSON object required")
         .when(~alone & (listed.isNull() | (F.size(listed) == 0)), "nonempty messages required").when(invalid, "invalid message").when(size > 8192, "input exceeds 8192 characters")
-        .when(number("chunks", 1, 64, True), "invalid chunks").when(number("chunk_delay", 0, 0.6), "invalid chunk_delay").when(number("work_multiplier", 0, 8), "invalid work_multiplier")
+        .when(number("chunks", 1, 64), "invalid chunks").when(~_kind(parsed, "$.chunks").startswith("BIGINT"), "chunks must be integer")
+        .when(number("chunk_delay", 0, 0.6), "invalid chunk_delay").when(number("work_multiplier", 0, 8), "invalid work_multiplier")
         .when(F.length(F.get_json_object(v, "$.request_id")) > 128, "request_id too long")
     )
 

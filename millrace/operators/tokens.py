@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
+from ..scratch import Scratch
+
 IGNORED = -100
 
 
@@ -156,62 +159,82 @@ def pad_batches(df: DataFrame, order: str, size: int, pad: int = 0, side: str =
 def token_stats(df: DataFrame) -> DataFrame:
     """Distributions are over all examples, totals over those that teach anything."""
     kept = F.col("meta.supervised") > 0
-    q = lambda c, p: F.percentile(F.col(c), p).cast("int")
-    dist = [q(f"meta.{c}", p).alias(f"{c}_p{int(p * 100)}") for c in ("full_len", "prompt_len", "answer_len") for p in (0.5, 0.9, 0.95, 0.99)]
-    return df.agg(
-        F.count(F.lit(1)).alias("n_in"), F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_dropped"), *dist,
+    out = df.agg(
+        F.count(F.lit(1)).alias("n_in"), F.count_if(kept).alias("n_kept"), F.count_if(~kept).alias("n_dropped"),
         F.sum(F.when(kept, F.size("input_ids")).otherwise(0)).alias("total_tokens"), F.sum("meta.supervised").alias("supervised_tokens"),
         F.avg(F.col("meta.truncated").cast("int")).alias("truncation_ratio"),
     )
+    lengths = Scratch(df.sparkSession).table(df.select("meta.full_len", "meta.prompt_len", "meta.answer_len"), "lengths")
+    for c in ("full_len", "prompt_len", "answer_len"):
+        found = stats.percentiles(lengths, c, {f"{c}_p{int(q * 100)}": q for q in (0.5, 0.9, 0.95, 0.99)})
+        out = stats.beside(out, found.select(*[F.col(x).cast("int").alias(x) for x in found.columns]), [], "left")
+    return out
 
 
 def train_seconds(tokens: float, epochs: float, per_second: float) -> float:
     return tokens * epochs / per_second
 
 
-class FirstFit:
-    """First bin with room, by a tree of the greatest room below each node: the bins that a scan finds."""
-
-    def __init__(self, capacity: int, hint: int = 1024):
-        self.capacity, self.size = capacity, 1
-        while self.size < hint:
-            self.size *= 2
-        self.room = [capacity] * (2 * self.size)
-
-    def place(self, length: int) -> int:
-        if self.room[1] < length:
-            old, self.size = self.room[self.size :], self.size * 2
-            self.room = [self.capacity] * (2 * self.size)
-            self.room[self.size : self.size + len(old)] = old
-            for i in range(self.size - 1, 0, -1):
-                self.room[i] = max(self.room[2 * i], self.room[2 * i + 1])
-        i = 1
-        while i < self.size:
-            i = 2 * i if self.room[2 * i] >= length else 2 * i + 1
-        bin_ = i - self.size
-        self.room[i] -= length
-        while i > 1:
-            i //= 2
-            self.room[i] = max(self.room[2 * i], self.room[2 * i + 1])
-        return bin_
-
-
-def first_fit_decreasing(df: DataFrame, capacity: int, shards: int = 1, key: str = "id", length: str = "len") -> DataFrame:
-    """(key, len, shard, bin, slot). With one shard the reference placement; with more, rows are dealt by
-    hash and packed in parallel, at the cost of one open bin per shard."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree, slots, out = FirstFit(capacity), {}, []
-        for k, n, s in pdf.sort_values(["len", "key"], ascending=[False, True], kind="stable")[["key", "len", "shard"]].itertuples(index=False):
-            b = tree.place(int(n))
-            slots[b] = slots.get(b, -1) + 1
-            out.append((k, n, s, b, slots[b]))
-        return pd.DataFrame(out, columns=["key", "len", "shard", "bin", "slot"])
-
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(length).cast("int").alias("len"), F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).cast("int").alias("shard"))
+def placements(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """First fit of lengths in falling order, for counts of equal lengths: (length, first rank, first bin,
+    bins, rows a bin, slot of a bin's first row). Bins are kept as runs of neighbours with equal room, so the
+    work depends on how many lengths there are, not on how many rows."""
+    runs: list[list[int]] = []  # bins, room, rows in each
+    out = []
+    for length in sorted(counts, reverse=True):
+        left, rank, at, now = counts[length], 0, 0, []
+        for bins, room, slot in runs:
+            each = min(left, room // length) if length else left
+            if not left or not each:
+                now.append([bins, room, slot])
+                at += bins
+                continue
+            full = min(bins, left // each) if length else 1
+            out.append((length, rank, at, full, each, slot))
+            now.append([full, room - each * length, slot + each])
+            rank, left, at = rank + full * each, left - full * each, at + full
+            if full < bins and 0 < left < each:  # the last bin gets what is left
+                out.append((length, rank, at, 1, left, slot))
+                now.append([1, room - left * length, slot + left])
+                rank, left, at, full = rank + left, 0, at + 1, full + 1
+            if full < bins:
+                now.append([bins - full, room, slot])
+                at += bins - full
+        each = capacity // length if length else left
+        if left and each:
+            for bins, rows in ((left // each, each), (1, left % each)):
+                if bins and rows:
+                    out.append((length, rank, at, bins, rows, 0))
+                    now.append([bins, capacity - rows * length, rows])
+                    rank, at = rank + bins * rows, at + bins
+        runs = now
+    return out
+
+
+def first_fit_decreasing(df: DataFrame, capacity: int, key: str = "id", length: str = "len") -> DataFrame:
+    """(key, len, shard, bin, slot): rows by falling length, then by key, each in the first bin with room.
+    Where a row goes depends on how many rows have each length and on its rank among those of its own, so
+    counts are placed (one for each length up to the capacity) and rows meet their bin by rank. Ranks come
+    from a range sort over all rows and counts by task: no task holds a length's rows."""
+    spark = df.sparkSession
+    scratch = Scratch(spark)
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(length).cast("int").alias("len"))
     over = rows.where(F.col("len") > capacity).head(1)
     if over:
         raise ValueError(f"{over[0]['key']} is longer than {capacity}")
-    return rows.groupBy("shard").applyInPandas(run, "key long, len int, shard int, bin int, slot int").withColumnRenamed("key", key)
+    ordered = rows.repartitionByRange("len", "key").sortWithinPartitions("len", "key")
+    ordered = scratch.table(ordered.withColumn("_i", F.monotonically_increasing_id()), "ordered").withColumn("_p", F.shiftright("_i", 33))
+    parts = scratch.table(ordered.groupBy("len", "_p").agg(F.count(F.lit(1)).alias("c"), F.min("_i").alias("_first")), "parts")
+    counts = {r["len"]: r["c"] for r in parts.groupBy("len").agg(F.sum("c").alias("c")).collect()}  # a row a length
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("len").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ordered.join(parts.select("len", "_p", "_first", before.alias("_start")), ["len", "_p"]).select("key", "len", (F.col("_start") + F.col("_i") - F.col("_first")).alias("rank"))
+    found = placements(counts, capacity)
+    table = spark.createDataFrame(found, "len int, first long, at long, bins long, each long, slot long")
+    here = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("bins") * F.col("each"))
+    held = table.withColumnRenamed("len", "_len")
+    placed = ranked.join(F.broadcast(held) if len(found) <= 100_000 else held, (F.col("len") == F.col("_len")) & here)
+    by = F.col("rank") - F.col("first")
+    return placed.select(F.col("key").alias(key), "len", F.lit(0).alias("shard"), (F.col("at") + F.floor(by / F.col("each"))).cast("int").alias("bin"), (F.col("slot") + by % F.col("each")).cast("int").alias("slot"))
 
 
 def packed_bins(placed: DataFrame, examples: DataFrame, key: str = "id") -> DataFrame:

@@ -80,6 +80,18 @@ def topic_classify(t: Tables) -> DataFrame:
     return t.documents.select(curate.classify([F.col("text")], curate.EXAMPLE_RULES).alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(r"""
+WITH r AS (SELECT item_id AS rule, 'topic-' || item_id AS label, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}]{6,}'))) AS keyword FROM benchmark),
+d AS (SELECT doc_id, (SELECT min(rule) FROM r WHERE contains(lower(text), keyword)) AS rule FROM documents)
+SELECT 'topic-' || rule AS topic, count(*) AS n FROM d GROUP BY 1""")
+def topics_by_table(t: Tables) -> DataFrame:
+    """A topic for each benchmark item, its long words as keywords: a rule table of any size in one pass."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), 0))
+    rules = t.benchmark.select(F.col("item_id").alias("rule"), F.concat(F.lit("topic-"), "item_id").alias("label"), F.explode(words).alias("keyword"))
+    d = curate.classify_by_table(t.documents.select("text"), [F.col("text")], rules)
+    return d.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
 CAP = 20
 
 
@@ -230,8 +242,20 @@ def len_percentiles_by_position(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95, trunc(quantile_cont(o_totalprice, 0.9))::INT AS p90_int FROM orders GROUP BY 1")
 def percentiles_linear(t: Tables) -> DataFrame:
-    v = F.col("o_totalprice")
-    return t.orders.groupBy("o_orderpriority").agg(F.round(stats.linear(v, 0.5), 4).alias("p50"), F.round(stats.linear(v, 0.95), 4).alias("p95"), stats.linear_int(v, 0.9).alias("p90_int"))
+    p = stats.percentiles(t.orders, "o_totalprice", {"p50": 0.5, "p95": 0.95, "p90": 0.9}, ["o_orderpriority"])
+    return p.select("o_orderpriority", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), F.col("p90").cast("int").alias("p90_int"))
+
+
+@query("SELECT l_linestatus, l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3, round(quantile_cont(l_extendedprice, 0.999), 4) AS top FROM lineitem GROUP BY ALL")
+def percentiles_by_selection(t: Tables) -> DataFrame:
+    """Exact percentiles of continuous values without ranking a group anywhere."""
+    n, at = F.col("_n") - 1, {"q1": 0.25, "q3": 0.75, "top": 0.999}
+    ends = {f"{k}_{side}": f(F.lit(q) * n) for k, q in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    by = ["l_linestatus", "l_returnflag"]
+    found = stats.refined(t.lineitem, "l_extendedprice", ends, by)
+    both = stats.beside(found, t.lineitem.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    value = lambda k, q: F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (F.lit(q) * n - F.floor(F.lit(q) * n))
+    return both.select(*by, *[F.round(value(k, q), 4).alias(k) for k, q in at.items()])
 
 
 @query("""

@@ -156,7 +156,7 @@ def first_examples(t: Tables) -> DataFrame:
 
 
 BODIES = ['{"prompt":"hello"}', '{"prompt":5}', '{"messages":"x","prompt":"y"}', '{"prompt":"x","chunks":null}', '{"messages":[{"role":"user","content":5}]}', '{"messages":[{"role":"root","content":"x"}]}', '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}],"chunk_delay":0.6}', "[1]", '{"prompt":"x","chunks":true}', '{"prompt":"x","work_multiplier":8.5}', '{"prompt":" "}', '{"prompt":"x"}}', '{"messages":[]}', '{"messages":[{"role":"user"}]}', '{"prompt":"x","chunks":2.0}']
-REFUSED = [None, "nonempty messages required", "nonempty messages required", "invalid chunks", "invalid message", "invalid message", None, "JSON object required", "invalid chunks", "invalid work_multiplier", "invalid message", "JSON object required", "nonempty messages required", "invalid message", "invalid chunks"]
+REFUSED = [None, "nonempty messages required", "nonempty messages required", "invalid chunks", "invalid message", "invalid message", None, "JSON object required", "invalid chunks", "invalid work_multiplier", "invalid message", "JSON object required", "nonempty messages required", "invalid message", "chunks must be integer"]
 
 
 @query(f"SELECT {sql_pick(REFUSED, 'event_id')} AS fault, count(*) AS n FROM events GROUP BY 1")

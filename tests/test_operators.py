@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,16 +141,45 @@ def test_padding(spark):
     assert (a["input_ids"], a["attention_mask"], a["labels"]) == ([9, 3], [0, 1], [-100, 3])
 
 
-def test_first_fit_tree():
+def first_fit(lengths, capacity):
+    """(key, bin, slot) by a scan over all bins."""
+    room, rows, out = [], [], []
+    for key, n in sorted(enumerate(lengths), key=lambda x: (-x[1], x[0])):
+        at = next((i for i, r in enumerate(room) if r >= n), len(room))
+        if at == len(room):
+            room.append(capacity)
+            rows.append(0)
+        out.append((key, at, rows[at]))
+        room[at] -= n
+        rows[at] += 1
+    return sorted(out)
+
+
+def test_first_fit_by_counts():
     rng = random.Random(1)
-    for _ in range(30):
-        tree, bins = tokens.FirstFit(50, 2), []
-        for n in sorted((rng.randrange(1, 51) for _ in range(200)), reverse=True):
-            want = next((i for i, room in enumerate(bins) if room >= n), len(bins))
-            if want == len(bins):
-                bins.append(50)
-            bins[want] -= n
-            assert tree.place(n) == want
+    for _ in range(300):
+        capacity = rng.choice([1, 7, 50])
+        lengths = [rng.randrange(rng.choice([0, 1]), rng.choice([capacity, capacity // 2 + 1]) + 1) for _ in range(rng.randrange(1, 120))]
+        counts = Counter(lengths)
+        ranks, at = {}, Counter()
+        for key, n in enumerate(lengths):
+            ranks[n, at[n]] = key
+            at[n] += 1
+        got = []
+        for n, first, bin_, bins, each, slot in tokens.placements(counts, capacity):
+            got += [(ranks[n, first + i], bin_ + i // each, slot + i % each) for i in range(bins * each)]
+        assert sorted(got) == first_fit(lengths, capacity)
+
+
+def test_first_fit_of_rows(spark):
+    rng = random.Random(2)
+    lengths = [rng.choice([64, rng.randrange(0, 65)]) for _ in range(700)]  # half have one length
+    df = spark.createDataFrame(list(enumerate(lengths)), "id long, len int").repartition(5)
+    got = sorted((r["id"], r["bin"], r["slot"]) for r in tokens.first_fit_decreasing(df, 64).collect())
+    assert got == first_fit(lengths, 64)
+    assert tokens.first_fit_decreasing(df.limit(0), 64).count() == 0
+    with pytest.raises(ValueError):
+        tokens.first_fit_decreasing(df, 63)
 
 
 GOLD = [(f"q{i}", "B", ["A", "B", "REFUSE"], [f"s{i % 3}"]) for i in range(50)]
@@ -302,7 +332,7 @@ def test_range_join(spark):
 def test_payload(spark):
     cases = {'{"prompt":5}': "nonempty messages required", '{"messages":"x","prompt":"y"}': "nonempty messages required", '{"prompt":"x","chunks":null}': "invalid chunks", '{"messages":[{"role":"user","content":5}]}': "invalid message",
              '{"messages":["{\\"role\\":\\"user\\",\\"content\\":\\"x\\"}"]}': "invalid message", '{"messages":null,"prompt":" "}': "invalid message", '{"messages":[{"role":"user","content":"é"},{"role":"system","content":"s"}],"chunk_delay":0.5,"work_multiplier":8}': None,
-             '{"prompt":"x","work_multiplier":"1"}': "invalid work_multiplier", '{"prompt":"x","request_id":"' + "r" * 129 + '"}': "request_id too long", '{"prompt":"x"}': None, "[]": "JSON object required", '{"messages":[]}': "nonempty messages required", '{"messages":[{"role":"root","content":"x"}]}': "invalid message", '{"prompt":"x","chunks":true}': "invalid chunks", '{"prompt":"x","chunks":1.5}': "invalid chunks", '{"prompt":"x","chunk_delay":0.7}': "invalid chunk_delay", '{"prompt":"' + "y" * 8193 + '"}': "input exceeds 8192 characters"}
+             '{"prompt":"x","work_multiplier":"1"}': "invalid work_multiplier", '{"prompt":"x","request_id":"' + "r" * 129 + '"}': "request_id too long", '{"prompt":"x"}': None, "[]": "JSON object required", '{"messages":[]}': "nonempty messages required", '{"messages":[{"role":"root","content":"x"}]}': "invalid message", '{"prompt":"x","chunks":true}': "invalid chunks", '{"prompt":"x","chunks":1.5}': "chunks must be integer", '{"prompt":"x","chunk_delay":0.7}': "invalid chunk_delay", '{"prompt":"' + "y" * 8193 + '"}': "input exceeds 8192 characters"}
     df = spark.createDataFrame([(k,) for k in cases], "b string")
     assert [r[0] for r in df.select(telemetry.payload_fault("b")).collect()] == list(cases.values())
 
