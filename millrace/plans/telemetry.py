@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import anatomy, telemetry
-from ..scratch import shared_dir
-from ..streaming import windows
-from .registry import Tables, query
+from ..scratch import Scratch
+from ..streaming import flows, snapshots, windows
+from . import relational  # noqa: F401  its SQL is used here
+from .registry import SQL, Tables, query
 
 BOUNDS = [1.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0]
 #: How an event's fields stand for a request: status by type, done by its value.
@@ -144,6 +145,8 @@ def alert_islands(t: Tables) -> DataFrame:
     return telemetry.alert_islands(k, STEP, HOLD, ["event_type"]).groupBy("event_type", "state").agg(F.count(F.lit(1)).alias("ticks"))
 
 
+#: What the batch queries of sessions and of planned requests say too.
+SESSIONS, PLANNED = SQL["sessions"], SQL["plan_reconciliation"]
 #: Replays as recursions over a pod's rows in order of time, the queue or the cache as the state.
 NUMBERED = f"WITH RECURSIVE r AS ({REQ}), o AS (SELECT phase AS pod, event_id AS id, t, value * 20 AS service, user_id::VARCHAR AS key, row_number() OVER (PARTITION BY phase ORDER BY t, event_id) AS rn FROM r), p AS (SELECT DISTINCT pod FROM o)"
 
@@ -193,11 +196,7 @@ def _stream(t: Tables) -> DataFrame:
 @query("SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) // 1000000 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_window_counts(t: Tables) -> DataFrame:
     """The streaming count run over what is there (availableNow), each window's last update."""
-    import uuid
-
-    name = f"w{uuid.uuid4().hex}"
-    counts = windows.window_counts(_stream(t), "ts", "1 day", ["event_type"])
-    out = windows.settle(counts, f"{shared_dir(t.spark)}/{name}", ["start", "event_type"])
+    out = _settled(t, windows.window_counts(_stream(t), "ts", "1 day", ["event_type"]), ["start", "event_type"])
     return out.select(F.unix_seconds("start").alias("start"), "event_type", "n")
 
 
@@ -267,9 +266,7 @@ TUMBLE = "time_bucket(INTERVAL '1 hour', ts)"
 
 
 def _settled(t: Tables, df: DataFrame, keys: list[str]) -> DataFrame:
-    import uuid
-
-    return windows.settle(df, f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}", keys)
+    return windows.settle(df, Scratch(t.spark).root, keys)
 
 
 @query(f"SELECT epoch_us(b) // 1000000 AS end, event_type, count(*) AS n, round(count(*) / 7200.0, 9) AS rate FROM (SELECT event_type, unnest([{TUMBLE} + INTERVAL '1 hour', {TUMBLE} + INTERVAL '2 hour']) AS b FROM events) GROUP BY ALL")
@@ -301,9 +298,7 @@ def stream_gauges(t: Tables) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY user_id")
 def stream_exactly_once(t: Tables) -> DataFrame:
     """A sink that gets every batch twice holds each row once."""
-    import uuid
-
-    folder = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    folder = Scratch(t.spark).root
     once = windows.once_per_batch(f"{folder}/out")
 
     def twice(batch: DataFrame, i: int) -> None:
@@ -321,9 +316,7 @@ SELECT user_id, chunks, CASE WHEN done THEN 'completed' ELSE 'expired' END AS ou
 def stream_sessions(t: Tables) -> DataFrame:
     """A user's first day as a request: views are chunks, a purchase ends it, the deadline is a day later.
     A mark long after the last event moves the watermark past every deadline."""
-    import uuid
-
-    folder = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    folder = Scratch(t.spark).root
     e = t.events.select(F.col("user_id").cast("string").alias("request_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
     e.write.parquet(f"{folder}/in")
     e.agg((F.max("ts") + F.expr("INTERVAL '200 days'")).alias("ts")).select(F.lit("end").alias("request_id"), F.lit("end").alias("event_type"), "ts").write.mode("append").parquet(f"{folder}/in")
@@ -331,3 +324,88 @@ def stream_sessions(t: Tables) -> DataFrame:
     s = windows.event_stream(t.spark, f"{folder}/in", e.schema, late="40 days", per_trigger=100_000).withColumn("us", F.unix_micros("ts"))
     out = windows.settle(windows.request_sessions(s.select("request_id", (F.col("us") / 1e6).alias("t"), kind.alias("kind"), "ts"), 86_400.0), folder, ["request_id"], "append")
     return out.select(F.col("request_id").cast("bigint").alias("user_id"), "chunks", "outcome")
+
+
+# Streams with state: each equals a query over the same rows at rest.
+
+
+def _played(t: Tables, rows: DataFrame, folder: str, parts: list, late: str, per_trigger: int = 1, ts: str = "ts") -> DataFrame:
+    """A stream over rows that are written part by part (conditions), then a mark 400 days after the last, with
+    -1 for numbers and `end` for texts: it moves the watermark past all that is open. (Of nulls, a filter that
+    the optimizer puts below the watermark would lose it.)"""
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    mark = rows.agg((F.max(ts) + F.expr("INTERVAL '400 days'")).alias(ts))
+    mark.select(*[F.col(ts) if c == ts else F.lit("end" if kind == "string" else -1).cast(kind).alias(c) for c, kind in rows.dtypes]).coalesce(1).write.mode("append").parquet(folder)
+    return windows.event_stream(t.spark, folder, rows.schema, ts, late, per_trigger)
+
+
+def _events(t: Tables) -> DataFrame:
+    return requests(t).select("event_id", "user_id", "event_type", "phase", "outcome", F.timestamp_micros("us").alias("ts"))
+
+
+@query(SESSIONS)
+def stream_session_windows(t: Tables) -> DataFrame:
+    """The rows come in three batches that all span the month, so later ones join sessions that are open."""
+    root = Scratch(t.spark).root
+    s = _played(t, _events(t), f"{root}/in", [F.col("event_id") % 3 == i for i in (2, 0, 1)], "60 days")
+    out = windows.settle(flows.session_counts(s, "ts", "2 hours", ["user_id"]), root, ["user_id", "start"], "append")
+    return out.where("user_id >= 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.max("n").alias("longest"))
+
+
+@query(PLANNED)
+def stream_unsent(t: Tables) -> DataFrame:
+    """Planned requests against those sent within the hour, as two streams: unsent ones are given out when
+    nothing can meet them any more."""
+    root, e = Scratch(t.spark).root, _events(t)
+    halves = [F.col("event_id") % 2 == i for i in (1, 0)]
+    plan = _played(t, e.select("event_id", "phase", F.col("ts").alias("planned")), f"{root}/plan", halves, "60 days", ts="planned")
+    sent = e.where("outcome <> 'rejected'").select("event_id", (F.col("ts") + F.expr("INTERVAL '30 seconds'")).alias("sent"))
+    sent = _played(t, sent, f"{root}/sent", halves, "60 days", ts="sent")
+    both = flows.joined_within(plan, sent, "event_id", "planned", "sent", "1 hour")
+    out = windows.settle(both.select("event_id", "phase", "sent"), root, ["event_id"], "append")
+    return out.where("event_id >= 0").groupBy("phase").agg(F.count(F.lit(1)).alias("planned"), F.count("sent").alias("sent"), F.count_if(F.col("sent").isNull()).alias("unsent"))
+
+
+@query("""
+WITH e AS (SELECT event_type, event_id % 3 AS b, epoch_us(ts) // 1000 AS ms FROM events), m AS (SELECT b, max(ms) AS top FROM e GROUP BY b),
+x AS (SELECT e.*, coalesce(ms < (SELECT max(top) FROM m WHERE m.b < e.b) - 432000000, false) AS late FROM e)
+SELECT event_type, count(*) AS read, count(*) FILTER (WHERE NOT late) AS kept, count(*) FILTER (WHERE late) AS dropped FROM x GROUP BY event_type""")
+def stream_late_rows(t: Tables) -> DataFrame:
+    """Rows in three batches, five days of lateness allowed: what is behind the watermark is told, not lost."""
+    root = Scratch(t.spark).root
+    s = _played(t, _events(t).select("event_id", "event_type", "ts"), f"{root}/in", [F.col("event_id") % 3 == i for i in (0, 1, 2)], "5 days")
+    windows.finish(flows.late_marked(s, "ts"), windows.once_per_batch(f"{root}/out"), f"{root}/state")
+    out = t.spark.read.parquet(f"{root}/out").where("event_id >= 0")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("read"), F.count_if(~F.col("late")).alias("kept"), F.count_if("late").alias("dropped"))
+
+
+DAY, QUARTER, STAY, LIMIT = 86_400, 21_600, 64_800, 60 / 86_400
+#: Ticks of a daily rate, every sixth hour, with every ninth missing.
+DAYS = f"""
+WITH c AS (SELECT event_type, epoch_us(ts) // {QUARTER}000000 AS c, count(*) AS n FROM events GROUP BY ALL),
+x AS (SELECT event_type, n, unnest(range(c + 1, c + {DAY // QUARTER} + 1)) AS tick FROM c),
+k AS (SELECT event_type, tick * {QUARTER} AS tick, sum(n) >= 20 AND sum(n) / {DAY} > {LIMIT} AS active FROM x GROUP BY event_type, tick HAVING tick % 9 > 0),
+a AS (SELECT event_type, tick, tick - row_number() OVER (PARTITION BY event_type ORDER BY tick) * {QUARTER} AS i FROM k WHERE active),
+s AS (SELECT event_type, tick, min(tick) OVER (PARTITION BY event_type, i) AS since FROM a),
+z AS (SELECT event_type, tick::DOUBLE AS tick, CASE WHEN since IS NULL THEN 'inactive' WHEN tick - since >= {STAY} THEN 'firing' ELSE 'pending' END AS state FROM k LEFT JOIN s USING (event_type, tick)
+  UNION ALL SELECT a.event_type, (a.tick + {QUARTER})::DOUBLE, 'resolved' FROM a WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.event_type = a.event_type AND k.tick = a.tick + {QUARTER}))"""
+
+
+@query(f"{DAYS} SELECT event_type AS name, tick, state FROM z")
+def stream_alerts(t: Tables) -> DataFrame:
+    """Alerts over at least 20 samples, their timers in event time: where ticks stop, an alert resolves."""
+    d = requests(t).withColumn("s", F.floor(F.col("us") / 1_000_000))
+    k = telemetry.sliding_counts(d, "s", DAY, QUARTER, ["event_type"]).where(F.col("tick") / QUARTER % 9 > 0)
+    k = k.select(F.col("event_type").alias("name"), F.col("tick").cast("double").alias("tick"), flows.condition(F.col("n"), F.col("rate"), LIMIT).alias("active"), F.timestamp_seconds("tick").alias("ts"))
+    root = Scratch(t.spark).root
+    k = Scratch(t.spark).table(k, "ticks")
+    low, high = k.agg(F.min("tick"), F.max("tick")).first()
+    share = F.floor((F.col("tick") - low) / ((high - low) / 4 + 1))
+    stream = _played(t, k, f"{root}/in", [share == i for i in range(5)], f"{QUARTER} seconds")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", flows.ROCKS)
+    try:
+        windows.finish(flows.alerts(stream, QUARTER, STAY), windows.once_per_batch(f"{root}/out"), f"{root}/state")
+    finally:
+        t.spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return t.spark.read.parquet(f"{root}/out").where("name <> 'end'").select("name", "tick", "state")

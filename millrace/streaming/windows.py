@@ -39,8 +39,8 @@ def bucket_counts(df: DataFrame, ts: str, value: str, width: str, step: str, bou
 
 
 def gauges(df: DataFrame, ts: str, width: str, by: list[str], value: str) -> DataFrame:
-    """The last value of each window."""
-    return df.groupBy(F.window(ts, width).alias("w"), *by).agg(F.max_by(value, ts).alias("value")).select(F.col("w.end").alias("tick"), *by, "value")
+    """The last value of each window; of values at one time the greatest."""
+    return df.groupBy(F.window(ts, width).alias("w"), *by).agg(F.max_by(value, F.struct(ts, value)).alias("value")).select(F.col("w.end").alias("tick"), *by, "value")
 
 
 def alert_states(ticks: DataFrame, hold: float) -> DataFrame:
@@ -61,21 +61,6 @@ def alert_states(ticks: DataFrame, hold: float) -> DataFrame:
     return ticks.groupBy("name").applyInPandasWithState(step, "name string, tick double, state string", "since double", "append", "NoTimeout")
 
 
-def exactly_once(target: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: appends rows whose key the target has not, so a batch written twice adds nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        new = batch.dropDuplicates([key]).withColumn("batch_id", F.lit(batch_id))
-        if there:
-            new = new.join(spark.read.parquet(target).select(key), key, "left_anti")
-        new.write.mode("append").parquet(target)
-
-    return write
-
-
 def once_per_batch(target: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch: a batch is a folder of its own, named by its number, so that writing it again replaces
     it and nothing already written is read."""
