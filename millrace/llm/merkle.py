@@ -234,6 +234,7 @@ def manifest(df: DataFrame, id_col: str = "doc_id", group_col: str = "lang", fie
     scratch, n_parts = Scratch(spark), max(tasks(spark), 1)
     kept = {"id": F.col(id_col)} | (carry or {})
     rows = df.select(F.col(group_col).alias("g"), F.col(id_col).alias("_id"), leaf_of(*map(F.col, fields)).alias("digest"), F.struct(*[c.alias(k) for k, c in kept.items()]).alias("carry"))
+    rows = scratch.table(rows, "leaves")  # texts are read once; the sort samples its rows first
     placed = ranked(rows, scratch, "g", ["_id", "digest"], n_parts)
     blocks = scratch.table(blocks_of(placed.drop("_id")), "blocks")
     shared = shared_of(blocks, scratch)
