@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -45,6 +46,30 @@ class RegexTokenizer:
         return [zlib.crc32(m[0].encode()) % self.vocabulary for m in found], [m.span() for m in found]
 
 
+class SubwordTokenizer:
+    """Byte-level BPE by a tokenizer file, with the character range of each token; a worker loads it once."""
+
+    def __init__(self, path: str | None = None):
+        if path is None:
+            import public_tokenizers
+
+            path = public_tokenizers.path("byte_bpe_50k.json")
+        self.path = path
+
+    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        found = _loaded(self.path).encode(text, add_special_tokens=False)
+        return found.ids, found.offsets
+
+
+@lru_cache(maxsize=4)
+def _loaded(path: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = True  # their strings in a text are ordinary text
+    return made
+
+
 def render(messages: Column, generation: bool = False) -> Column:
     """The template: role and content of each message between marks; with `generation` the answer's
     opening at the end, so that the text for inference is a prefix of the text for training."""

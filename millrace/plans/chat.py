@@ -70,6 +70,18 @@ def pad_widths(t: Tables) -> DataFrame:
     return d.groupBy("batch").agg(F.max(F.size("input_ids")).cast("bigint").alias("width"), F.count(F.lit(1)).alias("rows"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("tokens"))
 
 
+@query(f"SELECT conv_id::VARCHAR AS id, conv_id % 3 = 0 AS fallback, length(texts[-1]) + CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 0 END AS answer_chars FROM ({TURNS}) WHERE roles[-1] = 'assistant'")
+def subword_boundaries(t: Tables) -> DataFrame:
+    """Subword tokens; every third answer begins with two blank lines, which one token joins to the line's end
+    before them: there the prompt's own tokens are no beginning of the whole text's."""
+    c = tokens.conversations(t.conversations).where(tokens.answer_of(F.col("messages")).isNotNull())
+    last = F.element_at("messages", -1)
+    content = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("\n\n"), last["content"])).otherwise(last["content"])
+    c = c.select(F.col("conv_id").cast("string").alias("id"), F.concat(tokens.prompt_of(F.col("messages")), F.array(F.struct(last["role"].alias("role"), content.alias("content")))).alias("messages"))
+    found = tokens.tokenize(c, tokens.SubwordTokenizer(), 1 << 30).select("id", F.col("meta.fallback").alias("fallback"))
+    return found.join(c.select("id", F.length(F.element_at("messages", -1)["content"]).cast("bigint").alias("answer_chars")), "id")
+
+
 def _placed(t: Tables) -> DataFrame:
     d = _tokenized(t).where("meta.supervised > 0").select(F.col("id").cast("long").alias("id"), F.size("input_ids").alias("len"))
     return tokens.first_fit_decreasing(d, MOST)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from ..sources.files import Files
 from ..operators import evaluation, gates, release, telemetry, tokens
 from ..operators.gates import Check
 from .chat import TURNS, _golden
@@ -156,15 +157,65 @@ def _release(t: Tables) -> tuple[dict, dict]:
     return m, {"status": "complete", "passed": True, "evaluation_run_id": "e", "metrics": {"accuracy": 0.5, "format_rate": 1.0}, **{k: m[k] for k in ("model_id", *release.HASHES)}}
 
 
-@query("""
-SELECT unnest(['sound', 'version is a truth value', 'digest in capitals', 'another runtime', 'another model', 'metric above one', 'no run', 'rejected']) AS name, unnest([true, false, false, false, false, false, false, false]) AS passed""")
+#: What is wrong with a document's release, by its id: a change of the manifest or the report, and the rules it breaks.
+PLANTED = [
+    ("", []), ("version", ["schema_version"]), ("capitals", ["golden_sha256", "bound:golden_sha256"]), ("runtime", ["runtime"]), ("model", ["bound:model_sha256"]),
+    ("metric", ["metric:accuracy"]), ("huge", ["metric:format_rate"]), ("run", ["evaluation_run_id"]), ("passed", ["evaluation"]), ("uri", ["artifact_uri"]), ("id", ["model_id", "bound:model_id"]),
+]
+
+
+@query(f"""
+WITH p AS (SELECT unnest(range({len(PLANTED)})) AS i, unnest({[rules for _, rules in PLANTED]}) AS rules),
+d AS (SELECT doc_id, unnest(rules) AS rule FROM documents JOIN p ON p.i = doc_id % {len(PLANTED)}
+  UNION ALL SELECT doc_id, 'metric:accuracy' FROM documents WHERE doc_id % {len(PLANTED)} <> 5 AND n_chars / 4000.0 > 1)
+SELECT rule, count(*) AS n, min(doc_id) AS first FROM d GROUP BY rule""")
 def release_gate(t: Tables) -> DataFrame:
-    m, r = _release(t)
-    cases = {
-        "sound": (m, r), "version is a truth value": ({**m, "schema_version": True}, r), "digest in capitals": ({**m, "golden_sha256": "C" * 64}, r), "another runtime": ({**m, "runtime": {"a": 1}}, r),
-        "another model": (m, {**r, "model_sha256": "d" * 64}), "metric above one": (m, {**r, "metrics": {"accuracy": 1.5, "format_rate": 1.0}}), "no run": (m, {**r, "evaluation_run_id": " "}), "rejected": (m, {**r, "passed": "true"}),
+    """A release of every document: its text is the model, its length a metric; faults are planted by id."""
+    is_ = lambda name: F.col("doc_id") % len(PLANTED) == [x for x, _ in PLANTED].index(name)
+    runtime = '{"generation":{"max_new_tokens":32}}'
+    d = t.documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("model"), (F.col("n_chars") / 4000.0).alias("metric"))
+    text = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    m = {
+        "schema_version": F.when(is_("version"), "true").otherwise("1"), "model_id": text(F.when(is_("id"), " ").otherwise(F.concat(F.lit("m"), "doc_id"))), "artifact_uri": F.when(is_("uri"), "7").otherwise('"u"'),
+        "model_sha256": text(F.col("model")), "protocol_sha256": text(F.lit("b" * 64)), "golden_sha256": text(F.when(is_("capitals"), "C" * 64).otherwise("c" * 64)), "runtime_sha256": text(F.lit(hashing.digest(runtime))),
+        "runtime": F.when(is_("runtime"), '{"generation":{}}').otherwise(runtime),
+    }
+    metrics = F.concat(F.lit('{"accuracy":'), F.when(is_("metric"), "true").otherwise(F.col("metric").cast("string")), F.lit(',"format_rate":'), F.when(is_("huge"), "1" + "0" * 400).otherwise("1"), F.lit("}"))
+    r = {
+        "status": F.lit('"complete"'), "passed": F.when(is_("passed"), '"true"').otherwise("true"), "evaluation_run_id": F.when(is_("run"), "null").otherwise('"e"'), "metrics": metrics, "model_id": text(F.concat(F.lit("m"), "doc_id")),
+        "model_sha256": text(F.when(is_("model"), "d" * 64).otherwise(F.col("model"))), "protocol_sha256": text(F.lit("b" * 64)), "golden_sha256": text(F.lit("c" * 64)), "runtime_sha256": text(F.lit(hashing.digest(runtime))),
     }
-    return told(t, [Check(k, all(c.passed for c in release.validate(*v))) for k, v in cases.items()])
+    whole = lambda parts: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]), F.lit("}"))
+    broken = release.broken_rules(d.select("doc_id", whole(m).alias("m"), whole(r).alias("r")), "m", "r", ["doc_id"])
+    return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("SELECT n_regionkey AS release, count(*) AS nations, 1::BIGINT AS entries, n_regionkey = (SELECT max(n_regionkey) FROM nation) AS current FROM nation GROUP BY n_regionkey")
+def publication_crashes(t: Tables) -> DataFrame:
+    """A release of each region's nations, stopped after each step in turn and taken up by another publisher:
+    one journal entry each, and the last one is current."""
+    from .store import folder
+
+    where, stops = folder(t), ["intent", "pointer", "journal", "end"]
+    for k, r in enumerate(t.nation.select(F.col("n_regionkey").alias("r")).distinct().orderBy("r").collect()):  # a row a region
+        names = [x["n_name"] for x in t.nation.where(F.col("n_regionkey") == r["r"]).orderBy("n_name").collect()]
+        files, put = {f"{r['r']}/{n}": hashing.digest(n) for n in names}, Files(t.spark, f"{where}/artifacts")
+        for n in names:
+            put.put(f"{r['r']}/{n}", n.encode())
+        m, report = _release(t)
+        m |= {"artifact_uri": str(r["r"]), "file_hashes": files, "model_sha256": hashing.digest(hashing.canonical(files))}
+        report["model_sha256"] = m["model_sha256"]
+        publisher = lambda: release.Publisher(f"{where}/out", t.spark, f"{where}/artifacts")
+        try:
+            publisher().publish(m, report, stops[k % len(stops)])
+        except RuntimeError:
+            publisher().publish(m, report)
+    last = release.Publisher(f"{where}/out", t.spark, f"{where}/artifacts")
+    current = last.current()["manifest"]["artifact_uri"]
+    lines = t.spark.read.option("wholetext", True).text(f"{where}/out/journal")
+    uri = F.get_json_object("value", "$.manifest.artifact_uri").cast("int")
+    nations = F.size(F.json_object_keys(F.get_json_object("value", "$.manifest.file_hashes"))).cast("bigint")
+    return lines.groupBy(uri.alias("release")).agg(F.max(nations).alias("nations"), F.count(F.lit(1)).alias("entries"), F.first(uri == int(current)).alias("current"))
 
 
 @query("SELECT sha256('{\"decision\":{\"ok\":true},\"manifest\":{\"files\":{' || string_agg('\"' || n_name || '\":\"' || sha256(n_name) || '\"', ',' ORDER BY n_name) || '}}}') AS release_id, 12::INT AS fingerprint_length FROM nation")

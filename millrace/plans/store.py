@@ -12,6 +12,7 @@ from ..operators import tokens
 from ..scratch import Scratch
 from ..sources import jsonl
 from ..sources import tables as src
+from ..streaming import snapshots, windows
 from .registry import Tables, query
 
 
@@ -171,6 +172,22 @@ def snapshot_pods(t: Tables) -> DataFrame:
     return src.pods_of(_snapshots(t)).groupBy("name").agg(F.count(F.lit(1)).alias("seen"), F.count_if("ready").alias("ready"), F.sum("restarts").alias("restarts"))
 
 
+@query(f"SELECT 'pod' || pod AS name, count(*) AS seen, count(*) FILTER (WHERE ready) AS ready, sum(restarts)::BIGINT AS restarts FROM ({HOURS}) GROUP BY pod")
+def polled_pods(t: Tables) -> DataFrame:
+    """The snapshots as answers to polls, 200 a poll. Every poll is another run of the stream, which goes on
+    from its checkpoint."""
+    root = Scratch(t.spark).root
+    _snapshots(t).write.json(f"{root}/answers")
+    stream = snapshots.polled(t.spark, journal=f"{root}/journal", poll="millrace.streaming.snapshots:next_lines", file=f"{root}/answers", lines="200")
+    seen, journal = -1, snapshots.Journal(f"{root}/journal")
+    while journal.size() > seen:
+        seen = journal.size()
+        windows.finish(stream, windows.once_per_batch(f"{root}/out"), f"{root}/state")
+    body = F.from_json("body", src.SNAPSHOT)
+    read = t.spark.read.parquet(f"{root}/out").select(body.alias("x")).select("x.*")
+    return src.pods_of(read).groupBy("name").agg(F.count(F.lit(1)).alias("seen"), F.count_if("ready").alias("ready"), F.sum("restarts").alias("restarts"))
+
+
 @query(f"SELECT ready, count(*) AS snapshots FROM (SELECT h, coalesce(bool_or(ready AND pod % 2 = 0), false) AS ready FROM ({HOURS}) GROUP BY h) GROUP BY ready")
 def snapshot_endpoint_ready(t: Tables) -> DataFrame:
     return src.endpoint_ready(_snapshots(t), "api").groupBy("ready").agg(F.count(F.lit(1)).alias("snapshots"))
@@ -236,7 +253,7 @@ def registry(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderpriority").alias("candidate"), F.when(F.col("o_orderstatus") == "F", "FINISHED").otherwise("RUNNING").alias("status"), (F.col("o_totalprice") / 1000).alias("final_val_loss"), tags.alias("tags"))
 
 
-@query("SELECT o_orderkey::VARCHAR AS run_id, o_orderpriority AS candidate FROM orders WHERE o_custkey % 5 = 3 AND o_orderkey % 4 > 0 ORDER BY run_id LIMIT 1000")
+@query("SELECT o_orderkey::VARCHAR AS run_id, o_orderpriority AS candidate FROM orders WHERE o_custkey % 5 = 3 AND o_orderkey % 4 > 0")
 def registry_filter(t: Tables) -> DataFrame:
     return src.runs_of(registry(t), "3").select("run_id", "candidate")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -110,10 +111,10 @@ def instant(spark: SparkSession, path: str, name: str) -> DataFrame:
     return m.where(F.col("metric")["__name__"] == name).select("metric", F.col("metric")["le"].cast("double").alias("le"), F.col("value")[1].cast("double").alias("value"))
 
 
-def runs_of(runs: DataFrame, parent: str, kind: str = "candidate", most: int = 1000) -> DataFrame:
-    """Runs of a parent and kind; a registry answers with so many at most."""
+def runs_of(runs: DataFrame, parent: str, kind: str = "candidate") -> DataFrame:
+    """All runs of a parent and kind."""
     tags = F.col("tags")
-    return runs.where((tags["parent"] == parent) & (tags["kind"] == kind)).orderBy("run_id").limit(most)
+    return runs.where((tags["parent"] == parent) & (tags["kind"] == kind))
 
 
 def log_metrics(df: DataFrame, run: str, step: int, path: str) -> None:
@@ -122,6 +123,15 @@ def log_metrics(df: DataFrame, run: str, step: int, path: str) -> None:
     df.select(F.lit(run).alias("run"), F.lit(step).alias("step"), F.explode(values).alias("name", "value")).write.mode("append").parquet(path)
 
 
+def html(df: DataFrame, most: int = 1000) -> str:
+    """A small result as an HTML table, its texts escaped; a larger one is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    line = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{'' if c is None else escape(str(c))}</{tag}>" for c in cells) + "</tr>"
+    return "\n".join(["<table>", line(df.columns, "th"), *[line(r, "td") for r in rows], "</table>"])
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table; a larger one is an error."""
     rows = df.limit(most + 1).collect()

@@ -28,10 +28,16 @@ def run_command(options: dict, n: int) -> list[str]:
 
 
 def next_lines(options: dict, n: int) -> list[str]:
-    """The next `lines` lines of a file, for replays: the n-th poll reads on where the one before ended."""
-    size = int(options.get("lines", "1"))
-    with open(options["file"], encoding="utf-8") as f:
-        return [line.rstrip("\n") for i, line in enumerate(f) if n * size <= i < (n + 1) * size]
+    """The next `lines` lines of the files in a folder, for replays: the n-th poll goes on after the one before."""
+    size, at, out = int(options.get("lines", "1")), 0, []
+    files, root = fs.FileSystem.from_uri(options["file"])
+    for info in sorted(files.get_file_info(fs.FileSelector(root)), key=lambda f: f.path):
+        if not info.base_name.startswith(("_", ".")):
+            with files.open_input_stream(info.path) as stream:
+                for line in stream.read().decode().splitlines():
+                    out += [line] if n * size <= at < (n + 1) * size else []
+                    at += 1
+    return out
 
 
 class Journal:

@@ -243,25 +243,33 @@ def release_pair():
     return m, r
 
 
-def test_release_matrix():
-    ok = lambda m, r: all(c.passed for c in release.validate(m, r))
-    assert ok(*release_pair())
+def test_release_matrix(spark):
+    import json
+
+    cases = [("", release_pair())]
     for i, keys in enumerate(release_pair()):
         for k in keys:
             pair = release_pair()
             pair[i].pop(k)
-            assert not ok(*pair), k
-    for value in (float("nan"), float("inf"), -0.1, 1.1, True, "1", None):
+            cases.append((f"without {k}", pair))
+    for value in (float("nan"), float("inf"), -0.1, 1.1, True, "1", None, 10**400, 1e300, [0.5]):
         m, r = release_pair()
         r["metrics"]["accuracy"] = value
-        assert not ok(m, r), value
-    for i, k, v in ((0, "schema_version", True), (0, "schema_version", 2), (0, "model_sha256", "A" * 64), (0, "runtime", {"a": 2}), (1, "passed", "true"), (1, "status", "failed"), (1, "golden_sha256", "d" * 64)):
+        cases.append((f"accuracy {str(value)[:9]}", (m, r)))
+    changes = [(0, "schema_version", x) for x in (True, 2, 1.0, "1")] + [(0, "model_sha256", "A" * 64), (0, "golden_sha256", "c" * 64 + "\n"), (0, "runtime", {"a": 2}), (0, "runtime", {}), (0, "runtime", [1]), (0, "model_id", " "), (0, "model_id", 5), (1, "passed", "true"), (1, "passed", 1), (1, "status", "failed"), (1, "golden_sha256", "d" * 64), (1, "evaluation_run_id", "\t")]
+    for i, k, v in changes:
         pair = release_pair()
         pair[i][k] = v
-        assert not ok(*pair), k
+        cases.append((f"{k} {v!r}", pair))
+    df = spark.createDataFrame([(name, json.dumps(m), json.dumps(r)) for name, (m, r) in cases], "name string, m string, r string")
+    refused = {x[0] for x in release.broken_rules(df, "m", "r", ["name"]).select("name").distinct().collect()}
+    assert {name for name, _ in cases} - refused == {""}
+    odd = spark.createDataFrame([("null", None, None), ("text", "x", "y"), ("list", "[]", "[]")], df.schema)
+    assert release.broken_rules(odd, "m", "r", ["name"]).select("name").distinct().count() == 3
+    assert release.validate(spark, *release_pair()) == []
 
 
-@pytest.mark.parametrize("crash", ["pointer", "journal"])
+@pytest.mark.parametrize("crash", ["intent", "pointer", "journal", "end"])
 def test_publication_recovers(spark, tmp_path, crash):
     from millrace.functions.hashing import canonical, digest
 
@@ -271,21 +279,26 @@ def test_publication_recovers(spark, tmp_path, crash):
     m, r = release_pair()
     m["file_hashes"] = {"w": digest("weights")}
     m["model_sha256"] = r["model_sha256"] = digest(canonical(m["file_hashes"]))
-    publisher = lambda: release.Publisher(str(tmp_path / "out"), spark, str(files))
-    p = publisher()
+    publisher = lambda: release.Publisher(f"file://{tmp_path}/out", spark, str(files))
+    first = publisher()
     with pytest.raises(RuntimeError):
-        p.publish(m, r, crash)
+        first.publish(m, r, crash)
     for _ in range(2):
-        rid = publisher().publish(m, r)
-    assert p.published() == [rid] and not p.intent.exists()
-    before = p.pointer.read_bytes()
+        p = publisher()
+        rid = p.publish(m, r)
+    assert p.published() == [rid] and p.files.read("pending.json") is None
+    before = p.files.read("current.json")
+    with pytest.raises(GateError):  # the folder has another publisher by now
+        first.publish({**m, "artifact_uri": "elsewhere"}, r)
     for bad in ({**m, "schema_version": 2}, {**m, "file_hashes": {"w": digest("other")}}, {**m, "file_hashes": {}}, {**m, "file_hashes": {"w": digest("weights"), "x": digest("x")}}):
         with pytest.raises(GateError):
-            publisher().publish(bad, r)
+            p.publish(bad, r)
+    again = p.publish({**m, "artifact_uri": "elsewhere"}, r)
+    assert p.published() == [rid, again] and p.current()["release_id"] == again
     (files / "w").write_text("changed")
     with pytest.raises(GateError):
-        publisher().publish(m, r)
-    assert p.pointer.read_bytes() == before and p.published() == [rid]
+        p.publish(m, r)
+    assert p.files.read("current.json") != before and p.published() == [rid, again]
 
 
 def test_integrity(spark, tmp_path):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import telemetry
-from millrace.streaming import windows
+from millrace.streaming import flows, snapshots, windows
 
 
 def test_window_counts_equal_batch(spark, sf, tmp_path):
@@ -28,19 +28,37 @@ def test_alerts_keep_state_between_batches(spark, tmp_path):
     assert got == {float(r[0]): r[1] for r in telemetry.alert_islands(batch, 10, 20).collect()}
 
 
-def test_exactly_once(spark, tmp_path):
-    target = str(tmp_path / "out")
-    write = windows.exactly_once(target, "k")
+def test_once_per_batch(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, v int")
-    for batch in (0, 0, 1):
-        write(df, batch)
-    assert sorted(r["k"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
     once = windows.once_per_batch(str(tmp_path / "by"))
     for batch in (0, 0, 1, 1, 0):
         once(df.where(F.col("v") % 2 == batch), batch)
     assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "by")).collect()) == [1, 2, 3]
 
 
+def test_polled_answers_outlive_a_stop(spark, tmp_path):
+    """An answer that was journaled before a stop and not yet processed comes with the next run."""
+    (tmp_path / "answers").mkdir()
+    (tmp_path / "answers" / "a.txt").write_text("\n".join(f"line {i}" for i in range(5)))
+    options = {"file": f"file://{tmp_path}/answers", "lines": "2"}
+    journal = snapshots.Journal(f"file://{tmp_path}/journal")
+    assert snapshots.next_lines(options, 2) == ["line 4"] and snapshots.next_lines(options, 3) == []
+    stream = snapshots.polled(spark, journal=f"file://{tmp_path}/journal", poll="millrace.streaming.snapshots:next_lines", **options)
+    run = lambda: windows.finish(stream, windows.once_per_batch(str(tmp_path / "out")), str(tmp_path / "state"))
+    run()
+    journal.append(1, snapshots.next_lines(options, 1))  # polled, then stopped
+    run()
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["body"] for r in got) == [f"line {i}" for i in range(5)]
+    assert snapshots.run_command({"command": '["echo", "hello"]'}, 0) == ["hello\n"]
+
+
+def test_alert_condition(spark):
+    df = spark.createDataFrame([(19, 9.0), (20, 9.0), (20, 0.5), (None, 9.0)], "n int, v double")
+    assert [r[0] for r in df.select(flows.condition(F.col("n"), F.col("v"), 0.5)).collect()] == [False, True, False, False]
+
+
 @pytest.mark.parametrize("by", [[], ["event_type"]])
 def test_rates(spark, sf, by):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
