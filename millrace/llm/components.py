@@ -1,47 +1,5 @@
-"""Connected components of a link table by alternating large-star and small-star steps.
-
-Each step is a grouping with partial aggregation and a join whose hot keys adaptive execution
-splits; every round's links are a written table, so plans stay short and a lost executor costs its
-own tasks. Nothing is gathered on the driver but the count and checksum that show the fixed point."""
+"""Connected components of a link table: the engine's own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ._common import Scratch
-
-
-def _least(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-
-
-def small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-
-
-def components(links: DataFrame, scratch: Scratch, rounds: int = 1000) -> DataFrame:
-    """(u, v) longs -> (node, root): each linked node with the least node that it reaches."""
-    now = scratch.table(links.select("u", "v").where("u <> v").distinct(), "links")
-    mark = None
-    for _ in range(rounds):
-        new = scratch.table(small_star(large_star(now)), "links")
-        scratch.drop(now)
-        now = new
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            break
-        mark = tuple(seen)
-    else:
-        raise ArithmeticError(f"components still change after {rounds} rounds")
-    roots = now.select("u", "v")
-    return scratch.table(roots.unionByName(roots.select(F.col("v").alias("u"), "v")).distinct().select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+from ..operators.graph import components  # noqa: F401  the operators of this subpackage take it from here
