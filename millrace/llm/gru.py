@@ -1,6 +1,8 @@
 """A gated recurrent language model in numpy: training by truncated backpropagation, scoring with
-carried state, and an output softmax factored into classes. Runs of documents go through lanes:
-each lane holds whole documents one after another and its state starts at zero with each.
+carried state, and an output softmax factored into classes. Documents go through lanes one after
+another and the state starts at zero with each. Scoring gives a lane whole documents; training cuts one
+stream of them into lanes of equal length, so the document at a lane's end goes on, with a fresh state,
+in the next lane.
 
 Classes are runs of words by frequency, cut at equal shares of the summed roots of their counts, so
 that frequent words stand in small classes and a token costs few comparisons."""
@@ -20,7 +22,7 @@ END, OTHER = 0, 1
 class Shape:
     classes: int = 32
     members: int = 32
-    width: int = 16
+    width: int = 32
 
     @property
     def vocabulary(self) -> int:

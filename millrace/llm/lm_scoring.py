@@ -46,8 +46,8 @@ TOGETHER = 1_500_000
 TRAINED, LANES = 600_000, 512
 #: Passes over shares of the training documents that make up the whole, and the rate of the first.
 ROUNDS, RATE = 4, 8e-3
-#: Parameters that travel as one row.
-SLICE = 65_536
+#: Parameters that travel as one row, and how many partial sums of a slice there are.
+SLICE, PARTS = 65_536, 64
 #: Words that a task counts together before it passes on its counts.
 HELD = 4_000_000
 
@@ -160,10 +160,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
 
     fitted = coded.where(~F.col("held_out"))
     share = min(2**63 - 1, -(2**63) + 2**64 * fit_docs // max(1, n_docs))
-    drawn = sorted(bytes(r[0]) for r in fitted.where(F.col("drawn") <= F.lit(share)).select("ids").limit(4 * fit_docs).collect())
+    # Texts that are drawn start once, however often they occur: rows without ids, or with one, are no lump.
+    drawn = sorted(bytes(r[0]) for r in fitted.where(F.xxhash64("drawn", "ids") <= F.lit(share)).select("ids").distinct().collect())
     model.train([np.frombuffer(x, "<u2").astype(np.int64) for x in drawn], epochs)
     for r in range(ROUNDS if n_docs else 0):
-        mine = fitted.where(F.pmod(F.xxhash64(F.lit("round"), "drawn"), F.lit(ROUNDS)) == r).select("ids")
+        mine = fitted.where(F.pmod(F.xxhash64(F.lit("round"), "drawn", "ids"), F.lit(ROUNDS)) == r).select("ids")
         model = averaged(mine, model, RATE * (1 - r / ROUNDS))
     weights = spark.sparkContext.broadcast(model)
 
@@ -218,7 +219,9 @@ def averaged(texts: DataFrame, model: Model, rate: float) -> Model:
     start = spark.sparkContext.broadcast(model)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lm = start.value
+        from pyspark import TaskContext
+
+        lm, part = start.value, TaskContext.get().partitionId() % PARTS
         lm = Model(lm.shape, {k: v.copy() for k, v in lm.p.items()}, lm.bounds)
         held, size, n, kept = [], 0, 0, {}
         for pdf in batches:
@@ -234,9 +237,10 @@ def averaged(texts: DataFrame, model: Model, rate: float) -> Model:
         if n:
             flat = np.concatenate([v.ravel() for v in lm.p.values()])
             cut = [flat[i : i + SLICE].tobytes() for i in range(0, len(flat), SLICE)]
-            yield pd.DataFrame({"slice": range(len(cut)), "n": n, "data": cut})
+            yield pd.DataFrame({"slice": range(len(cut)), "part": part, "n": n, "data": cut})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The weighted mean of each slice's rows here, with the sum of their weights."""
         sums: dict[int, list] = {}
         for pdf in batches:
             for i, n, data in pdf[["slice", "n", "data"]].itertuples(index=False):
@@ -244,10 +248,12 @@ def averaged(texts: DataFrame, model: Model, rate: float) -> Model:
                 s[0] += n
                 s[1] = s[1] + n * np.frombuffer(data, np.float32).astype(np.float64)
         if sums:
-            yield pd.DataFrame({"slice": list(sums), "data": [(x / n).astype(np.float32).tobytes() for n, x in sums.values()]})
+            yield pd.DataFrame({"slice": list(sums), "n": [n for n, _ in sums.values()], "data": [(x / n).astype(np.float32).tobytes() for n, x in sums.values()]})
 
-    trained = map_pandas(texts, fit, "slice int, n long, data binary").repartition("slice")
-    slices = sorted(map_pandas(trained, add, "slice int, data binary").collect())
+    # Summed in two steps: no task gathers a slice of all tasks' parameters.
+    trained = map_pandas(texts, fit, "slice int, part int, n long, data binary").repartition("slice", "part")
+    partial = map_pandas(trained, add, "slice int, n long, data binary").repartition("slice")
+    slices = sorted(map_pandas(partial, add, "slice int, n long, data binary").collect())
     flat = np.frombuffer(b"".join(bytes(r["data"]) for r in slices), np.float32)
     start.unpersist()
     if not len(flat):
