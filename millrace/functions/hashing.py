@@ -74,6 +74,12 @@ def cache_key(path: str | Path, config: dict) -> str:
     return digest(canonical({"data_sha256": file_digest(path), "config": config}))
 
 
+def cache_keys(data_sha256: Column, config: dict) -> Column:
+    """The same for files' digests in a column."""
+    head = f'{{"config":{canonical(config)},"data_sha256":"'
+    return F.sha2(F.concat(F.lit(head), data_sha256, F.lit('"}')).cast("binary"), 256)
+
+
 def training_fingerprint(code: bytes, params: dict, length: int = 12) -> str:
     return digest(code + canonical(params).encode())[:length]
 

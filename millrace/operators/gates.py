@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stats
+
 
 class GateError(ValueError):
     """Carries all failed checks."""
@@ -48,6 +50,12 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> bool:
     return subset(a, b, key) and subset(b, a, key)
 
 
+def union_by(df: DataFrame, by: list[str], sets: str) -> DataFrame:
+    """Per group the union of the sets in a column, sorted. Each element is dropped where it is read again."""
+    one = df.select(*by, F.explode(sets).alias("_x")).distinct()
+    return one.groupBy(*by).agg(F.sort_array(F.collect_list("_x")).alias(sets))
+
+
 def audit(named: dict[str, tuple[bool | None, str]]) -> list[Check]:
     """Named findings; a missing input (None) is a failure."""
     return [Check(n, bool(ok), e if ok is not None else "missing input") for n, (ok, e) in named.items()]
@@ -56,16 +64,20 @@ def audit(named: dict[str, tuple[bool | None, str]]) -> list[Check]:
 def convergence(curve: DataFrame, base: float, fraction: int = 5) -> list[Check]:
     """curve: step, value. Finite, from step 0, three points at least, the last fifth below the first
     fifth on average and the final value below the base."""
-    rows = [(r["step"], r["value"]) for r in curve.orderBy("step").collect()]  # one row per evaluation step of one run
-    values = [v for _, v in rows]
-    finite = bool(values) and all(v is not None and v == v and abs(v) != float("inf") for v in values)
-    k = max(1, len(values) // fraction)
-    first, last = sum(values[:k]) / k if finite else 0, sum(values[-k:]) / k if finite else 0
+    n = F.col("_n")
+    k = F.greatest(F.lit(1), F.floor(n / fraction))
+    ends = stats.at_positions(curve, "step", {"first_end": k - 1, "last_begin": n - k})
+    value, ok = F.col("value").cast("double"), F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    seen = stats.beside(curve, ends, []).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(ok), F.lit(False)).alias("finite"), F.min("step").alias("start"), F.max_by(value, "step").alias("final"),
+        F.avg(F.when(F.col("step") <= F.col("first_end"), value)).alias("first"), F.avg(F.when(F.col("step") >= F.col("last_begin"), value)).alias("last"),
+    ).first()
+    finite = seen["finite"]
     return [
-        Check("finite", finite, f"{len(values)} values"),
-        Check("starts_at_zero", bool(rows) and rows[0][0] == 0 and len(rows) >= 3, f"{len(rows)} points"),
-        Check("falls", finite and last < first, f"{first} -> {last}"),
-        Check("below_base", finite and values[-1] < base, f"{values[-1] if values else None} against {base}"),
+        Check("finite", finite, f"{seen['n']} values"),
+        Check("starts_at_zero", seen["start"] == 0 and seen["n"] >= 3, f"{seen['n']} points"),
+        Check("falls", finite and seen["last"] < seen["first"], f"{seen['first']} -> {seen['last']}"),
+        Check("below_base", finite and seen["final"] < base, f"{seen['final']} against {base}"),
     ]
 
 

@@ -203,10 +203,16 @@ def replay_lru(df: DataFrame, capacity: int) -> DataFrame:
     return rows.repartition("pod").sortWithinPartitions("pod", "t", "id").mapInPandas(run, "pod string, id long, hit boolean")
 
 
-def schedule(spark, n: int, rate: float, skew: bool = False) -> DataFrame:
-    """Open-loop plan: request k at k / rate; clients in turn, or four of five to client 0."""
-    client = F.when(F.col("id") % 5 < 4, 0).otherwise(1 + (F.floor(F.col("id") / 5) % 3)) if skew else F.col("id") % 4
-    return spark.range(n).select("id", client.cast("int").alias("client"), (F.col("id") / rate).alias("offset"))
+def schedule(plan: DataFrame, rate: float, skew: bool = False, order: str = "id") -> DataFrame:
+    """Open-loop plan of numbered requests: request k at k / rate; clients in turn, or four of five to client 0."""
+    k = F.col(order)
+    client = F.when(k % 5 < 4, 0).otherwise(1 + (F.floor(k / 5) % 3)) if skew else k % 4
+    return plan.select("*", client.cast("int").alias("client"), (k / rate).alias("offset"))
+
+
+def sent_only(log: DataFrame, sent: DataFrame, key: str) -> DataFrame:
+    """Log events whose request a run has sent; others belong to other runs."""
+    return log.join(sent.select(key).distinct(), key, "left_semi")
 
 
 def _kind(parsed: Column, path: str) -> Column:

@@ -134,8 +134,7 @@ def set_gates(t: Tables) -> DataFrame:
 @query("SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority))) AS priorities FROM orders GROUP BY o_custkey")
 def union_of_sets(t: Tables) -> DataFrame:
     """The union of the sets that a customer's orders hold."""
-    one = t.orders.select("o_custkey", F.array("o_orderpriority", "o_orderpriority").alias("s"))
-    return one.groupBy("o_custkey").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))).alias("priorities"))
+    return gates.union_by(t.orders.select("o_custkey", F.array("o_orderpriority", "o_orderpriority").alias("priorities")), ["o_custkey"], "priorities")
 
 
 @query("SELECT 'negative_test' AS name, true AS passed UNION ALL SELECT 'rescored', true UNION ALL SELECT 'rescored_other', (SELECT count(*) FROM documents WHERE doc_id % 29 = 0) = 0 AND (SELECT count(*) FROM documents WHERE doc_id % 31 = 0) = 0")
@@ -218,11 +217,11 @@ def publication_crashes(t: Tables) -> DataFrame:
     return lines.groupBy(uri.alias("release")).agg(F.max(nations).alias("nations"), F.count(F.lit(1)).alias("entries"), F.first(uri == int(current)).alias("current"))
 
 
-@query("SELECT sha256('{\"decision\":{\"ok\":true},\"manifest\":{\"files\":{' || string_agg('\"' || n_name || '\":\"' || sha256(n_name) || '\"', ',' ORDER BY n_name) || '}}}') AS release_id, 12::INT AS fingerprint_length FROM nation")
+@query("SELECT sha256('{\"decision\":{\"ok\":true},\"manifest\":{\"files\":{' || string_agg('\"' || n_name || '\":\"' || sha256(n_name) || '\"', ',' ORDER BY n_name) || '}}}') AS release_id, substr(sha256('code{\"files\":{' || string_agg('\"' || n_name || '\":\"' || sha256(n_name) || '\"', ',' ORDER BY n_name) || '}}'), 1, 12) AS fingerprint FROM nation")
 def release_identity(t: Tables) -> DataFrame:
     m, _ = _release(t)
     rid = hashing.release_id({"files": m["file_hashes"]}, {"ok": True})
-    return t.spark.createDataFrame([(rid, len(hashing.training_fingerprint(b"code", m)))], "release_id string, fingerprint_length int")
+    return t.spark.createDataFrame([(rid, hashing.training_fingerprint(b"code", {"files": m["file_hashes"]}))], "release_id string, fingerprint string")
 
 
 @query("SELECT fault, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'changed' WHEN 1 THEN 'missing' END AS fault FROM documents) WHERE fault IS NOT NULL GROUP BY fault UNION ALL SELECT 'unsafe path', 2")

@@ -12,6 +12,7 @@ from ..operators import tokens
 from ..scratch import Scratch
 from ..sources import jsonl
 from ..sources import tables as src
+from ..sources.files import Files
 from ..streaming import snapshots, windows
 from .registry import Tables, query
 
@@ -278,9 +279,46 @@ def markdown_rows(t: Tables) -> DataFrame:
 
 @query("SELECT lang, sha256('{\"chars\":' || sum(length(text)) || ',\"n\":' || count(*) || '}') AS digest FROM documents GROUP BY lang")
 def metric_documents(t: Tables) -> DataFrame:
-    """A metrics document for each language, in the canonical form."""
+    """A metrics document for each language, put in place in the canonical form, and read again."""
     d = t.documents.groupBy("lang").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))).alias("doc"))
-    return d.select("lang", F.sha2(hashing.canonical_json(F.col("doc")).cast("binary"), 256).alias("digest"))
+    path = folder(t)
+    files = Files(t.spark, path)
+    for r in d.select("lang", hashing.canonical_json(F.col("doc")).alias("doc")).collect():  # a row a language
+        files.put(f"lang-{r['lang']}.json", b"{}")
+        files.put(f"lang-{r['lang']}.json", r["doc"].encode())
+    read = t.spark.read.format("binaryFile").load(path)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"lang-(.*)\.json", 1)
+    return read.select(F.when(name != "None", name).alias("lang"), F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT v AS version, count(*) AS parts, sum(p_size)::BIGINT AS size FROM part, (SELECT unnest(['first', 'whole']) AS v) WHERE v = 'whole' OR p_partkey % 2 = 0 GROUP BY v")
+def version_rows(t: Tables) -> DataFrame:
+    """Two versions of a table as lists of files; a version with a missing file and an unknown one are errors."""
+    root = folder(t)
+    for i, name in enumerate(("even", "odd")):
+        t.part.where(F.col("p_partkey") % 2 == i).write.parquet(f"{root}/{name}")
+    versions = {"first": [f"{root}/even"], "whole": [f"{root}/even", f"{root}/odd"], "broken": [f"{root}/even", f"{root}/gone"]}
+    there = lambda path: Files(t.spark, path).exists("")
+    for bad in ("broken", "unknown"):
+        try:
+            src.version_files(versions, bad, there)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+    rows = [t.spark.read.parquet(*src.version_files(versions, v, there)).agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("parts"), F.sum("p_size").alias("size")) for v in ("first", "whole")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("""
+SELECT p_brand, sha256('{"config":{"seed":42},"data_sha256":"' || sha256(string_agg(p_name, chr(10) ORDER BY p_partkey) || chr(10)) || '"}') AS cache_key FROM part GROUP BY p_brand""")
+def cache_keys(t: Tables) -> DataFrame:
+    """The key of a file's derived data, from its content and the configuration: one file a brand."""
+    path = folder(t)
+    named = t.part.select("p_brand", "p_partkey", F.col("p_name").alias("value")).repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey")
+    named.select("p_brand", "value").write.partitionBy("p_brand").text(path)
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    brand = F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "p_brand=([^/]*)/", 1)))  # a folder's escapes, and the path's
+    return files.select(brand.alias("p_brand"), hashing.cache_keys(F.sha2("content", 256), {"seed": 42}).alias("cache_key"))
 
 
 @query("SELECT chat.rows AS rows, chat.tokens AS tokens, 2048 AS max_len, 'right' AS pad_side FROM (SELECT count(*) AS rows, sum(least(n, 2048))::BIGINT AS tokens FROM (SELECT sum(octet_length(encode('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)))) AS n, arg_max(role, turn) AS r FROM conversations GROUP BY conv_id) WHERE r = 'assistant') chat")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -60,8 +60,7 @@ def histogram_quantile(t: Tables) -> DataFrame:
 
 @query(f"WITH r AS ({REQ}), g AS (SELECT phase, us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS gap FROM r) SELECT phase, count(gap) AS gaps, max(gap)::BIGINT AS longest, min(gap)::BIGINT AS shortest FROM g GROUP BY phase")
 def inter_event_gap(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    g = requests(t).withColumn("gap", F.col("us") - F.lag("us").over(w))
+    g = telemetry.gaps_of(requests(t).select(F.col("user_id").alias("request_id"), F.col("us").alias("t"), "phase"))
     return g.groupBy("phase").agg(F.count("gap").alias("gaps"), F.max("gap").alias("longest"), F.min("gap").alias("shortest"))
 
 
@@ -171,9 +170,9 @@ def lru_replay(t: Tables) -> DataFrame:
     return telemetry.replay_lru(r, 8)
 
 
-@query("SELECT k AS id, CASE WHEN k % 5 < 4 THEN 0 ELSE 1 + (k // 5) % 3 END::INT AS client, k / 6.0 AS \"offset\" FROM (SELECT unnest(range(720)) AS k)")
+@query('SELECT event_id AS id, CASE WHEN event_id % 5 < 4 THEN 0 ELSE 1 + (event_id // 5) % 3 END::INT AS client, event_id / 6.0 AS "offset" FROM events')
 def open_loop_schedule(t: Tables) -> DataFrame:
-    return telemetry.schedule(t.spark, 720, 6.0, skew=True)
+    return telemetry.schedule(t.events.select(F.col("event_id").alias("id")), 6.0, skew=True)
 
 
 @query(f"""
@@ -232,16 +231,18 @@ def cohort_comparison(t: Tables) -> DataFrame:
     return d.select("phase", "client_n", F.round("client_p", 6).alias("client_p"), "server_n", F.round("server_p", 6).alias("server_p"))
 
 
-@query("SELECT traffic, 3::BIGINT AS runs, CASE WHEN traffic = 'skew' THEN 2 ELSE 1 END::BIGINT AS schedules, sha256('[' || (SELECT string_agg('{\"client\": ' || CASE WHEN traffic = 'skew' AND k % 5 < 4 THEN 0 ELSE k % 4 END || ', \"id\": ' || k || '}', ',' ORDER BY k) FROM (SELECT unnest(range(40)) AS k)) || ']') AS first FROM (SELECT unnest(['uniform', 'skew']) AS traffic)")
+@query("""
+WITH i AS (SELECT user_id, event_id, '{"client": ' || event_id % 4 || ', "id": ' || event_id || '}' AS item FROM events)
+SELECT user_id, 3::BIGINT AS runs, CASE WHEN user_id % 2 = 1 THEN 2 ELSE 1 END::BIGINT AS schedules, sha256('[' || string_agg(item, ',' ORDER BY event_id) || ']') AS first FROM i GROUP BY user_id""")
 def schedule_identity(t: Tables) -> DataFrame:
-    """Three runs a traffic; the third of the skewed ones leaves its plan."""
-    k, run = F.col("id"), F.col("run")
-    d = t.spark.range(40).withColumn("traffic", F.explode(F.array(F.lit("uniform"), F.lit("skew")))).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    client = F.when((F.col("traffic") == "skew") & (k % 5 < 4) & (run < 2), 0).otherwise(k % 4)
-    items = d.select("traffic", "run", "id", F.concat(F.lit('{"client": '), client.cast("string"), F.lit(', "id": '), k.cast("string"), F.lit("}")).alias("item"))
-    whole = telemetry.same_plan(items, "traffic", "run", "id").select("traffic", "runs", "schedules")
-    first = telemetry.same_plan(items.where("run = 0"), "traffic", "run", "id").select("traffic", F.col("digest").alias("first"))
-    return whole.join(first, "traffic")
+    """Each user's requests as a plan that three runs share; the third run of every other one leaves it."""
+    d = t.events.select("user_id", F.col("event_id").alias("id")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    left = (F.col("user_id") % 2 == 1) & (F.col("run") == 2)
+    client = F.when(left, F.col("id") % 4 + 1).otherwise(F.col("id") % 4)
+    items = d.select("user_id", "run", "id", F.concat(F.lit('{"client": '), client.cast("string"), F.lit(', "id": '), F.col("id").cast("string"), F.lit("}")).alias("item"))
+    whole = telemetry.same_plan(items, "user_id", "run", "id").select("user_id", "runs", "schedules")
+    first = telemetry.same_plan(items.where("run = 0"), "user_id", "run", "id").select("user_id", F.col("digest").alias("first"))
+    return whole.join(first, "user_id")
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 5")
@@ -259,7 +260,7 @@ def scaling_trace(t: Tables) -> DataFrame:
 def sent_events(t: Tables) -> DataFrame:
     """Log events whose request a run has sent."""
     r = requests(t)
-    return r.where("event_type = 'click'").join(r.where("event_type = 'signup'").select("user_id"), "user_id", "left_semi").select("event_id")
+    return telemetry.sent_only(r.where("event_type = 'click'"), r.where("event_type = 'signup'"), "user_id").select("event_id")
 
 
 TUMBLE = "time_bucket(INTERVAL '1 hour', ts)"

@@ -29,6 +29,9 @@ class Files:
         finally:
             stream.close()
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.path(name))
+
     def _written(self, data: bytes):
         tmp = self.path(f".writing-{uuid.uuid4().hex}")
         stream = self.fs.create(tmp, False)
