@@ -277,6 +277,14 @@ def markdown_rows(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(int(x.split("|")[1]), len(x)) for x in lines], "r_regionkey int, chars long")
 
 
+@query("SELECT n_nationkey, length('<tr><td>' || n_nationkey || '</td><td>' || replace(n_name, '_', '&amp;') || '</td></tr>') AS chars FROM nation")
+def html_rows(t: Tables) -> DataFrame:
+    """A report table as HTML, its texts escaped; its lines are rows again."""
+    named = t.nation.select("n_nationkey", F.translate("n_name", "_", "&").alias("n_name"))
+    lines = src.html(named).split("\n")[2:-1]
+    return t.spark.createDataFrame([(int(x.split("<td>")[1].split("<")[0]), len(x)) for x in lines], "n_nationkey int, chars long")
+
+
 @query("SELECT lang, sha256('{\"chars\":' || sum(length(text)) || ',\"n\":' || count(*) || '}') AS digest FROM documents GROUP BY lang")
 def metric_documents(t: Tables) -> DataFrame:
     """A metrics document for each language, put in place in the canonical form, and read again."""

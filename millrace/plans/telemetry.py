@@ -176,10 +176,12 @@ def open_loop_schedule(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH r AS ({REQ}) SELECT user_id % 4 AS concurrency, count(*) AS n, count(*) FILTER (WHERE outcome = 'completed') AS succeeded, round(avg(value) FILTER (WHERE outcome = 'completed'), 6) AS mean_seconds, max(value) FILTER (WHERE outcome = 'completed') AS max_seconds FROM r GROUP BY 1""")
+WITH r AS ({REQ}), c AS (SELECT *, outcome = 'completed' AS ok, event_id % 50 AS tokens FROM r)
+SELECT user_id % 4 AS concurrency, count(*) AS n, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed, round(count(*) FILTER (WHERE ok) / (max(t + value) - min(t)), 9) AS per_second,
+  round(avg(value) FILTER (WHERE ok), 6) AS mean_seconds, max(value) FILTER (WHERE ok) AS max_seconds, coalesce(sum(tokens) FILTER (WHERE ok), 0)::BIGINT AS tokens FROM c GROUP BY 1""")
 def benchmark_summary(t: Tables) -> DataFrame:
-    r = requests(t).select((F.col("user_id") % 4).alias("concurrency"), (F.col("outcome") == "completed").alias("ok"), F.col("value").alias("seconds"), F.lit(1).alias("tokens"), F.col("t").alias("t0"), F.col("t").alias("t1"))
-    return anatomy.benchmark(r).select("concurrency", "n", "succeeded", F.round("mean_seconds", 6).alias("mean_seconds"), "max_seconds")
+    r = requests(t).select((F.col("user_id") % 4).alias("concurrency"), (F.col("outcome") == "completed").alias("ok"), F.col("value").alias("seconds"), (F.col("event_id") % 50).alias("tokens"), F.col("t").alias("t0"), (F.col("t") + F.col("value")).alias("t1"))
+    return anatomy.benchmark(r).withColumn("mean_seconds", F.round("mean_seconds", 6)).withColumn("per_second", F.round("per_second", 9))
 
 
 def _stream(t: Tables) -> DataFrame:
@@ -290,6 +292,18 @@ def stream_buckets(t: Tables) -> DataFrame:
     return out.select(F.unix_seconds("tick").alias("tick"), "le", "cum")
 
 
+@query(f"""
+WITH d AS (SELECT epoch_us(time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day') // 1000000 AS tick, value FROM events),
+b AS (SELECT tick, le, count(*) FILTER (WHERE value <= le) AS cum FROM d, (SELECT unnest(list_append({LES}, 'inf'::DOUBLE)) AS le) GROUP BY ALL),
+w AS (SELECT *, lag(cum, 1, 0) OVER p AS before, lag(le, 1, 0) OVER p AS lower, max(cum) OVER (PARTITION BY tick) AS total FROM b WINDOW p AS (PARTITION BY tick ORDER BY le))
+SELECT tick, round(CASE WHEN isinf(le) THEN lower ELSE lower + (le - lower) * (0.9 * total - before) / (cum - before) END, 6) AS quantile FROM w WHERE cum >= 0.9 * total QUALIFY row_number() OVER (PARTITION BY tick ORDER BY le) = 1""")
+def stream_quantiles(t: Tables) -> DataFrame:
+    """The daily 90 % quantile of a stream's histogram."""
+    out = _settled(t, windows.bucket_counts(_stream(t), "ts", "value", "1 day", "1 day", BOUNDS), ["tick", "le"])
+    q = stats.histogram_quantile(out, 0.9, ["tick"])
+    return q.select(F.unix_seconds("tick").alias("tick"), F.round("quantile", 6).alias("quantile"))
+
+
 @query(f"SELECT epoch_us({TUMBLE} + INTERVAL '1 hour') // 1000000 AS tick, event_type, arg_max(value, ts) AS value FROM events GROUP BY ALL")
 def stream_gauges(t: Tables) -> DataFrame:
     out = _settled(t, windows.gauges(_stream(t), "ts", "1 hour", ["event_type"], "value"), ["tick", "event_type"])
