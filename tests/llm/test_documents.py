@@ -191,13 +191,13 @@ def test_language_draw_with_many_null_and_repeated_ids(spark):
     from millrace.llm import langid as m
 
     one = spark.range(60_000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "'the same text, again and again' as text", "'en' as lang")
-    two = spark.range(60_000, numPartitions=4).selectExpr("7L as doc_id", "concat('der Text Nummer ', id) as text", "'de' as lang")
+    two = spark.range(60_000, numPartitions=4).selectExpr("4L as doc_id", "concat('der Text Nummer ', id) as text", "'de' as lang")
     both = one.unionByName(two).unionByName(spark.createDataFrame([(1, "123", "none"), (2, None, "fr")], "doc_id long, text string, lang string"))
     model = m.fit(both, per_lang=300)
     assert model.langs == ["de", "en"]
     mark = F.xxhash64(F.lit(""), F.lit("the same text, again and again"), F.monotonically_increasing_id())
     assert 200 < one.where(mark <= m.highest(300, 60_000)).count() < 400
-    out = m.identify(both.where("doc_id is null or doc_id = 1 or text like '%77'"), labelled=both).groupBy("lang", "lang_pred").count().collect()
+    out = m.identify(both.where("doc_id is null or doc_id = 1 or text like '%77'"), labelled=both, carry=["doc_id", "lang"]).groupBy("lang", "lang_pred").count().collect()
     assert {(r[0], r[1]) for r in out} == {("en", "en"), ("de", "de"), ("none", "und")}
     assert max(r[2] for r in out) == 60_000
 
