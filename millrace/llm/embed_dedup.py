@@ -35,7 +35,7 @@ from ._common import Scratch, map_pandas, tasks
 from .components import components
 
 COSINE = 0.98
-LIST, LONGEST, LARGE = 8, 32, 16
+LIST, LONGEST, LARGE = 8, 128, 64
 REVERSE = 4
 ORDERS, ORDER_BITS, NEXT = 8, 24, 2
 BUCKET = 5000

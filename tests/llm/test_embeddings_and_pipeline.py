@@ -21,8 +21,10 @@ def vectors():
             v = rng.normal(size=16)
             centre.setdefault(label, v)
         out.append((i, v.tolist(), label))
-    for k in range(60):  # a group larger than any list
+    for k in range(60):  # a group that lists grow to hold, and one larger than any list
         out.append((300 + k, (np.ones(16) + rng.normal(size=16) * 0.02).tolist(), 1))
+    for k in range(160):
+        out.append((1000 + k, (np.arange(16) - 8 + rng.normal(size=16) * 0.02).tolist(), 2))
     out += [(400, None, 1), (401, [], 1), (402, [0.0] * 16, 1), (403, [float("nan")] + [1.0] * 15, 1), (404, [float("inf")] * 16, 1), (405, [None] + [1.0] * 15, 1), (406, [1.0] * 8, 1), (407, out[5][1], out[5][2]), (408, out[5][1], out[5][2]), (409, [1e200] * 16, 1)]
     return out
 
@@ -77,6 +79,8 @@ def near_with_losses(spark, monkeypatch, lost):
 
         return run
 
+    monkeypatch.setattr(m, "LARGE", 16)
+    monkeypatch.setattr(m, "LONGEST", 32)
     monkeypatch.setattr(m, "nodes_of", lambda *x, f=m.nodes_of: f(*x).withColumn("node", F.col("low")))  # ids are unique here
     for name in ("_adjacent", "_local_join"):
         monkeypatch.setattr(m, name, without(getattr(m, name)))
@@ -205,7 +209,8 @@ def test_sql_of_this_subpackage(spark, sf):
     from tests.test_oracles import rows
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in q.oracle_sql().items():
         df = q.queries()[name](spark, sf)
         rel = con.sql(sql)
@@ -216,7 +221,7 @@ def test_sql_of_this_subpackage(spark, sf):
 def test_one_query_per_operator():
     from millrace.llm import queries as q
 
-    assert [int(n[2:].split("_")[0]) for n in q.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in q.queries()] == list(range(1, 14))
 
 
 def test_pipeline_stages_on_awkward_rows(spark):

@@ -316,18 +316,3 @@ def test_queries_hold_the_digests(spark, sf, tiktoken_encoding):
     for r in rows:
         ids = tiktoken_encoding.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(texts[r.doc_id]))
-
-
-@pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_conversation_trie"])
-def test_queries_equal_their_sql(spark, sf, name):
-    import duckdb
-
-    from millrace.llm import queries
-    from tests.test_oracles import rows
-
-    con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    df, rel = queries.queries()[name](spark, sf), con.sql(queries.oracle_sql()[name])
-    assert sorted(df.columns) == sorted(rel.columns)
-    assert rows(df.columns, df.collect()) == rows(rel.columns, rel.fetchall())
