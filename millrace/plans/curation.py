@@ -145,7 +145,7 @@ def near_dup_pairs_lsh(t: Tables) -> DataFrame:
 @query(f"WITH p AS ({PAIRS}) SELECT count(*) AS pairs, count(*) AS found, 0::BIGINT AS wrong FROM p")
 def lsh_recall(t: Tables) -> DataFrame:
     """Pairs of the exact join, how many of them the bands find, and what the bands find beside them."""
-    reps = Scratch(t.spark).table(_reps(t.documents), "reps")
+    reps = _reps(t.documents)
     exact = near.pairs_within(reps, "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.lit(1).alias("exact"))
     bands = near.pairs_by_bands(reps, "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.lit(1).alias("banded"))
     both = exact.join(bands, ["a", "b"], "full_outer")
@@ -159,9 +159,14 @@ def near_dup_pairs_jaccard(t: Tables) -> DataFrame:
 
 
 def _reps(docs: DataFrame) -> DataFrame:
-    """(doc_id, t): one row of each normalised text, which is made once."""
-    d = Scratch(docs.sparkSession).table(docs.select("doc_id", text.normalize_text(F.col("text")).alias("t")), "normal")
-    return curate.exact_first(d, F.col("t"), ["doc_id"])
+    """(doc_id, t): one row of each normalised text, which is made once. Rows are ranked by digest alone;
+    texts are read where they were written."""
+    scratch = Scratch(docs.sparkSession)
+    d = scratch.table(docs.select("doc_id", text.normalize_text(F.col("text")).alias("t"), F.monotonically_increasing_id().alias("_i")), "normal")
+    digest = F.sha2(F.coalesce("t", F.lit("")).cast("binary"), 256)
+    rank = F.row_number().over(Window.partitionBy("_k").orderBy("doc_id", "_i"))
+    copies = scratch.table(d.select(digest.alias("_k"), "doc_id", "_i").withColumn("_r", rank).where("_r > 1").select("_i"), "copies")
+    return near.chosen(d, copies, "_i", "left_anti").select("doc_id", "t")
 
 
 #: The kept rows as a recursion over rows in order that have an earlier near copy, with the dropped ones as state.
