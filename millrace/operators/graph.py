@@ -132,8 +132,10 @@ def in_rounds(links: DataFrame, scratch: Scratch, rounds: int = 100_000) -> Data
         heads = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = scratch.table(links.join(heads, "a").select(F.col("b").alias("k")).distinct(), "gone")
         dropped = gone if dropped is None else dropped.unionByName(gone)
-        links = links.join(gone.select(F.col("k").alias("a")), "a", "left_anti").join(gone.select(F.col("k").alias("b")), "b", "left_anti")
-        links = scratch.table(links.join(heads, "a", "left_anti"), "links")
+        left = links.join(gone.select(F.col("k").alias("a")), "a", "left_anti").join(gone.select(F.col("k").alias("b")), "b", "left_anti")
+        left = scratch.table(left.join(heads, "a", "left_anti"), "links")
+        scratch.drop(links)
+        links = left
     if links.head(1):
         raise ArithmeticError(f"rows are still undecided after {rounds} rounds")
     return dropped if dropped is not None else links.select(F.col("a").alias("k"))
