@@ -162,7 +162,7 @@ def _reps(docs: DataFrame) -> DataFrame:
     """(doc_id, t): one row of each normalised text, which is made once. Rows are ranked by digest alone;
     texts are read where they were written."""
     scratch = Scratch(docs.sparkSession)
-    d = scratch.table(docs.select("doc_id", text.normalize_text(F.col("text")).alias("t"), F.monotonically_increasing_id().alias("_i")), "normal")
+    d = scratch.table(docs.select("doc_id", text.normalize_text(F.col("text")).alias("t"), F.monotonically_increasing_id().alias("_i")), "normal", texts=True)
     digest = F.sha2(F.coalesce("t", F.lit("")).cast("binary"), 256)
     rank = F.row_number().over(Window.partitionBy("_k").orderBy("doc_id", "_i"))
     copies = scratch.table(d.select(digest.alias("_k"), "doc_id", "_i").withColumn("_r", rank).where("_r > 1").select("_i"), "copies")
