@@ -144,9 +144,12 @@ def near_dup_pairs_lsh(t: Tables) -> DataFrame:
 
 @query(f"WITH p AS ({PAIRS}) SELECT count(*) AS pairs, count(*) AS found, 0::BIGINT AS wrong FROM p")
 def lsh_recall(t: Tables) -> DataFrame:
-    """Pairs of the exact join, how many of them the bands find, and what the bands find beside them."""
-    reps = _reps(t.documents)
-    exact = near.pairs_within(reps, "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.lit(1).alias("exact"))
+    """Pairs of the exact join, how many of them the bands find, and what the bands find beside them. The
+    exact join's pairs are written first, so that its sets are gone when the bands' are shuffled."""
+    reps, scratch, beside = _reps(t.documents), Scratch(t.spark), Scratch(t.spark)
+    found = scratch.table(near.pairs_within(reps, "doc_id", "t", threshold=NEAR, normal=True, scratch=beside).select("a", "b"), "exact", large=True)
+    beside.drop_all()
+    exact = found.select("a", "b", F.lit(1).alias("exact"))
     bands = near.pairs_by_bands(reps, "doc_id", "t", threshold=NEAR, normal=True).select("a", "b", F.lit(1).alias("banded"))
     both = exact.join(bands, ["a", "b"], "full_outer")
     return both.agg(F.count("exact").alias("pairs"), F.count_if(F.col("exact").isNotNull() & F.col("banded").isNotNull()).alias("found"), F.count_if(F.col("exact").isNull()).alias("wrong"))
