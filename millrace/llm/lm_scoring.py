@@ -185,7 +185,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit
                 rows.append((row, key))
                 if key not in done:
                     done[key] = 0.0
-                    fresh.append(np.frombuffer(ids, "<u2").astype(np.int64))
+                    fresh.append(np.frombuffer(ids, "<u2"))
                     keys.append(key)
                     size += len(fresh[-1])
             if size > TOGETHER:

@@ -575,3 +575,36 @@ def test_gru_gradients_and_carried_state():
         assert grads[k][i] == pytest.approx((up - down) / (2 * e), rel=0.05, abs=0.01)
     curve = m.train([np.append(rng.integers(1, 4, 50), 0) for _ in range(40)], 4)
     assert curve[-1] > curve[0]
+
+
+def test_gru_gates_row_sums_and_wide_logits():
+    from millrace.llm import gru
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 1, 700, 2, 3, 1, 64, 5])
+    rows, first = rng.standard_normal((sizes.sum(), 6)).astype(np.float32), np.cumsum(sizes) - sizes
+    assert np.allclose(gru.summed(rows, first), np.add.reduceat(rows, first), atol=1e-3)
+    assert np.array_equal(gru.summed(rows[:4], np.arange(4)), rows[:4])
+
+    m = gru.Model.start(gru.Shape(3, 4, 5), np.arange(1, 13))
+    gx, h = rng.standard_normal((3, 7, 5)).astype(np.float32) * 60, rng.random((7, 5)).astype(np.float32)
+    gh, n = np.empty((3, 7, 5), np.float32), np.empty((7, 5), np.float32)
+    with np.errstate(over="ignore"):
+        new = m.step(gx, h, m.gates("U"), gh, n)
+    z, r, c = (h.astype(float) @ m.p["U"][:, 5 * g : 5 * g + 5] for g in range(3))
+    z, r = (np.tanh(x + g) / 2 + 0.5 for x, g in ((z, gx[0]), (r, gx[1])))
+    c = np.tanh(gx[2] + r * c)
+    assert all(x.flags.c_contiguous for x in gh) and np.allclose(new, c + z * (h - c), atol=1e-5)
+
+    # Sums of exps that leave the range of float32, with and without gradients.
+    m.p["C"] *= 3000
+    m.p["M"] *= 3000
+    t = rng.integers(0, 12, 7)
+    got, grads = m.output(h, t)[0], {}
+    assert np.array_equal(got, m.output(h, t, grads)[0]) and all(np.isfinite(g).all() for g in grads.values())
+    for s, x, lp in zip(h.astype(float), t, got):
+        a, k = s @ m.p["C"] + m.p["c"], m.cls[x]
+        b = m.p["M"][m.bounds[k] : m.bounds[k + 1]] @ s + m.p["m"][m.bounds[k] : m.bounds[k + 1]]
+        i = x - m.bounds[k]
+        want = a[k] - np.logaddexp.reduce(a) + b[i] - np.logaddexp.reduce(b)
+        assert lp == pytest.approx(want, rel=1e-3, abs=1e-2)
